@@ -14,3 +14,20 @@ def compound(r: Column | str) -> Column:
     """
     r = F.col(r) if isinstance(r, str) else r
     return F.log1p(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(-1 + 1e-12)))
+
+
+def rebalance_mask(axis, freq: str, day: int | None = None) -> Column:
+    """True on rows that may trade: every row, the first row of an ISO week or month, or a given day.
+
+    ``day`` is a weekday (0 = Monday) for weekly and a day of the month for monthly masks. The first
+    row of a series always trades. Weeks are keyed by ISO week and calendar year.
+    """
+    ts = F.col(axis.order[0])
+    first = F.lag(ts).over(axis.spec()).isNull()
+    if freq == "daily":
+        return F.lit(True)
+    if day is not None:
+        return first | ((F.weekday(ts) if freq == "weekly" else F.dayofmonth(ts)) == day)
+    period = F.weekofyear(ts) if freq == "weekly" else F.month(ts)
+    code = period * 10000 + F.year(ts)
+    return first | (code != F.lag(code).over(axis.spec()))

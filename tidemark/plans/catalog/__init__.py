@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans import registry
 
-MODULES = ("windows",)
+MODULES = ("windows", "tables")
 
 
 def load():
