@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import Axis, running, scan, windowed
+
 
 def compound(r: Column | str) -> Column:
     """Log growth of a return; summed and exponentiated it gives the running product.
@@ -31,3 +33,165 @@ def rebalance_mask(axis, freq: str, day: int | None = None) -> Column:
     period = F.weekofyear(ts) if freq == "weekly" else F.month(ts)
     code = period * 10000 + F.year(ts)
     return first | (code != F.lag(code).over(axis.spec()))
+
+
+# --- weight back-test ------------------------------------------------------------------------
+
+
+def panel_dates(df, by=(), ts: str = "ts"):
+    """Dates of each group with their position ``di`` and the following date: one row per group and date."""
+    w = Window.partitionBy(*by).orderBy(ts)
+    return df.select(*by, ts).distinct().select(
+        *by, ts, F.row_number().over(w).alias("di"), F.lead(ts).over(w).alias("next_ts")
+    )
+
+
+def weight_backtest(df, columns, by, ret: str = "ret", cost_bps: float = 5.0, days=None, symbol: str = "symbol", ts: str = "ts", half: bool = False):
+    """Back-test of several weight columns at once; costs follow the turnover.
+
+    Weights decided on one date of a group earn the group's next date. ``df``: (*by, ts, symbol, ret,
+    weight columns). ``days``: ``panel_dates`` of the groups, derived from ``df`` when not given. A name
+    without a row on the next date earns 0 and is sold there. Result per (*by, strategy, ts):
+    gross_return, cost, return, turnover, gross, net, equity on every date, the first of which holds
+    nothing. ``half`` counts one side of each change only.
+
+    Rows meet once per (group, name) for their previous weight and next return; what follows is a
+    partially aggregated sum per date. The strategies become rows on the date level only.
+    """
+    days = panel_dates(df, by, ts) if days is None else days
+    placed = df.join(days.drop("next_ts"), [*by, ts])
+    axis = Axis((*by, symbol), ("di",), hot=False)  # one row per date
+    w = axis.spec()
+    here = F.coalesce(F.lead("di").over(w) == F.col("di") + 1, F.lit(False))
+    placed = placed.withColumns({"_here": here, "_next": F.when(here, F.coalesce(F.lead(ret).over(w), F.lit(0.0))).otherwise(0.0),
+                                 "_seen": F.coalesce(F.lag("di").over(w) == F.col("di") - 1, F.lit(False)),
+                                 **{f"_b_{c}": F.lag(c).over(w) for c in columns}})
+    nil = F.lit(0.0)
+    bought, sold = [(F.col("di") + 1).alias("di")], [(F.col("di") + 2).alias("di")]
+    for c in columns:
+        before = F.when(F.col("_seen"), F.col(f"_b_{c}")).otherwise(0.0)
+        bought += [F.abs(F.col(c) - before).alias(f"t_{c}"), (F.col(c) * F.col("_next")).alias(f"r_{c}"), F.abs(c).alias(f"g_{c}"), F.col(c).alias(f"n_{c}")]
+        sold += [F.abs(c).alias(f"t_{c}"), nil.alias(f"r_{c}"), nil.alias(f"g_{c}"), nil.alias(f"n_{c}")]
+    moves = F.array_compact(F.array(F.struct(*bought), F.when(~F.col("_here"), F.struct(*sold))))
+    flat = placed.select(*by, F.explode(moves).alias("_e")).select(*by, "_e.*")
+    sums = flat.groupBy(*by, "di").agg(*[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in columns for k in "trgn"])
+    wide = days.drop("next_ts").join(sums, [*by, "di"], "left").fillna(0.0)
+    side = 0.5 if half else 1.0
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("strategy"), F.col(f"r_{c}").alias("gross_return"), (F.col(f"t_{c}") * side).alias("turnover"),
+                 F.col(f"g_{c}").alias("gross"), F.col(f"n_{c}").alias("net"))
+        for c in columns
+    ])
+    out = wide.select(*by, ts, F.explode(rows).alias("_e")).select(*by, ts, "_e.*")
+    out = out.withColumn("cost", F.col("turnover") * (cost_bps * 1e-4))
+    out = out.withColumn("return", F.col("gross_return") - F.col("cost"))
+    curve = Axis((*by, "strategy"), (ts,), hot=False)  # one row per date and strategy
+    return running(out, {"_g": ("sum", compound("return"))}, curve).withColumn("equity", F.exp("_g")).drop("_g")
+
+
+# --- single-asset target weights -------------------------------------------------------------
+
+
+def target_backtest(df, axis, signal: str = "signal", trade: str = "trades_now", fee_bps: float = 4.0, slippage_bps: float = 1.0,
+                    spread_bps: float = 0.0, cash: float = 10_000.0, tax_rate: float = 0.0):
+    """Equity of a target weight held between rebalances, in closed form per segment.
+
+    Between two rebalances equity is E·(1 − c·τ + w·(P/P₀ − 1)) with the target w, the entry price P₀
+    and the traded share τ = |w − drifted weight|; E is the running product over segments. The drifted
+    weight ignores the cost of the previous trade, an error of second order in the cost rate.
+    """
+    c = (fee_bps + slippage_bps + spread_bps) * 1e-4
+    p = F.col("close")
+
+    def add(d, a):
+        w0, p0 = F.lag(signal).over(a.spec()), F.lag("close").over(a.spec())
+        move = p / p0
+        drifted = F.coalesce(w0 * move / (1 + w0 * (move - 1)), F.lit(0.0))
+        d = d.withColumn("_tau", F.abs(F.col(signal) - drifted))
+        grown = 1 - c * F.lag("_tau").over(a.spec()) + w0 * (move - 1)
+        return d.withColumn("_grown", F.coalesce(grown, F.lit(1.0)))
+
+    nodes = windowed(df.where(F.col(trade)), add, axis, lookback=3)
+    nodes = running(nodes, {"_log": ("sum", F.log(F.greatest("_grown", F.lit(1e-12))))}, axis)
+    nodes = nodes.select(*axis.keys, *axis.order, F.struct(F.exp("_log").alias("e"), F.col(signal).alias("w"), p.alias("p"), F.col("_tau").alias("tau")).alias("_node"))
+    out = df.join(nodes, [*axis.keys, *axis.order], "left")
+    out = out.withColumn("_traded", F.col("_node.e") * F.col("_node.tau"))
+    out = running(out, {"_node": ("last", "_node"), "_volume": ("sum", F.coalesce("_traded", F.lit(0.0)))}, axis)
+    n = F.col("_node")
+    equity = cash * n["e"] * (1 - c * n["tau"] + n["w"] * (p / n["p"] - 1))
+    out = out.withColumns({"equity": F.coalesce(equity, F.lit(cash)), "traded": cash * F.coalesce("_volume", F.lit(0.0))})
+    out = out.withColumns({
+        "fees": F.col("traded") * (fee_bps * 1e-4), "slippage": F.col("traded") * (slippage_bps * 1e-4), "spread_cost": F.col("traded") * (spread_bps * 1e-4),
+        "tax": F.greatest(F.col("equity") - cash, F.lit(0.0)) * tax_rate,
+    })
+    return out.drop("_node", "_traded", "_volume")
+
+
+def buy_and_hold(df, axis, cash: float = 1.0):
+    """Close relative to the first close of the series."""
+    df = running(df, {"_p0": ("first", "close")}, axis)
+    return df.withColumn("bh_equity", F.col("close") / F.col("_p0") * cash).drop("_p0")
+
+
+# --- bracket trades --------------------------------------------------------------------------
+
+
+def bracket_levels(direction: Column, entry: Column, width: Column, stop: float, target: float) -> dict[str, Column]:
+    """Stop and target prices at multiples of a width (an ATR), mirrored for shorts."""
+    sign = F.when(direction == "long", 1.0).otherwise(-1.0)
+    return {"stop_price": entry - sign * width * stop, "target_price": entry + sign * width * target}
+
+
+def first_touch(entries, bars, max_bars: int, axis):
+    """Exit of each entry: first bar that touches stop or target within ``max_bars``, else the last bar's close.
+
+    ``entries``: keys, rn, direction, entry_price, stop_price, target_price. ``bars``: keys, rn, high, low,
+    close. Each entry looks at its next row numbers by an equi-join on (keys, rn), so the work spreads
+    by row and not by key. The stop wins when one bar touches both; an entry on the very last bar
+    exits there.
+    """
+    keys = list(axis.keys)
+    ahead = entries.withColumn("x_rn", F.explode(F.sequence(F.col("rn"), F.col("rn") + max_bars)))
+    path = bars.select(*keys, F.col("rn").alias("x_rn"), F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"))
+    j = ahead.join(path, [*keys, "x_rn"])
+    long = F.col("direction") == "long"
+    later = F.col("x_rn") > F.col("rn")
+    stopped = later & F.when(long, F.col("_l") <= F.col("stop_price")).otherwise(F.col("_h") >= F.col("stop_price"))
+    reached = later & F.when(long, F.col("_h") >= F.col("target_price")).otherwise(F.col("_l") <= F.col("target_price"))
+    hit = F.when(
+        stopped | reached,
+        F.struct(F.col("x_rn").alias("rn"), F.when(stopped, F.col("stop_price")).otherwise(F.col("target_price")).alias("price"),
+                 F.when(stopped, "stop").otherwise("target").alias("reason")),
+    )
+    last = F.struct(F.col("x_rn").alias("rn"), F.col("_c").alias("price"), F.lit("time").alias("reason"))
+    group = [*keys, "rn", "direction", "entry_price", "stop_price", "target_price"]
+    g = j.groupBy(*group).agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("x_rn"))).alias("_hit"), F.max_by(last, F.col("x_rn")).alias("_last"))
+    x = F.coalesce("_hit", "_last")
+    g = g.withColumns({"exit_rn": x["rn"], "exit_price": x["price"], "exit_reason": x["reason"]}).drop("_hit", "_last")
+    move = F.col("exit_price") / F.col("entry_price") - 1
+    return g.withColumns({
+        "pnl": 100 * F.when(long, move).otherwise(-move), "bars_held": F.col("exit_rn") - F.col("rn"),
+    })
+
+
+def one_at_a_time(trades, axis):
+    """Mark the trades that are taken when only one may be open: entered after the last one's exit."""
+    order = Axis(axis.keys, ("rn", "direction"))
+
+    def step(pdf, state):
+        busy = state[0] if state is not None else -1.0
+        taken = []
+        for start, end in zip(pdf["rn"], pdf["exit_rn"]):
+            ok = start > busy
+            busy = end if ok else busy
+            taken.append(bool(ok))
+        return {"taken": taken}, [float(busy)]
+
+    return scan(trades, step, "taken boolean", order)
+
+
+def trade_equity(trades, axis, start: float = 100.0):
+    """Equity after each taken trade."""
+    taken = trades.where("taken")
+    out = running(taken, {"_g": ("sum", compound(F.col("pnl") / 100))}, Axis(axis.keys, ("exit_rn",)))
+    return out.withColumn("equity", start * F.exp("_g")).drop("_g")

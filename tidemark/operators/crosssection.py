@@ -11,17 +11,31 @@ from tidemark.functions.cleaning import clip, ratio
 from tidemark.operators.series import Axis, roll_mean, roll_std
 
 
-def per_group(df: DataFrame, by: Sequence[str], outputs: Mapping[str, Column]) -> DataFrame:
-    """Attach group aggregates: partial aggregation before the shuffle, then an equi-join back."""
-    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in outputs.items()]), list(by))
+def per_group(df: DataFrame, by: Sequence[str], outputs: Mapping[str, Column], hot: bool | None = False) -> DataFrame:
+    """Attach group aggregates to every row.
+
+    A group of a panel is a date, with at most one row per name, or a series whose size was checked;
+    then one exchange on the group serves all outputs and the plan stays linear. With ``hot=True``
+    (a group too large for a task) the aggregate is combined before its shuffle and joined back.
+    """
+    if hot:
+        return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in outputs.items()]), list(by))
+    w = Window.partitionBy(*by)
+    return df.withColumns({n: c.over(w) for n, c in outputs.items()})
 
 
-def pct_rank(df: DataFrame, column: str, by: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
+def pct_rank(df: DataFrame, column: str, by: Sequence[str], out: str, hot: bool | None = False) -> DataFrame:
     """Percentile rank with ties averaged: (rows below + (ties + 1) / 2) / non-null rows.
 
-    Values are counted per distinct value first, so equal values of a large group meet as one row.
+    With ``hot=True`` values are counted per distinct value first, so the equal values of a group too
+    large for a task meet as one row.
     """
     group = list(by)
+    if not hot:
+        first = F.rank().over(Window.partitionBy(*group).orderBy(F.asc_nulls_last(column)))
+        ties = F.count(column).over(Window.partitionBy(*group, column))
+        total = F.count(column).over(Window.partitionBy(*group))
+        return df.withColumn(out, F.when(F.col(column).isNotNull(), (first + (ties - 1) / 2) / total))
     counts = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_ties"))
     w = Window.partitionBy(*group).orderBy(column)
     below = F.coalesce(F.sum("_ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

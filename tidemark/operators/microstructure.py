@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, ratio
+from tidemark.operators.crosssection import per_group
 from tidemark.operators.series import BARS, Axis, checked, pct_change, prev, roll_max, roll_mean, roll_min, roll_std, running, windowed
 
 
@@ -225,9 +226,10 @@ def opening_range(df: DataFrame, axis: Axis = BARS, session: str = "day", bars:
     """High, low and width of the first bars of each session."""
     within = axis.within(session)
     k = F.row_number().over(within.spec())  # a session holds a bounded number of bars
-    first = df.withColumn("_k", k)
-    rng = first.where(F.col("_k") <= bars).groupBy(*within.keys).agg(F.max("high").alias("orb_high"), F.min("low").alias("orb_low"))
-    return first.join(rng, list(within.keys)).withColumn("orb_width", F.col("orb_high") - F.col("orb_low")).withColumnRenamed("_k", "session_bar")
+    df = df.withColumn("session_bar", k)
+    early = F.col("session_bar") <= bars
+    df = per_group(df, within.keys, {"orb_high": F.max(F.when(early, F.col("high"))), "orb_low": F.min(F.when(early, F.col("low")))})
+    return df.withColumn("orb_width", F.col("orb_high") - F.col("orb_low"))
 
 
 def gap_flags(df: DataFrame, axis: Axis, session: str = "day", least: float = 0.003, hold: int = 40) -> DataFrame:

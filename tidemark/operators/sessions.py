@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, ratio
+from tidemark.operators.crosssection import per_group
 from tidemark.operators.recurrences import ewm_mean, span
 from tidemark.operators.series import (
     BARS,
@@ -114,8 +115,8 @@ def state_features(df: DataFrame, look: int = 20, axis: Axis | None = None) -> D
         })
 
     df = windowed(df, add, axis, lookback=look + 5)
-    top = df.groupBy(*axis.keys).agg(F.max("vol").alias("_top"))
-    return df.join(top, list(axis.keys)).withColumn("vol_norm", F.col("vol") / (F.col("_top") + 1e-6)).drop("_ret", "_top")
+    df = per_group(df, axis.keys, {"_top": F.max("vol")}, axis.hot)
+    return df.withColumn("vol_norm", F.col("vol") / (F.col("_top") + 1e-6)).drop("_ret", "_top")
 
 
 def lagged_returns(df: DataFrame, axis: Axis) -> DataFrame:

@@ -63,8 +63,8 @@ def backward_fill(df: DataFrame, columns: Sequence[str], axis: Axis = BARS) -> D
 
 def group_mean_fill(df: DataFrame, column: str, by: Sequence[str], default: float = 0.0) -> DataFrame:
     """Missing values take the mean of their group, then ``default``."""
-    means = df.groupBy(*by).agg(F.avg(column).alias("_mean"))
-    return df.join(means, list(by), "left").withColumn(column, F.coalesce(column, "_mean", F.lit(default))).drop("_mean")
+    mean = F.avg(column).over(Window.partitionBy(*by))
+    return df.withColumn(column, F.coalesce(F.col(column), mean, F.lit(default)))
 
 
 def interpolate(df: DataFrame, column: str, axis: Axis = BARS) -> DataFrame:
@@ -100,8 +100,11 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def with_group_size(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by))
+def with_group_size(df: DataFrame, by: Sequence[str], name: str, hot: bool | None = False) -> DataFrame:
+    """Number of rows of the row's group; ``hot=True`` counts before the shuffle and joins back."""
+    if hot:
+        return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by))
+    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
 
 def min_history(df: DataFrame, by: Sequence[str], least: int) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans import registry
 
-MODULES = ("windows", "tables")
+MODULES = ("windows", "tables", "portfolio")
 
 
 def load():

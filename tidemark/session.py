@@ -20,7 +20,7 @@ def local_session(cores: int = 8, app: str = "tidemark", shuffle: int | None = N
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
