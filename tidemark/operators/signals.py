@@ -67,13 +67,15 @@ def mean_reversion(df: DataFrame, axis: Axis | None = None, look: int = 50, ente
     return scan(df, step, "signal double", axis).drop("_z")
 
 
-def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int, axis: Axis = BARS, pos: str = "rn") -> DataFrame:
+def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int | Mapping[str, int], axis: Axis = BARS, pos: str = "rn") -> DataFrame:
     """Keep a flag only if the last kept one is at least ``bars`` rows back.
 
-    ``flags`` maps output → input boolean column; each output has its own clock. Only rows where some
+    ``flags`` maps output → input boolean column; each output has its own clock (and, with a mapping,
+    its own length). Only rows where some
     input is set enter the scan; the others get false by the join back.
     """
     names = list(flags)
+    wait = [bars[n] if isinstance(bars, Mapping) else bars for n in names]
     active = None
     for source in flags.values():
         active = F.col(source) if active is None else (active | F.col(source))
@@ -88,7 +90,7 @@ def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int, axis: Axis = BA
             wanted = pdf[flags[name]].to_numpy(dtype=bool)
             kept = np.zeros(len(pdf), dtype=bool)
             for i in np.flatnonzero(wanted):
-                if at[i] - last[k] >= bars:
+                if at[i] - last[k] >= wait[k]:
                     kept[i], last[k] = True, at[i]
             cols[name] = kept
         return cols, last
@@ -354,3 +356,53 @@ def strategy(name: str, **params) -> Strategy:
     if name not in STRATEGIES:
         raise KeyError(f"unknown strategy {name}; known: {sorted(STRATEGIES)}")
     return STRATEGIES[name](**params)
+
+
+# --- intraday entry rules --------------------------------------------------------------------
+
+
+def opening_breakout(axis: Axis, side: str, bars: int = 6) -> Column:
+    """Close beyond the opening range, once the range is complete."""
+    edge = prev("orb_high" if side == "long" else "orb_low", axis)
+    beyond = F.col("close") > edge if side == "long" else F.col("close") < edge
+    return F.coalesce(beyond & (F.col("session_bar") > bars), F.lit(False))
+
+
+def entry_rules(df: DataFrame, allowed: Column, axis: Axis | None = None) -> DataFrame:
+    """Five rule pairs over session columns, each with its own cooldown: ``entry_<rule>_<side>``.
+
+    Expects VWAP bands, cumulative delta, opening range, and momentum proxies on the rows.
+    """
+    from tidemark.operators.microstructure import delta_divergence, gap_flags
+
+    axis = axis or checked(df)
+    df = positions(df, axis)
+    rules = ("vwap_reversion", "opening_range", "gap_fill", "delta_divergence", "vwap_pullback")
+
+    def add(d: DataFrame, a: Axis) -> DataFrame:
+        d = delta_divergence(gap_flags(d, a), a)
+        far, near = F.col("vwap_distance_pct"), F.abs("vwap_distance_pct") < 0.3
+        before = prev("close", a)
+        w = a.trailing(10)
+        enough = F.count(F.lit(1)).over(w) >= 5
+        up = enough & (F.max(((far > 1.5) & (F.col("delta_norm") > 0.2)).cast("int")).over(w) > 0)
+        down = enough & (F.max(((far < -1.5) & (F.col("delta_norm") < -0.2)).cast("int")).over(w) > 0)
+        raw = {
+            "vwap_reversion": (F.col("close") < F.col("vwap_lower_2"), F.col("close") > F.col("vwap_upper_2")),
+            "opening_range": (opening_breakout(a, "long"), opening_breakout(a, "short")),
+            "gap_fill": (F.col("gap_down") & (F.col("session_bar") > 1), F.col("gap_up") & (F.col("session_bar") > 1)),
+            "delta_divergence": (F.col("bull_div"), F.col("bear_div")),
+            "vwap_pullback": (up & near & (F.col("close") > before), down & near & (F.col("close") < before)),
+        }
+        sides = {}
+        for name in rules:
+            for side, c in zip(("long", "short"), raw[name]):
+                sides[f"_{name}_{side}"] = F.coalesce(c & allowed, F.lit(False))
+        return d.withColumns(sides)
+
+    df = windowed(df, add, axis, lookback=70)
+    # fixed values: cooldown bars per rule
+    waits = dict(zip(rules, (10, 10, 10, 30, 20)))
+    flags = {f"entry_{n}_{s}": f"_{n}_{s}" for n in rules for s in ("long", "short")}
+    df = cooldown(df, flags, {f"entry_{n}_{s}": waits[n] for n in rules for s in ("long", "short")}, axis)
+    return df.drop(*[f"_{n}_{s}" for n in rules for s in ("long", "short")])
