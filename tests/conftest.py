@@ -23,10 +23,10 @@ def folder():
 
 
 @pytest.fixture()
-def tiny_tasks(spark):
-    """Force the split paths: no task may hold more than 40 rows of a key."""
+def tiny_tasks(spark, request):
+    """Force the split paths: a key of the test data is cut into a handful of blocks."""
     from tidemark.operators.series import ROWS_PER_TASK
 
-    spark.conf.set(ROWS_PER_TASK, "40")
+    spark.conf.set(ROWS_PER_TASK, request.param if hasattr(request, "param") else "40")
     yield
     spark.conf.unset(ROWS_PER_TASK)

@@ -47,3 +47,11 @@ def clip(x, low=None, high=None) -> Column:
 
 def zero_if_null(x) -> Column:
     return F.coalesce(_c(x), F.lit(0.0))
+
+
+def correlation(a, b, w=None) -> Column:
+    """Pearson correlation of complete pairs, null when either side is constant (as an aggregate or over ``w``)."""
+    a, b = _c(a), _c(b)
+    on = (lambda agg: agg) if w is None else (lambda agg: agg.over(w))
+    spread = on(F.stddev_pop(F.when(b.isNotNull(), a))) * on(F.stddev_pop(F.when(a.isNotNull(), b)))
+    return on(F.covar_pop(a, b)) / F.nullif(spread, F.lit(0.0))

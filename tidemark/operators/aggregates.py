@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cleaning import ratio
 from tidemark.operators.backtest import compound
 from tidemark.operators.series import BARS, Axis, checked, pct_change, prev, running, windowed
 
@@ -177,12 +178,12 @@ def cumulative_share(totals: DataFrame, key: str, value: str, share: float) -> D
 def t_tests(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Equal-variance and paired t statistics of two columns, and the share of rows where a > b."""
     n = F.count(F.lit(1))
-    pooled = ((n - 1) * F.var_samp(a) + (n - 1) * F.var_samp(b)) / (2 * n - 2)
+    pooled = (F.var_samp(a) + F.var_samp(b)) / 2
     gap = F.col(a) - F.col(b)
     return df.groupBy(*by).agg(
         n.alias("n"),
-        ((F.avg(a) - F.avg(b)) / F.sqrt(pooled * 2 / n)).alias("t_equal_var"),
-        (F.avg(gap) / (F.stddev_samp(gap) / F.sqrt(n))).alias("t_paired"),
+        ratio(F.avg(a) - F.avg(b), F.sqrt(pooled * 2 / n)).alias("t_equal_var"),
+        ratio(F.avg(gap), F.stddev_samp(gap) / F.sqrt(n)).alias("t_paired"),
         F.avg(F.when(F.col(a) > F.col(b), 1.0).otherwise(0.0)).alias("win_rate"),
     )
 

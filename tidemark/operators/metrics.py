@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cleaning import finite, ratio
+from tidemark.functions.cleaning import correlation, finite, ratio
 from tidemark.operators.aggregates import sample_kurtosis, sample_skew
 from tidemark.operators.backtest import compound
 from tidemark.operators.series import Axis, pct_change, running, windowed
@@ -169,7 +169,7 @@ def benchmark_stats(df: DataFrame, by: Sequence[str], ret: str, bench: str, per_
     te = F.stddev_pop(active) * per_year**0.5
     return df.groupBy(*by).agg(
         te.alias("tracking_error"), F.when(te > 0, F.avg(active) * per_year / te).alias("info_ratio"), beta.alias("beta"),
-        ((F.avg(y) - beta * F.avg(x)) * per_year).alias("alpha_annual"), finite(F.corr(y, x)).alias("correlation"),
+        ((F.avg(y) - beta * F.avg(x)) * per_year).alias("alpha_annual"), correlation(y, x).alias("correlation"),
         F.avg(F.when(y > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
     )
 
@@ -194,7 +194,7 @@ def rolling_sharpe(axis: Axis, ret: str, n: int = 63, per_year: float = 252.0) -
 
 def rolling_corr(axis: Axis, a: str, b: str, n: int = 90) -> Column:
     w = axis.trailing(n)
-    return F.when(F.count(F.col(a) + F.col(b)).over(w) >= n, finite(F.corr(a, b).over(w)))
+    return F.when(F.count(F.col(a) + F.col(b)).over(w) >= n, correlation(a, b, w))
 
 
 def tail_risk(df: DataFrame, by: Sequence[str], ret: str, q: float = 0.05) -> DataFrame:

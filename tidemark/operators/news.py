@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.functions.cleaning import correlation
 from tidemark.functions import vectors as vc
 from tidemark.operators.joins import asof_join
 from tidemark.operators.series import BARS, Axis, following, prev, roll_mean, roll_std, scan, windowed
@@ -81,7 +82,7 @@ def return_statistics(aligned: DataFrame, horizons: Sequence[int] = (1, 5, 20),
     flat = aligned.withColumn("_e", F.explode(rows)).withColumns({"horizon": F.col("_e.horizon"), "ret": F.col("_e.ret")}).where("ret IS NOT NULL")
     up = F.col("ret") > 0
     return flat.groupBy(*by, "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("positive", "ret").alias("corr_positive"), F.corr("negative", "ret").alias("corr_negative"), F.corr("balance", "ret").alias("corr_balance"),
+        F.count(F.lit(1)).alias("n"), correlation("positive", "ret").alias("corr_positive"), correlation("negative", "ret").alias("corr_negative"), correlation("balance", "ret").alias("corr_balance"),
         F.avg(((F.col("balance") >= 0) == up).cast("double")).alias("directional_accuracy"),
         F.avg(F.when(F.col("balance") > 0, F.col("ret"))).alias("mean_when_positive"), F.avg(F.when(F.col("balance") < 0, F.col("ret"))).alias("mean_when_negative"),
     )

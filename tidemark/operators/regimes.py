@@ -176,5 +176,5 @@ def detection_delay(df: DataFrame, truth: str, predicted: str, axis: Axis = BARS
 def entropy(weights: Column) -> Column:
     """−Σ p ln p of an array normalised to sum 1; zero entries add nothing."""
     total = F.aggregate(weights, F.lit(0.0), lambda t, x: t + x)
-    p = F.transform(weights, lambda x: x / total)
+    p = F.transform(weights, lambda x: x / F.nullif(total, F.lit(0.0)))
     return F.aggregate(p, F.lit(0.0), lambda t, x: t - F.when(x > 0, x * F.log(x)).otherwise(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.cleaning import ratio
+from tidemark.functions.cleaning import correlation
 from tidemark.operators import indicators as ind
 from tidemark.operators import volatility as vol
 from tidemark.operators.recurrences import decayed_sum, ewm_mean, ewm_std, span, wilder
@@ -82,7 +82,7 @@ def rolling_basic(spark, d):
             "mean_20": roll_mean("close", a, 20), "vsum_10": roll_sum("volume", a, 10, 5), "low_14": roll_min("low", a, 14),
             "high_14": roll_max("high", a, 14), "std_20": roll_std("ret", a, 20), "var_10": roll_var("close", a, 10),
             "cov_30": F.when(full, F.covar_samp("close", "volume").over(w)),
-            "corr_30": F.when(full, F.corr("close", "volume").over(w)), "sma_50": ind.sma("close", a, 50),
+            "corr_30": F.when(full, correlation("close", "volume", w)), "sma_50": ind.sma("close", a, 50),
         })
 
     df = windowed(b.bars(spark, d), add, lookback=50)
@@ -483,7 +483,8 @@ def market_breadth(spark, d):
 LN = f"""q AS (SELECT *, CASE WHEN lower(asset_group) = 'asia' THEN 365.0::DOUBLE ELSE 252.0::DOUBLE END AS py, ln(high / low) AS hl, ln(close / open) AS co, ln(high / open) AS ho, ln(low / open) AS lo,
  ln(high / close) AS hc, ln(low / close) AS lc, ln(open / pc) AS ovn FROM nb),
  q2 AS (SELECT *, hl * hl AS hl2, 0.5 * hl * hl - (2 * ln(2) - 1) * co * co AS gk, ho * hc + lo * lc AS rs FROM q)"""
-PER_YEAR = vol.periods_per_year(always_open=("asia",))
+def per_year():
+    return vol.periods_per_year(always_open=("asia",))
 
 
 @query("range_volatility", "V1 V3 V4 V5 V6", with_ctes("bars nb", LN + f""" {SEL},
@@ -540,7 +541,7 @@ def volatility_block(spark, d):
     def add(x, a):
         x = x.withColumns(vol.base_returns(a))
         x = x.withColumns({"drawdown_60": vol.drawdown_from_peak(a), "volume_z_20": vol.volume_z(a),
-                           **vol.vol_block(a, 10, PER_YEAR), **vol.vol_block(a, 20, PER_YEAR), **vol.vol_block(a, 60, PER_YEAR)})
+                           **vol.vol_block(a, 10, per_year()), **vol.vol_block(a, 20, per_year()), **vol.vol_block(a, 60, per_year())})
         return vol.add_events(x, a)
 
     df = windowed(b.bars(spark, d), add, lookback=62)
