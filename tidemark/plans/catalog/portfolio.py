@@ -499,3 +499,11 @@ def rebalance_intents(spark, d):
     df = df.withColumns({"signal": (105 - F.col("close")) / 5, "quantity": 10 * (F.col("entry_price") - 100), "equity": F.lit(10000.0)}).where("quantity IS NOT NULL")
     out = intents(df, max_weight=0.25, min_quantity=0.5, min_notional=100.0, stop_loss=0.05, take_profit=0.05)
     return out.select("symbol", text("ts"), num("order_quantity").alias("quantity"), "side", num("notional", 4).alias("notional"), "exit_rule")
+
+
+@query("top_holdings", "A23 P23 B1", with_ctes("bars", f"""w AS (SELECT symbol, volume / sum(volume) OVER (PARTITION BY ts) AS w FROM bars), m AS (SELECT symbol, avg(w) AS m FROM w GROUP BY symbol HAVING avg(w) > 0)
+ SELECT symbol, {qnum("m", "mean_weight")} FROM m ORDER BY m DESC, symbol LIMIT 20"""))
+def top_holdings(spark, d):
+    w = pf.shares(b.bars(spark, d).select("symbol", "ts", "volume"), ["ts"], {"w": F.col("volume")})
+    m = w.groupBy("symbol").agg(F.avg("w").alias("m")).where("m > 0")
+    return m.orderBy(F.desc("m"), "symbol").limit(20).select("symbol", num("m").alias("mean_weight"))
