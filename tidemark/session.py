@@ -28,13 +28,20 @@ def local_session(cores: int = 8, app: str = "tidemark", shuffle: int | None = N
     return spark
 
 
+def scratch_root(master: str, configured: str | None) -> str:
+    """The folder for checkpoints and intermediate tables: the configured one; a scratch one of this machine on a local master only."""
+    if configured:
+        return configured
+    if master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="run-tidemark-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own, a scratch one only when none is set."""
+    """The shared checkpoint folder of the session; see ``scratch_root``."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="run-tidemark-")
-    sc.setCheckpointDir(target)
-    return target
+    sc.setCheckpointDir(scratch_root(sc.master, spark.conf.get("spark.checkpoint.dir", None)))
+    return sc.getCheckpointDir()
