@@ -105,3 +105,33 @@ def op9_shard_packing(spark, folder):
 
     rows = pack(table(spark, folder, "documents"))
     return rows.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op6_toxicity_crf")
+def op6_toxicity_crf(spark, folder):
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("spans")
+
+
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op7_nearest_vectors", NEAREST_SQL)
+def op7_nearest_vectors(spark, folder):
+    from tidemark.llm.nearest import EVERY, nearest
+
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+
+
+@query("op10_quality_bytes")
+def op10_quality_bytes(spark, folder):
+    from tidemark.llm.quality import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

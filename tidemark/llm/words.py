@@ -66,9 +66,17 @@ def hash_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 def hashed_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash per word after lower-casing A-Z, offsets of each text's words). ``inside``: ``BLANK`` or ``ALNUM``."""
+    return located_words(texts, inside)[:2]
+
+
+def located_words(texts: pa.Array, inside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """As ``hashed_words``, with the first byte of each word and the byte behind it, counted from the first text.
+
+    Then, for each length in ``prefixes``, the hashes of the words' first so many bytes.
+    """
     raw, offsets = text_bytes(texts)
     if not len(raw):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, _U), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, _U) for _ in prefixes]
     raw = _LOWER[raw]
     word = inside[raw]
     first, last = np.empty(len(raw), bool), np.empty(len(raw), bool)
@@ -78,7 +86,8 @@ def hashed_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.nd
     first[full] = True
     last[full[1:] - 1] = True
     starts, ends = np.flatnonzero(word & first), np.flatnonzero(word & last) + 1
-    return hash_runs(raw, starts, ends - starts), np.searchsorted(starts, offsets)
+    heads = [hash_runs(raw, starts, np.minimum(ends - starts, n)) for n in prefixes]
+    return hash_runs(raw, starts, ends - starts), np.searchsorted(starts, offsets), starts, ends, *heads
 
 
 def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
