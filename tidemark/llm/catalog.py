@@ -116,7 +116,7 @@ def op6_toxicity_crf(spark, folder):
 
 NEAREST_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
@@ -135,3 +135,38 @@ def op10_quality_bytes(spark, folder):
     from tidemark.llm.quality import quality
 
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _licence_sql() -> str:
+    from tidemark.llm.licenses import licence_sql
+
+    return licence_sql()
+
+
+@query("op2_license_scan", _licence_sql())
+def op2_license_scan(spark, folder):
+    from tidemark.llm.licenses import licence_scan
+
+    rows = licence_scan(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+def _lines_sql() -> str:
+    from tidemark.llm.lines import LINES_SQL
+
+    return LINES_SQL
+
+
+@query("op3_line_dedup", _lines_sql())
+def op3_line_dedup(spark, folder):
+    from tidemark.llm.lines import line_report
+
+    return line_report(table(spark, folder, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, folder):
+    from tidemark.llm.secrets import secret_scan
+
+    rows = secret_scan(table(spark, folder, "documents").withColumn("path", F.col("source")))
+    return rows.select("doc_id", "place", "nth", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score", "secret")
