@@ -122,7 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield Slice(batch.slice(start), texts.slice(start))
 
 
-def connected(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex: (id, component). ``edges`` has long columns a and b.
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes; pairs are
@@ -131,6 +131,7 @@ def connected(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
     while True:
         around = both(current)
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -141,10 +142,11 @@ def connected(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         nxt = cut(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        change = nxt.join(current, ["a", "b"], "left_anti").limit(1).count() + current.join(nxt, ["a", "b"], "left_anti").limit(1).count()
+        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         current = nxt
-        if not change:
+        if state == seen:
             break
+        seen = state
     stars = current.groupBy("a").agg(F.min("b").alias("component"))
     roots = stars.select(F.col("component").alias("id"), "component").distinct()
     return cut(stars.withColumnRenamed("a", "id").unionByName(roots))

@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_filter, connected, cut, in_filter, slices
+from tidemark.llm.common import FILTER_BITS, bit_filter, connected, cut, in_filter, slices
 from tidemark.llm.words import BLANK, gram_hashes, hashed_words, mix
 
 GRAM = 5
 PERCENT = 75
 #: documents (chosen by hash) whose shingles are counted to find frequent ones; only the order of prefixes depends on it
 SAMPLE = 20_000
-#: a shingle in more than this many sampled sets is frequent
-FREQUENT = 8
+#: a shingle in so many different sampled texts is frequent
+FREQUENT = 2
 #: rows of a tile side
 TILE = 2_000
 _U = np.uint64
@@ -58,16 +58,15 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _frequent(gram: int, least: int):
-    """Shingles of the rows of this task that occur in several of them, with the count."""
+def _counted(gram: int):
+    """Shingles of the rows of this task with the number of texts that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=8_000_000):
             found = [s for s in shingle_sets(part.texts, gram) if len(s)]
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
-                keep = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep], pa.int64())], names=["shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["shingle", "n"])
 
     return run
 
@@ -88,9 +87,8 @@ def _signatures(gram: int, percent: int, frequent: np.ndarray):
             keys = []
             for s in found:
                 take = len(s) + 1 - -(-percent * len(s) // 100) if len(s) else 0
-                if len(frequent):
-                    hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~hot], s[hot]])
+                hot = in_filter(frequent, s.view(np.int64))
+                s = np.concatenate([s[~hot], s[hot]])
                 keys.append(s[:take].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -200,24 +198,36 @@ def _tiles(percent: int, most: int):
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        tile = None
+        held: list[pa.RecordBatch] = []  # slices of the tile that is not yet complete
 
         def done():
-            if len(held) > 1:
-                rows = {k: np.array([h[k] for h in held]) for k in ("rid", "n", "component", "side", "guest")}
-                return flush(rows, [h["bits"] for h in held])
-            return None
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if rows.num_rows < 2:
+                return None
+            columns = {k: rows.column(k).to_numpy() for k in ("rid", "n", "component", "side", "guest")}
+            if columns["component"].min() == columns["component"].max():
+                return None
+            return flush(columns, rows.column("bits").to_pylist())
 
         for batch in batches:
-            for row in batch.to_pylist():
-                here = (row["shingle"], row["band"], row["tile"])
-                if here != tile:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("shingle", "band", "tile")]
+            change = np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1
+            if held:
+                last = held[-1].slice(held[-1].num_rows - 1)
+                if any(last.column(last.schema.get_field_index(k))[0].as_py() != v[0] for k, v in zip(("shingle", "band", "tile"), keys, strict=True)):
+                    if (found := done()) is not None:
+                        yield found
+                    held.clear()
+            bounds = [0, *change.tolist(), batch.num_rows]
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if i:
                     if (found := done()) is not None:
                         yield found
-                    held, tile = [], here
-                held.append(row)
-        if (found := done()) is not None:
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+        if held and (found := done()) is not None:
             yield found
 
     return run
@@ -243,10 +253,10 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.length("text")).alias("__text"), "text")
     chance = min(1.0, sample / max(1, docs.count()))
     picked = keyed.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.lit(int(chance * 1_000_000)))
-    seen = picked.dropDuplicates(["__text"]).select("text").mapInArrow(_frequent(gram, 2), "shingle bigint, n bigint")
-    common = seen.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    frequent = np.sort(np.array([r["shingle"] for r in common.select("shingle").collect()], dtype=np.int64).view(_U))  # bounded by the sample
-    shared = spark.sparkContext.broadcast(frequent)
+    seen = picked.dropDuplicates(["__text"]).select("text").mapInArrow(_counted(gram), "shingle bigint, n bigint")
+    common = cut(seen.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("shingle"))
+    # membership in a filter of fixed size depends on the shingle alone, so it gives one order for all documents
+    shared = spark.sparkContext.broadcast(bit_filter(common, "shingle", FILTER_BITS))
 
     def signatures(batches):
         yield from _signatures(gram, percent, shared.value)(batches)
@@ -257,14 +267,18 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     classes = full.groupBy("n", "high", "low").agg(F.min(F.struct("doc_id", "__text")).alias("head"))
     classes = cut(classes.select("n", "high", "low", F.col("head.doc_id").alias("rid"), "head.__text"))
     heads = classes.select("rid", "__text")
-    signed = sets.withColumnRenamed("doc_id", "rid").join(heads, ["rid", "__text"], "left_semi").dropDuplicates(["rid"])
-    signed = cut(signed.select("rid", "__text", "n", "bits", "prefix"))
+    signed = sets.withColumnRenamed("doc_id", "rid").join(heads, ["rid", "__text"], "left_semi")
     rows = signed.select("rid", "n", F.explode("prefix").alias("shingle"))
+    signed = cut(signed.select("rid", "n", "bits").dropDuplicates(["rid"]))
     tile = Window.partitionBy("shingle").orderBy("n", "rid")
-    near = rows.select("shingle", "rid", "n", F.lag("rid").over(tile).alias("p"), F.lag("n").over(tile).alias("pn"), F.lead("rid").over(tile).alias("q"))
-    live = cut(near.where("p is not null or q is not null").drop("q"))
-    pairs = live.where(F.col("p").isNotNull() & (F.col("pn") * 100 >= F.col("n") * percent))
-    pairs = pairs.select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
+    before, after = (lambda c: F.lag(c).over(tile)), (lambda c: F.lead(c).over(tile))
+    near = rows.select("shingle", "rid", "n", before("rid").alias("p"), before("n").alias("pn"), after("rid").alias("q"), after("n").alias("qn"))
+    # without a neighbour of a fitting size a row has no partner in its tile; an equal neighbour is a repeated row
+    fits_p = F.col("p").isNotNull() & (F.col("pn") * 100 >= F.col("n") * percent) & (F.col("p") != F.col("rid"))
+    fits_q = F.col("q").isNotNull() & (F.col("n") * 100 >= F.col("qn") * percent) & (F.col("q") != F.col("rid"))
+    near = near.where(F.coalesce(fits_p, F.lit(False)) | F.coalesce(fits_q, F.lit(False)))
+    live = cut(near.select("shingle", "rid", "n", F.when(fits_p, F.col("p")).alias("p")))
+    pairs = live.where("p is not null").select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
@@ -296,20 +310,22 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
         labelled = live.select("shingle", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "rid"))
         split = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
-        crossed = labelled.join(split.select("shingle", "rows"), "shingle").join(signed.select("rid", "bits"), "rid")
+        crossed = labelled.join(split.select("shingle", "rows"), "shingle")
+        large = F.col("rows") > TILE
         width = float(np.log(100 / percent))
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width) - F.lit(1e-9)).cast("int")
-        # a band meets itself and the next one: every row is at home in its band and a guest in the band below
-        banded = crossed.withColumn("home", band).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1))).withColumn("guest", F.col("band") < F.col("home"))
+        band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.lit(width))).otherwise(F.lit(0)).cast("int")
+        crossed = crossed.withColumn("home", band)
+        # in a large tile a band meets itself and the next one: every row is at home in its band and a guest in the band below
+        bands = F.when(large, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array(F.col("home")))
+        banded = crossed.withColumn("band", F.explode(bands)).withColumn("guest", F.col("band") < F.col("home"))
         salts = F.ceil(F.col("rows") / F.lit(TILE)).cast("int")
-        salt = F.pmod(F.xxhash64("rid"), salts.cast("long")).cast("int")
-        banded = banded.withColumn("salts", salts).withColumn("salt", salt)
+        banded = banded.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts").cast("long")).cast("int"))
         banded = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         lower, upper = F.least("salt", "other"), F.greatest("salt", "other")
         # two salts in one tile: only pairs across them are new there
         side = F.when(lower == upper, F.lit(-1)).otherwise(F.col("salt"))
-        banded = banded.select("shingle", "band", (lower * 1_000_000 + upper).alias("tile"), side.alias("side"), "guest", "rid", "n", "component", "bits")
-        dealt = banded.repartition("shingle", "band", "tile").sortWithinPartitions("shingle", "band", "tile")
+        banded = banded.select("shingle", "band", (lower * 1_000_000 + upper).alias("tile"), side.alias("side"), "guest", "rid", "n", "component")
+        dealt = banded.join(signed.select("rid", "bits"), "rid").repartition("shingle", "band", "tile").sortWithinPartitions("shingle", "band", "tile")
         found = cut(dealt.mapInArrow(_tiles(percent, most), "a bigint, b bigint, ca bigint, cb bigint, more boolean").distinct())
         new = verified(found.select("a", "b").distinct())
         links = links.unionByName(new)

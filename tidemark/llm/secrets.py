@@ -34,8 +34,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     ``path`` is a column of ``docs`` or null. Null texts have no candidates.
     """
     path = F.col("path").cast("string") if "path" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", path.alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
-    tokens = F.split("text", BLANKS)
+    rows = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", path.alias("path"), F.split("text", BLANKS).alias("tokens"))
+    tokens = F.col("tokens")
     near = F.transform(
         tokens,
         lambda t, i: F.struct(
