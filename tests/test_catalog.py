@@ -6,9 +6,9 @@ import pytest
 from helpers import connect, spark_rows, sql_rows
 
 import __spark_entry__ as entry
+from tidemark.plans import catalog
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES, SQL = catalog.load().QUERIES, catalog.load().SQL
 
 
 @pytest.fixture(scope="module")

@@ -14,33 +14,24 @@ from tidemark.operators.backtest import compound
 from tidemark.operators.series import BARS, Axis, checked, pct_change, prev, running, windowed
 
 
-def grouped_documents(df: DataFrame, by: Sequence[str], seq: str, text: str, articles: int, chars: int, sep: str = " ") -> DataFrame:
-    """First ``articles`` texts of a group joined in order; the joined document ends at ``chars``.
+def grouped_documents(df: DataFrame, by: Sequence[str], seq: str, text: str, articles: int | None = None, chars: int | None = None, sep: str = " ") -> DataFrame:
+    """The texts of a group joined in order, whole unless limits are asked for.
 
-    The row-number filter is limited per task before the shuffle, and a text can contribute at most
-    ``chars`` characters to the result, so a group's collected part is bounded.
+    ``articles`` keeps the first texts of a group (filtered per task before the shuffle), ``chars`` ends the joined document.
+    A group is meant to be one name and day.
     """
-    w = Window.partitionBy(*by).orderBy(seq)
-    picked = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= articles)
-    joined = picked.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("_k", F.substring(text, 1, chars).alias("t")))).alias("_parts"),
-    )
-    # an article that would start beyond the limit is left out altogether, separator included
-    kept = F.aggregate(
-        "_parts",
-        F.struct(F.lit("").alias("doc"), F.lit(0).alias("n")),
-        lambda s, p: F.when(
-            F.length(s["doc"]) + F.when(s["n"] > 0, len(sep)).otherwise(0) < chars,
-            F.struct(
-                F.concat(
-                    s["doc"], F.when(s["n"] > 0, F.lit(sep)).otherwise(F.lit("")),
-                    F.substring(p["t"], F.lit(1), F.lit(chars) - F.length(s["doc"]) - F.when(s["n"] > 0, len(sep)).otherwise(0)),
-                ).alias("doc"),
-                (s["n"] + 1).alias("n"),
-            ),
-        ).otherwise(s),
-    )
-    return joined.select(*by, kept.alias("_d")).select(*by, F.col("_d.doc").alias("document"), F.col("_d.n").alias("articles"))
+    if articles is not None:
+        w = Window.partitionBy(*by).orderBy(seq)
+        df = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= articles)
+    joined = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("k"), F.coalesce(text, F.lit("")).alias("t")))).alias("_parts"))
+    parts = F.col("_parts")
+    if chars is not None:
+        # an article that would start beyond the limit is left out altogether, separator included
+        parts = F.filter(parts, lambda p, i: F.aggregate(F.slice(F.col("_parts"), F.lit(1), i), F.lit(0), lambda n, q: n + F.length(q["t"]) + len(sep)) < chars)
+    joined = joined.withColumn("_parts", parts)
+    document = F.array_join(F.transform("_parts", lambda p: p["t"]), sep)
+    document = document if chars is None else F.substring(document, 1, chars)
+    return joined.select(*by, document.alias("document"), F.size("_parts").alias("articles"))
 
 
 def vector_mean(df: DataFrame, by: Sequence[str], vector: str, out: str) -> DataFrame:

@@ -201,7 +201,8 @@ def quality_score(axis: Axis, side: str, look: int = 20) -> Column:
     d = F.abs("vwap_distance_pct")
     near = F.when(d < 0.5, 1.0).when(d < 1.0, 0.8).when(d < 2.0, 0.5).when(d < 3.0, 0.2).otherwise(0.0)
     right = F.when(sign * F.col("vwap_distance_pct") > 0, 1.0).otherwise(0.7)
-    strength = clip(sign * F.col("spy_trend"), 0.0, 0.3) / 0.3
+    # a component without its benchmark counts nothing
+    strength = F.coalesce(clip(sign * F.col("spy_trend"), 0.0, 0.3) / 0.3, F.lit(0.0))
     on = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     total = (
         on(had) * POINTS["liquidity"] * (0.5 + 0.5 * quality)
@@ -209,7 +210,7 @@ def quality_score(axis: Axis, side: str, look: int = 20) -> Column:
         + near * right * POINTS["vwap"]
         + on(F.col(f"spy_{side}_ok")) * POINTS["trend"] * (0.5 + 0.5 * strength)
         + on(F.col(f"qqq_{side}_ok")) * POINTS["room"]
-        + on(sign * F.col("delta_norm") > 0.1) * POINTS["momentum"] * clip(sign * F.col("delta_norm"), 0.0, 1.0)
+        + on(sign * F.col("delta_norm") > 0.1) * POINTS["momentum"] * F.coalesce(clip(sign * F.col("delta_norm"), 0.0, 1.0), F.lit(0.0))
     )
     return F.round(total, 1)
 

@@ -98,10 +98,8 @@ def decayed_sum(
     def step(pdf, state):
         level = state[0] if state is not None else initial
         x = gain * pdf[source].fillna(0).to_numpy(dtype=float)
-        out = np.empty(len(x))
-        for i, v in enumerate(x):
-            level = decay * level + v
-            out[i] = level
-        return {name: out}, [level]
+        # a sum with weights decay ** age, the level before the rows being one more value
+        out = pd.Series(np.concatenate([[level], x])).ewm(alpha=1 - decay, adjust=True).sum().to_numpy()[1:]
+        return {name: out}, [float(out[-1])]
 
     return scan(df, step, f"{name} double", axis)

@@ -18,8 +18,9 @@ numbered blocks that spread over the cluster:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -67,23 +68,42 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK, str(DEFAULT_ROWS_PER_TASK)))
 
 
-_LARGEST: dict[tuple, int] = {}
+#: (application, files read) → {keys: rows of the most frequent key}; the oldest source is forgotten first
+_LARGEST: dict[tuple, dict[tuple[str, ...], int]] = {}
+_SOURCES = 256
+#: a source whose largest key is this many times below the limit is not asked again for the frames derived from it
+_MARGIN = 50
+
+
+def _answers(df: DataFrame) -> dict[tuple[str, ...], int]:
+    files = df.inputFiles()
+    source = tuple(sorted(files)) if files else df.semanticHash()
+    memo = (df.sparkSession.sparkContext.applicationId, source)
+    if memo not in _LARGEST and len(_LARGEST) >= _SOURCES:
+        _LARGEST.pop(next(iter(_LARGEST)))
+    return _LARGEST.setdefault(memo, {})
 
 
 def largest_key(df: DataFrame, keys: Iterable[str]) -> int:
-    """Rows of the most frequent key; one column-pruned count, remembered per plan."""
-    keys = tuple(keys)
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), keys)
-    if memo not in _LARGEST:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        _LARGEST[memo] = counts.agg(F.max("n")).first()[0] or 0
-    return _LARGEST[memo]
+    """Rows of the most frequent key: one column-pruned count."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
 
 
 def has_hot_key(df: DataFrame, axis: Axis) -> bool:
+    """Whether a key has more rows than a task should hold; the answer changes the plan, never the rows.
+
+    A source is counted once: windows add no rows and further keys only split groups, so frames that read the same files are
+    counted anew only if the source's largest key comes within ``_MARGIN`` of the limit.
+    """
     if axis.hot is not None:
         return axis.hot
-    return largest_key(df, axis.keys) > rows_per_task(df.sparkSession)
+    limit, known = rows_per_task(df.sparkSession), _answers(df)
+    if any(set(keys) <= set(axis.keys) and n * _MARGIN <= limit for keys, n in known.items()):
+        return False
+    n = largest_key(df, axis.keys)
+    known[axis.keys] = max(n, known.get(axis.keys, 0))
+    return n > limit
 
 
 def checked(df: DataFrame, axis: Axis = BARS) -> Axis:
@@ -92,23 +112,37 @@ def checked(df: DataFrame, axis: Axis = BARS) -> Axis:
 
 
 def _time_bucket(df: DataFrame, column: str) -> Column:
+    """A coarse column with the order of ``column``; null for null."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.DateType):
         return F.trunc(column, "month")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_trunc("hour", column)
-    return F.floor(F.col(column) / F.lit(1024))
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(column) / F.lit(1024))
+    return F.substring(F.col(column).cast("string"), 1, 4) if isinstance(kind, T.StringType) else F.col(column)
+
+
+def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the columns of the left side stay."""
+    right = right.withColumnsRenamed({c: f"_same_{c}" for c in on})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in on])
+    return left.join(right, match, how).drop(*[f"_same_{c}" for c in on])
 
 
 def number_rows(df: DataFrame, axis: Axis = BARS, out: str = "rn") -> DataFrame:
     """0-based position of each row in its series, without a task that holds a whole series.
 
     Rows are counted per (key, time bucket); the running total of those small counts is each
-    bucket's first position, and ``row_number`` only runs inside a bucket. Rows with a null key are
-    dropped, as grouping does in the data-frame semantics the operators follow.
+    bucket's first position, and ``row_number`` only runs inside a bucket. A null key is a series and
+    null times come first (last in descending order), as in the plain window. Where a bucket is too
+    crowded for a task, every distinct time is a bucket of its own.
     """
     on = [*axis.keys, "_bucket"]
+    limit = rows_per_task(df.sparkSession)
     tagged = df.withColumn("_bucket", _time_bucket(df, axis.order[0]))
+    if largest_key(tagged, on) > limit:
+        tagged = df.withColumn("_bucket", F.col(axis.order[0]))
     counts = tagged.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     direction = F.col("_bucket").desc() if axis.descending else F.col("_bucket")
     before = (
@@ -117,7 +151,7 @@ def number_rows(df: DataFrame, axis: Axis = BARS, out: str = "rn") -> DataFrame:
     starts = counts.select(*on, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(axis.within("_bucket").spec())
     return (
-        tagged.join(starts, on)
+        join_same(tagged, starts, on)
         .withColumn(out, (F.col("_first") + inside - 1).cast("long"))
         .drop("_bucket", "_first")
     )
@@ -207,7 +241,7 @@ def running(
     merge = {**_INSIDE, "count": lambda c, w: F.sum(c).over(w)}
     prefix = totals.select(*on, *[merge[kinds[n]](F.col(f"_t_{n}"), earlier).alias(f"_p_{n}") for n in outputs])
     inside = axis.within("_block").so_far()
-    out = blocked.join(prefix, on, "left").withColumns(
+    out = join_same(blocked, prefix, on, "left").withColumns(
         {n: _JOIN[kinds[n]](F.col(f"_p_{n}"), _INSIDE[kinds[n]](F.col(f"_in_{n}"), inside)) for n in outputs}
     )
     return out.drop("_rn", "_block", *[f"_in_{n}" for n in outputs], *[f"_p_{n}" for n in outputs])
@@ -234,7 +268,8 @@ def scan(
     columns = [f.name for f in out_schema.fields]
 
     def replay(pdf, state):
-        pdf = pdf.sort_values(order, ascending=not descending, kind="mergesort").reset_index(drop=True)
+        # null times first, as in windows (last in descending order)
+        pdf = pdf.sort_values(order, ascending=not descending, kind="mergesort", na_position="last" if descending else "first").reset_index(drop=True)
         produced, state = step(pdf, state)
         return pdf.assign(**produced)[columns], state
 
@@ -259,24 +294,25 @@ def scan(
         return pdf[[f.name for f in key_fields]].head(1).assign(_exit=[state])
 
     before = Window.partitionBy(*axis.keys).orderBy("_block")
-    entries = blocked.select(*on).distinct().withColumn("_entry", F.lit(None).cast(state_type))
+    entries = blocked.select(*on).distinct().select("*", F.lit(None).cast(state_type).alias("_entry"), F.lit(None).cast(state_type).alias("_exit"), F.lit(True).alias("_moved"))
+    entries = entries.checkpoint()
     for _ in range(max_rounds):
-        ends = blocked.join(entries, on).groupBy(*on).applyInPandas(exits, exit_schema)
-        following = (
-            entries.join(ends, on)
-            .withColumn("_next", F.lag("_exit").over(before))
-            .withColumn("_moved", ~F.col("_entry").eqNullSafe(F.col("_next")))
-            .select(*on, F.col("_next").alias("_entry"), "_moved")
+        # only blocks whose entry state moved are replayed; the others keep their exit state
+        moved = entries.where("_moved").select(*on, "_entry")
+        ends = join_same(blocked, moved, on).groupBy(*on).applyInPandas(exits, exit_schema)
+        ended = join_same(entries, ends.withColumnRenamed("_exit", "_new"), on, "left")
+        ended = ended.withColumn("_exit", F.when(F.col("_moved"), F.col("_new")).otherwise(F.col("_exit")))
+        entries = (
+            ended.withColumn("_next", F.lag("_exit").over(before))
+            .select(*on, F.col("_next").alias("_entry"), "_exit", (~F.col("_entry").eqNullSafe(F.col("_next"))).alias("_moved"))
             .checkpoint()
         )
-        settled = following.where("_moved").limit(1).count() == 0
-        entries = following.drop("_moved")
-        if settled:
+        if entries.where("_moved").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("scan did not settle; raise max_rounds")
     return (
-        blocked.join(entries, on)
+        join_same(blocked, entries.select(*on, "_entry"), on)
         .groupBy(*on)
         .applyInPandas(lambda pdf: replay(pdf.drop(columns=["_entry", "_block"]), entry_of(pdf))[0], out_schema)
     )

@@ -12,6 +12,8 @@ from tidemark.operators.series import (
     BARS,
     Axis,
     checked,
+    has_hot_key,
+    largest_key,
     pct_change,
     prev,
     roll_max,
@@ -135,11 +137,18 @@ def _days_frame(axis: Axis, days: int):
     return Window.partitionBy(*axis.keys).orderBy("_t").rangeBetween(-days * 86400, 0)
 
 
-def trailing_days(df: DataFrame, days: int, source: str, least: int = 5, axis: Axis = BARS) -> DataFrame:
-    """Deviation and row count over a calendar-time window ending at the row.
+def _rows_within(df: DataFrame, days: int, axis: Axis) -> int:
+    """Rows that a window of ``days`` can reach back: the most crowded day of a series, times the days it touches.
 
-    A window never reaches further back than ``days`` rows of a daily series, which is the lookback.
+    Counted only where a key is too large for a task; elsewhere nothing is copied and the number does not matter.
     """
+    if not has_hot_key(df, axis):
+        return days
+    return largest_key(df.withColumn("_day", F.to_date(axis.order[0])), [*axis.keys, "_day"]) * (days + 1)
+
+
+def trailing_days(df: DataFrame, days: int, source: str, least: int = 5, axis: Axis = BARS) -> DataFrame:
+    """Deviation and row count over a calendar-time window ending at the row."""
     def add(d: DataFrame, a: Axis) -> DataFrame:
         d = d.withColumn("_t", F.unix_timestamp(F.col(a.order[0]).cast("timestamp")))
         w = _days_frame(a, days)
@@ -148,7 +157,7 @@ def trailing_days(df: DataFrame, days: int, source: str, least: int = 5, axis: A
             f"rows_{days}d": F.count(F.lit(1)).over(w),
         }).drop("_t")
 
-    return windowed(df, add, axis, lookback=days)
+    return windowed(df, add, axis, lookback=_rows_within(df, days, axis))
 
 
 def padded_days(df: DataFrame, days: int, source: str, length: int, axis: Axis = BARS) -> DataFrame:
@@ -159,4 +168,4 @@ def padded_days(df: DataFrame, days: int, source: str, length: int, axis: Axis =
         missing = F.greatest(F.lit(length) - F.col("n_seq"), F.lit(0))
         return d.withColumn("seq", F.concat("seq", F.array_repeat(F.element_at("seq", -1), missing))).drop("_t")
 
-    return windowed(df, add, axis, lookback=days)
+    return windowed(df, add, axis, lookback=_rows_within(df, days, axis))

@@ -137,12 +137,12 @@ def html_body(spark, d):
     return p.select("page_id", F.col("body").isNotNull().alias("has_content"), F.md5("body").alias("digest"))
 
 
-@query("news_records", "T1 T3 T6 T8", """WITH t AS (SELECT doc_id, substring(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN ' - Daily ' || source ELSE '' END AS title, lang, source FROM documents)
+@query("news_records", "T1 T3 T6 T8", """WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) || CASE WHEN doc_id % 2 = 0 THEN ' - Daily ' || source ELSE '' END AS title, lang, source FROM documents)
  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(regexp_extract(title, '(?s)^.* - (.*?)$', 1)) ELSE trim(regexp_extract(title, '(?s)^.* - (.*?)$', 1)) END AS publisher, '#' || substring(md5(doc_id::VARCHAR || lang || source), 1, 12) AS link,
  '[' || lang || '] ' || CASE WHEN doc_id % 3 = 0 THEN source ELSE 'fallback' END AS filing FROM t""")
 def news_records(spark, d):
     n = b.news(spark, d)
-    title = F.concat(F.substring("summary", 1, 40), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" - Daily "), "publisher")).otherwise(F.lit("")))
+    title = F.concat("title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" - Daily "), "publisher")).otherwise(F.lit("")))
     n = n.withColumn("title", title)
     return n.select("doc_id", tx.publisher_of("title").alias("publisher"), tx.with_link(F.lit(""), "#", "doc_id", "language", "publisher").alias("link"),
                     tx.filing_title("language", F.when(F.col("doc_id") % 3 == 0, F.col("publisher")), F.lit("fallback")).alias("filing"))
@@ -176,10 +176,10 @@ def coverage_windows(spark, d):
     return nw.fetch_windows(s, "a", "z", 3).select("ticker", text("window_start"), text("window_end"))
 
 
-@query("news_covers_prices", "T9", with_ctes("bars news", """n AS (SELECT ticker, min(date) AS a, max(date) AS z FROM news GROUP BY 1), p AS (SELECT symbol AS ticker, min(ts) AS pa, max(ts) AS pz FROM bars WHERE year(ts) = 1996 GROUP BY 1)
+@query("news_covers_prices", "T9", with_ctes("bars news", """n AS (SELECT ticker, min(date) AS a, max(date) AS z FROM news GROUP BY 1), p AS (SELECT symbol AS ticker, min(ts) AS pa, max(ts) AS pz FROM bars GROUP BY 1)
  SELECT ticker, coalesce(a <= pa AND z >= pz, false) AS covered FROM p LEFT JOIN n USING (ticker)"""))
 def news_covers_prices(spark, d):
-    p = b.bars(spark, d).where(F.year("ts") == 1996).withColumnRenamed("symbol", "ticker")
+    p = b.bars(spark, d).withColumnRenamed("symbol", "ticker")
     return nw.coverage(b.news(spark, d), p).select("ticker", "covered")
 
 
@@ -235,11 +235,11 @@ def decay_context(spark, d):
     return df.select("ticker", "day", num("rate").alias("rate"), "pos", num("value").alias("value"))
 
 
-@query("carry_forward_embedding", "T13 P18 P5", with_ctes("emb", f"""k AS (SELECT * FROM emb WHERE label > 2), g AS (SELECT ticker, unnest(range(lo, hi + 1)) AS day FROM (SELECT ticker, min(day) AS lo, max(day) AS hi FROM k GROUP BY ticker)),
+@query("carry_forward_embedding", "T13 P18 P5", with_ctes("emb", f"""k AS (SELECT ticker, day, CASE WHEN label > 2 THEN emb END AS emb FROM emb), g AS (SELECT ticker, unnest(range(lo, hi + 1)) AS day FROM (SELECT ticker, min(day) AS lo, max(day) AS hi FROM k GROUP BY ticker)),
  f AS (SELECT g.ticker, g.day, last_value(k.emb IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.day ROWS UNBOUNDED PRECEDING) AS e FROM g LEFT JOIN k USING (ticker, day))
  SELECT ticker, CAST(day AS INTEGER) AS day, {qnum("e[1]", "first_value")}, {qnum("list_sum(list_transform(e, lambda x: x::DOUBLE))", "total")} FROM f"""))
 def carry_forward_embedding(spark, d):
-    k = b.embeddings(spark, d).where("label > 2").select("ticker", "day", "emb")
+    k = b.embeddings(spark, d).select("ticker", "day", F.when(F.col("label") > 2, F.col("emb")).alias("emb"))
     grid = k.groupBy("ticker").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select("ticker", F.explode(F.sequence("lo", "hi")).alias("day"))
     df = tb.forward_fill(grid.join(k, ["ticker", "day"], "left"), ["emb"], EMB)
     return df.select("ticker", "day", num(F.get("emb", F.lit(0))).alias("first_value"), num(vc.total(vc.doubles("emb"))).alias("total"))

@@ -149,34 +149,35 @@ def discrete_intensity(spark, d):
     return hk.discrete_intensity(df, "ev").select("symbol", text("ts"), num("intensity").alias("intensity"))
 
 
-DLL = EFLAG + """, gp AS (SELECT a AS alpha, bb AS beta FROM (SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS a), (SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS bb)),
+DGRID = (0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95)
+DLL = EFLAG + """, gp AS (SELECT a AS alpha, bb AS beta FROM (SELECT unnest({points}) AS a), (SELECT unnest({points}) AS bb)),
  r AS (SELECT symbol, rn, alpha, beta, 0.01::DOUBLE AS lam, ev, 0.0::DOUBLE AS ll FROM e, gp WHERE rn = 1 UNION ALL
   SELECT symbol, rn, alpha, beta, l, ev, ll + CASE WHEN ev > 0 THEN ln(l) ELSE 0 END - l FROM (SELECT e.symbol, e.rn, r.alpha, r.beta, greatest(0.01::DOUBLE + exp(-r.beta) * (r.lam - 0.01::DOUBLE) + r.alpha * r.ev, 1e-10) AS l, e.ev, r.ll FROM r JOIN e ON e.symbol = r.symbol AND e.rn = r.rn + 1)),
- fl AS (SELECT symbol, alpha, beta, arg_max(ll, rn) AS ll FROM r GROUP BY 1, 2, 3)"""
+ fl AS (SELECT symbol, alpha, beta, arg_max(ll, rn) AS ll FROM r GROUP BY 1, 2, 3)""".replace("{points}", "[" + ", ".join(f"{x}::DOUBLE" for x in DGRID) + "]")
 
 
 @query("discrete_likelihood", "H2 J14", with_ctes("bars nb", DLL + f" SELECT symbol, {qnums('alpha', 'beta')}, {qnum('ll', 'log_likelihood', 5)} FROM fl"))
 def discrete_likelihood(spark, d):
-    pts = [(a, c, 0.01) for a in (0.1, 0.5, 0.9) for c in (0.1, 0.5, 0.9)]
+    pts = [(a, c, 0.01) for a in DGRID for c in DGRID]
     ll = hk.discrete_likelihood(flagged(spark, d), "ev", pts)
     return ll.select("symbol", *nums("alpha", "beta"), num("log_likelihood", 5).alias("log_likelihood"))
 
 
 @query("discrete_estimate", "H3", with_ctes("bars nb", DLL + f" SELECT symbol, {qnum('arg_max(alpha, ll)', 'alpha')}, {qnum('arg_max(beta, ll)', 'beta')}, {qnum('max(ll)', 'log_likelihood', 5)} FROM fl GROUP BY symbol"))
 def discrete_estimate(spark, d):
-    g = hk.estimate_discrete(flagged(spark, d), "ev", (0.1, 0.5, 0.9), (0.1, 0.5, 0.9))
+    g = hk.estimate_discrete(flagged(spark, d), "ev", DGRID, DGRID)
     return g.select("symbol", *nums("alpha", "beta"), num("log_likelihood", 5).alias("log_likelihood"))
 
 
 CLL = EFLAG + """, sp AS (SELECT symbol, min(ts) AS t0, greatest(max(ts) - min(ts), 1)::DOUBLE AS hz, sum(ev)::DOUBLE AS n FROM e GROUP BY symbol),
  tt AS (SELECT e.symbol, (ts - t0)::DOUBLE AS t, hz, n, row_number() OVER (PARTITION BY e.symbol ORDER BY ts) AS k FROM e JOIN sp USING (symbol) WHERE ev = 1),
- gp AS (SELECT ms, a, bb FROM (SELECT unnest([0.5::DOUBLE, 1.0]) AS ms), (SELECT unnest([0.1::DOUBLE, 0.5]) AS a), (SELECT unnest([0.05::DOUBLE, 0.5]) AS bb)),
+ gp AS (SELECT ms, a, bb FROM (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0]) AS ms), (SELECT unnest([0.1::DOUBLE, 0.3, 0.5, 0.8]) AS a), (SELECT unnest([0.05::DOUBLE, 0.2, 0.5, 1.5]) AS bb)),
  r AS (SELECT symbol, k, t, hz, n, ms, a, bb, 1.0::DOUBLE AS exc, a * (1 - exp(-bb * (hz - t))) - ln(ms * greatest(n / hz, 1e-6)) AS s FROM tt, gp WHERE k = 1 UNION ALL
   SELECT symbol, k, t, hz, n, ms, a, bb, x + 1, s + a * (1 - exp(-bb * (hz - t))) - ln(ms * greatest(n / hz, 1e-6) + a * bb * x) FROM
    (SELECT tt.symbol, tt.k, tt.t, tt.hz, tt.n, r.ms, r.a, r.bb, r.exc * exp(-r.bb * (tt.t - r.t)) AS x, r.s FROM r JOIN tt ON tt.symbol = r.symbol AND tt.k = r.k + 1)),
  nl AS (SELECT symbol, ms, a, bb, ms * greatest(max(n) / max(hz), 1e-6) AS mu, arg_max(s, k) + ms * greatest(max(n) / max(hz), 1e-6) * max(hz) AS nll, max(n) AS n, max(hz) AS hz FROM r GROUP BY symbol, ms, a, bb),
  ft AS (SELECT symbol, arg_min(mu, nll) AS mu, arg_min(a, nll) AS alpha, arg_min(bb, nll) AS beta, min(nll) AS nll, max(n) AS n, max(hz) AS hz FROM nl GROUP BY symbol)"""
-GRID = ((0.5, 1.0), (0.1, 0.5), (0.05, 0.5))
+GRID = ((0.25, 0.5, 0.75, 1.0), (0.1, 0.3, 0.5, 0.8), (0.05, 0.2, 0.5, 1.5))
 
 
 @query("exponential_likelihood", "H4 J14", with_ctes("bars nb", CLL + f" SELECT symbol, {qnum('mu', 'mu')}, {qnum('a', 'alpha')}, {qnum('bb', 'beta')}, {qnum('nll', 'nll', 5)} FROM nl"))
@@ -233,7 +234,7 @@ def bivariate_em_step(spark, d):
 @query("bivariate_fit", "H9", None)
 def bivariate_fit(spark, d):
     ev, hz = bivariate_inputs(spark, d)
-    return hk.fit_bivariate(ev, hz, 0.1, steps=15, tol=1e-3).select("symbol", *nums(*hk.PARAMS, "branching0", "branching1", "log_likelihood"))
+    return hk.fit_bivariate(ev, hz, 0.1, steps=100, tol=1e-6).select("symbol", *nums(*hk.PARAMS, "branching0", "branching1", "log_likelihood"))
 
 
 @query("bivariate_intensity", "H7", with_ctes("bars nb", BIV + f""", g AS (SELECT symbol, (ts - min(ts) OVER (PARTITION BY symbol))::DOUBLE AS t FROM nb),

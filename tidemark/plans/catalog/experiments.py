@@ -107,7 +107,7 @@ def u_sql(salt: str, parts: str) -> str:
 
 
 MC = f"""s AS (SELECT symbol, ts, close, row_number() OVER ({P}) - 1 AS rn, greatest(-1, least(1, (105 - close) / 5)) AS sig FROM bars),
- sm AS (SELECT i AS sim, CAST(floor(({u_sql("delay", "i")}) * 4) AS BIGINT) AS dl FROM (SELECT unnest(range(8)) AS i)),
+ sm AS (SELECT i AS sim, CAST(floor(({u_sql("delay", "i")}) * 4) AS BIGINT) AS dl FROM (SELECT unnest(range(200)) AS i)),
  j AS (SELECT s.symbol, s.ts, s.close, s.rn, sim, dl, z.sig AS sg, s.rn - dl AS src FROM s JOIN sm ON true LEFT JOIN s z ON z.symbol = s.symbol AND z.rn = s.rn - dl),
  nz AS (SELECT *, CASE WHEN src >= 0 THEN greatest(-1, least(1, sg + sqrt(-2 * ln({u_sql("u", "symbol || ':' || sim || ':' || src")})) * cos(2 * pi() * ({u_sql("v", "symbol || ':' || sim || ':' || src")})) * 0.0005::DOUBLE)) ELSE 0 END AS w FROM j),
  k AS (SELECT *, lag(w) OVER q AS w0, lag(close) OVER q AS p0 FROM nz WINDOW q AS (PARTITION BY symbol, sim ORDER BY ts)),
@@ -118,7 +118,7 @@ MC = f"""s AS (SELECT symbol, ts, close, row_number() OVER ({P}) - 1 AS rn, grea
 def mc_paths(spark, d):
     bars = b.bars(spark, d).select("symbol", "ts", "close")
     bars = bars.withColumn("signal", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (105 - F.col("close")) / 5)))
-    return ex.monte_carlo(bars, "signal", 8)
+    return ex.monte_carlo(bars, "signal", 200)
 
 
 @query("monte_carlo_bands", "X5 A11", with_ctes("bars", MC + f""" SELECT symbol, CAST(ts AS VARCHAR) AS ts, {", ".join(qnum(f"quantile_cont(equity, {q / 100})", f"p{q}", 3) for q in (5, 25, 50, 75, 95))} FROM k3 GROUP BY symbol, ts"""))
@@ -179,21 +179,28 @@ def candidate_matrix(spark, d):
     return mx.compact_stats(c, ["candidate"], "ret").select("candidate", *nums("total", "annual", "vol", "sharpe"))
 
 
-@query("rolling_selector", "B34 scan", with_ctes("bars nb", f"""c AS (SELECT asset_group AS candidate, ts, avg(coalesce(ret, 0)) AS ret FROM nb WHERE asset_group IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 1, 2),
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def picked_sql(prefix: str, name: str = "z.pick") -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{r}' THEN {prefix}{i}" for i, r in enumerate(REGIONS)) + " END"
+
+
+KEEP = f"CASE WHEN {picked_sql('s')} >= top - 0.15::DOUBLE THEN z.pick ELSE best END"
+
+
+@query("rolling_selector", "B34 scan", with_ctes("bars nb", f"""c AS (SELECT asset_group AS candidate, ts, avg(coalesce(ret, 0)) AS ret FROM nb GROUP BY 1, 2),
  dz AS (SELECT DISTINCT ts FROM nb), dd AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM dz),
- g AS (SELECT candidate, ts, rn, coalesce(c.ret, 0) AS ret FROM dd JOIN (SELECT DISTINCT candidate FROM c) n ON true LEFT JOIN c USING (candidate, ts)),
+ g AS (SELECT n.candidate, ts, rn, coalesce(c.ret, 0) AS ret FROM dd JOIN (SELECT unnest({list(REGIONS)}) AS candidate) n ON true LEFT JOIN c USING (candidate, ts)),
  s AS (SELECT *, coalesce(avg(ret) OVER w / nullif(stddev_pop(ret) OVER w, 0) * sqrt(252), -1e9) AS sc FROM g WINDOW w AS (PARTITION BY candidate ORDER BY ts ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING)),
- b AS (SELECT ts, rn, max(sc) AS top, arg_max(candidate, sc) AS best, max(CASE WHEN candidate = 'AFRICA' THEN sc END) AS s0, max(CASE WHEN candidate = 'ASIA' THEN sc END) AS s1, max(CASE WHEN candidate = 'EUROPE' THEN sc END) AS s2,
-   max(CASE WHEN candidate = 'AFRICA' THEN ret END) AS r0, max(CASE WHEN candidate = 'ASIA' THEN ret END) AS r1, max(CASE WHEN candidate = 'EUROPE' THEN ret END) AS r2 FROM s GROUP BY ts, rn),
- z AS (SELECT ts, rn, 'ASIA' AS pick, r1 AS ret FROM b WHERE rn = 0 UNION ALL
-  SELECT b.ts, b.rn, CASE WHEN b.rn < 80 THEN 'ASIA' WHEN CASE z.pick WHEN 'AFRICA' THEN s0 WHEN 'ASIA' THEN s1 ELSE s2 END >= top - 0.15::DOUBLE THEN z.pick ELSE best END,
-   CASE WHEN b.rn < 80 THEN r1 ELSE CASE CASE WHEN CASE z.pick WHEN 'AFRICA' THEN s0 WHEN 'ASIA' THEN s1 ELSE s2 END >= top - 0.15::DOUBLE THEN z.pick ELSE best END WHEN 'AFRICA' THEN r0 WHEN 'ASIA' THEN r1 ELSE r2 END END FROM z JOIN b ON b.rn = z.rn + 1)
+ b AS (SELECT ts, rn, max(sc) AS top, arg_max(candidate, sc) AS best, {", ".join(f"max(CASE WHEN candidate = '{r}' THEN sc END) AS s{i}, max(CASE WHEN candidate = '{r}' THEN ret END) AS r{i}" for i, r in enumerate(REGIONS))} FROM s GROUP BY ts, rn),
+ z AS (SELECT ts, rn, 'ASIA' AS pick, r2 AS ret FROM b WHERE rn = 0 UNION ALL
+  SELECT ts, rn, pick, {picked_sql("r", "pick")} FROM (SELECT b.*, CASE WHEN b.rn < 80 THEN 'ASIA' ELSE {KEEP} END AS pick FROM z JOIN b ON b.rn = z.rn + 1))
  SELECT CAST(ts AS VARCHAR) AS ts, pick, {qnum("ret", "ret")} FROM z"""))
 def rolling_selector(spark, d):
     df = returns(spark, d)
-    names = ["ASIA", "EUROPE", "AFRICA"]
-    per = df.groupBy("ts").agg(*[F.coalesce(F.avg(F.when(F.col("asset_group") == n, F.coalesce("ret", F.lit(0.0)))), F.lit(0.0)).alias(n) for n in names])
-    rows = F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(n).alias("ret")) for n in names])
+    per = df.groupBy("ts").agg(*[F.coalesce(F.avg(F.when(F.col("asset_group") == n, F.coalesce("ret", F.lit(0.0)))), F.lit(0.0)).alias(n) for n in REGIONS])
+    rows = F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(n).alias("ret")) for n in REGIONS])
     long = per.select("ts", F.explode(rows).alias("_e")).select("ts", "_e.candidate", "_e.ret")
     return ex.rolling_selector(long, "ASIA").select(text("ts"), "pick", num("ret").alias("ret"))
 
@@ -242,7 +249,7 @@ def ticker_split(spark, d):
 
 @query("strategy_ranking", "X12 P22", with_ctes("bars nb", f"""m AS (SELECT asset_group, symbol, exp(sum(ln(1 + coalesce(ret, 0)))) - 1 AS total FROM nb GROUP BY 1, 2),
  b AS (SELECT exp(sum(ln(1 + mk))) - 1 AS bt FROM (SELECT ts, avg(coalesce(ret, 0)) AS mk FROM nb GROUP BY ts))
- SELECT symbol, {qnum("total - bt", "excess")}, rank() OVER (ORDER BY total DESC) AS place FROM m, b ORDER BY total DESC LIMIT 20"""))
+ SELECT symbol, {qnum("total - bt", "excess")}, rank() OVER (ORDER BY total DESC) AS place FROM m, b"""))
 def strategy_ranking(spark, d):
     from pyspark.sql import Window
 
@@ -251,7 +258,7 @@ def strategy_ranking(spark, d):
     r = returns(spark, d)
     m = r.groupBy("symbol").agg((F.exp(F.sum(compound("ret"))) - 1).alias("total"))
     bench = r.groupBy("ts").agg(F.avg(F.coalesce("ret", F.lit(0.0))).alias("mk")).agg((F.exp(F.sum(compound("mk"))) - 1).alias("bt"))
-    top = m.orderBy(F.desc("total")).limit(20).join(F.broadcast(bench))  # one row: the benchmark's total return
+    top = m.join(F.broadcast(bench))  # one row: the benchmark's total return
     return top.select("symbol", num(F.col("total") - F.col("bt")).alias("excess"), F.rank().over(Window.orderBy(F.desc("total"))).cast("long").alias("place"))
 
 
@@ -275,8 +282,8 @@ def order_flow_imbalance(spark, d):
     return f.select("symbol", text("ts"), num(ms.flow_imbalance("buy_qty", "sell_qty")).alias("imbalance"))
 
 
-@query("micro_merge", "M1 M2 J1 J9 P5", with_ctes("intraday trades", f"""f AS (SELECT symbol, date_trunc('hour', trade_time) AS ts, sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE 0 END) AS bq, sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END) AS sq FROM trades WHERE trade_id % 3 = 0 GROUP BY 1, 2),
- fr AS (SELECT symbol, trade_time + INTERVAL 1 MINUTE AS ts, quantity / 1e4 AS fr FROM trades WHERE trade_id % 10 = 0), oi AS (SELECT symbol, trade_time AS ts, price AS oi FROM trades WHERE trade_id % 7 = 0),
+@query("micro_merge", "M1 M2 J1 J9 P5", with_ctes("intraday trades", f"""f AS (SELECT symbol, date_trunc('hour', trade_time) AS ts, sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE 0 END) AS bq, sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END) AS sq FROM trades GROUP BY 1, 2),
+ fr AS (SELECT symbol, trade_time + INTERVAL 1 MINUTE AS ts, arg_max(quantity, trade_id) / 1e4 AS fr FROM trades GROUP BY 1, 2), oi AS (SELECT symbol, trade_time AS ts, arg_max(price, trade_id) AS oi FROM trades GROUP BY 1, 2),
  j AS (SELECT i.symbol, i.ts, i.close, fr.fr, oi.oi FROM intraday i ASOF LEFT JOIN fr ON i.symbol = fr.symbol AND i.ts >= fr.ts ASOF LEFT JOIN oi ON i.symbol = oi.symbol AND i.ts >= oi.ts),
  k AS (SELECT j.symbol, j.ts, close, fr, oi, last_value(bq IGNORE NULLS) OVER u AS bq, last_value(sq IGNORE NULLS) OVER u AS sq FROM j LEFT JOIN f ON f.symbol = j.symbol AND f.ts = j.ts WINDOW u AS (PARTITION BY j.symbol ORDER BY j.ts ROWS UNBOUNDED PRECEDING)),
  r AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret FROM k)
@@ -284,9 +291,11 @@ def order_flow_imbalance(spark, d):
  {qnum("(bq - sq) / (bq + sq + 1e-8)", "trade_imbalance")}, {qnum(roll("stddev_samp", "ret", 20), "volatility")}, {qnum(f"close / (({roll('avg', 'close', 20)}) + 1e-8)", "momentum")} FROM r"""))
 def micro_merge(spark, d):
     t = b.trades(spark, d)
-    funding = t.where("trade_id % 10 = 0").select("symbol", (F.col("trade_time") + F.expr("INTERVAL 1 MINUTE")).alias("ts"), (F.col("quantity") / 1e4).alias("funding_rate"))
-    interest = t.where("trade_id % 7 = 0").select("symbol", F.col("trade_time").alias("ts"), F.col("price").alias("open_interest"))
-    flow = ms.trade_features(t.where("trade_id % 3 = 0"), "1 hour")
+    # one reading per instant: the last trade of it
+    latest = t.groupBy("symbol", "trade_time").agg(F.max_by(F.struct("quantity", "price"), "trade_id").alias("l"))
+    funding = latest.select("symbol", (F.col("trade_time") + F.expr("INTERVAL 1 MINUTE")).alias("ts"), (F.col("l.quantity") / 1e4).alias("funding_rate"))
+    interest = latest.select("symbol", F.col("trade_time").alias("ts"), F.col("l.price").alias("open_interest"))
+    flow = ms.trade_features(t, "1 hour")
     df = ms.merge_micro(b.intraday(spark, d).select("symbol", "ts", "close"), funding, interest, flow)
     return df.select("symbol", text("ts"), *nums("funding_rate", "open_interest", "funding_z", "oi_change", "trade_imbalance", "volatility", "momentum"))
 

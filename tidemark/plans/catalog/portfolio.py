@@ -219,12 +219,13 @@ def weights_tilted(spark, d):
  x AS (SELECT *, al - avg(al) OVER (PARTITION BY ts) AS x FROM a), y AS (SELECT *, x - be * coalesce(sum(x * be) OVER d / nullif(sum(be * be) OVER d, 0), 0) AS y FROM x WINDOW d AS (PARTITION BY ts)),
  z AS (SELECT *, y - avg(y) OVER (PARTITION BY ts) AS z FROM y), w AS (SELECT *, coalesce(z / nullif(sum(abs(z)) OVER (PARTITION BY ts), 0), 0) AS w, count(*) OVER (PARTITION BY ts) AS n FROM z),
  c AS (SELECT *, greatest(-0.08, least(0.08, w)) AS c FROM w)
- {SEL}, {qnum("coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY ts), 0), 0)", "weight")} FROM c QUALIFY n > 3"""))
+ {SEL}, {qnum("CASE WHEN n > 3 THEN coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY ts), 0), 0) ELSE 0 END", "weight")} FROM c"""))
 def weights_beta_neutral(spark, d):
     df = b.bars(spark, d).select("symbol", "ts", (F.col("close") - 105).alias("al"), (F.col("volume") / 25).alias("be"))
     df = tb.with_group_size(df, ["ts"], "n")
-    # below four names nothing but rounding is left after two projections
-    return pf.beta_neutral(df, ["ts"], "al", "be", "weight").where("n > 3").select("symbol", text("ts"), num("weight").alias("weight"))
+    # below four names nothing but rounding is left after two projections: their weights are 0
+    df = pf.beta_neutral(df, ["ts"], "al", "be", "weight")
+    return df.select("symbol", text("ts"), num(F.when(F.col("n") > 3, F.col("weight")).otherwise(0.0)).alias("weight"))
 
 
 @query("weights_smoothed", "B7 W21", with_ctes("bars", f"""a AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, close - 105 AS w FROM bars), """ + ewm_sql("a", {"e": ("w", 0.65)}) + f"""

@@ -200,14 +200,16 @@ def train_standardise(spark, d):
     return out.select("symbol", text("ts"), "is_train", num((F.col("volume") - F.col("m")) / F.col("s")).alias("z"))
 
 
-@query("wide_to_long", "P21 S9 D16", """SELECT CAST(l_orderkey AS VARCHAR) AS series_id, step, """ + qnum("value", "value") + """ FROM
- (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS v1, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS v2,
-   max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS v3 FROM lineitem GROUP BY l_orderkey),
- LATERAL (SELECT unnest([0, 1, 2]) AS step, unnest([v1, v2, v3]) AS value) WHERE value IS NOT NULL""")
+WIDE = range(1, 8)  # line numbers of an order
+
+
+@query("wide_to_long", "P21 S9 D16", "SELECT CAST(l_orderkey AS VARCHAR) AS series_id, step, " + qnum("value", "value") + " FROM (SELECT l_orderkey, "
+ + ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN l_quantity END) AS v{i}" for i in WIDE) + f""" FROM lineitem GROUP BY l_orderkey),
+ LATERAL (SELECT unnest({[i - 1 for i in WIDE]}) AS step, unnest([{", ".join(f"v{i}" for i in WIDE)}]) AS value) WHERE value IS NOT NULL""")
 def wide_to_long(spark, d):
     li = b.table(spark, d, "lineitem")
-    wide = li.groupBy("l_orderkey").agg(*[F.max(F.when(F.col("l_linenumber") == i, F.col("l_quantity"))).alias(f"v{i}") for i in (1, 2, 3)])
-    long = tb.to_long(wide.withColumn("series_id", F.col("l_orderkey").cast("string")), ["series_id"], ["v1", "v2", "v3"])
+    wide = li.groupBy("l_orderkey").agg(*[F.max(F.when(F.col("l_linenumber") == i, F.col("l_quantity"))).alias(f"v{i}") for i in WIDE])
+    long = tb.to_long(wide.withColumn("series_id", F.col("l_orderkey").cast("string")), ["series_id"], [f"v{i}" for i in WIDE])
     return long.select("series_id", "step", num("value").alias("value"))
 
 
@@ -300,8 +302,9 @@ def chained_left_joins(spark, d):
     return df.select("symbol", text("ts"), num("ret").alias("ret"), num("value", 2).alias("value"), num("iv").alias("iv"))
 
 
-@query("membership_flags", "J10", with_ctes("bars slow", """f AS (SELECT symbol, ts, ts IN (SELECT ts FROM slow WHERE value > 300000) AS big, ts IN (SELECT ts FROM bars WHERE volume > 150) AS busy FROM bars)
- SELECT symbol, CAST(ts AS VARCHAR) AS ts, big, busy, big OR busy AS any_flag FROM f"""))
+@query("membership_flags", "J10", with_ctes("bars slow", """big AS MATERIALIZED (SELECT DISTINCT ts FROM slow WHERE value > 300000), busy AS MATERIALIZED (SELECT DISTINCT ts FROM bars WHERE volume > 150)
+ SELECT symbol, CAST(bars.ts AS VARCHAR) AS ts, big.ts IS NOT NULL AS big, busy.ts IS NOT NULL AS busy, big.ts IS NOT NULL OR busy.ts IS NOT NULL AS any_flag
+ FROM bars LEFT JOIN big ON big.ts = bars.ts LEFT JOIN busy ON busy.ts = bars.ts"""))
 def membership_flags(spark, d):
     bars = b.bars(spark, d).select("symbol", "ts", "volume")
     sets = {"big": b.slow_series(spark, d).where("value > 300000"), "busy": bars.where("volume > 150")}
@@ -351,23 +354,22 @@ def volume_profile(spark, d):
     return profile(b.trades(spark, d), 50).select(F.col("price_bin").cast("long").alias("price_bin"), num("volume", 3).alias("volume"))
 
 
-@query("daily_sentiment", "A3 A4 T17", with_ctes("sentiment", """SELECT ticker, """ + ", ".join(qnum(f"avg({c})", c) for c in ("positive", "negative", "neutral"))
+@query("daily_sentiment", "A3 A4 T17", with_ctes("sentiment", """SELECT ticker, CAST(date AS VARCHAR) AS date, """ + ", ".join(qnum(f"avg({c})", c) for c in ("positive", "negative", "neutral"))
  + ", count(*) AS n_headlines, count(*) FILTER (positive > negative) AS n_positive, count(*) FILTER (negative > positive) AS n_negative, "
- + qnum("(count(*) FILTER (positive > negative) - count(*) FILTER (negative > positive)) / count(*)", "balance") + " FROM sentiment GROUP BY ticker"))
+ + qnum("(count(*) FILTER (positive > negative) - count(*) FILTER (negative > positive)) / count(*)", "balance") + " FROM sentiment GROUP BY ticker, date"))
 def daily_sentiment(spark, d):
     s = b.sentiment(spark, d)
     up, down = F.count_if(F.col("positive") > F.col("negative")), F.count_if(F.col("negative") > F.col("positive"))
-    return s.groupBy("ticker").agg(*[num(F.avg(c)).alias(c) for c in ("positive", "negative", "neutral")], F.count(F.lit(1)).alias("n_headlines"),
-                                   up.alias("n_positive"), down.alias("n_negative"), num((up - down) / F.count(F.lit(1))).alias("balance"))
+    daily = s.groupBy("ticker", "date").agg(*[num(F.avg(c)).alias(c) for c in ("positive", "negative", "neutral")], F.count(F.lit(1)).alias("n_headlines"),
+                                            up.alias("n_positive"), down.alias("n_negative"), num((up - down) / F.count(F.lit(1))).alias("balance"))
+    return daily.withColumn("date", text("date"))
 
 
-@query("daily_documents", "A5", with_ctes("news", """r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS k FROM news),
- c AS (SELECT *, coalesce(sum(length(summary)) OVER (PARTITION BY ticker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k - 1) AS used FROM r WHERE k <= 5)
- SELECT ticker, count(*) AS articles, md5(string_agg(substring(summary, 1, greatest(8000 - used, 0)::BIGINT), ' ' ORDER BY k)) AS digest,
-  sum(least(length(summary), greatest(8000 - used, 0))) + count(*) - 1 AS n_chars FROM c WHERE used < 8000 GROUP BY ticker"""))
+@query("daily_documents", "A5", with_ctes("news", """SELECT ticker, CAST(date AS VARCHAR) AS date, count(*) AS articles, md5(string_agg(coalesce(summary, ''), ' ' ORDER BY doc_id)) AS digest,
+ length(string_agg(coalesce(summary, ''), ' ' ORDER BY doc_id)) AS n_chars FROM news GROUP BY ticker, date"""))
 def daily_documents(spark, d):
-    docs = agg.grouped_documents(b.news(spark, d), ["ticker"], "doc_id", "summary", articles=5, chars=8000)
-    return docs.select("ticker", F.col("articles").cast("long").alias("articles"), F.md5("document").alias("digest"), F.length("document").cast("long").alias("n_chars"))
+    docs = agg.grouped_documents(b.news(spark, d), ["ticker", "date"], "doc_id", "summary")
+    return docs.select("ticker", text("date"), F.col("articles").cast("long").alias("articles"), F.md5("document").alias("digest"), F.length("document").cast("long").alias("n_chars"))
 
 
 @query("vector_mean", "A6 S10 D11", with_ctes("emb", """SELECT day, i AS pos, """ + qnum("avg(x)", "mean") + """ FROM (SELECT day, unnest(range(len(emb))) AS i, unnest(emb)::DOUBLE AS x FROM emb) GROUP BY day, i"""))
@@ -406,11 +408,11 @@ def pair_correlation(spark, d):
     return m.select(F.col("left_key").cast("string").alias("left_symbol"), F.col("right_key").cast("string").alias("right_symbol"), "n", num("cov").alias("cov"), num("corr").alias("corr"))
 
 
-@query("pivot_matrix", "A14", with_ctes("bars", """SELECT symbol, """ + ", ".join(qnum(f"avg(CASE WHEN year(ts) = {y} THEN close END)", f"y{y}") for y in range(1995, 2002)) + " FROM bars GROUP BY symbol"))
+@query("pivot_matrix", "A14", with_ctes("bars", "m AS (SELECT symbol, CAST(year(ts) AS VARCHAR) AS y, " + qnum("avg(close)", "v") + """ FROM bars GROUP BY symbol, year(ts))
+ SELECT * FROM (PIVOT m ON y USING first(v) GROUP BY symbol)"""))
 def pivot_matrix(spark, d):
-    years = list(range(1995, 2002))
-    p = b.bars(spark, d).withColumn("y", F.year("ts")).groupBy("symbol").pivot("y", years).agg(F.avg("close"))
-    return p.select("symbol", *[num(F.col(str(y))).alias(f"y{y}") for y in years])
+    yearly = b.bars(spark, d).groupBy("symbol", F.year("ts").cast("string").alias("y")).agg(num(F.avg("close")).alias("v"))
+    return yearly.groupBy("symbol").pivot("y").agg(F.first("v"))  # the years are those of the data
 
 
 @query("calendar_resample", "A15", with_ctes("bars nb", f"""SELECT symbol, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, {qnum("arg_max(close, ts)", "last_close")},

@@ -89,7 +89,7 @@ CTES = {
   arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2)""",
     "news": """news AS (
  SELECT doc_id, CAST(doc_id % 100 AS VARCHAR) AS ticker, DATE '1995-01-02' + CAST(doc_id AS INTEGER) AS date,
-  substring(text, 1, 80) AS title, text AS summary, lang AS language, source AS publisher FROM documents)""",
+  split_part(text, chr(10), 1) AS title, text AS summary, lang AS language, source AS publisher FROM documents)""",
     "emb": """emb AS (
  SELECT vec_id, CAST(vec_id % 10 AS VARCHAR) AS ticker, CAST(vec_id // 10 AS INTEGER) AS day, embedding AS emb, label
  FROM embeddings)""",

@@ -89,7 +89,7 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id"),
         (F.col("doc_id") % 100).cast("string").alias("ticker"),
         F.date_add(F.to_date(F.lit("1995-01-02")), F.col("doc_id").cast("int")).alias("date"),
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("summary"),
         F.col("lang").alias("language"),
         F.col("source").alias("publisher"),
