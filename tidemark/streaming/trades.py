@@ -122,74 +122,60 @@ def trailing_signal(bars: DataFrame, rule: Callable[[list[float]], float], size:
     )
 
 
-class PositionBook(StatefulProcessor):
-    """Per key: cash, quantity and entry price; one snapshot per bar with the intended order."""
-
-    def __init__(self, cash: float, max_weight: float, stop: float | None, take: float | None, fee: float):
-        self.cash, self.max_weight, self.stop, self.take, self.fee = cash, max_weight, stop, take, fee
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", T.StructType([T.StructField(n, T.DoubleType()) for n in ("cash", "qty", "entry", "first")]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        cash, qty, entry, first = self.book.get() if self.book.exists() else (self.cash, 0.0, 0.0, 0.0)
-        out = []
-        new = _ordered(rows, "ts")
-        for ts, price, signal in zip(new["ts"], new["close"].astype(float), new["signal"].astype(float)):
-            first = first or price
-            reason, equity = "signal", cash + qty * price
-            weight = min(max(signal, 0.0), self.max_weight)
-            if qty > 0 and self.stop is not None and price <= entry * (1 - self.stop):
-                reason, weight = "stop_loss", 0.0
-            elif qty > 0 and self.take is not None and price >= entry * (1 + self.take):
-                reason, weight = "take_profit", 0.0
-            order = equity * weight / price - qty if price > 0 else 0.0
-            if order > 0:
-                entry = (qty * entry + order * price) / (qty + order)
-            qty, cash = qty + order, cash - order * price - abs(order) * price * self.fee
-            entry = entry if qty > 1e-12 else 0.0
-            out.append((key[0], ts, price, order, reason, qty, cash, entry, cash + qty * price, self.cash * price / first))
-        self.book.update((cash, qty, entry, first))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price", "order_qty", "reason", "qty", "cash", "entry_price", "equity", "bh_equity"])
-
-    def close(self) -> None:
-        pass
-
-
-def position_snapshots(signals: DataFrame, cash: float = 10_000.0, max_weight: float = 1.0, stop: float | None = None, take: float | None = None, fee: float = 0.0) -> DataFrame:
-    """Snapshots of a long-only book that follows ``signal``; nothing is sent anywhere."""
-    return signals.select("symbol", "ts", "close", "signal").groupBy("symbol").transformWithStateInPandas(
-        PositionBook(cash, max_weight, stop, take, fee),
-        "symbol string, ts timestamp, price double, order_qty double, reason string, qty double, cash double, entry_price double, equity double, bh_equity double",
-        "append", "None",
-    )
+SIDE_STATE = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType()), T.StructField("is_side", T.BooleanType())])
 
 
 class LastKnown(StatefulProcessor):
-    """Per key: remember the last side value and attach it to price rows (side rows first on equal times)."""
+    """Per key: price rows wait until the watermark has passed them, so side rows that arrive later but happened earlier count.
+
+    Waiting rows are kept by event time; on equal times side rows come first.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("value", T.DoubleType())]))
+        self.waiting = handle.getListState("waiting", SIDE_STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def _settle(self, key: Any, rows: list[tuple], watermark: int) -> pd.DataFrame:
+        rows = sorted(rows, key=lambda r: (r[0], not r[2]))
+        ready = [r for r in rows if r[0].timestamp() * 1000 <= watermark]
         value = self.last.get()[0] if self.last.exists() else None
-        new = pd.concat(list(rows)).sort_values(["ts", "is_side"], ascending=[True, False], kind="mergesort")
         out = []
-        for ts, v, side in zip(new["ts"], new["value"], new["is_side"]):
+        for ts, v, side in ready:
             if side:
-                value = float(v)
+                value = v
             else:
-                out.append((key[0], ts, float(v), value))
+                out.append((key[0], ts, v, value))
         if value is not None:
             self.last.update((value,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "side_value"])
+        rest = rows[len(ready) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(int(rest[-1][0].timestamp() * 1000) + 1)
+        else:
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["symbol", "ts", "close", "side_value"])
+
+    def _kept(self) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        new = [(t.to_pydatetime(), float(v), bool(s)) for f in rows for t, v, s in zip(f["ts"], f["value"], f["is_side"], strict=True)]
+        yield self._settle(key, self._kept() + new, timers.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, self._kept(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def asof_enrich(prices: DataFrame, side: DataFrame) -> DataFrame:
-    """Streaming prices (symbol, ts, close) with the last side value (symbol, ts, value) known by then."""
+def asof_enrich(prices: DataFrame, side: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Streaming prices (symbol, ts, close) with the last side value (symbol, ts, value) up to their time.
+
+    A price row is emitted once the watermark (``late`` behind the newest time) has passed it: rows of either side may be that late.
+    """
     both = prices.select("symbol", "ts", F.col("close").alias("value"), F.lit(False).alias("is_side")).unionByName(
         side.select("symbol", "ts", "value", F.lit(True).alias("is_side")))
-    return both.groupBy("symbol").transformWithStateInPandas(LastKnown(), "symbol string, ts timestamp, close double, side_value double", "append", "None")
+    return both.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(
+        LastKnown(), "symbol string, ts timestamp, close double, side_value double", "append", "EventTime")
