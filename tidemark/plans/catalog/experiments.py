@@ -172,11 +172,34 @@ def overlay_grid(spark, d):
     return s.select("signal_name", *nums("k", "up", "down", "total", "annual", "vol", "train_score"))
 
 
-@query("candidate_matrix", "X8 B5", None)
+def mixed_sql(by: str, mode: str, mix: float) -> str:
+    """Weights of one mode and mix over ``x`` (alpha) and ``base``, as the last of a chain of CTEs named after ``by``."""
+    lo, size, part = ("-0.08", "abs({0})", "PARTITION BY candidate, ts") if mode == "ls" else ("0", "{0}", "PARTITION BY candidate, ts")
+    cap = "0.08" if mode == "ls" else "0.15"
+    first = f"x - avg(x) OVER ({part})" if mode == "ls" else "greatest(x, 0)"
+    floor = "{0}" if mode == "ls" else "greatest({0}, 0)"
+    norm = lambda c: f"coalesce({c} / nullif(sum({size.format(c)}) OVER ({part}), 0), 0)"
+    out = f""" {by}0 AS (SELECT candidate, ts, r, base, {first} AS v FROM al), {by}1 AS (SELECT * REPLACE ({norm("v")} AS v) FROM {by}0), {by}2 AS (SELECT * REPLACE (greatest({lo}::DOUBLE, least({cap}::DOUBLE, v)) AS v) FROM {by}1),
+ {by}3 AS (SELECT * REPLACE ({norm("v")} AS v) FROM {by}2)"""
+    if mix:
+        out += f""", {by}4 AS (SELECT * REPLACE ({floor.format(f"({1 - mix}::DOUBLE * v + {mix}::DOUBLE * base)")} AS v) FROM {by}3), {by}5 AS (SELECT * REPLACE ({norm("v")} AS v) FROM {by}4)"""
+    return out
+
+
+VARIANTS = {"ls|mix0.00": ("la", "ls", 0.0), "ls|mix0.25": ("lb", "ls", 0.25), "long|mix0.00": ("ga", "long", 0.0), "long|mix0.25": ("gb", "long", 0.25)}
+CANDIDATES = FAMILY + """, sg AS (SELECT ts, symbol, coalesce(ret, 0) AS r, mom5, rev1, resid_rev, CASE WHEN volume > 25 THEN 1.0::DOUBLE ELSE 0 END AS busy, 1.0::DOUBLE / count(*) OVER (PARTITION BY ts) AS base FROM i3),
+ al AS (""" + " UNION ALL ".join(f"SELECT '{g}|{s}' AS candidate, ts, r, base, coalesce({('busy * ' if g == 'busy' else '') + s}, 0) AS x FROM sg" for g in ("flat", "busy") for s in ("mom5", "rev1", "resid_rev")) + "), " + ", ".join(
+    mixed_sql(by, mode, mix) for by, mode, mix in VARIANTS.values()) + ", dl AS (" + " UNION ALL ".join(
+    f"SELECT candidate || '|{name}' AS candidate, ts, sum(v * r) AS ret FROM {by}{5 if mix else 3} GROUP BY 1, 2" for name, (by, _, mix) in VARIANTS.items()) + """),
+ pf AS (SELECT candidate, exp(sum(ln(1 + ret))) - 1 AS total, count(*) AS n, stddev_pop(ret) * sqrt(252) AS vol FROM dl GROUP BY candidate), ps AS (SELECT *, pow(1 + total, 252.0::DOUBLE / n) - 1 AS annual FROM pf)"""
+
+
+@query("candidate_matrix", "X8 B5", with_ctes("bars nb", CANDIDATES + f""" SELECT candidate, {qnum("ln(1 + total)", "log_total")}, {qnums("annual", "vol")}, {qnum("CASE WHEN vol > 0 THEN annual / vol ELSE 0 END", "sharpe")} FROM ps"""))
 def candidate_matrix(spark, d):
     df = family_frame(spark, d).withColumns({"flat": F.lit(1.0), "busy": (F.col("volume") > 25).cast("double")})
     c = ex.candidate_returns(df, ["flat", "busy"], ["mom5", "rev1", "resid_rev"], "base", "ret", [0.0, 0.25])
-    return mx.compact_stats(c, ["candidate"], "ret").select("candidate", *nums("total", "annual", "vol", "sharpe"))
+    s = mx.compact_stats(c, ["candidate"], "ret")
+    return s.select("candidate", num(F.log1p("total")).alias("log_total"), *nums("annual", "vol", "sharpe"))
 
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")

@@ -377,14 +377,73 @@ def fibonacci_levels(spark, d):
     return parts[0].unionByName(parts[1]).select("symbol", "level", "kind", num("price").alias("price"))
 
 
-@query("core_indicator_summary", "I27 I28")
+def label_sql(value: str, buy: float, sell: float, reverse: bool = False) -> str:
+    first, second = (f"{value} <= {sell} THEN 'Buy'", f"{value} >= {buy} THEN 'Sell'") if reverse else (f"{value} >= {buy} THEN 'Buy'", f"{value} <= {sell} THEN 'Sell'")
+    return f"CASE WHEN {value} IS NULL THEN 'Neutral' WHEN {first} WHEN {second} ELSE 'Neutral' END"
+
+
+def above_sql(level: str) -> str:
+    return f"CASE WHEN close > {level} THEN 'Buy' ELSE 'Sell' END"
+
+
+W14 = wilder(14)
+CORE_EWM = {
+    **{f"e{n}": ("close", span(n)) for n in ind.AVERAGES}, "ag": ("gain", W14), "al": ("loss", W14), "a14": ("tr", W14), "sp": ("pdm", W14), "sm": ("mdm", W14),
+    "c12": ("close", span(12)), "c26": ("close", span(26)), "c13": ("close", span(13)), "h10": ("hl", span(10)),
+}
+CORE_LABELS = {
+    "action_rsi_14": label_sql("rsi_14", 70, 30, True), "action_stoch_k": label_sql("stoch_k", 80, 20, True), "action_cci_20": label_sql("cci_20", 100, -100, True),
+    "action_adx_14": label_sql("adx_14", 25, 20), "action_macd": label_sql("macd_12_26", 0, 0), "action_momentum_10": label_sql("momentum_10", 0, 0),
+    "action_stoch_rsi_k": label_sql("stoch_rsi_fast_k", 80, 20, True), "action_williams_r_14": label_sql("williams_r_14", -20, -80, True),
+    "action_bull_bear_power": label_sql("bull_bear_power", 0, 0), "action_ultimate_osc": label_sql("ultimate_osc_7_14_28", 70, 30, True),
+    **{f"action_{k}_{n}": above_sql(f"{k}_{n}") for n in ind.AVERAGES for k in ("ema", "sma")},
+    "action_ichimoku_base_26": above_sql("ichimoku_base_26"), "action_vwma_20": above_sql("vwma_20"), "action_hma_9": above_sql("hma_9"),
+}
+YZ = 0.34 / (1.34 + 21 / 19)
+CORE_SQL = f"""{GL}, {ewm_sql("g0", CORE_EWM)},
+ j AS (SELECT g0.*, {", ".join(f"CASE WHEN rn >= {n} THEN e{n} END AS ema_{n}, {roll('avg', 'close', n)} AS sma_{n}" for n in ind.AVERAGES)},
+  CASE WHEN rn >= 15 THEN 100 - 100 / (1 + ag / nullif(al, 0)) END AS rsi_14, CASE WHEN rn >= 14 THEN a14 END AS atr_14, CASE WHEN rn >= 26 THEN c12 - c26 END AS macd_12_26,
+  CASE WHEN rn >= 13 THEN high + low - 2 * c13 END AS bull_bear_power, CASE WHEN rn >= 10 THEN h10 END AS h, CASE WHEN rn >= 14 THEN 100 * abs(sp - sm) / nullif(CASE WHEN a14 <> 0 THEN sp + sm END, 0) END AS dx,
+  100 * (close - ({roll("min", "low", 14)})) / nullif(({roll("max", "high", 14)}) - ({roll("min", "low", 14)}), 0) AS k, close - least(low, pc) AS bp, greatest(high, pc) - least(low, pc) AS trr,
+  pow(100 * (close - ({roll("max", "close", 14)})) / ({roll("max", "close", 14)}), 2) AS dd2, (high + low + close) / 3 AS t, avg((high + low + close) / 3) OVER {frame(20)} AS ma,
+  2 * ({wma_sql("close", 4)}) - ({wma_sql("close", 9)}) AS hraw, ln(high / low) AS hlr, ln(close / open) AS co, ln(high / open) AS ho, ln(low / open) AS lo, ln(high / close) AS hc, ln(low / close) AS lc, ln(open / pc) AS ovn
+  FROM g0 JOIN ew USING (symbol, rn)),
+ {ewm_sql("j", {"adx": ("dx", W14)}, "ew2")},
+ dev AS (SELECT a.symbol, a.rn, avg(abs(x.t - a.ma)) AS mad FROM j a JOIN j x ON x.symbol = a.symbol AND x.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY ALL),
+ j2 AS (SELECT j.*, adx, mad, hlr * hlr AS hl2, 0.5 * hlr * hlr - (2 * ln(2) - 1) * co * co AS gk, ho * hc + lo * lc AS rs,
+  100 * (rsi_14 - ({roll("min", "rsi_14", 14)})) / nullif(({roll("max", "rsi_14", 14)}) - ({roll("min", "rsi_14", 14)}), 0) AS raw FROM j JOIN ew2 USING (symbol, rn) LEFT JOIN dev USING (symbol, rn)),
+ z AS (SELECT *, {roll("avg", "k", 3)} AS stoch_k, (t - ma) / (0.015 * nullif(mad, 0)) AS cci_20, CASE WHEN count(dx) OVER ({P} ROWS UNBOUNDED PRECEDING) >= 14 THEN adx END AS adx_14,
+  ({roll("avg", "mid", 5)}) - ({roll("avg", "mid", 34)}) AS awesome_oscillator, close - lag(close, 10) OVER ({P}) AS momentum_10, {roll("avg", "raw", 3)} AS stoch_rsi_fast_k,
+  -100 * (({roll("max", "high", 14)}) - close) / nullif(({roll("max", "high", 14)}) - ({roll("min", "low", 14)}), 0) AS williams_r_14,
+  100 * (4 * ({roll("sum", "bp", 7)}) / nullif(({roll("sum", "trr", 7)}), 0) + 2 * ({roll("sum", "bp", 14)}) / nullif(({roll("sum", "trr", 14)}), 0) + ({roll("sum", "bp", 28)}) / nullif(({roll("sum", "trr", 28)}), 0)) / 7 AS ultimate_osc_7_14_28,
+  (({roll("max", "high", 26)}) + ({roll("min", "low", 26)})) / 2 AS ichimoku_base_26, ({roll("sum", "close * volume", 20)}) / ({roll("sum", "volume", 20)}) AS vwma_20, {wma_sql("hraw", 3)} AS hma_9, 100 * atr_14 / close AS natr_14,
+  ({roll("stddev_samp", "lr", 20)}) * sqrt(252) AS rolling_vol_20, sqrt(252 * ({roll("avg", "hl2", 20)}) / (4 * ln(2))) AS parkinson_vol_20,
+  CASE WHEN ({roll("avg", "gk", 20)}) >= 0 THEN sqrt(252 * ({roll("avg", "gk", 20)})) END AS garman_klass_vol_20, sqrt(252 * ({roll("avg", "rs", 20)})) AS rogers_satchell_vol_20,
+  sqrt(252 * (({roll("var_samp", "ovn", 20)}) + {YZ!r}::DOUBLE * ({roll("var_samp", "co", 20)}) + {1 - YZ!r}::DOUBLE * ({roll("avg", "rs", 20)}))) AS yang_zhang_vol_20,
+  100 * (h / nullif(lag(h, 10) OVER ({P}), 0) - 1) AS chaikin_vol_10_10, sqrt({roll("avg", "dd2", 14)}) AS ulcer_index_14 FROM j2)"""
+
+
+@query("core_indicator_summary", "I27 I28", with_ctes("bars nb", CORE_SQL + f""" {SEL}, close, {qnums(*ind.CORE_COLUMNS)}, {", ".join(f"{c} AS {n}" for n, c in CORE_LABELS.items())} FROM z"""))
 def core_indicator_summary(spark, d):
     bars = b.bars(spark, d)
     df = ind.core_summary(bars, checked(bars))
     return df.withColumn("ts", F.col("ts").cast("string")).withColumns({c: num(c) for c in ind.CORE_COLUMNS})
 
 
-@query("default_feature_block", "I29")
+BLOCK_EWM = {"e20": ("close", span(20)), "ag": ("gain", W14), "al": ("loss", W14), "a14": ("tr", W14), "sp": ("pdm", W14), "sm": ("mdm", W14), "c12": ("close", span(12)), "c26": ("close", span(26))}
+BLOCK_SQL = f"""{GL}, {ewm_sql("g0", BLOCK_EWM)},
+ j AS (SELECT g0.*, CASE WHEN rn >= 20 THEN e20 END AS ema_20, CASE WHEN rn >= 15 THEN 100 - 100 / (1 + ag / nullif(al, 0)) END AS rsi_14, CASE WHEN rn >= 14 THEN a14 END AS atr_14,
+  CASE WHEN rn >= 14 AND a14 > 0 THEN 100 * sp / a14 END AS plus_di, CASE WHEN rn >= 14 AND a14 > 0 THEN 100 * sm / a14 END AS minus_di, CASE WHEN rn >= 26 THEN c12 - c26 END AS macd,
+  ln(high / low) AS hlr, ln(close / open) AS co FROM g0 JOIN ew USING (symbol, rn)),
+ j2 AS (SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx, hlr * hlr AS hl2, 0.5 * hlr * hlr - (2 * ln(2) - 1) * co * co AS gk FROM j),
+ {ewm_sql("j2", {"adx": ("dx", W14), "sig": ("macd", span(9))}, "ew2")},
+ z AS (SELECT j2.*, CASE WHEN count(dx) OVER ({P} ROWS UNBOUNDED PRECEDING) >= 14 THEN adx END AS adx_14, CASE WHEN rn >= 34 THEN sig END AS macd_signal, CASE WHEN rn >= 34 THEN macd - sig END AS macd_hist,
+  {", ".join(f"{roll('avg', 'close', n)} AS sma_{n}" for n in (20, 50, 200))}, close - lag(close, 10) OVER ({P}) AS mom_10, 100 * (close / nullif(lag(close, 10) OVER ({P}), 0) - 1) AS roc_10,
+  400 * ({roll("stddev_samp", "close", 20)}) / ({roll("avg", "close", 20)}) AS bb_bandwidth, ({roll("stddev_samp", "ret", 20)}) * sqrt(252) AS vol_20, sqrt(252 * ({roll("avg", "hl2", 20)}) / (4 * ln(2))) AS parkinson_vol,
+  CASE WHEN ({roll("avg", "gk", 20)}) >= 0 THEN sqrt(252 * ({roll("avg", "gk", 20)})) END AS gk_vol FROM j2 JOIN ew2 USING (symbol, rn))"""
+
+
+@query("default_feature_block", "I29", with_ctes("bars nb", BLOCK_SQL + f""" {SEL}, {qnums(*ind.DEFAULT_FEATURES)} FROM z"""))
 def default_feature_block(spark, d):
     bars = b.bars(spark, d)
     df = ind.default_features(bars, checked(bars))
