@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cleaning import ratio
+from tidemark.functions.cleaning import correlation, ratio
 from tidemark.operators.backtest import compound
 from tidemark.operators.series import BARS, Axis, checked, pct_change, prev, running, windowed
+from tidemark.operators.tables import last_rows
 
 
 def grouped_documents(df: DataFrame, by: Sequence[str], seq: str, text: str, articles: int | None = None, chars: int | None = None, sep: str = " ") -> DataFrame:
@@ -76,71 +75,19 @@ def distribution(df: DataFrame, by: Sequence[str], c: str, qs: Sequence[float] =
     return df.withColumns({f"q{round(x * 100):02d}": F.col("_q")[i] for i, x in enumerate(qs)}).drop("_q")
 
 
-def comoments(df: DataFrame, key: str, at: str, value: str, block: int = 64) -> DataFrame:
-    """Covariance and correlation of every pair of keys over their shared ``at`` values.
+def comoments(df: DataFrame, key: str, at: str, value: str, left: Sequence, last: int | None = None) -> DataFrame:
+    """Covariance and correlation of the named ``left`` keys (benchmarks, a universe) with every key over shared ``at`` values.
 
-    Blocked matrix product: keys are hashed into groups of about ``block`` keys, each row goes once to
-    every pair of key groups (not to every pair of keys), a task multiplies two thin date-by-key
-    slabs with numpy, and the partial sums per key pair are added up. No pair of rows is ever a row.
-    The sums are taken around each key's own mean to keep precision.
+    The caller names the left keys, so a row meets as many rows as there are names, and the result has one row per name and
+    key: there is no table of all pairs. ``last`` keeps the newest rows of each key.
     """
-    spark = df.sparkSession
     clean = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("at"), F.col(value).cast("double").alias("x"))
-    means = clean.groupBy("k").agg(F.avg("x").alias("m"))
-    clean = clean.join(means, "k").select("k", "at", (F.col("x") - F.col("m")).alias("x"))
-    # number of key groups from a checked count of the keys
-    groups = max(1, -(-means.count() // block))
-    slabs = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (groups * (groups + 1) // 2))
-    mine = F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(groups - 1)),
-        lambda o: F.struct(F.least(mine, o).alias("a"), F.greatest(mine, o).alias("b")),
-    )
-    routed = clean.withColumns({"g": mine, "slab": F.pmod(F.xxhash64("at"), F.lit(slabs)).cast("int"), "p": F.explode(pairs)})
-    routed = routed.select("p.a", "p.b", "slab", "g", "k", "at", "x")
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        times = pd.Index(pdf["at"].unique())
-        row = times.get_indexer(pdf["at"])
-
-        def slab_of(g):
-            part = (pdf["g"] == g).to_numpy()
-            names = pd.Index(pdf["k"][part].unique())
-            m, seen = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
-            col = names.get_indexer(pdf["k"][part])
-            m[row[part], col] = pdf["x"][part]
-            seen[row[part], col] = 1.0
-            return names, m, seen
-
-        na, xa, sa = slab_of(a)
-        nb, xb, sb = slab_of(b)
-        i, j = np.meshgrid(np.arange(len(na)), np.arange(len(nb)), indexing="ij")
-        out = pd.DataFrame({
-            "left_key": na.to_numpy()[i.ravel()], "right_key": nb.to_numpy()[j.ravel()],
-            "n": (sa.T @ sb).ravel().astype("int64"), "sx": (xa.T @ sb).ravel(), "sy": (sa.T @ xb).ravel(),
-            "sxy": (xa.T @ xb).ravel(), "sxx": ((xa * xa).T @ sb).ravel(), "syy": (sa.T @ (xb * xb)).ravel(),
-        })
-        swap = (out["left_key"] > out["right_key"]).to_numpy()
-        if a == b:
-            out = out[~swap]
-        elif swap.any():
-            flip = {"left_key": "right_key", "right_key": "left_key", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}
-            out = pd.concat([out[~swap], out[swap].rename(columns=flip)])
-        return out[out["n"] > 0]
-
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"left_key {kind}, right_key {kind}, n long, sx double, sy double, sxy double, sxx double, syy double"
-    sums = routed.groupBy("a", "b", "slab").applyInPandas(multiply, schema)
-    total = sums.groupBy("left_key", "right_key").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-    n = F.col("n")
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    return total.select(
-        "left_key", "right_key", "n", F.when(n > 1, cxy / (n - 1)).alias("cov"),
-        F.when((n > 1) & (cxx > 0) & (cyy > 0), cxy / F.sqrt(cxx * cyy)).alias("corr"),
-    )
+    if last is not None:
+        clean = last_rows(clean, Axis(("k",), ("at",)), last)
+    named = clean.where(F.col("k").isin(list(left))).select(F.col("k").alias("left_key"), "at", F.col("x").alias("y"))
+    pairs = named.join(clean.withColumnRenamed("k", "right_key"), "at")
+    return pairs.groupBy("left_key", "right_key").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_samp("y", "x").alias("cov"), correlation("y", "x").alias("corr"))
 
 
 def resample(df: DataFrame, by: Sequence[str], unit: str, price: str, ret: str, ts: str = "ts") -> DataFrame:

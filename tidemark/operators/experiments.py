@@ -357,12 +357,17 @@ def composite_score(df: DataFrame, ret: str, last: int = 60, axis: Axis = BARS)
     return s.drop("_m0", "_m1", "_q0", "_q1")
 
 
-def implied_prior(cov: DataFrame, weights: DataFrame, risk: float = 2.5) -> DataFrame:
-    """Market-implied returns π = λ Σ w from pairwise covariances (left_key <= right_key) and weights (k, w)."""
-    both = cov.select(F.col("left_key").alias("i"), F.col("right_key").alias("j"), "cov").where("cov IS NOT NULL")
-    mirror = both.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov")
-    full = both.unionByName(mirror).join(weights.withColumnRenamed("k", "j"), "j")
-    return full.groupBy(F.col("i").alias("key")).agg((risk * F.sum(F.col("cov") * F.col("w"))).alias("prior"))
+def implied_prior(df: DataFrame, weights: DataFrame, value: str, risk: float = 2.5, key: str = "k", at: str = "at") -> DataFrame:
+    """Market-implied returns π = λ Σ w.
+
+    Σ w is the covariance of every name with the one weighted portfolio, so no pair of names is formed. On a date without a
+    value a name adds nothing to the portfolio's deviation.
+    """
+    means = df.groupBy(key).agg(F.avg(value).alias("_m"))
+    away = df.join(means, key).select(key, at, (F.col(value) - F.col("_m")).alias("_x"))
+    portfolio = away.join(weights, key).groupBy(at).agg(F.sum(F.col("w") * F.col("_x")).alias("_p"))
+    g = away.join(portfolio, at).groupBy(key).agg(F.sum(F.col("_x") * F.col("_p")).alias("_s"), F.count("_x").alias("_n"))
+    return g.where("_n > 1").select(F.col(key).alias("key"), (risk * F.col("_s") / (F.col("_n") - 1)).alias("prior"))
 
 
 def beta_hedge(df: DataFrame, axis: Axis, ret: str, market: str, n: int = 60, least: int = 20, target: float = 0.2, vol: float = 0.10) -> DataFrame:

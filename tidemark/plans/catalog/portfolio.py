@@ -259,19 +259,17 @@ def risk_parity_prior(spark, d):
     return s.select("symbol", *nums("risk_parity", "composite"))
 
 
-@query("market_implied_prior", "B35 A12", with_ctes("bars", f"""c AS (SELECT CAST(symbol AS INTEGER) AS k, date_trunc('week', ts) AS wk, avg(close) AS x FROM bars GROUP BY 1, 2),
- v AS (SELECT a.k AS i, b.k AS j, covar_samp(a.x, b.x) AS cv FROM c a JOIN c b USING (wk) GROUP BY 1, 2),
- w AS (SELECT k, count(*) / sum(count(*)) OVER () AS w FROM c GROUP BY k)
- SELECT CAST(i AS VARCHAR) AS symbol, {qnum("2.5::DOUBLE * sum(cv * w)", "prior")} FROM v JOIN w ON w.k = v.j WHERE cv IS NOT NULL GROUP BY i"""))
+@query("market_implied_prior", "B35", with_ctes("bars", f"""c AS (SELECT CAST(symbol AS INTEGER) AS k, date_trunc('week', ts) AS wk, avg(close) AS x FROM bars GROUP BY 1, 2),
+ w AS (SELECT k, count(*) / sum(count(*)) OVER () AS w FROM c GROUP BY k), a AS (SELECT k, wk, x - avg(x) OVER (PARTITION BY k) AS x FROM c),
+ p AS (SELECT wk, sum(w * x) AS p FROM a JOIN w USING (k) GROUP BY wk)
+ SELECT CAST(k AS VARCHAR) AS symbol, {qnum("2.5::DOUBLE * sum(x * p) / (count(*) - 1)", "prior")} FROM a JOIN p USING (wk) GROUP BY k HAVING count(*) > 1"""))
 def market_implied_prior(spark, d):
-    from tidemark.operators.aggregates import comoments
     from tidemark.operators.experiments import implied_prior
 
-    weekly = b.bars(spark, d).groupBy(F.col("symbol").cast("int").alias("k"), F.date_trunc("week", "ts").alias("wk")).agg(F.avg("close").alias("x"))
-    cov = comoments(weekly, "k", "wk", "x")
+    weekly = b.bars(spark, d).groupBy(F.col("symbol").cast("int").alias("k"), F.date_trunc("week", "ts").alias("at")).agg(F.avg("close").alias("x"))
     counts = weekly.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("_all", F.lit("all"))
     w = pf.shares(counts, ["_all"], {"w": F.col("n")}).select("k", "w")
-    return implied_prior(cov, w, 2.5).select(F.col("key").cast("string").alias("symbol"), num("prior").alias("prior"))
+    return implied_prior(weekly, w, "x", 2.5).select(F.col("key").cast("string").alias("symbol"), num("prior").alias("prior"))
 
 
 # --- back-tests ------------------------------------------------------------------------------

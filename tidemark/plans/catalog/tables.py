@@ -399,15 +399,26 @@ def describe_quantiles(spark, d):
     return df.select("symbol", *nums("q05", "q25", "q50", "q75", "q95", "skew", "kurt", "worst", "best"))
 
 
-@query("pair_correlation", "A12 B35", with_ctes("bars nb", f"""c AS (SELECT symbol, date_trunc('week', ts) AS wk, avg(close) AS x FROM bars GROUP BY 1, 2)
- SELECT a.symbol AS left_symbol, z.symbol AS right_symbol, count(*) AS n, {qnum("covar_samp(a.x, z.x)", "cov")}, {qnum("corr(a.x, z.x)", "corr")}
- FROM c a JOIN c z ON a.wk = z.wk AND CAST(a.symbol AS INTEGER) <= CAST(z.symbol AS INTEGER) GROUP BY a.symbol, z.symbol"""))
+BENCHMARKS = (0, 1, 2)
+
+
+@query("pair_correlation", "A12", with_ctes("bars nb", f"""c AS (SELECT CAST(symbol AS INTEGER) AS symbol, date_trunc('week', ts) AS wk, avg(close) AS x FROM bars GROUP BY 1, 2)
+ SELECT CAST(a.symbol AS VARCHAR) AS left_symbol, CAST(z.symbol AS VARCHAR) AS right_symbol, count(*) AS n, {qnum("covar_samp(a.x, z.x)", "cov")}, {qnum("corr(a.x, z.x)", "corr")}
+ FROM c a JOIN c z ON a.wk = z.wk AND a.symbol IN {BENCHMARKS} GROUP BY a.symbol, z.symbol"""))
 def pair_correlation(spark, d):
     weekly = b.bars(spark, d).groupBy(F.col("symbol").cast("int").alias("symbol"), F.date_trunc("week", "ts").alias("wk")).agg(F.avg("close").alias("x"))
-    m = agg.comoments(weekly, "symbol", "wk", "x")
+    m = agg.comoments(weekly, "symbol", "wk", "x", BENCHMARKS)
     return m.select(F.col("left_key").cast("string").alias("left_symbol"), F.col("right_key").cast("string").alias("right_symbol"), "n", num("cov").alias("cov"), num("corr").alias("corr"))
 
 
+@query("recent_covariance", "A12", with_ctes("bars nb", f"""c AS (SELECT CAST(symbol AS INTEGER) AS symbol, date_trunc('week', ts) AS wk, avg(close) AS x FROM bars GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY CAST(symbol AS INTEGER) ORDER BY date_trunc('week', ts) DESC) <= 252)
+ SELECT CAST(a.symbol AS VARCHAR) AS left_symbol, CAST(z.symbol AS VARCHAR) AS right_symbol, count(*) AS n, {qnum("covar_samp(a.x, z.x)", "cov")} FROM c a JOIN c z ON a.wk = z.wk AND a.symbol IN {BENCHMARKS} GROUP BY a.symbol, z.symbol"""))
+def recent_covariance(spark, d):
+    weekly = b.bars(spark, d).groupBy(F.col("symbol").cast("int").alias("symbol"), F.date_trunc("week", "ts").alias("wk")).agg(F.avg("close").alias("x"))
+    m = agg.comoments(weekly, "symbol", "wk", "x", BENCHMARKS, last=252)
+    return m.select(F.col("left_key").cast("string").alias("left_symbol"), F.col("right_key").cast("string").alias("right_symbol"), "n", num("cov").alias("cov"))
+
+
 @query("pivot_matrix", "A14", with_ctes("bars", "m AS (SELECT symbol, CAST(year(ts) AS VARCHAR) AS y, " + qnum("avg(close)", "v") + """ FROM bars GROUP BY symbol, year(ts))
  SELECT * FROM (PIVOT m ON y USING first(v) GROUP BY symbol)"""))
 def pivot_matrix(spark, d):
