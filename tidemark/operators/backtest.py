@@ -142,32 +142,43 @@ def bracket_levels(direction: Column, entry: Column, width: Column, stop: float,
     return {"stop_price": entry - sign * width * stop, "target_price": entry + sign * width * target}
 
 
+def ahead(bars, max_bars: int, axis):
+    """Add ``path``: the row's bar and its next ``max_bars`` bars (rn, h, l, c), by one look-ahead window."""
+
+    def add(d, a):
+        bar = F.struct(F.col("rn").alias("rn"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
+        return d.withColumn("path", F.collect_list(bar).over(a.rows(0, max_bars)))
+
+    return windowed(bars, add, axis, lookahead=max_bars)
+
+
 def first_touch(entries, bars, max_bars: int, axis):
     """Exit of each entry: first bar that touches stop or target within ``max_bars``, else the last bar's close.
 
-    ``entries``: keys, rn, direction, entry_price, stop_price, target_price. ``bars``: keys, rn, high, low,
-    close. Each entry looks at its next row numbers by an equi-join on (keys, rn), so the work spreads
-    by row and not by key. The stop wins when one bar touches both; an entry on the very last bar
-    exits there.
+    ``entries``: keys, rn, direction, entry_price, stop_price, target_price. ``bars``: keys, order, rn, high, low,
+    close. A look-ahead window gives every bar its next bars; an entry joins the one row of its bar and folds over them. The stop wins
+    when one bar touches both; an entry on the very last bar exits there.
     """
     keys = list(axis.keys)
-    ahead = entries.withColumn("x_rn", F.explode(F.sequence(F.col("rn"), F.col("rn") + max_bars)))
-    path = bars.select(*keys, F.col("rn").alias("x_rn"), F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"))
-    j = ahead.join(path, [*keys, "x_rn"])
+    j = entries.join(ahead(bars, max_bars, axis).select(*keys, "rn", "path"), [*keys, "rn"])
     long = F.col("direction") == "long"
-    later = F.col("x_rn") > F.col("rn")
-    stopped = later & F.when(long, F.col("_l") <= F.col("stop_price")).otherwise(F.col("_h") >= F.col("stop_price"))
-    reached = later & F.when(long, F.col("_h") >= F.col("target_price")).otherwise(F.col("_l") <= F.col("target_price"))
-    hit = F.when(
-        stopped | reached,
-        F.struct(F.col("x_rn").alias("rn"), F.when(stopped, F.col("stop_price")).otherwise(F.col("target_price")).alias("price"),
-                 F.when(stopped, "stop").otherwise("target").alias("reason")),
-    )
-    last = F.struct(F.col("x_rn").alias("rn"), F.col("_c").alias("price"), F.lit("time").alias("reason"))
-    group = [*keys, "rn", "direction", "entry_price", "stop_price", "target_price"]
-    g = j.groupBy(*group).agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("x_rn"))).alias("_hit"), F.max_by(last, F.col("x_rn")).alias("_last"))
-    x = F.coalesce("_hit", "_last")
-    g = g.withColumns({"exit_rn": x["rn"], "exit_price": x["price"], "exit_reason": x["reason"]}).drop("_hit", "_last")
+
+    def stopped(x):
+        return F.when(long, x["l"] <= F.col("stop_price")).otherwise(x["h"] >= F.col("stop_price"))
+
+    def reached(x):
+        return F.when(long, x["h"] >= F.col("target_price")).otherwise(x["l"] <= F.col("target_price"))
+
+    hit = F.get(F.filter("path", lambda x: (x["rn"] > F.col("rn")) & (stopped(x) | reached(x))), F.lit(0))
+    last = F.element_at("path", -1)
+    j = j.withColumns({"_hit": hit, "_last": last})
+    at_stop = stopped(F.col("_hit"))
+    touched = F.col("_hit").isNotNull()
+    g = j.withColumns({
+        "exit_rn": F.coalesce("_hit.rn", "_last.rn"),
+        "exit_price": F.when(touched, F.when(at_stop, F.col("stop_price")).otherwise(F.col("target_price"))).otherwise(F.col("_last.c")),
+        "exit_reason": F.when(touched, F.when(at_stop, "stop").otherwise("target")).otherwise("time"),
+    }).drop("_hit", "_last", "path")
     move = F.col("exit_price") / F.col("entry_price") - 1
     return g.withColumns({
         "pnl": 100 * F.when(long, move).otherwise(-move), "bars_held": F.col("exit_rn") - F.col("rn"),

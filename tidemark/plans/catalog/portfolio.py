@@ -450,7 +450,7 @@ def bracket_trades(spark, d):
     side = F.when(F.col("close") < 102, "long").when(F.col("close") > 108, "short")
     en = df.withColumn("direction", side).where("direction IS NOT NULL AND atr IS NOT NULL").withColumn("entry_price", F.col("close"))
     en = en.withColumns(bt.bracket_levels(F.col("direction"), F.col("entry_price"), F.col("atr"), 1.5, 2.0))
-    return bt.first_touch(en.select("symbol", "rn", "direction", "entry_price", "stop_price", "target_price"), df, 20, ax), ax
+    return bt.first_touch(en.select("symbol", "rn", "direction", "entry_price", "stop_price", "target_price"), positions(bars, ax), 20, ax), ax
 
 
 @query("first_touch_exits", "B9 B11 J13", with_ctes("bars nb", ATRQ + f""" SELECT symbol, rn - 1 AS entry_rn, direction, xr - 1 AS exit_rn, why AS exit_reason, {qnum("sp", "stop_price")}, {qnum("tp", "target_price")}, {qnum("xp", "exit_price")}, {qnum("pnl", "pnl")} FROM tp"""))
