@@ -34,18 +34,20 @@ def test_weights_sum_to_one(spark, folder):
         assert worst < 1e-9
 
 
-def test_comoments_over_several_key_groups(spark):
+def test_comoments_of_named_keys(spark):
     rng = np.random.default_rng(0)
-    wide = pd.DataFrame(rng.normal(size=(60, 9)), columns=range(9))
-    wide.iloc[5:20, 3] = np.nan
-    long = wide.reset_index().melt("index", var_name="k", value_name="x").dropna()
-    df = spark.createDataFrame(long.astype({"k": "int64", "index": "int64"}))
-    got = agg.comoments(df, "k", "index", "x", block=2).toPandas()
-    assert len(got) == 45 and (got.left_key <= got.right_key).all()
-    cov, corr = wide.cov(), wide.corr()
+    wide = pd.DataFrame(rng.normal(size=(40, 5)), columns=list("abcde"))
+    long = wide.reset_index().melt("index", var_name="k", value_name="x")
+    long = long[rng.random(len(long)) > 0.2].astype({"index": "int64"})
+    df = spark.createDataFrame(long)
+    table = long.pivot(index="index", columns="k", values="x")
+    got = agg.comoments(df, "k", "index", "x", ["b", "d"]).toPandas()
+    assert set(got["left_key"]) == {"b", "d"} and len(got) == 10
     for r in got.itertuples():
-        assert abs(r.cov - cov.loc[r.left_key, r.right_key]) < 1e-10
-        assert abs(r.corr - corr.loc[r.left_key, r.right_key]) < 1e-10
+        both = table[[r.left_key]].assign(other=table[r.right_key]).dropna()
+        assert r.n == len(both) and abs(r.cov - both[r.left_key].cov(both["other"])) < 1e-9
+    recent = agg.comoments(df, "k", "index", "x", ["b"], last=10).toPandas()
+    assert recent[recent["right_key"] == "b"]["n"].tolist() == [10]
 
 
 def test_segment_backtest_close_to_a_cash_ledger(spark):

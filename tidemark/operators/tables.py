@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, to_double, to_utc
-from tidemark.operators.series import BARS, Axis, positions, running
+from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, positions, running
 
 # --- schema ----------------------------------------------------------------------------------
 
@@ -62,7 +62,11 @@ def backward_fill(df: DataFrame, columns: Sequence[str], axis: Axis = BARS) -> D
 
 
 def group_mean_fill(df: DataFrame, column: str, by: Sequence[str], default: float = 0.0) -> DataFrame:
-    """Missing values take the mean of their group, then ``default``."""
+    """Missing values take the mean of their group, then ``default``; a group too large for a task is averaged before the shuffle."""
+    if has_hot_key(df, Axis(tuple(by))):
+        means = df.groupBy(*by).agg(F.avg(column).alias("_mean"))
+        filled = join_same(df, means, list(by), "left")
+        return filled.withColumn(column, F.coalesce(F.col(column), F.col("_mean"), F.lit(default))).drop("_mean")
     mean = F.avg(column).over(Window.partitionBy(*by))
     return df.withColumn(column, F.coalesce(F.col(column), mean, F.lit(default)))
 
