@@ -26,10 +26,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back: lineage ends here, lost executors do not matter."""
+def cut(df: DataFrame, light: bool = False) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: lineage ends here, lost executors do not matter.
+
+    ``light`` tables (a few numbers per row) are written by an eighth of the shuffle's tasks, as they would be mostly file headers.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if light:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -125,31 +130,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def connected(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex: (id, component). ``edges`` has long columns a and b.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes; pairs are
-    pre-aggregated to minima before the shuffle, so a vertex with many links is one row per task. Vertices without a link are
-    not returned.
+    Large-star and small-star steps in turn, each written to the shared folder, until every edge leads from a vertex to the
+    smallest of its component; minima are aggregated before the shuffle, so a vertex with many links is one row per task.
+    Vertices without a link are not returned.
     """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), light=True)
     while True:
-        around = both(current)
+        # done: every vertex has one edge down and none of those it leads to has one
+        ends = current.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.v").agg(F.sum("e.down").alias("down"), F.count(F.lit(1)).alias("all"))
+        if not ends.where("down > 1 or (down > 0 and `all` > down)").limit(1).count():
+            break
+        around = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: neighbours above a vertex point to the vertex's minimum
-        large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
+        large = cut(around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), light=True)
         # small star: smaller neighbours and the vertex itself point to the minimum
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        nxt = cut(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        current = nxt
-        if state == seen:
-            break
-        seen = state
-    stars = current.groupBy("a").agg(F.min("b").alias("component"))
-    roots = stars.select(F.col("component").alias("id"), "component").distinct()
-    return cut(stars.withColumnRenamed("a", "id").unionByName(roots))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
+        current = cut(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), light=True)
+    stars = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return cut(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), light=True)
 
 
 #: most bits of a filter of ids that every task may hold (2 MB)

@@ -156,78 +156,118 @@ def _exact(percent: int):
     return run
 
 
+class _Pairs:
+    """Pairs that the bitmaps allow, per tile and pair of components at most ``most``, nearest bounds first."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.rows = most, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.rows += len(columns[0])
+        if self.rows > 500_000:
+            self.trim()
+
+    def trim(self) -> None:
+        if not self.parts:
+            return
+        tile, ca, cb, differ, a, b, more = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((differ, cb, ca, tile))
+        tile, ca, cb, differ, a, b, more = (c[order] for c in (tile, ca, cb, differ, a, b, more))
+        new = np.ones(len(tile), bool)
+        new[1:] = (np.diff(tile) != 0) | (np.diff(ca) != 0) | (np.diff(cb) != 0)
+        group = np.cumsum(new) - 1
+        place = np.arange(len(tile)) - np.flatnonzero(new)[group]
+        held = (np.bincount(group) > self.most) | (np.bincount(group, more) > 0)
+        keep = place < self.most
+        self.parts = [(tile[keep], ca[keep], cb[keep], differ[keep], a[keep], b[keep], held[group][keep])]
+        self.rows = int(keep.sum())
+
+    def batch(self, shingles: np.ndarray) -> pa.RecordBatch | None:
+        self.trim()
+        if not self.rows:
+            return None
+        tile, ca, cb, _, a, b, more = self.parts[0]
+        columns = [shingles[tile], np.minimum(a, b), np.maximum(a, b), ca, cb]
+        self.parts, self.rows = [], 0
+        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in columns], pa.array(more)], names=["shingle", "a", "b", "ca", "cb", "more"])
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit words of all bitmaps, first word and number of words of each)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(_U)
+    return flat, (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+
+
+def _differences(flat: np.ndarray, first: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cells in which the bitmaps of rows i and j differ, the wider one folded."""
+    out = np.zeros(len(i), np.int64)
+    low, high = np.minimum(width[i], width[j]), np.maximum(width[i], width[j])
+    for w, v in np.unique(np.stack([low, high]), axis=1).T.tolist():
+        at = np.flatnonzero((low == w) & (high == v))
+        for k in range(0, len(at), max(1, 4_000_000 // v)):
+            part = at[k : k + max(1, 4_000_000 // v)]
+            bits = []
+            for rows in (i[part], j[part]):
+                own = width[rows]
+                cells = flat[first[rows][:, None] + np.arange(w)]
+                for step in range(w, v, w):  # fold: further stretches of the wider bitmap
+                    wide = np.flatnonzero(own > step)
+                    cells[wide] ^= flat[first[rows[wide]][:, None] + step + np.arange(w)]
+                bits.append(cells)
+            out[part] = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+    return out
+
+
 def _tiles(percent: int, most: int):
-    """Pairs of different components that a tile's bitmaps allow; input sorted by tile, rows in one tile together.
+    """Pairs of different components that a tile's bitmaps allow; input sorted by tile, then by size.
 
+    Rows are compared with the rows 1, 2, 3 … places behind them in their tile, all tiles of a batch at once, as long as the sizes fit.
     Per tile and pair of components at most ``most`` pairs, nearest bounds first, and whether more were held back.
     """
-    names = ["a", "b", "ca", "cb", "more"]
-
-    def flush(rows: dict[str, np.ndarray], maps: list[bytes]) -> pa.RecordBatch | None:
-        order = np.lexsort((rows["rid"], rows["n"]))
-        n, rid, comp, side, guest = (rows[k][order] for k in ("n", "rid", "component", "side", "guest"))
-        words = max(1, max(len(m) for m in maps) // 8)
-        low = min(len(m) for m in maps) // 8
-        width = min(words, max(low, 1))
-        bits = np.stack([fold(np.frombuffer(maps[i], _U), width) for i in order])
-        out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i in range(len(n) - 1):
-            stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))  # sorted by size: partners above are a run
-            if stop <= i + 1:
-                continue
-            span = slice(i + 1, stop)
-            can = (comp[span] != comp[i]) & ((side[span] != side[i]) | (side[i] < 0)) & ~(guest[span] & guest[i])
-            if not can.any():
-                continue
-            at = np.flatnonzero(can) + i + 1
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64)
-            ok = 200 * (n[i] + n[at]) - 200 * differ >= 2 * percent * (n[i] + n[at] + differ)
-            for j, d in zip(at[ok], differ[ok], strict=True):
-                key = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
-                out.setdefault(key, []).append((int(d), int(rid[i]), int(rid[j])))
-                if len(out[key]) > 4 * most:
-                    out[key] = [*sorted(out[key])[:most], (1 << 60, -1, -1)]
-        rows_out = []
-        for (ca, cb), pairs in out.items():
-            pairs.sort()
-            more = len(pairs) > most
-            rows_out += [(min(a, b), max(a, b), ca, cb, more) for _, a, b in pairs[:most] if a >= 0]
-        if not rows_out:
-            return None
-        columns = list(zip(*rows_out, strict=True))
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.bool_())], names=names)
+    names = ("shingle", "band", "tile")
+
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
+        n, rid, comp, side, guest = (rows.column(k).to_numpy() for k in ("n", "rid", "component", "side", "guest"))
+        keys = [rows.column(k).to_numpy() for k in names]
+        tile = np.concatenate([[0], np.cumsum(sum(np.diff(k) != 0 for k in keys) > 0)])
+        flat, first, width = _words(rows.column("bits").combine_chunks() if rows.column("bits").num_chunks != 1 else rows.column("bits").chunk(0))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(tile) != 0]))
+        pairs, live, d = _Pairs(most), np.arange(len(n)), 0
+        while True:
+            d += 1
+            live = live[live + d < len(n)]
+            live = live[(tile[live] == tile[np.minimum(live + d, len(n) - 1)])]
+            live = live[n[live + d] * percent <= 100 * n[live]]
+            if not len(live):
+                break
+            j = live + d
+            can = (comp[live] != comp[j]) & ((side[live] != side[j]) | (side[live] < 0)) & ~(guest[live] & guest[j])
+            i, j = live[can], j[can]
+            if len(i):
+                differ = _differences(flat, first, width, i, j)
+                ok = 200 * (n[i] + n[j] - differ) >= 2 * percent * (n[i] + n[j] + differ)
+                i, j, differ = i[ok], j[ok], differ[ok]
+                pairs.add(tile[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ, rid[i], rid[j], np.zeros(len(i), bool))
+        return pairs.batch(keys[0][starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # slices of the tile that is not yet complete
-
-        def done():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            if rows.num_rows < 2:
-                return None
-            columns = {k: rows.column(k).to_numpy() for k in ("rid", "n", "component", "side", "guest")}
-            if columns["component"].min() == columns["component"].max():
-                return None
-            return flush(columns, rows.column("bits").to_pylist())
-
+        held: list[pa.RecordBatch] = []  # ends with the tile that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("shingle", "band", "tile")]
+            keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names]
             change = np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1
-            if held:
-                last = held[-1].slice(held[-1].num_rows - 1)
-                if any(last.column(last.schema.get_field_index(k))[0].as_py() != v[0] for k, v in zip(("shingle", "band", "tile"), keys, strict=True)):
-                    if (found := done()) is not None:
-                        yield found
-                    held.clear()
-            bounds = [0, *change.tolist(), batch.num_rows]
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if i:
-                    if (found := done()) is not None:
-                        yield found
-                    held.clear()
-                held.append(batch.slice(a, b - a))
-        if held and (found := done()) is not None:
+            start = int(change[-1]) if len(change) else 0
+            held.append(batch.slice(0, start) if start else batch)
+            if start:  # all tiles before the last one are complete
+                if (found := compare(pa.Table.from_batches(held))) is not None:
+                    yield found
+                held = [batch.slice(start)]
+        if held and (found := compare(pa.Table.from_batches(held))) is not None:
             yield found
 
     return run
@@ -272,12 +312,17 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     signed = cut(signed.select("rid", "n", "bits").dropDuplicates(["rid"]))
     tile = Window.partitionBy("shingle").orderBy("n", "rid")
     before, after = (lambda c: F.lag(c).over(tile)), (lambda c: F.lead(c).over(tile))
-    near = rows.select("shingle", "rid", "n", before("rid").alias("p"), before("n").alias("pn"), after("rid").alias("q"), after("n").alias("qn"))
+    head = lambda c: F.first(c).over(tile)
+    near = rows.select(
+        "shingle", "rid", "n", before("rid").alias("p"), before("n").alias("pn"), after("rid").alias("q"), after("n").alias("qn"), head("rid").alias("h"), head("n").alias("hn")
+    )
     # without a neighbour of a fitting size a row has no partner in its tile; an equal neighbour is a repeated row
     fits_p = F.col("p").isNotNull() & (F.col("pn") * 100 >= F.col("n") * percent) & (F.col("p") != F.col("rid"))
     fits_q = F.col("q").isNotNull() & (F.col("n") * 100 >= F.col("qn") * percent) & (F.col("q") != F.col("rid"))
+    fits_h = (F.col("hn") * 100 >= F.col("n") * percent) & (F.col("h") != F.col("rid"))
     near = near.where(F.coalesce(fits_p, F.lit(False)) | F.coalesce(fits_q, F.lit(False)))
-    live = cut(near.select("shingle", "rid", "n", F.when(fits_p, F.col("p")).alias("p")))
+    # the first row of a tile is the partner where its size fits: links then form stars, which are joined up in few steps
+    live = cut(near.select("shingle", "rid", "n", F.when(fits_h, F.col("h")).when(fits_p, F.col("p")).alias("p")))
     pairs = live.where("p is not null").select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -304,10 +349,10 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
 
     links = verified(pairs)
     labels = connected(links)
-    most = 4
+    most, open_tiles = 4, live
     while True:
         # tiles that still hold more than one component
-        labelled = live.select("shingle", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left")
+        labelled = open_tiles.select("shingle", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "rid"))
         split = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         crossed = labelled.join(split.select("shingle", "rows"), "shingle")
@@ -325,17 +370,22 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
         # two salts in one tile: only pairs across them are new there
         side = F.when(lower == upper, F.lit(-1)).otherwise(F.col("salt"))
         banded = banded.select("shingle", "band", (lower * 1_000_000 + upper).alias("tile"), side.alias("side"), "guest", "rid", "n", "component")
-        dealt = banded.join(signed.select("rid", "bits"), "rid").repartition("shingle", "band", "tile").sortWithinPartitions("shingle", "band", "tile")
-        found = cut(dealt.mapInArrow(_tiles(percent, most), "a bigint, b bigint, ca bigint, cb bigint, more boolean").distinct())
+        dealt = banded.join(signed.select("rid", "bits"), "rid").repartition("shingle", "band", "tile").sortWithinPartitions("shingle", "band", "tile", "n", "rid")
+        found = cut(dealt.mapInArrow(_tiles(percent, most), "shingle bigint, a bigint, b bigint, ca bigint, cb bigint, more boolean"))
         new = verified(found.select("a", "b").distinct())
-        links = links.unionByName(new)
-        labels = connected(links)
-        held = found.where("more").select("ca", "cb").distinct()
-        now_a = labels.select(F.col("id").alias("ca"), F.col("component").alias("la"))
-        now_b = labels.select(F.col("id").alias("cb"), F.col("component").alias("lb"))
-        apart = held.join(now_a, "ca", "left").join(now_b, "cb", "left").where(F.coalesce("la", "ca") != F.coalesce("lb", "cb"))
-        if not apart.limit(1).count():
+        # links between components join the components up; labels follow
+        merged = connected(found.select("a", "b", "ca", "cb").distinct().join(new, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("__new"))
+        labels_now = labels.join(moved, "component", "left").select("id", F.coalesce("__new", "component").alias("component"))
+        labels = cut(labels_now.unionByName(merged.join(labels, "id", "left_anti")))
+        now_a = merged.select(F.col("id").alias("ca"), F.col("component").alias("la"))
+        now_b = merged.select(F.col("id").alias("cb"), F.col("component").alias("lb"))
+        held = found.where("more").select("shingle", "ca", "cb").join(now_a, "ca", "left").join(now_b, "cb", "left")
+        again = cut(held.where(F.coalesce("la", "ca") != F.coalesce("lb", "cb")).select("shingle").distinct(), light=True)
+        if not again.limit(1).count():
             break
+        # only tiles that held pairs of components back which are still apart are looked at again
+        open_tiles = live.join(again, "shingle", "left_semi")
         most *= 16
     named = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("n", "high", "low", F.coalesce("component", "rid").alias("component_id"))
     out = sets.select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
