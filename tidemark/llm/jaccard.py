@@ -18,8 +18,11 @@ PERCENT = 75
 SAMPLE = 20_000
 #: a shingle in so many different sampled texts is frequent
 FREQUENT = 2
+#: pairs of two components that a tile hands on for verification before their whole sets are compared in it
+NEAREST = 4
 #: rows of a tile side
 TILE = 2_000
+_TILE = ("shingle", "band", "tile")
 _U = np.uint64
 
 
@@ -39,13 +42,13 @@ def shingle_sets(texts: pa.Array, gram: int) -> list[np.ndarray]:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles per hash cell, about two cells per shingle, as a power of two of 64-bit words.
+    """Parity of the shingles per hash cell, four to eight cells per shingle, as a power of two of 64-bit words.
 
     Two sets differ in at least as many shingles as their parities differ in cells: that bounds the overlap from above. A bitmap folds
     to a shorter one by exclusive or of its halves.
     """
     words = 1
-    while words * 64 < 2 * len(shingles):
+    while words * 64 < 4 * len(shingles):
         words *= 2
     cells = mix(shingles ^ _U(0x5851F42D4C957F2D)) & _U(64 * words - 1)
     flips = np.bincount(cells.astype(np.int64), minlength=64 * words) & 1
@@ -227,12 +230,10 @@ def _tiles(percent: int, most: int):
     Rows are compared with the rows 1, 2, 3 … places behind them in their tile, all tiles of a batch at once, as long as the sizes fit.
     Per tile and pair of components at most ``most`` pairs, nearest bounds first, and whether more were held back.
     """
-    names = ("shingle", "band", "tile")
-
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         rows = rows.combine_chunks()
         n, rid, comp, side, guest = (rows.column(k).to_numpy() for k in ("n", "rid", "component", "side", "guest"))
-        keys = [rows.column(k).to_numpy() for k in names]
+        keys = [rows.column(k).to_numpy() for k in _TILE]
         tile = np.concatenate([[0], np.cumsum(sum(np.diff(k) != 0 for k in keys) > 0)])
         flat, first, width = _words(rows.column("bits").combine_chunks() if rows.column("bits").num_chunks != 1 else rows.column("bits").chunk(0))
         starts = np.flatnonzero(np.concatenate([[True], np.diff(tile) != 0]))
@@ -254,23 +255,78 @@ def _tiles(percent: int, most: int):
                 pairs.add(tile[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ, rid[i], rid[j], np.zeros(len(i), bool))
         return pairs.batch(keys[0][starts])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # ends with the tile that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names]
-            change = np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1
-            start = int(change[-1]) if len(change) else 0
-            held.append(batch.slice(0, start) if start else batch)
-            if start:  # all tiles before the last one are complete
-                if (found := compare(pa.Table.from_batches(held))) is not None:
-                    yield found
-                held = [batch.slice(start)]
-        if held and (found := compare(pa.Table.from_batches(held))) is not None:
-            yield found
+    return lambda batches: _by_tile(batches, compare)
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], compare, alone: bool = False) -> Iterator[pa.RecordBatch]:
+    """Call ``compare`` with complete tiles of a stream sorted by tile: many at a time, or each ``alone``."""
+    held: list[pa.RecordBatch] = []  # ends with the tile that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in _TILE]
+        change = (np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1).tolist()
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            if any(last.column(last.schema.get_field_index(k))[0].as_py() != v[0] for k, v in zip(_TILE, keys, strict=True)):
+                change = [0, *change]
+        start = 0
+        for stop in change if alone else change[-1:]:
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+            if (found := compare(pa.Table.from_batches(held))) is not None:
+                yield found
+            held, start = [], stop
+        held.append(batch.slice(start))
+    if held and (found := compare(pa.Table.from_batches(held))) is not None:
+        yield found
+
+
+def _spanning(percent: int, block: int = 8192):
+    """Links between different components of a tile, found by exact intersections, no more than it takes to join them up.
+
+    Shingles that only one row of the tile has cannot be shared and are left out; the others are bits of a row, a block of them at a time.
+    """
 
-    return run
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
+        n, rid, comp, side, guest = (rows.column(k).to_numpy() for k in ("n", "rid", "component", "side", "guest"))
+        if len(n) < 2 or comp.min() == comp.max():
+            return None
+        lists = rows.column("shingles").combine_chunks() if rows.column("shingles").num_chunks != 1 else rows.column("shingles").chunk(0)
+        values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy())
+        _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        keep = count[code] > 1
+        code, owner = place[code[keep]], owner[keep]
+        common = np.zeros((len(n), len(n)), np.int32)
+        for lo in range(0, int(place[-1]) + 1, block):
+            here = (code >= lo) & (code < lo + block)
+            dense = np.zeros((len(n), block), bool)
+            dense[owner[here], code[here] - lo] = True
+            bits = np.packbits(dense, axis=1).view(_U)
+            for i in range(len(n) - 1):
+                common[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int32)
+        i, j = np.nonzero(np.triu(100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common), 1) & (comp[:, None] != comp[None, :]))
+        fine = ((side[i] != side[j]) | (side[i] < 0)) & ~(guest[i] & guest[j])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for u, v in zip(i[fine].tolist(), j[fine].tolist(), strict=True):
+            x, y = find(int(comp[u])), find(int(comp[v]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(comp[u]), int(comp[v])))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return lambda batches: _by_tile(batches, compare, alone=True)
 
 
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, sample: int = SAMPLE) -> DataFrame:
@@ -283,8 +339,9 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     3. Neighbours by size in a tile are checked first: bitmaps bound their overlap, then the sorted arrays are intersected. Groups of near copies
        become components here, at a cost linear in their rows.
     4. What is left of a tile are pairs of different components. Their bitmaps are compared inside tiles of bounded size (large ones
-       are salted); for two components the nearest few pairs of a tile are verified first. Where a tile held pairs back and the components are
-       still apart, the number is raised until nothing is held back. So no link between components is lost.
+       are banded and salted); for two components the nearest few pairs of a tile are verified. Where a tile held pairs back and the
+       components are still apart, their rows meet in that tile once more with their whole sets, and every pair is intersected. So
+       no link between components is lost.
 
     Null and blank texts have empty sets and link to nothing. Repeated rows are copies. A null doc_id is never a link; it gets
     a null component. Other columns are ignored. An empty table gives no rows.
@@ -325,13 +382,9 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     live = cut(near.select("shingle", "rid", "n", F.when(fits_h, F.col("h")).when(fits_p, F.col("p")).alias("p")))
     pairs = live.where("p is not null").select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
-        left = signed.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-        right = signed.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
-        maybe = cut(both.mapInArrow(_bounded(percent), "a bigint, b bigint"))
-        ids = cut(maybe.select(F.col("a").alias("rid")).union(maybe.select("b")).distinct().join(heads, "rid"))
+    def sets_of(wanted_ids: DataFrame) -> DataFrame:
+        """rid and sorted shingles of some representatives, from their texts."""
+        ids = cut(wanted_ids.join(heads, "rid"))
         wanted = bit_filter(ids, "rid")
         sent = spark.sparkContext.broadcast(wanted)
 
@@ -342,51 +395,68 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
         if wanted is None:  # too many for a filter: the texts themselves are joined
             source = source.join(ids, ["rid", "__text"], "left_semi")
         arrays = source.mapInArrow(chosen, "rid bigint, __text bigint, shingles array<bigint>")
-        arrays = cut(arrays.join(ids, ["rid", "__text"], "left_semi").drop("__text").dropDuplicates(["rid"]))
+        return cut(arrays.join(ids, ["rid", "__text"], "left_semi").drop("__text").dropDuplicates(["rid"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link."""
+        left = signed.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        right = signed.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
+        maybe = cut(both.mapInArrow(_bounded(percent), "a bigint, b bigint"))
+        arrays = sets_of(maybe.select(F.col("a").alias("rid")).union(maybe.select("b")).distinct())
         both = maybe.join(arrays.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
         both = both.join(arrays.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
         return cut(both.mapInArrow(_exact(percent), "a bigint, b bigint"))
 
     links = verified(pairs)
     labels = connected(links)
-    most, open_tiles = 4, live
-    while True:
-        # tiles that still hold more than one component
-        labelled = open_tiles.select("shingle", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "rid"))
+    width = float(np.log(100 / percent))
+
+    def dealt(labelled: DataFrame, extra: DataFrame) -> DataFrame:
+        """Rows of the tiles that hold several components, with the columns of ``extra``, sorted by tile and size.
+
+        Large tiles are banded by size (a band meets itself and the next one: every row is at home in its band and a guest in the band
+        below) and salted (two salts in one tile: only pairs across them are new there).
+        """
         split = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
         crossed = labelled.join(split.select("shingle", "rows"), "shingle")
         large = F.col("rows") > TILE
-        width = float(np.log(100 / percent))
         band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.lit(width))).otherwise(F.lit(0)).cast("int")
-        crossed = crossed.withColumn("home", band)
-        # in a large tile a band meets itself and the next one: every row is at home in its band and a guest in the band below
         bands = F.when(large, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array(F.col("home")))
-        banded = crossed.withColumn("band", F.explode(bands)).withColumn("guest", F.col("band") < F.col("home"))
-        salts = F.ceil(F.col("rows") / F.lit(TILE)).cast("int")
-        banded = banded.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts").cast("long")).cast("int"))
+        banded = crossed.withColumn("home", band).withColumn("band", F.explode(bands)).withColumn("guest", F.col("band") < F.col("home"))
+        banded = banded.withColumn("salts", F.ceil(F.col("rows") / F.lit(TILE)).cast("int"))
+        banded = banded.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts").cast("long")).cast("int"))
         banded = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         lower, upper = F.least("salt", "other"), F.greatest("salt", "other")
-        # two salts in one tile: only pairs across them are new there
         side = F.when(lower == upper, F.lit(-1)).otherwise(F.col("salt"))
         banded = banded.select("shingle", "band", (lower * 1_000_000 + upper).alias("tile"), side.alias("side"), "guest", "rid", "n", "component")
-        dealt = banded.join(signed.select("rid", "bits"), "rid").repartition("shingle", "band", "tile").sortWithinPartitions("shingle", "band", "tile", "n", "rid")
-        found = cut(dealt.mapInArrow(_tiles(percent, most), "shingle bigint, a bigint, b bigint, ca bigint, cb bigint, more boolean"))
-        new = verified(found.select("a", "b").distinct())
-        # links between components join the components up; labels follow
-        merged = connected(found.select("a", "b", "ca", "cb").distinct().join(new, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return banded.join(extra, "rid").repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "rid")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        out = rows.select("shingle", "rid", "n").join(labels.withColumnRenamed("id", "rid"), "rid", "left")
+        return out.withColumn("component", F.coalesce("component", "rid"))
+
+    def relabelled(labels: DataFrame, between: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links between components join the components up; labels follow."""
+        merged = connected(between)
         moved = merged.select(F.col("id").alias("component"), F.col("component").alias("__new"))
-        labels_now = labels.join(moved, "component", "left").select("id", F.coalesce("__new", "component").alias("component"))
-        labels = cut(labels_now.unionByName(merged.join(labels, "id", "left_anti")))
-        now_a = merged.select(F.col("id").alias("ca"), F.col("component").alias("la"))
-        now_b = merged.select(F.col("id").alias("cb"), F.col("component").alias("lb"))
-        held = found.where("more").select("shingle", "ca", "cb").join(now_a, "ca", "left").join(now_b, "cb", "left")
-        again = cut(held.where(F.coalesce("la", "ca") != F.coalesce("lb", "cb")).select("shingle").distinct(), light=True)
-        if not again.limit(1).count():
-            break
-        # only tiles that held pairs of components back which are still apart are looked at again
-        open_tiles = live.join(again, "shingle", "left_semi")
-        most *= 16
+        now = labels.join(moved, "component", "left").select("id", F.coalesce("__new", "component").alias("component"))
+        return cut(now.unionByName(merged.join(labels, "id", "left_anti")), light=True), merged
+
+    tiles = dealt(labelled(live), signed.select("rid", "bits"))
+    found = cut(tiles.mapInArrow(_tiles(percent, NEAREST), "shingle bigint, a bigint, b bigint, ca bigint, cb bigint, more boolean"))
+    new = verified(found.select("a", "b").distinct())
+    labels, merged = relabelled(labels, found.select("a", "b", "ca", "cb").distinct().join(new, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    # components that a tile held pairs of back and that are still apart: their rows meet there again, with their whole sets
+    now_a = merged.select(F.col("id").alias("ca"), F.col("component").alias("la"))
+    now_b = merged.select(F.col("id").alias("cb"), F.col("component").alias("lb"))
+    held = found.where("more").select("shingle", "ca", "cb").join(now_a, "ca", "left").join(now_b, "cb", "left")
+    held = held.select("shingle", F.coalesce("la", "ca").alias("la"), F.coalesce("lb", "cb").alias("lb")).where("la <> lb")
+    held = cut(held.select("shingle", F.explode(F.array("la", "lb")).alias("component")).distinct(), light=True)
+    if held.limit(1).count():
+        rows = cut(labelled(live).join(held, ["shingle", "component"], "left_semi"))
+        spanning = cut(dealt(rows, sets_of(rows.select("rid").distinct())).mapInArrow(_spanning(percent), "a bigint, b bigint"), light=True)
+        labels, _ = relabelled(labels, spanning)
     named = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("n", "high", "low", F.coalesce("component", "rid").alias("component_id"))
     out = sets.select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
