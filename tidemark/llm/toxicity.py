@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
 from tidemark.llm.labelled import fold, labelled_sample, logistic, sigmoid
-from tidemark.llm.words import ALNUM, located_words
+from tidemark.llm.words import ALNUM, located_words, mix
 
 FOLDS, HELD_OUT = 3, 1
 #: most labelled rows that are fitted on
-MOST_LABELLED = 8_000
+MOST_LABELLED = 4_000
 #: most documents of either label whose words train the chain
 MOST_CHAINS = 700
 #: bytes of the word beginnings that are features beside the word
@@ -105,10 +105,10 @@ def _keys(words: np.ndarray, heads: list[np.ndarray]) -> np.ndarray:
 def _places(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     unknown = len(vocabulary)
     if not unknown:
-        return np.zeros(len(keys), np.int64)
+        return np.zeros(len(keys), np.int32)
     at = np.searchsorted(vocabulary, keys)
     at[at == unknown] = 0
-    return np.where(vocabulary[at] == keys, at, unknown)
+    return np.where(vocabulary[at] == keys, at, unknown).astype(np.int32)
 
 
 def _features(keys: np.ndarray, starts: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -140,11 +140,17 @@ def tag_words(keys: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> np.nda
     """Word tags from document labels: words and beginnings that go with label 1 (by distinct left neighbours) are tagged where it is 1."""
     left = np.zeros_like(keys[0])
     left[1:] = np.where(starts[1:], 0, keys[0][:-1])
+    left = mix(left)
     tags = np.zeros(len(left), bool)
     for own in keys if len(left) else []:
-        pairs = np.unique(np.rec.fromarrays([own, left, toxic], names="w,l,y"))
-        seen, place = np.unique(pairs["w"], return_inverse=True)
-        ones, total = np.bincount(place, pairs["y"], len(seen)), np.bincount(place, minlength=len(seen))
+        seen = np.unique(own[toxic])
+        contexts = []
+        for side in (toxic, ~toxic):
+            w = own[side]
+            w, l = (x[np.isin(w, seen)] for x in (w, left[side]))
+            _, first = np.unique(w * _U(0x9E3779B97F4A7C15) ^ l, return_index=True)
+            contexts.append(np.bincount(np.searchsorted(seen, w[first]), minlength=len(seen)))
+        ones, total = contexts[0], contexts[0] + contexts[1]
         tags |= np.isin(own, seen[(ones >= LEAST_CONTEXTS) & (ones >= LEAST_SHARE * total)])
     return tags & toxic
 
@@ -178,8 +184,12 @@ def fit(keys: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rounds: int =
         weights += step[:-5].reshape(weights.shape)
         bias += step[-5]
         trans += step[-4:].reshape(2, 2)
-    p, _ = marginals(_score(_features(keys, starts, vocabulary), weights, bias), starts, trans)
-    return Chain(vocabulary, weights, bias, trans, logistic(_summary(p, offsets), toxic.astype(float)))
+    found = [np.zeros((0, 2))]
+    for i in range(0, len(toxic), 200):
+        a, b = offsets[i], offsets[min(i + 200, len(toxic))]
+        p, _ = marginals(_score(_features(keys[:, a:b], starts[a:b], vocabulary), weights, bias), starts[a:b], trans)
+        found.append(_summary(p, offsets[i : i + 201] - a))
+    return Chain(vocabulary, weights, bias, trans, logistic(np.concatenate(found), toxic.astype(float)))
 
 
 def _score(features: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
