@@ -41,26 +41,31 @@ def _chunks(pooled: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[~last | single], offsets
 
 
-def _blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte of every block, offsets of each document's blocks); a document has one block at least."""
-    count = np.maximum(1, -(-lengths // STRIDE))
-    blocks = np.concatenate([[0], np.cumsum(count)])
-    owner = np.repeat(np.arange(len(lengths)), count)
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    return begin[owner] + STRIDE * (np.arange(blocks[-1]) - blocks[owner]), blocks
+class Bytes(NamedTuple):
+    """Texts end to end, each with ``WIDTH`` zero bytes behind it; a text of n bytes has n + 1 filter positions."""
+
+    data: np.ndarray
+    starts: np.ndarray  # first position of each block
+    blocks: np.ndarray  # offsets of each text's blocks, one at least
+    void: np.ndarray  # positions at which a filter would reach into the next text
 
 
-def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, lengths) with WIDTH zero bytes behind every text, so that no filter sees two texts and none is empty."""
+def padded(texts: pa.Array) -> Bytes:
     raw, offsets = text_bytes(texts)
-    lengths = np.diff(offsets)
-    out = np.zeros(len(raw) + WIDTH * len(lengths), np.uint8)
-    out[np.arange(len(raw)) + WIDTH * np.repeat(np.arange(len(lengths)), lengths)] = raw
-    return out, lengths + WIDTH
+    lengths, places = np.diff(offsets), np.arange(len(offsets) - 1)
+    data = np.zeros(len(raw) + WIDTH * len(lengths), np.uint8)
+    data[np.arange(len(raw)) + WIDTH * np.repeat(places, lengths)] = raw
+    begin = offsets[:-1] + WIDTH * places
+    count = lengths // STRIDE + 1
+    blocks = np.concatenate([[0], np.cumsum(count)])
+    starts = np.repeat(begin, count) + STRIDE * (np.arange(blocks[-1]) - np.repeat(blocks[:-1], count))
+    void = ((begin + lengths)[:, None] + np.arange(1, WIDTH)).ravel()
+    return Bytes(data, starts, blocks, void)
 
 
-def pooled_blocks(data: np.ndarray, starts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], step: int = 512) -> np.ndarray:
+def pooled_blocks(text: Bytes, pairs: tuple[np.ndarray, np.ndarray], step: int = 512) -> np.ndarray:
     """Largest response of each filter in each block; ``pairs`` hold the responses to two bytes at a time."""
+    data, starts = text.data, text.starts
     two = np.zeros(len(data) + WIDTH, np.uint8)
     two[: len(data)] = data
     code = two[:-1].astype(np.uint16) << 8 | two[1:]
@@ -70,6 +75,7 @@ def pooled_blocks(data: np.ndarray, starts: np.ndarray, pairs: tuple[np.ndarray,
         b = starts[i + step] if i + step < len(starts) else len(data)
         seen = pairs[0][code[a:b]]
         seen += pairs[1][code[a + 2 : b + 2]]
+        seen[text.void[np.searchsorted(text.void, a) : np.searchsorted(text.void, b)] - a] = -1e9
         out[i : i + step] = np.maximum.reduceat(seen, starts[i : i + step] - a, axis=0)
     return out
 
@@ -80,9 +86,10 @@ def _pairs(filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunk_values(texts: pa.Array, net: Network, pairs) -> np.ndarray:
     """Per document: mean, largest and smallest value of its chunks."""
-    data, lengths = padded(texts)
-    starts, blocks = _blocks(lengths)
-    chunks, offsets = _chunks(pooled_blocks(data, starts, pairs), blocks)
+    if not len(texts):
+        return np.zeros((0, 3))
+    text = padded(texts)
+    chunks, offsets = _chunks(pooled_blocks(text, pairs), text.blocks)
     z = np.maximum(chunks, 0) @ net.out[:-1] + net.out[-1]
     at = offsets[:-1]
     return np.column_stack([np.add.reduceat(z, at) / np.diff(offsets), np.maximum.reduceat(z, at), np.minimum.reduceat(z, at)])
@@ -104,14 +111,15 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7
         rng.shuffle(rows)
         for i in range(0, len(rows), 32):
             batch = rows[i : i + 32]
-            data, lengths = padded(texts.take(pa.array(batch)))
-            starts, blocks = _blocks(lengths)
+            data, starts, blocks, void = padded(texts.take(pa.array(batch)))
             ahead = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
             seen = sum(filters[j][ahead[j : j + len(data)]] for j in range(WIDTH))
-            count = np.diff(np.append(starts, len(data)))
+            fine = np.ones(len(data), bool)
+            fine[void] = False
+            at = np.flatnonzero(fine)
+            row = np.searchsorted(starts, at, side="right") - 1
             whole = np.full((len(starts), STRIDE, FILTERS), -1e9)
-            row, place = np.repeat(np.arange(len(starts)), count), np.arange(len(data)) - np.repeat(starts, count)
-            whole[row, place] = seen
+            whole[row, at - starts[row]] = seen[at]
             best = whole.argmax(axis=1)
             pooled = np.take_along_axis(whole, best[:, None, :], 1)[:, 0]
             hit = np.maximum(pooled, 0)
