@@ -15,8 +15,9 @@ from tidemark.operators.series import BARS, Axis, checked, following, pct_change
 from tidemark.operators.sessions import anchored_vwap, sensitivity_proxies, volume_delta
 from tidemark.operators.tables import with_group_size
 from tidemark.plans.catalog.portfolio import FAMILY, IBANDS, market, returns
+from tidemark.operators.recurrences import span
 from tidemark.plans.catalog.windows import P, SEL, frame, roll
-from tidemark.plans.registry import num, nums, qnum, qnums, query, text, with_ctes
+from tidemark.plans.registry import ewm_sql, num, nums, qnum, qnums, query, text, with_ctes
 from tidemark.sources import bindings as b
 
 POINTS = ex.grid(fast=[5, 10], slow=[20, 40])
@@ -379,7 +380,26 @@ def session_patterns(spark, d):
     return df.select("symbol", text("ts"), *nums("orb_high", "orb_low"), "gap_up", "gap_down", "bear_div", "bull_div", "orb_long")
 
 
-@query("entry_rules", "G9 G8", None)
+WAITS = {"vwap_reversion": 10, "opening_range": 10, "gap_fill": 10, "delta_divergence": 30, "vwap_pullback": 20}
+ENTRIES = [(f"{n}_{s}", w) for n, w in WAITS.items() for s in ("long", "short")]
+DAY = "(PARTITION BY symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+RULES = f"""k0 AS (SELECT *, lag(close) OVER ({P}) AS c0, lag(day) OVER ({P}) AS d1, row_number() OVER ({P}) AS rn, coalesce(close / lag(close, 10) OVER ({P}) - 1, 0) AS dp FROM intraday),
+ k1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS kb, sum(CASE WHEN close > c0 THEN volume WHEN close < c0 THEN -volume ELSE 0 END) OVER {DAY} AS cd, sum(close * volume) OVER {DAY} / sum(volume) OVER {DAY} AS vwap FROM k0),
+ {ewm_sql("k1", {"ds": ("dp", span(10))})},
+ k2 AS (SELECT k1.*, ds, coalesce(stddev_samp(close - vwap) OVER {DAY}, 0) AS sd, max(abs(ds)) OVER {frame(20)} AS dmax, max(CASE WHEN kb <= 6 THEN high END) OVER (PARTITION BY symbol, day) AS oh, min(CASE WHEN kb <= 6 THEN low END) OVER (PARTITION BY symbol, day) AS ol,
+  CASE WHEN day <> d1 THEN open / c0 - 1 END AS gap, {roll("max", "high", 20)} AS ph, {roll("min", "low", 20)} AS pl, {roll("max", "cd", 20)} AS ch, {roll("min", "cd", 20)} AS cl FROM k1 JOIN ew USING (symbol, rn)),
+ k3 AS (SELECT *, coalesce(greatest(-1, least(1, ds / (CASE WHEN dmax = 0 THEN 0.001 ELSE dmax END))), 0) AS dn, 100 * (close - vwap) / vwap AS vd FROM k2),
+ k4 AS (SELECT symbol, ts, rn, coalesce(close < vwap - 2 * sd, false) AS vwap_reversion_long, coalesce(close > vwap + 2 * sd, false) AS vwap_reversion_short,
+  coalesce(close > lag(oh) OVER ({P}) AND kb > 6, false) AS opening_range_long, coalesce(close < lag(ol) OVER ({P}) AND kb > 6, false) AS opening_range_short,
+  coalesce(max(CASE WHEN gap < -0.003 THEN 1 ELSE 0 END) OVER {frame(41)} > 0, false) AND kb > 1 AS gap_fill_long, coalesce(max(CASE WHEN gap > 0.003 THEN 1 ELSE 0 END) OVER {frame(41)} > 0, false) AND kb > 1 AS gap_fill_short,
+  coalesce(low <= lag(pl) OVER ({P}) AND cd > lag(cl, 5) OVER ({P}), false) AS delta_divergence_long, coalesce(high >= lag(ph) OVER ({P}) AND cd < lag(ch, 5) OVER ({P}), false) AS delta_divergence_short,
+  coalesce(count(*) OVER {frame(10)} >= 5 AND max(CASE WHEN vd > 1.5 AND dn > 0.2 THEN 1 ELSE 0 END) OVER {frame(10)} > 0 AND abs(vd) < 0.3 AND close > c0, false) AS vwap_pullback_long,
+  coalesce(count(*) OVER {frame(10)} >= 5 AND max(CASE WHEN vd < -1.5 AND dn < -0.2 THEN 1 ELSE 0 END) OVER {frame(10)} > 0 AND abs(vd) < 0.3 AND close < c0, false) AS vwap_pullback_short FROM k3),
+ r AS (SELECT symbol, ts, rn, {", ".join(f"{n} AS e_{n}, CASE WHEN {n} THEN rn ELSE -1000000 END AS l_{n}" for n, _ in ENTRIES)} FROM k4 WHERE rn = 1 UNION ALL
+  SELECT k4.symbol, k4.ts, k4.rn, {", ".join(f"{n} AND k4.rn - l_{n} >= {w}, CASE WHEN {n} AND k4.rn - l_{n} >= {w} THEN k4.rn ELSE l_{n} END" for n, w in ENTRIES)} FROM r JOIN k4 ON k4.symbol = r.symbol AND k4.rn = r.rn + 1)"""
+
+
+@query("entry_rules", "G9 G8", with_ctes("intraday", RULES + f""" {SEL}, {", ".join(f"e_{n} AS entry_{n}" for n, _ in ENTRIES)} FROM r"""))
 def entry_rules(spark, d):
     df = volume_delta(anchored_vwap(b.intraday(spark, d)))
     df = sensitivity_proxies(ms.opening_range(df))
