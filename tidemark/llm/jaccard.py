@@ -464,11 +464,17 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id, once; documents without words stay. Same columns."""
-    keep = near_duplicates(docs, **options).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    """Of every group of near duplicates the document with the smallest id, once; documents without words stay. Same columns.
+
+    Texts are shuffled once, by the join with the kept ids. Rows that repeat an id and text are thinned out only where ids repeat at all.
+    """
+    near = cut(near_duplicates(docs, **options))
+    keep = near.where("doc_id is null or n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]"))
-    twice = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    known = kept.where(F.col("doc_id").isNotNull() & (F.coalesce(words, F.lit(0)) > 0)).withColumn("__nth", F.row_number().over(twice)).where("__nth = 1").drop("__nth")
-    rest = kept.where(F.col("doc_id").isNull() | (F.coalesce(words, F.lit(0)) == 0))
-    return known.unionByName(rest)
+    again = cut(near.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), light=True)
+    if not again.limit(1).count():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col("__again")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text", F.length("text"))).orderBy("source"))
+    once = kept.join(again, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return kept.join(again, same, "left_anti").unionByName(once)
