@@ -18,8 +18,8 @@ PERCENT = 75
 SAMPLE = 20_000
 #: a shingle in so many different sampled texts is frequent
 FREQUENT = 2
-#: pairs of two components that a tile hands on for verification before their whole sets are compared in it
-NEAREST = 4
+#: pairs of two components that a tile hands on for verification; if they stay apart, all their pairs are intersected in the tile
+NEAREST = 1
 #: rows of a tile side
 TILE = 2_000
 _TILE = ("shingle", "band", "tile")
