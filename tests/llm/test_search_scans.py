@@ -50,6 +50,81 @@ def test_licence_rules(spark):
     assert licenses.licence_scan(corpus.documents(spark)).count() == len(corpus.rows()) and licenses.licence_scan(corpus.documents(spark, [])).count() == 0
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+
+
+def test_verbatim_notices(spark):
+    by = "Copyright (c) 2020 Some Name"
+    texts = {
+        "MIT": ["MIT License\n\n" + by + "\n\n" + MIT, by + "\n" + MIT, by + "\r\n\r\n" + MIT.replace("\n", "\r\n")],
+        "ISC": [by + "\n\n" + ISC, "ISC License\n" + by + "\n" + ISC],
+        "BSD-2-Clause": [by + "\n\n" + BSD, by + "\nAll rights reserved.\n\n" + BSD],
+        "BSD-3-Clause": [by + "\n\n" + BSD + ENDORSE, "".join(f" * {x}\n" for x in (by + "\n\n" + BSD + ENDORSE).split("\n"))],
+        "GPL-3.0-or-later": [by + "\n\n" + GPL.format(":"), by + "\n" + GPL.format(";")],
+        "MPL-2.0": [MPL, "words before\n" + MPL],
+    }
+    data = [(n, k, t) for n, (k, t) in enumerate((k, t) for k, many in texts.items() for t in many)]
+    # both readings in one text, and a known sentence inside of another one
+    data += [(100, "Apache-2.0 MIT", "Released under the MIT License\nmore words\nLicensed under the Apache License,\nVersion 2.0."), (101, "", "It is not released under the MIT license of ours.")]
+    got = {r.doc_id: r.licences for r in licenses.licence_scan(corpus.simple(spark, [(n, t) for n, _, t in data])).collect()}
+    assert got == {n: k.split() for n, k, _ in data}
+
+
 def test_licence_tables():
     names = [s for _, run in licenses.RULES for s in run]
     assert set(names) == set(licenses.SENTENCES)

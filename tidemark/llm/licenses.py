@@ -93,23 +93,31 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: every known sentence holds one of these, so other texts need no splitting
 HINTS = ("licen", "permission", "copyright", "warrant", "redistribut", "compliance", "subject to the terms")
-_BLANKS = r"[\x09-\x0D\x20]+"
+#: between two words of a known sentence: blanks, line ends and stops alike
+_GAP = r"[^a-z0-9]++"
+#: in the gap before or behind a known sentence: a line end, or one of . ! ? ; : before a blank
+_STOP = r"[^a-z0-9]*?(?:[\n\r]|[.!?;:][\x09-\x0D\x20])"
 
 
 def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def sentences(c: Column) -> Column:
-    """Normalised sentences: a sentence ends at . ! ? ; or : before a blank."""
-    marked = F.regexp_replace(F.regexp_replace(c, _BLANKS, " "), "([.!?;:]) ", "$1\n")
-    return F.transform(F.split(marked, "\n"), normalised)
+def sentence_pattern() -> str:
+    """Group 1: a known sentence that begins and ends at a stop, a line end or an end of the text.
+
+    Stops and line ends inside of it do not matter: official notices have some ("free software: you can", "v. 2.0").
+    """
+    texts = sorted((t for texts in SENTENCES.values() for t in texts), key=lambda t: (-len(t), t))
+    known = "|".join(t.replace(" ", _GAP) for t in texts)
+    begin = rf"(?:^[^a-z0-9]*+|(?<=[a-z0-9])(?={_STOP})[^a-z0-9]++)"
+    return rf"{begin}({known})(?=[^a-z0-9]*+\z|{_STOP})"
 
 
 def recognised(c: Column) -> Column:
     """Identifiers of the known sentences, in order."""
     known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
-    return F.filter(F.transform(sentences(c), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(sentence_pattern()), F.lit(1)), lambda s: F.try_element_at(known, normalised(s)))
 
 
 def matched(ids: Column) -> Column:
@@ -130,15 +138,13 @@ def matched(ids: Column) -> Column:
 def licence_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids (list, in order), licences (list, in rule order).
 
-    Sentences are looked for twice: in the whole text, where a sentence may run over line ends, and line by line, where
-    a notice needs no full stop before it. The line reading counts where it knows more sentences. Null, empty and other texts without a
+    A known sentence counts where it begins and ends at a stop, a line end or an end of the text, so it may run over line ends, and
+    neither a notice nor the copyright line above a grant needs a full stop. Null, empty and other texts without a
     known sentence have empty lists. Repeated rows give repeated rows; other columns are ignored. One scan, no shuffle.
     """
     none = F.expr("cast(array() as array<string>)")
-    hinted = F.coalesce(F.lower("text").rlike("|".join(HINTS)) , F.lit(False))
-    lines = F.filter(F.split("text", "[\n\r]+"), lambda x: F.lower(x).rlike("|".join(HINTS)))
-    rows = docs.select("doc_id", F.when(hinted, recognised(F.col("text"))).otherwise(none).alias("whole"), F.when(hinted, F.flatten(F.transform(lines, recognised))).otherwise(none).alias("lined"))
-    rows = rows.select("doc_id", F.when(F.size("lined") > F.size("whole"), F.col("lined")).otherwise(F.col("whole")).alias("sentence_ids"))
+    hinted = F.coalesce(F.lower("text").rlike("|".join(HINTS)), F.lit(False))
+    rows = docs.select("doc_id", F.when(hinted, recognised(F.col("text"))).otherwise(none).alias("sentence_ids"))
     return rows.withColumn("licences", F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))).otherwise(none))
 
 
