@@ -59,6 +59,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def text_key(text: Column | str = "text") -> Column:
+    """A 64-bit hash that stands for a text beside its id."""
+    return F.xxhash64(text, F.length(text))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in ``bad`` (doc_id, __text); same columns, null ids equal null ids."""
+    bad = bad.select(F.col("doc_id").alias("__bad_id"), F.col("__text").alias("__bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_key(docs["text"]) == F.col("__bad_text")), "left_anti")
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """A power of two of hash buckets so that even one group with all rows has bounded buckets."""
     n = 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FILTER_BITS, bit_filter, cut, in_filter, null_safe, slices
+from tidemark.llm.common import FILTER_BITS, bit_filter, cut, in_filter, null_safe, slices, text_key, without
 from tidemark.llm.words import ALNUM, gram_hashes, hashed_words
 
 WINDOW = 10
@@ -108,6 +108,11 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
     Null and empty texts have no words. Null item ids count as items named by the empty string. Repeated rows give repeated rows; equal items
     with different ids count apart. With an empty benchmark nothing is hit. Other columns are ignored.
     """
+    return _overlap(docs, benchmark, window, gram).drop("__text")
+
+
+def _overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``overlap`` with the ``text_key`` of each row as __text."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     known = cut(items.mapInArrow(_item_windows(window, gram), "item_id string, fingerprint bigint, window bigint, words int").distinct())
@@ -117,7 +122,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
     def scan(batches):
         yield from _candidates(window, gram, sizes, shared.value)(batches)
 
-    keyed = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("__text"), "text")
+    keyed = docs.select("doc_id", text_key().alias("__text"), "text")
     schema = f"doc_id {dict(keyed.dtypes)['doc_id']}, __text bigint, n_words bigint, hits array<{_HIT_SQL}>"
     scanned = cut(keyed.mapInArrow(scan, schema))
 
@@ -152,6 +157,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
     found = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return out.select(
         "doc_id",
+        "__text",
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(found).cast("long").alias("n_items"),
@@ -162,6 +168,8 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that share no window with the benchmark; same columns, repeated rows kept."""
-    bad = overlap(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that share no window with the benchmark; same columns, repeated rows kept.
+
+    Rows are judged by id and text: another text of the same id, or without an id, stays.
+    """
+    return without(docs, _overlap(docs, benchmark, **options).where("contaminated"))

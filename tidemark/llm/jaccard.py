@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FILTER_BITS, bit_filter, connected, cut, in_filter, slices
+from tidemark.llm.common import FILTER_BITS, bit_filter, connected, cut, in_filter, slices, text_key
 from tidemark.llm.words import BLANK, gram_hashes, hashed_words, mix
 
 GRAM = 5
@@ -344,10 +344,15 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
        no link between components is lost.
 
     Null and blank texts have empty sets and link to nothing. Repeated rows are copies. A null doc_id is never a link; it gets
-    a null component. Other columns are ignored. An empty table gives no rows.
+    a null component. Texts that share an id link apart from each other. Other columns are ignored. An empty table gives no rows.
     """
+    return _near_duplicates(docs, gram, percent, sample).drop("__text", "first")
+
+
+def _near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, sample: int = SAMPLE) -> DataFrame:
+    """``near_duplicates`` with the ``text_key`` of each row as __text, and whether the row is the one its component is named after."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.length("text")).alias("__text"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("__text"), "text")
     chance = min(1.0, sample / max(1, docs.count()))
     picked = keyed.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.lit(int(chance * 1_000_000)))
     seen = picked.dropDuplicates(["__text"]).select("text").mapInArrow(_counted(gram), "shingle bigint, n bigint")
@@ -362,9 +367,11 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
     sets = cut(keyed.mapInArrow(signatures, schema))
     full = sets.where("n > 0 and doc_id is not null").select("doc_id", "__text", "n", "high", "low")
     classes = full.groupBy("n", "high", "low").agg(F.min(F.struct("doc_id", "__text")).alias("head"))
-    classes = cut(classes.select("n", "high", "low", F.col("head.doc_id").alias("rid"), "head.__text"))
+    # a number per id and text: one id may head several classes
+    rid = F.xxhash64("doc_id", "__text")
+    classes = cut(classes.select("n", "high", "low", F.xxhash64("head.doc_id", "head.__text").alias("rid"), F.col("head.doc_id").alias("head_id"), F.col("head.__text").alias("__text")))
     heads = classes.select("rid", "__text")
-    signed = sets.withColumnRenamed("doc_id", "rid").join(heads, ["rid", "__text"], "left_semi")
+    signed = sets.where("doc_id is not null").withColumn("rid", rid).join(heads, ["rid", "__text"], "left_semi")
     rows = signed.select("rid", "n", F.explode("prefix").alias("shingle"))
     signed = cut(signed.select("rid", "n", "bits").dropDuplicates(["rid"]))
     tile = Window.partitionBy("shingle").orderBy("n", "rid")
@@ -391,7 +398,7 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
         def chosen(batches):
             yield from _chosen_sets(gram, sent.value)(batches)
 
-        source = keyed.select(F.col("doc_id").alias("rid"), "__text", "text").where("rid is not null")
+        source = keyed.where("doc_id is not null").select(rid.alias("rid"), "__text", "text")
         if wanted is None:  # too many for a filter: the texts themselves are joined
             source = source.join(ids, ["rid", "__text"], "left_semi")
         arrays = source.mapInArrow(chosen, "rid bigint, __text bigint, shingles array<bigint>")
@@ -457,24 +464,32 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, s
         rows = cut(labelled(live).join(held, ["shingle", "component"], "left_semi"))
         spanning = cut(dealt(rows, sets_of(rows.select("rid").distinct())).mapInArrow(_spanning(percent), "a bigint, b bigint"), light=True)
         labels, _ = relabelled(labels, spanning)
-    named = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("n", "high", "low", F.coalesce("component", "rid").alias("component_id"))
-    out = sets.select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = cut(named.select("n", "high", "low", "component", F.struct(F.col("head_id").alias("doc_id"), "__text").alias("head")), light=True)
+    names = named.groupBy("component").agg(F.min("head").alias("name"))
+    named = named.join(names, "component").select("n", "high", "low", "name")
+    out = sets.select("doc_id", "__text", "n", "high", "low").join(named, ["n", "high", "low"], "left")
+    component = F.when(F.col("n") > 0, F.col("name.doc_id")).otherwise(F.col("doc_id"))
+    first = (F.col("doc_id") == F.col("name.doc_id")) & (F.col("__text") == F.col("name.__text"))
+    return out.select(
+        "doc_id", "__text", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(first, F.lit(False)).alias("first")
+    )
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id, once; documents without words stay. Same columns.
 
-    Texts are shuffled once, by the join with the kept ids. Rows that repeat an id and text are thinned out only where ids repeat at all.
+    Texts are shuffled once, by the join with the kept ids and texts. Rows that repeat an id and text are thinned out only where there are any.
     """
-    near = cut(near_duplicates(docs, **options))
-    keep = near.where("doc_id is null or n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    again = cut(near.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), light=True)
+    near = cut(_near_duplicates(docs, **options))
+    keep = near.where("doc_id is null or n_shingles = 0 or first").select(F.col("doc_id").alias("__keep"), F.col("__text").alias("__kept")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (text_key() == F.col("__kept"))
+    kept = docs.join(keep, same, "left_semi")
+    again = near.where("first").groupBy("doc_id", "__text").count().where("count > 1")
+    again = cut(again.select(F.col("doc_id").alias("__again"), F.col("__text").alias("__same")), light=True)
     if not again.limit(1).count():
         return kept
-    same = F.col("doc_id").cast("long") == F.col("__again")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text", F.length("text"))).orderBy("source"))
+    same = (F.col("doc_id").cast("long") == F.col("__again")) & (text_key() == F.col("__same"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", text_key()).orderBy("source"))
     once = kept.join(again, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
     return kept.join(again, same, "left_anti").unionByName(once)

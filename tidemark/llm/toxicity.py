@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, text_key, without
 from tidemark.llm.labelled import fold, labelled_sample, logistic, sigmoid
 from tidemark.llm.words import ALNUM, located_words, mix
 
@@ -213,8 +213,8 @@ def _scorer(chain: Chain):
                 a, b = int(first[at] - begin[d]), int(last[at] - begin[d])
                 head = len(texts[int(d)][:a].decode())
                 spans[d].append({"start": head, "end": head + len(texts[int(d)][a:b].decode()), "marginal": float(p[at])})
-            keep = part.rows.column(part.rows.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([keep, pa.array(score), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "score", "spans"])
+            keep = part.rows.select(["doc_id", "__text"]).columns
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(score), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "__text", "score", "spans"])
 
     return run
 
@@ -229,6 +229,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, thre
     Null and empty texts have the score of a text without marked words. Without labelled rows all scores are 0.5. Repeated rows give repeated rows; other
     columns are ignored.
     """
+    return _toxicity(docs, labels, most, threshold).drop("__text")
+
+
+def _toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """``toxicity`` with the ``text_key`` of each row as __text."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most)
 
@@ -252,13 +257,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, thre
         yield from _scorer(chain.value)(batches)
 
     span = "array<struct<start:int,end:int,marginal:double>>"
-    scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, spans {span}")
+    keyed = docs.select("doc_id", text_key().alias("__text"), "text")
+    scored = keyed.mapInArrow(score, f"doc_id {kind}, __text bigint, score double, spans {span}")
     return scored.select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans"
+        "doc_id", "__text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans"
     )
 
 
 def acceptable_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic; same columns, repeated rows kept."""
-    bad = toxicity(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that are not predicted toxic; same columns, repeated rows kept.
+
+    Rows are judged by id and text: another text of the same id, or without an id, stays.
+    """
+    return without(docs, _toxicity(docs, labels, **options).where("predicted = 1"))
