@@ -215,3 +215,24 @@ def test_secret_edges(spark):
     got = secrets.secret_scan(corpus.documents(spark)).collect()
     assert all(r.secret and r.score == 1.0 for r in got)
     assert secrets.secret_scan(corpus.documents(spark, [])).count() == 0
+
+
+def test_unquoted_short_and_bare_secrets(spark):
+    rng = np.random.default_rng(21)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    every = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    forms = {
+        "unquoted": lambda: f"API_KEY={pick(every, 24)}", "env": lambda: f"export DB_PASSWORD={pick(every, 14)}", "short": lambda: f"password: {pick(every, 4)}!{pick(every, 5)}",
+        "letters": lambda: f"secret = '{pick(every[:48], 20)}'", "header": lambda: f"Authorization: Bearer {pick(every, 32)}", "cloud": lambda: f"see AKIA{pick('ABCDEFGHIJ234567', 16)} here",
+        "repository": lambda: f"ghp_{pick(every, 36)}", "address": lambda: f"postgres://user:{pick(every, 6)}@host/db", "quoted": lambda: f'token = "{pick("0123456789abcdef", 40)}"',
+        "commit": lambda: f"seen in commit {pick('0123456789abcdef', 40)} of the day",
+    }
+    data, kind = [], {}
+    for i in range(300):
+        k = list(forms)[i % len(forms)]
+        kind[i] = k
+        data.append((i, f"plain words before\n{forms[k]()}\nplain words behind"))
+    got = {r.doc_id for r in secrets.secret_scan(corpus.simple(spark, data)).where("secret").collect()}
+    recall = {k: sum(i in got for i in kind if kind[i] == k) / 30 for k in forms}
+    print(recall)
+    assert all(v >= 0.9 for k, v in recall.items() if k != "commit") and recall["commit"] <= 0.1
