@@ -170,3 +170,49 @@ def op8_secret_scan(spark, folder):
 
     rows = secret_scan(table(spark, folder, "documents").withColumn("path", F.col("source")))
     return rows.select("doc_id", "place", "nth", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score", "secret")
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT), lambda h, b:
+  list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(h, b)), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+f AS (SELECT *, rpad(role, 1, ' ')[1] AS init, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM (SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY pos) || init AS pair FROM f) GROUP BY conv_id),
+ins(s, t, cost, letters, added) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']),
+  (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+turns(s, init, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+walk AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS s, 0 AS cost, '' AS audit, []::VARCHAR[] AS kept FROM facts
+ UNION ALL
+ SELECT conv_id, pos, s, cost, audit, kept FROM (
+  SELECT w.conv_id, f.pos, e.t AS s, w.cost + i.cost + e.cost AS cost, w.audit || i.letters || e.letter AS audit, w.kept || i.added || e.made AS kept,
+   row_number() OVER (PARTITION BY w.conv_id, e.t ORDER BY w.cost + i.cost + e.cost, w.audit || i.letters || e.letter) AS best
+  FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN ins i ON i.s = w.s,
+  LATERAL (SELECT i.t AS t, 2 AS cost, 'D' AS letter, []::VARCHAR[] AS made
+   UNION ALL SELECT m.t, CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || f.text] FROM turns m WHERE m.s = i.t AND m.init = f.init AND f.fault NOT IN ('blank', 'duplicate')
+   UNION ALL SELECT m.t, CASE WHEN f.fault = 'truncated' THEN 6 ELSE 1 END, 'R', [CASE m.init WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] FROM turns m
+    WHERE m.s = i.t AND m.init <> 's' AND f.fault NOT IN ('blank', 'duplicate')) e)
+ WHERE best = 1),
+done AS (SELECT w.conv_id, w.cost + i.cost AS cost, w.audit || i.letters AS audit, w.kept || i.added AS kept,
+  row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + i.cost, w.audit || i.letters) AS best
+  FROM walk w JOIN facts ON facts.conv_id IS NOT DISTINCT FROM w.conv_id AND facts.n = w.pos JOIN ins i ON i.s = w.s AND i.t IN (0, 3))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+ coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id AND done.best = 1"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11_conversation_repair(spark, folder):
+    from tidemark.llm.conversations import damaged, repair
+
+    rows = table(spark, folder, "conversations")
+    lines = F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    return repair(damaged(rows), rows).withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
