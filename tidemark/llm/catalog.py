@@ -216,3 +216,12 @@ def op11_conversation_repair(spark, folder):
     rows = table(spark, folder, "conversations")
     lines = F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
     return repair(damaged(rows), rows).withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("repaired")
+
+
+@query("op13_suffix_dedup")
+def op13_suffix_dedup(spark, folder):
+    from tidemark.llm.suffixes import suffix_dedup
+
+    rows = suffix_dedup(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
