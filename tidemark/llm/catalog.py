@@ -225,3 +225,29 @@ def op13_suffix_dedup(spark, folder):
     rows = suffix_dedup(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+h AS MATERIALIZED (SELECT lang, phrase, a, cut, lang || '/' || array_to_string(ws[1:cut], ' ') AS head, lang || '/' || array_to_string(ws[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+q AS MATERIALIZED (SELECT lang || '/' || phrase AS key, a FROM f WHERE k < 3),
+s AS MATERIALIZED (SELECT lang, phrase, h.a, x.a AS l, y.a AS r, (1000000 * h.a * h.a) // (x.a * y.a) AS score, cut FROM h JOIN q x ON x.key = head JOIN q y ON y.key = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, array_to_string(ws[pos:pos + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS pos FROM c WHERE k = 3) GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 50 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_phrase_collocations", COLLOCATION_SQL)
+def op12_phrase_collocations(spark, folder):
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
