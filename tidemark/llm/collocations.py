@@ -15,12 +15,14 @@ from tidemark.llm.words import _LOWER, _table, gram_hashes, hash_runs, mix, text
 #: words of a phrase at most; a chunk overlaps the next by one word less
 LONGEST = 3
 #: one word in so many opens a chunk, and a chunk without such a word ends after so many
-TRIGGER, MOST_WORDS = 8, 64
+TRIGGER, MOST_WORDS = 16, 64
 LEAST, CONTAINED, SCALE, TOP = 10, 50, 1_000_000, 2_000
 #: parts in which the first rows of a language are ranked before they meet
 SALTS = 64
 #: bytes of chunks whose phrases are added up in a task before they are sent on
 DICTIONARY_BYTES = 1 << 23
+#: words of the dictionary per task that adds up counts of hashes
+WORDS_PER_TASK = 2_000_000
 _STOPS = [*b".,;:!?", *range(0x0A, 0x0E)]
 #: byte → is part of a piece; byte → is part of a word
 PIECE, WORD = _table(_STOPS), _table([0x20, 0x09, *_STOPS])
@@ -82,44 +84,86 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, names=["lang", "chunk", "own", "times"])
 
 
-def _phrases(sizes: tuple[int, ...], frequent: np.ndarray | None):
-    """Arrow batches (lang, chunk, own, times) → (lang, phrase, n, a): phrases of ``sizes`` words that the chunks own, added up.
-
-    ``frequent`` is a filter of (lang, two words): longer phrases both of whose halves are not in it are left out.
-    """
+class _Grams:
+    """The phrases that the chunks of some dictionary rows own."""
+
+    def __init__(self, rows: pa.RecordBatch, texts: pa.Array):
+        self.langs = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
+        self.own, self.times = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("own", "times"))
+        self.lang = self.langs.indices.to_numpy()
+        self.salts = np.array([_salt(x) for x in self.langs.dictionary.to_pylist()], np.uint64)
+        self.raw, offsets = text_bytes(texts)
+        self.starts, self.ends, _ = _words(self.raw, offsets)
+        self.words = hash_runs(self.raw, self.starts, self.ends - self.starts)
+        self.chunk = np.searchsorted(offsets, self.starts, side="right") - 1
+        first = np.searchsorted(self.starts, offsets)
+        at = np.arange(len(self.starts))
+        self.owned = at - first[self.chunk] < self.own[self.chunk]
+        self.left = first[self.chunk + 1] - at
+
+    def keys(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hash of (lang, ``k`` words) at each place."""
+        return mix(gram_hashes(self.words, k)[at] + self.salts[self.lang[self.chunk[at]]])
+
+    def counted(self, k: int, known: np.ndarray | None, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a place, key, times) of each different phrase of ``k`` words whose parts of ``below`` words are all in the filter ``known``."""
+        at = np.flatnonzero(self.owned & (self.left >= k))
+        if known is not None and len(at):
+            for j in range(k - below + 1):
+                at = at[in_filter(known, self.keys(below, at + j))] if len(at) else at
+        if not len(at):
+            return at, np.zeros(0, np.uint64), at
+        key, head, group = np.unique(self.keys(k, at), return_index=True, return_inverse=True)
+        return at[head], key, np.bincount(group, self.times[self.chunk[at]]).astype(np.int64)
+
+
+def _hashed(sizes: tuple[int, ...], known: np.ndarray | None, parts: int):
+    """Arrow batches (lang, chunk, own, times) → (part, keys, times): counts by hash, packed per receiving task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, "chunk", DICTIONARY_BYTES):
-            langs = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
-            own, times = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("own", "times"))
-            lang = langs.indices.to_numpy()
-            salts = np.array([_salt(x) for x in langs.dictionary.to_pylist()], np.uint64)
-            raw, offsets = text_bytes(texts)
-            starts, ends, _ = _words(raw, offsets)
-            words = hash_runs(raw, starts, ends - starts)
-            chunk = np.searchsorted(offsets, starts, side="right") - 1
-            first = np.searchsorted(starts, offsets)
-            place = np.arange(len(starts)) - first[chunk]
-            left = first[chunk + 1] - np.arange(len(starts))
+            grams = _Grams(rows, texts)
             for k in sizes:
-                at = np.flatnonzero((place < own[chunk]) & (left >= k))
-                name = gram_hashes(words, k)[at] if k > 1 else words[at]
-                if k > 2 and frequent is not None:
-                    two = gram_hashes(words, 2)
-                    own_lang = salts[lang[chunk[at]]]
-                    ok = in_filter(frequent, mix(two[at] + own_lang)) & in_filter(frequent, mix(two[at + 1] + own_lang))
-                    at, name = at[ok], name[ok]
-                if not len(at):
-                    continue
-                name = mix(name + salts[lang[chunk[at]]])
-                _, head, group = np.unique(name, return_index=True, return_inverse=True)
-                a = np.zeros(len(head), np.int64)
-                np.add.at(a, group, times[chunk[at]])
-                at = at[head]
-                phrase = _joined(raw, starts, ends, at, k)
-                size = pa.array(np.full(len(at), k, np.int32))
-                key = pa.array(name[head].view(np.int64))
-                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[chunk[at]])), phrase, size, pa.array(a), key], names=["lang", "phrase", "k", "a", "key"])
+                _, key, times = grams.counted(k, known, k - 1)
+                part = (key % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(ends))
+                packed = [[x[order[ends[i] : ends[i + 1]]].tobytes() for i in full] for x in (key, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], names=["part", "keys", "times"])
+
+    return run
+
+
+def _frequent(least: int):
+    """Arrow batches (part, keys, times) of one task → keys whose times add up to ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for k, t in zip(batch.column(1), batch.column(2), strict=True):
+                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
+                times.append(np.frombuffer(t.as_buffer(), np.int64))
+        key, group = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, group, np.concatenate(times))
+        yield pa.RecordBatch.from_arrays([pa.array(key[total >= least].view(np.int64))], names=["key"])
+
+    return run
+
+
+def _phrases(known: np.ndarray):
+    """Arrow batches (lang, chunk, own, times) → (lang, phrase, k, a) of the phrases whose key is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, "chunk", DICTIONARY_BYTES):
+            grams = _Grams(rows, texts)
+            for k in range(1, LONGEST + 1):
+                at, _, times = grams.counted(k, known, k)
+                if len(at):
+                    phrase = _joined(grams.raw, grams.starts, grams.ends, at, k)
+                    lang = grams.langs.dictionary.take(pa.array(grams.lang[grams.chunk[at]]))
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(times)], names=["lang", "phrase", "k", "a"])
 
     return run
 
@@ -136,9 +180,6 @@ def _joined(raw, starts, ends, at, k: int) -> pa.Array:
     return (words[0] if k == 1 else pa.compute.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))).cast(pa.string())
 
 
-_COUNTS = "lang string, phrase string, k int, a long, key long"
-
-
 def chunks(docs: DataFrame) -> DataFrame:
     """The dictionary of the parse: (lang, chunk, own, times), one row per distinct chunk of a language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
@@ -146,19 +187,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return parsed.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times"))
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(all single words, phrases of 2 to ``LONGEST`` words that occur ``least`` times): lang, phrase, k, a.
+def phrase_counts(dictionary: DataFrame, least: int = LEAST) -> DataFrame:
+    """Words and phrases of up to ``LONGEST`` words that occur ``least`` times: lang, phrase, k, a.
 
-    Phrases of two words are counted first. One of three words occurs no more often than the two pairs in it, so those with a rarer
-    pair are left out by a filter of fixed size; the filter may let more pass, never less.
+    A phrase occurs no more often than its parts. So words and pairs are first counted by hash, then longer phrases whose pairs may
+    be frequent; what may be frequent is held in a filter of fixed size, which may let more pass but never less. Only those are then
+    counted by their text, which decides.
     """
-    dictionary = cut(chunks(docs))
-    add = lambda df: df.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a"), F.first("key").alias("key"))
-    short = cut(add(dictionary.mapInArrow(_phrases((1, 2), None), _COUNTS)).where((F.col("k") == 1) | (F.col("a") >= least)))
-    pairs = short.where("k = 2")
-    frequent = bit_filter(pairs, "key", FILTER_BITS)
-    longer = add(dictionary.mapInArrow(_phrases(tuple(range(3, LONGEST + 1)), frequent), _COUNTS)).where(F.col("a") >= least)
-    return short.where("k = 1").drop("key"), cut(pairs.unionByName(longer).drop("key"), light=True)
+    spark = dictionary.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (dictionary.agg(F.sum("own")).first()[0] or 0) // WORDS_PER_TASK)
+    known = None
+    for sizes in ((1, 2), *[(k,) for k in range(3, LONGEST + 1)]):
+        packed = dictionary.mapInArrow(_hashed(sizes, known, parts), "part int, keys binary, times binary").repartitionById(parts, "part")
+        keys = packed.mapInArrow(_frequent(least), "key long")
+        found = bit_filter(keys, "key", FILTER_BITS)
+        known = found if known is None else known | found
+    rows = dictionary.mapInArrow(_phrases(known), "lang string, phrase string, k int, a long")
+    return cut(rows.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= least), light=True)
 
 
 def _exact(a: Column, left: Column, right: Column) -> Column:
@@ -179,9 +224,11 @@ def collocations(docs: DataFrame, least: int = LEAST, contained: int = CONTAINED
     Null and empty texts have no words, a null lang is ``und``, equal rows count each. A language without such phrases has no rows,
     as has an empty table. Other columns are ignored.
     """
-    words, phrases = phrase_counts(docs, least)
-    total = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    part = lambda name: words.select("lang", "phrase", "a").unionByName(phrases.where(F.col("k") < LONGEST).select("lang", "phrase", "a")).select("lang", F.col("phrase").alias(f"{name}_part"), F.col("a").alias(name))
+    dictionary = cut(chunks(docs), codec="zstd")
+    total = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
+    counts = phrase_counts(dictionary, least)
+    phrases = counts.where("k > 1")
+    part = lambda name: counts.where(F.col("k") < LONGEST).select("lang", F.col("phrase").alias(f"{name}_part"), F.col("a").alias(name))
     tokens = F.split("phrase", " ")
     cuts = phrases.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.withColumns({"l_part": F.array_join(F.slice(tokens, 1, F.col("cut")), " "), "r_part": F.array_join(F.slice(tokens, F.col("cut") + 1, F.col("k")), " ")})

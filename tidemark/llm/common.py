@@ -26,16 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame, light: bool = False) -> DataFrame:
+def cut(df: DataFrame, light: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: lineage ends here, lost executors do not matter.
 
     ``light`` tables (a few numbers per row) are written by an eighth of the shuffle's tasks, as they would be mostly file headers.
+    ``codec``: another compression than the session's, for tables of whole texts.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     if light:
         df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -297,7 +297,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other columns are ignored. A task holds one text's bytes, and work arrays for ``SEGMENT`` of them.
     """
     form = shape(length)
-    texts = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")))
+    texts = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), codec="zstd")
     long = texts.where(F.octet_length("text") >= length).select("rid", "text")
     some = lambda df, share: df if share >= 1 else df.where(F.pmod(F.xxhash64("rid", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
