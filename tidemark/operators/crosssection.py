@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, ratio
+from tidemark.operators.quantiles import with_quantiles
 from tidemark.operators.series import Axis, roll_mean, roll_std
 
 
@@ -78,9 +79,7 @@ def date_axis(ts: str = "ts", keys: Sequence[str] = ()) -> Axis:
 def quantile_bins(df: DataFrame, column: str, n: int, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Right-closed quantile bins, repeated edges dropped; the lowest edge belongs to bin 0."""
     steps = [i / n for i in range(n + 1)]
-    edges = df.groupBy(*by).agg(F.percentile(column, F.array(*[F.lit(s) for s in steps])).alias("_e"))
-    edges = edges.withColumn("_e", F.array_distinct("_e"))
-    joined = df.join(edges, list(by)) if by else df.join(F.broadcast(edges))  # one row without groups
+    joined = with_quantiles(df, column, steps, by, "_e").withColumn("_e", F.array_distinct("_e"))
     below = F.size(F.filter("_e", lambda e: e < F.col(column)))
     return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_e")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.recurrences import decayed_sum
-from tidemark.operators.series import BARS, Axis, scan
+from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, rows_per_task, scan
 from tidemark.session import ensure_checkpoint_dir
 
 
@@ -196,25 +196,118 @@ def em_step(excited: DataFrame, params: DataFrame, beta: float, keys: Sequence[s
                     a("t00", "d0").alias("a00"), a("t01", "d1").alias("a01"), a("t10", "d0").alias("a10"), a("t11", "d1").alias("a11"))
 
 
-def fit_bivariate(events: DataFrame, horizon: DataFrame, beta: float = 1.0, keys: Sequence[str] = ("symbol",), steps: int = 100, tol: float = 1e-6) -> DataFrame:
-    """EM until no key's log-likelihood moves by ``tol``; parameters are checkpointed between steps.
-
-    The decayed counts do not depend on the parameters and are computed once.
+def _em_sums(kind, s0, s1, fade, p: np.ndarray) -> np.ndarray:
+    """What one step needs from some events: background and triggered shares per kind, fades, and the sum of log intensities."""
+    first = kind == 0
+    mu = np.where(first, p[0], p[1])
+    p0, p1 = np.where(first, p[2], p[4]) * s0, np.where(first, p[3], p[5]) * s1
+    lam = np.maximum(mu + p0 + p1, 1e-12)
+    parts = [mu / lam, p0 / lam, p1 / lam, fade, np.log(lam)]
+    return np.array([x[m].sum() for m in (first, ~first) for x in parts])
+
+
+def _em_next(sums: np.ndarray, horizon: float, beta: float) -> np.ndarray:
+    (i0, t00, t01, d0, _), (i1, t10, t11, d1, _) = sums[:5], sums[5:]
+    a = lambda t, d: min(beta * t / d, 0.95 * beta) if d > 0 else 0.0
+    return np.array([max(i0 / horizon, 1e-8), max(i1 / horizon, 1e-8), a(t00, d0), a(t01, d1), a(t10, d0), a(t11, d1)])
+
+
+def _log_likelihood(sums: np.ndarray, p: np.ndarray, horizon: float, beta: float) -> float:
+    out = (p[2] + p[4]) * sums[3] + (p[3] + p[5]) * sums[8]
+    return float(sums[4] + sums[9] - out / beta - (p[0] + p[1]) * horizon)
+
+
+class _Climb:
+    """Accelerated fixed-point search of one key: every third step extrapolates the two before; a worse likelihood takes that back."""
+
+    def __init__(self, start: Sequence[float], horizon: float, beta: float, tol: float):
+        self.p, self.horizon, self.beta, self.tol = np.asarray(start, dtype=float), horizon, beta, tol
+        self.trail: list[np.ndarray] = []
+        self.safe: tuple[np.ndarray, float] | None = None
+        self.done, self.ll, self.steps = False, -np.inf, 0
+
+    def take(self, sums: np.ndarray) -> None:
+        """One step from the sums at the current parameters."""
+        self.steps += 1
+        ll = _log_likelihood(sums, self.p, self.horizon, self.beta)
+        if self.safe is not None:
+            point, before = self.safe
+            self.safe = None
+            if not ll >= before - 1e-12:
+                self.p, self.trail = point, []
+                return
+        nxt = _em_next(sums, self.horizon, self.beta)
+        self.done = bool(np.abs(nxt - self.p).max() < self.tol)
+        if self.done:
+            self.ll = ll
+            return
+        self.trail.append(self.p)
+        self.p = nxt
+        if len(self.trail) == 2:
+            r, v = self.trail[1] - self.trail[0], nxt - 2 * self.trail[1] + self.trail[0]
+            size = np.linalg.norm(v)
+            if size > 0:
+                alpha = -np.linalg.norm(r) / size
+                jump = self.trail[0] - 2 * alpha * r + alpha * alpha * v
+                bound = np.array([np.inf, np.inf, *[0.95 * self.beta] * 4])
+                low = np.array([1e-8, 1e-8, 0.0, 0.0, 0.0, 0.0])
+                if alpha < -1 and (jump >= low).all() and (jump <= bound).all():
+                    self.safe, self.p = (nxt, ll), jump
+            self.trail = []
+
+    def result(self) -> list[float]:
+        return [*self.p.tolist(), self.ll]
+
+
+def fit_bivariate(events: DataFrame, horizon: DataFrame, beta: float = 1.0, keys: Sequence[str] = ("symbol",), steps: int = 2000, tol: float = 1e-9) -> DataFrame:
+    """Parameters per key at which an expectation-maximisation step moves none by ``tol``; ``settled`` tells whether it got there.
+
+    The decayed counts do not depend on the parameters and are computed once. A key that fits a task climbs inside one grouped
+    pass. The events of larger keys stay spread: each round adds up partial sums per task, one row per key comes to the driver (a
+    bounded number, as each has more than ``rowsPerTask`` events), and settled keys take no further part.
     """
-    ensure_checkpoint_dir(events.sparkSession)
-    excited = _excitations(events, beta, keys).checkpoint()
-    params = bivariate_start(events, horizon, keys).withColumn("_ll", F.lit(None).cast("double"))
-    for _ in range(steps):
-        nxt = em_step(excited, params.drop("_ll"), beta, keys)
-        nxt = nxt.join(bivariate_likelihood(excited, nxt, beta, keys), list(keys))
-        nxt = nxt.join(params.select(*keys, F.col("_ll").alias("_before")), list(keys)).checkpoint()
-        moving = nxt.where(F.col("_before").isNull() | (F.abs(F.col("log_likelihood") - F.col("_before")) >= tol)).limit(1).count()
-        params = nxt.drop("_before").withColumnRenamed("log_likelihood", "_ll")
-        if not moving:
-            break
-    return params.withColumnRenamed("_ll", "log_likelihood").withColumns({
-        "branching0": (F.col("a00") + F.col("a01")) / beta, "branching1": (F.col("a10") + F.col("a11")) / beta,
-    })
+    keys = list(keys)
+    fade = 1 - F.exp(-F.least(beta * (F.col("horizon") - F.col("t")), F.lit(700.0)))
+    excited = _excitations(events, beta, keys).join(bivariate_start(events, horizon, keys), keys).withColumn("_fade", fade)
+    excited = excited.select(*keys, "horizon", *PARAMS, "kind", "s0", "s1", "_fade")
+    key_type = ", ".join(f"`{k}` {excited.schema[k].dataType.simpleString()}" for k in keys)
+    schema = ", ".join([key_type, "horizon double", *[f"{p} double" for p in PARAMS], "log_likelihood double", "settled boolean"])
+    columns = [*keys, "horizon", *PARAMS, "log_likelihood", "settled"]
+
+    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, rows = pdf.iloc[0], [pdf[c].to_numpy() for c in ("kind", "s0", "s1", "_fade")]
+        search = _Climb([one[p] for p in PARAMS], float(one["horizon"]), beta, tol)
+        while not search.done and search.steps < steps:
+            search.take(_em_sums(*rows, search.p))
+        return pd.DataFrame([[*[one[k] for k in keys], search.horizon, *search.result(), search.done]], columns=columns)
+
+    if not has_hot_key(events, Axis(tuple(keys), ("t",))):
+        found = excited.groupBy(*keys).applyInPandas(climb, schema)
+    else:
+        ensure_checkpoint_dir(events.sparkSession)
+        excited = excited.checkpoint()
+        sizes = excited.groupBy(*keys, "horizon", *PARAMS).agg(F.count(F.lit(1)).alias("_n"))
+        large = {tuple(r[k] for k in keys): _Climb([r[p] for p in PARAMS], r["horizon"], beta, tol) for r in sizes.where(F.col("_n") > rows_per_task(events.sparkSession)).toLocalIterator()}
+        names = events.sparkSession.createDataFrame([(*k, True) for k in large], f"{key_type}, _large boolean")
+        marked = join_same(excited, F.broadcast(names), keys, "left")
+        rest = marked.where("_large IS NULL").drop("_large").groupBy(*keys).applyInPandas(climb, schema)
+        spread = marked.where("_large").select(*keys, "kind", "s0", "s1", "_fade").checkpoint()
+        sums_type = f"{key_type}, {', '.join(f'_{i} double' for i in range(10))}"
+        for _ in range(steps):
+            at = {k: c.p for k, c in large.items() if not c.done}
+            if not at:
+                break
+
+            def partial(frames, at=at):
+                for pdf in frames:
+                    out = [[*k, *_em_sums(*[g[c].to_numpy() for c in ("kind", "s0", "s1", "_fade")], at[k])] for k, g in pdf.groupby(keys, dropna=False) if k in at]
+                    yield pd.DataFrame(out, columns=[*keys, *[f"_{i}" for i in range(10)]])
+
+            for r in spread.mapInPandas(partial, sums_type).groupBy(*keys).agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(10)]).toLocalIterator():
+                large[tuple(r[k] for k in keys)].take(np.array([r[f"_{i}"] for i in range(10)]))
+        rows = [(*k, float(c.horizon), *c.result(), c.done) for k, c in large.items()]
+        found = rest.unionByName(events.sparkSession.createDataFrame(rows, schema))
+    return found.withColumns({"branching0": (F.col("a00") + F.col("a01")) / beta, "branching1": (F.col("a10") + F.col("a11")) / beta})
 
 
 def bivariate_intensity(events: DataFrame, times: DataFrame, params: DataFrame, beta: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:

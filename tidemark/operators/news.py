@@ -14,6 +14,7 @@ from tidemark.functions import text as tx
 from tidemark.functions.cleaning import correlation
 from tidemark.functions import vectors as vc
 from tidemark.operators.joins import asof_join
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.series import BARS, Axis, following, prev, roll_mean, roll_std, scan, windowed
 from tidemark.operators.tables import keep_last
 
@@ -104,8 +105,8 @@ def drift(df: DataFrame, vector: str, axis: Axis, out: str = "drift", fill: floa
 
 def drift_events(df: DataFrame, column: str, train: Column, q: float = 0.95) -> DataFrame:
     """Flag rows at or above the training quantile of positive drift."""
-    level = df.where(train & (F.col(column) > 0)).agg(F.percentile(column, F.lit(q)).alias("_q"))
-    return df.join(F.broadcast(level)).withColumn("drift_event", (F.col(column) >= F.col("_q")).cast("int")).drop("_q")  # one row
+    level = exact_quantiles(df.where(train & (F.col(column) > 0)), column, [q], out="_q")
+    return df.join(F.broadcast(level), how="left").withColumn("drift_event", (F.col(column) >= F.col("_q")[0]).cast("int")).drop("_q")  # one row
 
 
 def decay_context(df: DataFrame, vector: str, at: str, rates: Sequence[float], axis: Axis, size: int) -> DataFrame:

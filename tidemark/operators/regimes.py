@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import ratio
 from tidemark.operators.crosssection import date_axis, digitize, per_group
 from tidemark.operators.joins import nearest_join
+from tidemark.operators.quantiles import with_quantiles
 from tidemark.operators.series import BARS, Axis, checked, log_return, pct_change, positions, prev, roll_std, roll_sum, running, scan, windowed
 
 NAMES = ("calm", "neutral", "stress", "extreme")
@@ -73,7 +74,7 @@ def quantile_labels(df: DataFrame, n: int = 3, window: int = 20, axis: Axis | No
 
     df = windowed(df, add, axis, lookback=window + 1)
     cuts = [i / n for i in range(1, n)]
-    df = per_group(df, axis.keys, {"_e": F.percentile("rv", F.array(*[F.lit(c) for c in cuts])), "_k": F.count("rv")}, axis.hot)
+    df = with_quantiles(per_group(df, axis.keys, {"_k": F.count("rv")}, axis.hot), "rv", cuts, axis.keys, "_e", axis.hot)
     label = digitize("rv", [F.col("_e")[i] for i in range(n - 1)])
     label = F.when(F.col("_k") < 3 * n, 0).otherwise(F.coalesce(label, F.lit(0)))
     return df.withColumn("vol_regime", label).drop("_lr", "_e", "_k")

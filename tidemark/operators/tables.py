@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, to_double, to_utc
+from tidemark.operators.quantiles import with_quantiles
 from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, positions, running
 
 # --- schema ----------------------------------------------------------------------------------
@@ -171,12 +172,8 @@ def in_session(ts: str, start: int, end: int, guard: int = 0, zone: str | None =
 
 def winsorise(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Clip to the exact quantiles of the group."""
-    edges = df.groupBy(*by).agg(
-        F.percentile(column, F.lit(low)).alias("_lo"), F.percentile(column, F.lit(high)).alias("_hi")
-    )
-    # without a group the edges are one row; otherwise one row per group and the planner sizes the join
-    joined = df.join(edges, list(by)) if by else df.join(F.broadcast(edges))
-    return joined.withColumn(column, clip(column, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    joined = with_quantiles(df, column, [low, high], by)
+    return joined.withColumn(column, clip(column, F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def time_split(df: DataFrame, ts: str, share: float) -> DataFrame:

@@ -231,10 +231,26 @@ def bivariate_em_step(spark, d):
     return p.select("symbol", *nums(*hk.PARAMS))
 
 
-@query("bivariate_fit", "H9", None)
+def _em_rounds(rounds: int) -> str:
+    """``fit``: the parameters after so many steps over the decayed counts; ``lk``: the events at those parameters."""
+    on = lambda k, v: f"sum(CASE WHEN kind = {k} THEN {v} ELSE 0 END)"
+    back = lambda k: f"greatest({on(k, f'mu{k} / lam')} / max(h), 1e-8::DOUBLE)"
+    trig = lambda i, j: f"CASE WHEN {on(j, 'fd')} > 0 THEN least(0.1::DOUBLE * {on(i, f'a{i}{j} * s{j} / lam')} / {on(j, 'fd')}, 0.095::DOUBLE) ELSE 0 END"
+    own = "CASE WHEN kind = 0 THEN mu0 + a00 * s0 + a01 * s1 ELSE mu1 + a10 * s0 + a11 * s1 END"
+    return f"""f0 AS MATERIALIZED (SELECT ex.symbol, kind, s0, s1, h, 1 - exp(-0.1::DOUBLE * (h - t)) AS fd FROM ex JOIN hz USING (symbol)),
+ em AS (SELECT symbol, 0 AS i, mu0::DOUBLE AS mu0, mu1::DOUBLE AS mu1, a00::DOUBLE AS a00, a01::DOUBLE AS a01, a10::DOUBLE AS a10, a11::DOUBLE AS a11 FROM st
+  UNION ALL SELECT symbol, i + 1, {back(0)}, {back(1)}, {trig(0, 0)}, {trig(0, 1)}, {trig(1, 0)}, {trig(1, 1)}
+  FROM (SELECT f0.*, em.* EXCLUDE (symbol), greatest({own}, 1e-12::DOUBLE) AS lam FROM em JOIN f0 USING (symbol) WHERE i < {rounds}) GROUP BY symbol, i),
+ fit AS (SELECT * FROM em WHERE i = {rounds}),
+ lk AS (SELECT symbol, sum(ln({own})) - sum(CASE WHEN kind = 0 THEN a00 + a10 ELSE a01 + a11 END / 0.1::DOUBLE * fd) - (max(mu0) + max(mu1)) * max(h) AS ll FROM f0 JOIN fit USING (symbol) GROUP BY symbol)"""
+
+
+@query("bivariate_fit", "H9", with_ctes("bars nb", BIV + ", " + _em_rounds(600) + f""" SELECT symbol, {qnums(*hk.PARAMS, digits=5)},
+ {qnum("(a00 + a01) / 0.1::DOUBLE", "branching0", 4)}, {qnum("(a10 + a11) / 0.1::DOUBLE", "branching1", 4)}, {qnum("ll", "log_likelihood", 3)}, true AS settled FROM fit JOIN lk USING (symbol)"""))
 def bivariate_fit(spark, d):
     ev, hz = bivariate_inputs(spark, d)
-    return hk.fit_bivariate(ev, hz, 0.1, steps=100, tol=1e-6).select("symbol", *nums(*hk.PARAMS, "branching0", "branching1", "log_likelihood"))
+    fit = hk.fit_bivariate(ev, hz, 0.1).select("symbol", *nums(*hk.PARAMS, digits=5), *nums("branching0", "branching1", digits=4), num("log_likelihood", 3).alias("log_likelihood"), "settled")
+    return fit
 
 
 @query("bivariate_intensity", "H7", with_ctes("bars nb", BIV + f""", g AS (SELECT symbol, (ts - min(ts) OVER (PARTITION BY symbol))::DOUBLE AS t FROM nb),

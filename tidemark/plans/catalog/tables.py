@@ -9,6 +9,7 @@ from tidemark.functions import cleaning as cl
 from tidemark.operators import aggregates as agg
 from tidemark.operators import crosssection as xs
 from tidemark.operators import joins
+from tidemark.operators import quantiles
 from tidemark.operators import tables as tb
 from tidemark.operators.series import BARS, Axis, checked, following, pct_change, prev, windowed
 from tidemark.plans.registry import num, nums, qnum, qnums, query, text, with_ctes
@@ -247,6 +248,22 @@ def symbol_resolution(spark, d):
     return tb.resolve_symbols(wanted, listed)
 
 
+QUANTILE_SHARES = [0.01, 0.25, 1 / 3, 0.5, 0.95, 0.999]
+
+
+def _quantile_sql(by: str) -> str:
+    cells = ", ".join(qnum(f"quantile_cont(close, {s!r}::DOUBLE)", f"q{i}") for i, s in enumerate(QUANTILE_SHARES))
+    return f"SELECT {by} AS of_group, {cells} FROM bars GROUP BY 1"
+
+
+@query("exact_quantiles", "P28 A11", with_ctes("bars", _quantile_sql("asset_group") + " UNION ALL " + _quantile_sql("'all'")))
+def exact_quantiles(spark, d):
+    bars = b.bars(spark, d).select(F.col("asset_group").alias("of_group"), "close")
+    whole = quantiles.exact_quantiles(bars, "close", QUANTILE_SHARES).withColumn("of_group", F.lit("all"))
+    found = quantiles.exact_quantiles(bars, "close", QUANTILE_SHARES, ["of_group"]).unionByName(whole)
+    return found.select("of_group", *[num(F.col("quantiles")[i]).alias(f"q{i}") for i in range(len(QUANTILE_SHARES))])
+
+
 @query("winsorise_quantiles", "P28 A11", with_ctes("bars", f"""q AS (SELECT symbol, quantile_cont(volume, 0.05) AS lo, quantile_cont(volume, 0.95) AS hi FROM bars GROUP BY symbol)
  {SEL}, {qnum("greatest(lo, least(hi, volume))", "volume")} FROM bars JOIN q USING (symbol)"""))
 def winsorise_quantiles(spark, d):

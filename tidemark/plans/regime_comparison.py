@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import volatility as vol
 from tidemark.operators.backtest import panel_dates, weight_backtest
-from tidemark.operators.crosssection import digitize, per_group
+from tidemark.operators.crosssection import digitize
 from tidemark.operators.indicators import rogers_satchell_term
 from tidemark.operators.metrics import weight_metrics
 from tidemark.operators.portfolio import STRATEGY_NAMES, regime_strategy_weights
+from tidemark.operators.quantiles import with_quantiles
 from tidemark.operators.series import BARS, Axis, checked, pct_change, windowed
 from tidemark.operators.tables import forward_fill
 
@@ -32,12 +33,12 @@ def regime_frame(bars: DataFrame, per_year: Column, iv: DataFrame | None = None)
         })
 
     df = windowed(bars, add, axis, lookback=22).select("asset_group", "symbol", "ts", "close", "ret", "momentum", "vol", "rv")
-    df = per_group(df, ["symbol"], {"_e": F.percentile("rv", F.array(F.lit(1 / 3), F.lit(2 / 3)))}, axis.hot)
+    df = with_quantiles(df, "rv", [1 / 3, 2 / 3], ["symbol"], "_e", axis.hot)
     code = digitize("rv", [F.col("_e")[0], F.col("_e")[1]])
     name = F.when(code == 0, REGIMES[0]).when(code == 1, REGIMES[1]).when(code == 2, REGIMES[2])
     df = df.withColumn("regime", name).drop("_e")
     df = forward_fill(df, ["vol", "regime", "momentum"], axis)
-    df = per_group(df, ["symbol"], {"vol_median": F.percentile("vol", F.lit(0.5))}, axis.hot)
+    df = with_quantiles(df, "vol", [0.5], ["symbol"], "_median", axis.hot).withColumn("vol_median", F.col("_median")[0]).drop("_median")
     return df.withColumn("iv_spread", F.lit(None).cast("double")) if iv is None else df.join(iv, "symbol", "left")
 
 
