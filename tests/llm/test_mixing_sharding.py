@@ -80,6 +80,58 @@ def test_pack_laws(spark):
             assert places.setdefault(text[r.doc_id], r.shard) == r.shard
 
 
+def test_groups_stay_whole_on_the_given_tables(spark):
+    for folder in ("sf0.001", "sf0.01"):
+        rows = sharding.pack(spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")).collect()
+        shard = sum(r["size"] for r in rows) / sharding.SHARDS, sum(r.tokens for r in rows) / sharding.SHARDS, len(rows) / sharding.SHARDS
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.text_crc32, r["size"]), []).append(r)
+        for members in groups.values():
+            weight = sum(r["size"] for r in members), sum(r.tokens for r in members), len(members)
+            if all(w <= x / 2 for w, x in zip(weight, shard, strict=True)):
+                assert len({r.shard for r in members}) == 1
+
+
+def test_shards_equal_a_plain_packer(spark):
+    texts = [f"t{i} " * (3 + (i * 37) % 101) + "x" * i for i in range(300)]
+    docs = [(i, texts[(i * i) % 300]) for i in range(500)]
+    found = {}
+    for r in sharding.pack(corpus.simple(spark, docs), shards=6, cells_per_shard=1 << 18).collect():
+        found.setdefault(texts[(r.doc_id**2) % 300], set()).add(r.shard)
+    demand = {}
+    for _, t in docs:
+        b, w, n = demand.get(t, (0, 0, 0))
+        demand[t] = (b + len(t) + 8, w + len(t.split()), n + 1)
+    total = [sum(d[k] for d in demand.values()) for k in range(3)]
+    share = {t: [d[k] / total[k] for k in range(3)] for t, d in demand.items()}
+    left = [[1 / 6] * 3 for _ in range(6)]
+    loads = [[0.0] * 3 for _ in range(6)]
+    for t in sorted(share, key=lambda t: -max(share[t])):
+        need = share[t]
+        fits = [b for b in range(6) if all(left[b][k] >= need[k] - 1e-12 for k in range(3))] or list(range(6))
+        best = max(fits, key=lambda b: (round(sum(left[b][k] * need[k] for k in range(3)), 15), -b))
+        for k in range(3):
+            left[best][k] -= need[k]
+            loads[best][k] += need[k]
+    assert all(len(s) == 1 for s in found.values())
+    got = [[0.0] * 3 for _ in range(6)]
+    for t, s in found.items():
+        for k in range(3):
+            got[min(s)][k] += share[t][k]
+    # ties between equal demands may fall otherwise; the loads then differ by a group at most
+    slack = max(max(x) for x in share.values())
+    for k in range(3):
+        for a, b in zip(sorted(x[k] for x in got), sorted(x[k] for x in loads), strict=True):
+            assert abs(a - b) <= slack
+
+
+def test_a_group_without_ids_is_split(spark):
+    docs = corpus.simple(spark, [(None, "same text")] * 900 + [(i, f"own {i} " * 4) for i in range(600)])
+    rows = Counter(r.shard for r in sharding.pack(docs).collect())
+    assert len(rows) == 24 and max(rows.values()) <= 1.6 * min(rows.values())
+
+
 def test_place_prefers_the_highest_dot_product():
     items = np.array([[0.3, 0.0], [0.0, 0.3], [0.2, 0.0], [0.0, 0.2]])
     bins = sharding.place(items, 2)

@@ -11,8 +11,10 @@ from tidemark.llm.common import cut, doc_text, hashed_prefix_sums, n_words
 SHARDS = 24
 #: hash cells per shard for the groups that are small
 CELLS_PER_SHARD = 96
-#: a group above this part of a shard, in any dimension, is an item of its own and is split into pieces of that part
-PIECE = 1 / 48
+#: a group above this part of a shard, in any dimension, is an item of its own
+LARGE = 1 / 48
+#: a group above this part of a shard, in any dimension, is split into pieces of at most about that part
+WHOLE = 1 / 2
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
@@ -35,18 +37,19 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CELLS_PER_SHARD, piece: float = PIECE) -> DataFrame:
+def pack(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CELLS_PER_SHARD, large: float = LARGE, whole: float = WHOLE) -> DataFrame:
     """One row per document: doc_id, size, tokens, text_crc32, shard, slot.
 
-    Size is the text's UTF-8 bytes plus 8. Groups are equal texts (null is one group). A group larger than ``piece`` of a shard
-    in bytes, tokens or rows is cut into pieces of about that size by a hash of doc_id; the other groups share
-    ``cells_per_shard`` × ``shards`` hash cells. Cells and pieces are the items that are packed. Their number has a bound that
-    does not depend on the data: the cells, and at most 2 × 3 × shards / piece pieces. So their sums (and only those) pass through
-    the driver, where each goes to the bin with the highest dot product of demand and residual capacity.
-    Slots count from 0 without gaps in every shard, in the order of a hash of doc_id.
+    Size is the text's UTF-8 bytes plus 8. Groups are equal texts (null is one group). A group up to ``whole`` of a shard in bytes, tokens and
+    rows lies in one shard, at every table size. A larger one is cut by a hash of its rows into pieces of about that part. Groups above ``large``
+    of a shard in any dimension are packed one by one; the others share ``cells_per_shard`` × ``shards`` hash cells, which are
+    packed like groups. So the number of items has a bound that does not depend on the data: the cells, and at most
+    3 × shards / ``large`` groups and 6 × shards / ``whole`` pieces. Only their sums pass through the driver, where each, the largest first, goes to the
+    bin with the highest dot product of demand and residual capacity.
+    Slots count from 0 without gaps in every shard, in the order of a hash of doc_id and text.
 
-    Equal texts outside split groups share a shard. Null and empty texts have size 8 and no tokens; the crc of null is null. Equal rows get
-    slots of their own. An empty table gives no rows. Other columns are ignored.
+    Null and empty texts have size 8 and no tokens; the crc of null is null. Equal rows get slots of their own. An empty table
+    gives no rows. Other columns are ignored.
     """
     text = F.col("text")
     light = docs.select(
@@ -55,19 +58,20 @@ def pack(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int = CELLS_PER
         n_words("text").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text, F.length(text)).alias("__group"),
-        F.md5(doc_text(F.lit("slot"), F.col("doc_id"))).alias("__key"),
+        F.md5(doc_text(F.lit("slot"), F.col("doc_id"), F.xxhash64(text))).alias("__key"),
+        F.monotonically_increasing_id().alias("__row"),
     )
     light = cut(light)
     groups = cut(light.groupBy("__group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     total = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first()
-    limit = {d: max(1.0, total[d] * piece / shards) for d in DIMENSIONS}
-    pieces = F.greatest(*[F.ceil(F.col(d) / F.lit(limit[d])) for d in DIMENSIONS]).cast("int")
-    big = groups.select("__group", "bytes", "tokens", "rows", F.least(pieces, F.col("rows").cast("int")).alias("__pieces")).where("__pieces > 1")
-    rows = light.join(big.select("__group", "__pieces"), "__group", "left")
-    part = F.pmod(F.conv(F.substring("__key", 7, 7), 16, 10).cast("long"), F.col("__pieces")).cast("string")
+    share = F.greatest(*[F.col(d) / F.lit(max(1, total[d]) / shards) for d in DIMENSIONS])
+    pieces = F.when(share > whole, F.ceil(share / whole)).otherwise(1)
+    big = groups.withColumn("__share", share).where(F.col("__share") > large).select("__group", F.least(pieces, F.col("rows")).cast("int").alias("__pieces"))
+    rows = light.join(big, "__group", "left")
+    part = F.pmod(F.xxhash64("doc_id", "__row"), F.col("__pieces")).cast("string")
     cell = F.pmod(F.xxhash64("__group", F.lit("cell")), F.lit(shards * cells_per_shard)).cast("string")
     item = F.when(F.col("__pieces").isNull(), cell).otherwise(F.concat_ws("/", F.col("__group").cast("string"), part))
-    rows = cut(rows.withColumn("__item", item).drop("__pieces", "__group"))
+    rows = cut(rows.withColumn("__item", item).drop("__pieces", "__group", "__row"))
     items = rows.groupBy("__item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     found = sorted(items.collect(), key=lambda r: r["__item"])  # bounded: see above
     demand = np.array([[r[d] / max(1, total[d]) for d in DIMENSIONS] for r in found]).reshape(-1, len(DIMENSIONS))
