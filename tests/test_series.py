@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import series, signals
 from tidemark.operators.recurrences import ewm_mean, ewm_std
 from tidemark.operators.series import Axis, has_hot_key, number_rows, running, scan, windowed
 
@@ -85,3 +89,36 @@ def test_no_look_ahead(spark, folder):
     full = ind.core_summary(bars).where(F.col("ts") < "1999-01-01").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     part = ind.core_summary(cut).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(full, part)
+
+
+@pytest.mark.parametrize("tiny_tasks", ["11", "100000"], indirect=True)
+def test_machines_equal_a_loop(spark, tiny_tasks):
+    rng = random.Random(3)
+    rows = [(k, t, [rng.randrange(4) for _ in range(4)], [rng.randrange(2) for _ in range(2)]) for k, n in (("a", 70), (None, 33), ("b", 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, m array<int>, o array<int>").repartition(3)
+    got = {(r.symbol, r.ts): (r.x, r.y) for r in series.machines(df, {"x": (F.col("m"), 2), "y": (F.col("o"), 0)}).collect()}
+    state = {}
+    for k, t, m, o in rows:
+        x, y = state.get(k, (2, 0))
+        state[k] = m[x], o[y]
+        assert got[k, t] == state[k]
+    assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("tiny_tasks", ["7", "100000"], indirect=True)
+def test_cooldowns_equal_a_loop(spark, tiny_tasks):
+    rng = random.Random(5)
+    rows = [(k, i, rng.random() < 0.4, rng.random() < 0.2) for k in ("a", "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, rn long, up boolean, down boolean").repartition(4)
+    got = {(r.symbol, r.rn): (r.u, r.d) for r in signals.cooldown(df, {"u": "up", "d": "down"}, {"u": 1, "d": 5}).collect()}
+    one = {(r.symbol, r.rn): r.signal for r in signals.exclusive_cooldown(df, "up", "down", 4).collect()}
+    last = {}
+    for k, i, up, down in rows:
+        want = []
+        for name, flag, wait in (("u", up, 1), ("d", down, 5), ("one", up or down, 4)):
+            keep = flag and i - last.get((k, name), -99) >= wait
+            if keep:
+                last[k, name] = i
+            want.append(keep)
+        assert got[k, i] == tuple(want[:2])
+        assert one[k, i] == ((1.0 if up else -1.0) if want[2] else 0.0)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from tidemark.operators.backtest import compound, target_backtest
 from tidemark.operators.crosssection import per_group, quantile_bins
 from tidemark.operators.metrics import compact_stats, curve_metrics
 from tidemark.operators.portfolio import capped, exposure, shares, tilt
-from tidemark.operators.series import BARS, Axis, checked, pct_change, positions, prev, roll_mean, roll_std, running, scan, windowed
+from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, running, windowed
 from tidemark.operators.tables import last_rows, with_group_size
 
 
@@ -264,24 +263,16 @@ def rolling_selector(returns: DataFrame, default: str, look: int = 80, start: in
     days = days.select(F.lit(0).alias("_all"), ts, "rn", F.transform("_c", lambda c: c["candidate"]).alias("_n"),
                        F.transform("_c", lambda c: c["_score"]).alias("_s"), F.transform("_c", lambda c: c["ret"]).alias("_r"))
 
-    def step(pdf, state):
-        # candidates have the same order on every date, so the state is a position in that order
-        current = int(state[0]) if state is not None else -1
-        picks, rets = [], []
-        for rn, names, scores, r in zip(pdf["rn"], pdf["_n"], pdf["_s"], pdf["_r"]):
-            names = list(names)
-            if current < 0:
-                current = names.index(default)
-            if rn >= start:
-                s = np.asarray(scores, dtype=float)
-                best = int(np.argmax(s))
-                current = current if s[current] >= s[best] - stick else best
-            pos = current if rn >= start else names.index(default)
-            picks.append(names[pos])
-            rets.append(float(r[pos]))
-        return {"pick": picks, "ret": rets}, [float(current)]
-
-    return scan(days, step, "pick string, ret double", Axis(("_all",), (ts,))).select(ts, "pick", "ret")
+    # state 0 is the default before the start, state i the i-th candidate: they have the same order on every date
+    of_default, best = F.array_position("_n", default).cast("int"), F.array_max("_s")
+    after = F.zip_with(
+        F.concat(F.array(F.element_at("_s", of_default)), F.col("_s")), F.concat(F.array(of_default), F.sequence(F.lit(1), F.size("_s"))),
+        lambda score, at: F.when(score >= best - stick, at).otherwise(F.array_position("_s", best).cast("int")),
+    )
+    moves = F.when(F.col("rn") >= start, after).otherwise(F.sequence(F.lit(0), F.size("_s")))
+    held = machines(days, {"_at": (moves, 0)}, Axis(("_all",), (ts,), hot=False))  # one row per date
+    at = F.when(F.col("rn") >= start, F.col("_at")).otherwise(of_default)
+    return held.select(ts, F.element_at("_n", at).alias("pick"), F.element_at("_r", at).alias("ret"))
 
 
 # --- reports ---------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -318,6 +319,92 @@ def scan(
     )
 
 
+def _states(moves: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(state behind each row from ``start``, map of all rows) for maps ``moves[row, state] -> state``.
+
+    Rows are laid out as about √n strips of √n rows: all strips compose their maps at once, then the strips' totals follow one another.
+    """
+    n, states = moves.shape
+    width = int(n**0.5) + 1
+    strips = -(-n // width)
+    same = np.arange(states, dtype=moves.dtype)
+    laid = np.concatenate([moves, np.broadcast_to(same, (strips * width - n, states))]).reshape(strips, width, states)
+    so_far = np.empty_like(laid)
+    total = np.broadcast_to(same, (strips, states))
+    for j in range(width):
+        total = np.take_along_axis(laid[:, j], total, axis=1)
+        so_far[:, j] = total
+    entry, whole = np.empty(strips, dtype=np.int64), same
+    for k in range(strips):
+        entry[k] = whole[start]
+        whole = total[k][whole]
+    return so_far[np.arange(strips), :, entry].reshape(-1)[:n], whole
+
+
+#: rows whose maps lie in memory at a time
+_MAPS_AT_ONCE = 65_536
+
+
+def machines(df: DataFrame, moves: Mapping[str, tuple[Column | Callable, int]], axis: Axis = BARS) -> DataFrame:
+    """Add, per ``name: (next states, first state)``, the state of a finite machine behind each row.
+
+    The next states of a row, one for each state before it, are an array column or, where that would be long, a function of the rows (a pandas
+    frame) that gives them as a matrix. A row is a map from states to states, so blocks of rows are maps as well, and maps compose: with a hot key all blocks give their map
+    in one pass, the few maps of a key are composed in order, and a second pass starts each block in its entry state. No block is replayed.
+    """
+    names = list(moves)
+    tagged = df.withColumns({f"_m_{n}": c.cast("array<int>") for n, (c, _) in moves.items() if isinstance(c, Column)})
+    makers = {n: c for n, (c, _) in moves.items() if not isinstance(c, Column)}
+    order, descending = list(axis.order), axis.descending
+    kept = list(df.schema.fields)
+    out_schema = T.StructType(kept + [T.StructField(n, T.IntegerType()) for n in names])
+    columns = [f.name for f in out_schema.fields]
+
+    def arranged(pdf):
+        return pdf.sort_values(order, ascending=not descending, kind="mergesort", na_position="last" if descending else "first")
+
+    def walk(pdf, name, start):
+        """States from ``start``, and the map of all rows."""
+        seen, whole = [], None
+        for at in range(0, len(pdf), _MAPS_AT_ONCE):
+            rows = pdf.iloc[at : at + _MAPS_AT_ONCE]
+            table = makers[name](rows) if name in makers else np.vstack(rows[f"_m_{name}"].to_numpy())
+            states, total = _states(table.astype(np.int32), start if whole is None else int(whole[start]))
+            seen.append(states)
+            whole = total if whole is None else total[whole]
+        return np.concatenate(seen), whole
+
+    def run(pdf, starts):
+        pdf = arranged(pdf)
+        return pdf.assign(**{n: walk(pdf, n, s)[0] for n, s in zip(names, starts, strict=True)})[columns]
+
+    first = [s for _, s in moves.values()]
+    if not has_hot_key(df, axis):
+        return tagged.groupBy(*axis.keys).applyInPandas(lambda pdf: run(pdf, first), out_schema)
+
+    ensure_checkpoint_dir(df.sparkSession)
+    size = max(rows_per_task(df.sparkSession) // 2, 1)
+    on = [*axis.keys, "_block"]
+    blocked = number_rows(tagged, axis, "_rn").withColumn("_block", F.floor(F.col("_rn") / size)).drop("_rn").checkpoint()
+    key_fields = [f for f in blocked.schema.fields if f.name in on]
+    map_type = [T.StructField(f"_m_{n}", T.ArrayType(T.IntegerType())) for n in names]
+
+    def block_map(pdf):
+        pdf = arranged(pdf)
+        return pdf[[f.name for f in key_fields]].head(1).assign(**{f"_m_{n}": [walk(pdf, n, 0)[1].tolist()] for n in names})
+
+    maps = blocked.groupBy(*on).applyInPandas(block_map, T.StructType(key_fields + map_type))
+
+    def entries(pdf):
+        pdf = pdf.sort_values("_block")
+        found = {f"_s_{n}": np.r_[s, _states(np.vstack(pdf[f"_m_{n}"].to_numpy()).astype(np.int32), s)[0][:-1]] for n, s in zip(names, first, strict=True)}
+        return pdf[[f.name for f in key_fields]].assign(**found)
+
+    # one row per block of a key
+    starts = maps.groupBy(*axis.keys).applyInPandas(entries, T.StructType(key_fields + [T.StructField(f"_s_{n}", T.IntegerType()) for n in names]))
+    return join_same(blocked, starts, on).groupBy(*on).applyInPandas(lambda pdf: run(pdf, [int(pdf[f"_s_{n}"].iloc[0]) for n in names]), out_schema)
+
+
 # ---------------------------------------------------------------------------------------------
 # column builders over an axis
 

@@ -17,7 +17,7 @@ from tidemark.functions.cleaning import clip, ratio
 from tidemark.operators.crosssection import pct_rank, per_group
 from tidemark.operators.microstructure import liquidity_capture, structure_break
 from tidemark.operators.recurrences import ewm_mean, span
-from tidemark.operators.series import BARS, Axis, checked, pct_change, positions, prev, roll_mean, roll_std, scan, windowed
+from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, windowed
 from tidemark.operators.tables import with_group_size
 
 
@@ -53,18 +53,21 @@ def mean_reversion(df: DataFrame, axis: Axis | None = None, look: int = 50, ente
         axis, lookback=look,
     )
 
-    def step(pdf, state):
-        held = state[0] if state is not None else 0.0
-        out = np.empty(len(pdf))
-        for i, z in enumerate(pdf["_z"].to_numpy(dtype=float)):
-            if held == 0.0:
-                held = 1.0 if z <= -enter else (-1.0 if z >= enter else 0.0)
-            elif held * z >= -leave:
-                held = 0.0
-            out[i] = held
-        return {"signal": out}, [held]
+    z = F.col("_z")
+    # states: 0 flat, 1 long, 2 short
+    moves = F.array(F.when(z <= -enter, 1).when(z >= enter, 2).otherwise(0), F.when(z >= -leave, 0).otherwise(1), F.when(z <= leave, 0).otherwise(2))
+    held = machines(df, {"signal": (moves, 0)}, axis).drop("_z")
+    return held.withColumn("signal", F.when(F.col("signal") == 2, -1.0).otherwise(F.col("signal").cast("double")))
 
-    return scan(df, step, "signal double", axis).drop("_z")
+
+def _clock(flag: str, bars: int):
+    """Moves of a clock that runs up to ``bars`` rows; 0 is a row that is kept, which takes a full clock."""
+    def moves(pdf):
+        passed = np.clip(np.arange(bars + 1) + pdf["_gap"].to_numpy(dtype=np.int64)[:, None], 1, bars)
+        wanted = pdf[flag].fillna(False).to_numpy(dtype=bool)[:, None]
+        return np.where(wanted & (passed >= bars), 0, passed)
+
+    return moves
 
 
 def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int | Mapping[str, int], axis: Axis = BARS, pos: str = "rn") -> DataFrame:
@@ -72,7 +75,7 @@ def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int | Mapping[str, i
 
     ``flags`` maps output → input boolean column; each output has its own clock (and, with a mapping,
     its own length). Only rows where some
-    input is set enter the scan; the others get false by the join back.
+    input is set enter the machine; the others get false by the join back.
     """
     names = list(flags)
     wait = [bars[n] if isinstance(bars, Mapping) else bars for n in names]
@@ -80,42 +83,19 @@ def cooldown(df: DataFrame, flags: Mapping[str, str], bars: int | Mapping[str, i
     for source in flags.values():
         active = F.col(source) if active is None else (active | F.col(source))
     sparse = df.where(active).select(*axis.keys, pos, *set(flags.values()))
-    order = Axis(axis.keys, (pos,))
-
-    def step(pdf, state):
-        last = list(state) if state is not None else [-1e18] * len(names)
-        at = pdf[pos].to_numpy(dtype=float)
-        cols = {}
-        for k, name in enumerate(names):
-            wanted = pdf[flags[name]].to_numpy(dtype=bool)
-            kept = np.zeros(len(pdf), dtype=bool)
-            for i in np.flatnonzero(wanted):
-                if at[i] - last[k] >= wait[k]:
-                    kept[i], last[k] = True, at[i]
-            cols[name] = kept
-        return cols, last
-
-    kept = scan(sparse, step, ", ".join(f"{n} boolean" for n in names), order).select(*axis.keys, pos, *names)
+    order = checked(sparse, Axis(axis.keys, (pos,)))
+    timed = windowed(sparse, lambda d, a: d.withColumn("_gap", F.col(pos) - F.coalesce(prev(pos, a), F.col(pos))), order, lookback=1)
+    kept = machines(timed, {f"_k_{n}": (_clock(flags[n], w), w) for n, w in zip(names, wait, strict=True)}, order)
+    kept = kept.select(*axis.keys, pos, *[(F.col(f"_k_{n}") == 0).alias(n) for n in names])
     return df.join(kept, [*axis.keys, pos], "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
 
 
 def exclusive_cooldown(df: DataFrame, long: str, short: str, bars: int, axis: Axis = BARS, pos: str = "rn") -> DataFrame:
     """One clock for both directions: +1/-1 on kept rows, long first, else 0."""
-    order = Axis(axis.keys, (pos,))
-
-    def step(pdf, state):
-        last = state[0] if state is not None else -1e18
-        at = pdf[pos].to_numpy(dtype=float)
-        up = pdf[long].to_numpy(dtype=bool)
-        out = np.zeros(len(pdf))
-        for i in range(len(pdf)):
-            if at[i] - last >= bars:
-                out[i], last = (1.0 if up[i] else -1.0), at[i]
-        return {"signal": out}, [last]
-
-    sparse = df.where(F.col(long) | F.col(short)).select(*axis.keys, pos, long, short)
-    kept = scan(sparse, step, "signal double", order).select(*axis.keys, pos, "signal")
-    return df.join(kept, [*axis.keys, pos], "left").withColumn("signal", _zero(F.col("signal")))
+    both = df.withColumn("_any", F.col(long) | F.col(short))
+    kept = cooldown(both, {"_kept": "_any"}, bars, axis, pos).drop("_any")
+    side = F.when(F.coalesce(F.col(long), F.lit(False)), 1.0).otherwise(-1.0)
+    return kept.withColumn("signal", F.when(F.col("_kept"), side).otherwise(0.0)).drop("_kept")
 
 
 def vwap_reversion(df: DataFrame, bars: int = 10, lower: str = "vwap_lower_2", upper: str = "vwap_upper_2") -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans import registry
 
-MODULES = ("windows", "tables", "portfolio", "experiments", "events", "content", "models", "streams")
+MODULES = ("windows", "tables", "files", "portfolio", "experiments", "events", "content", "models", "streams")
 
 
 def load():

@@ -24,12 +24,8 @@ def returns(spark, d):
     return windowed(b.bars(spark, d), lambda x, a: x.withColumn("ret", pct_change("close", a)), lookback=1)
 
 
-@query("exchange_fixed_width", "S6 S7", """WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN '99' ELSE '01' END AS rt,
- CASE l_linenumber % 3 WHEN 0 THEN '02' WHEN 1 THEN '12' ELSE '10' END AS bdi, 'T' || l_suppkey AS ticker, l_shipdate,
- CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
- SELECT ticker, strftime(l_shipdate, '%Y-%m-%d') AS trade_date, count(*) AS n, CAST(sum(q) AS BIGINT) AS quantity,
- round(sum(cents) / 100, 2) AS turnover FROM l WHERE rt = '01' AND bdi IN ('02', '12') GROUP BY ALL""")
-def exchange_fixed_width(spark, d):
+def exchange_lines(spark, d):
+    """Fixed-width records of the line items, and their year."""
     li = b.table(spark, d, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
     parts = {
@@ -44,21 +40,18 @@ def exchange_fixed_width(spark, d):
         F.lpad(parts.get(n, F.lit("0")), w, "0") if n in numeric else F.rpad(parts.get(n, F.lit("")), w, " ")
         for n, w in readers.EXCHANGE_LAYOUT
     ])
-    rows = readers.parse_exchange_lines(li.select(line.alias("value")))
-    return rows.groupBy("ticker", F.col("trade_date").cast("string").alias("trade_date")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.sum("turnover").cast("double").alias("turnover"))
+    return li.select(line.alias("value"), F.year("l_shipdate").alias("year"))
 
 
-@query("json_articles_rejects", "S4 S17 D10", """SELECT symbol, count(*) AS parsed, count(*) FILTER (bad) AS rejected FROM
- (SELECT CAST(doc_id % 100 AS VARCHAR) AS symbol, doc_id % 7 = 0 AS bad FROM documents) GROUP BY symbol""")
-def json_articles_rejects(spark, d):
-    docs = b.news(spark, d).select("ticker", "doc_id", F.to_json(F.struct(
-        F.col("date").cast("string").alias("Date"), F.col("ticker").alias("Stock_symbol"), F.col("summary").alias("Article"),
-        F.col("title").alias("Article_title"))).alias("line"))
-    # every seventh line loses its closing brace, as a truncated download does
-    lines = docs.withColumn("line", F.when(F.col("doc_id") % 7 == 0, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line")))
-    parsed = lines.select("ticker", F.get_json_object("line", "$").isNull().alias("bad"))
-    return parsed.groupBy(F.col("ticker").alias("symbol")).agg(F.count(F.lit(1)).alias("parsed"), F.count_if("bad").alias("rejected"))
+@query("exchange_fixed_width", "S6 S7", """WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN '99' ELSE '01' END AS rt,
+ CASE l_linenumber % 3 WHEN 0 THEN '02' WHEN 1 THEN '12' ELSE '10' END AS bdi, 'T' || l_suppkey AS ticker, l_shipdate,
+ CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+ SELECT ticker, strftime(l_shipdate, '%Y-%m-%d') AS trade_date, count(*) AS n, CAST(sum(q) AS BIGINT) AS quantity,
+ round(sum(cents) / 100, 2) AS turnover FROM l WHERE rt = '01' AND bdi IN ('02', '12') GROUP BY ALL""")
+def exchange_fixed_width(spark, d):
+    rows = readers.parse_exchange_lines(exchange_lines(spark, d))
+    return rows.groupBy("ticker", F.col("trade_date").cast("string").alias("trade_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.sum("turnover").cast("double").alias("turnover"))
 
 
 @query("ticker_universe", "S5 U2", with_ctes("bars slow news", "SELECT symbol FROM bars INTERSECT SELECT ticker FROM news"))

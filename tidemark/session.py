@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+#: the folder that holds the package
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession) -> str:
+    """Send the package to the executors of a cluster that has it not installed; returns the archive's path on the driver."""
+    here = os.path.join(ROOT, "tidemark")
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-tidemark-ship-"), "tidemark.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, ROOT))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def local_session(cores: int = 8, app: str = "tidemark", shuffle: int | None = None) -> SparkSession:
     """A local session with the settings the library expects from a cluster."""
     spark = (
@@ -22,6 +42,7 @@ def local_session(cores: int = 8, app: str = "tidemark", shuffle: int | None = N
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")])))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

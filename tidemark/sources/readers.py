@@ -54,36 +54,40 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return clean_bars(conform(read_table(spark, path), BAR_ALIASES, BAR_REQUIRED))
 
 
-def read_ticker_csvs(spark: SparkSession, folder: str, tickers: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """One CSV per ticker; the ticker is the upper-cased file name.
+def read_ticker_csvs(spark: SparkSession, folder: str, tickers: Sequence[str] = (), limit: int | None = None, folders: bool = False) -> DataFrame:
+    """One CSV per ticker; the ticker is the upper-cased file name, or with ``folders`` the value of its ``file=`` folder.
 
     A ticker list becomes a list of paths, so other files are never opened. ``limit`` keeps the first
     files in name order.
     """
-    paths = [f"{folder}/{t}.csv" for t in tickers] or f"{folder}/*.csv"
+    one = "file={}" if folders else "{}.csv"
+    paths = [f"{folder}/{one.format(t)}" for t in tickers] or f"{folder}/{one.format('*')}"
     df = spark.read.option("header", True).csv(paths)
-    df = df.withColumn("symbol", ticker_of(F.input_file_name()))
+    df = df.withColumn("symbol", ticker_of(F.col("_metadata.file_path")))
     if limit is not None:
         df = df.join(df.select("symbol").distinct().orderBy("symbol").limit(limit), "symbol", "left_semi")
     return df
 
 
 def ticker_of(file_name: Column) -> Column:
-    return F.upper(F.url_decode(F.regexp_extract(file_name, r"([^/]+)\.[A-Za-z]+$", 1)))
+    """Upper-cased ticker of a path: ``.../aaa.csv`` or ``.../file=aaa/part-….csv``."""
+    folder = F.regexp_extract(file_name, r"/file=([^/]+)/[^/]+$", 1)
+    name = F.regexp_extract(file_name, r"([^/]+?)\.[A-Za-z]+$", 1)
+    return F.upper(F.url_decode(F.when(F.length(folder) > 0, folder).otherwise(name)))
 
 
-def read_articles(spark: SparkSession, folder: str) -> DataFrame:
+def read_articles(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """JSON-lines articles; lines that do not parse are skipped."""
-    return spark.read.schema(ARTICLES).json(f"{folder}/*.jsonl", mode="DROPMALFORMED")
+    return spark.read.schema(ARTICLES).option("pathGlobFilter", pattern).json(folder, mode="DROPMALFORMED")
 
 
-def read_articles_with_rejects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed articles and, next to them, the lines that failed."""
-    lines = spark.read.text(f"{folder}/*.jsonl")
-    parsed = lines.select("value", F.from_json("value", ARTICLES).alias("_a"), F.get_json_object("value", "$").alias("_ok"))
-    good = parsed.where("_ok IS NOT NULL").select("_a.*")
-    bad = parsed.where("_ok IS NULL").select(F.col("value").alias("line"), F.input_file_name().alias("file"))
-    return good, bad
+def read_articles_with_rejects(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """Parsed articles and, next to them, the lines that failed with the file they are from: one parse, by the corrupt-record column."""
+    schema = T.StructType([*ARTICLES.fields, T.StructField("_line", T.StringType())])
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).where(F.length(F.trim("value")) > 0)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    rows = lines.select(parsed.alias("_a"), F.col("_metadata.file_path").alias("file"))
+    return rows.where("_a._line IS NULL").select("_a.*").drop("_line"), rows.where("_a._line IS NOT NULL").select(F.col("_a._line").alias("line"), "file")
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:

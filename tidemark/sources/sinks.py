@@ -24,10 +24,14 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_")
 
 
-def save_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("asset_group", "symbol_file")) -> None:
-    """A folder per asset group and symbol; rows are clustered first so each folder gets few files."""
+def save_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("asset_group", "symbol_file"), only_present: bool = False) -> None:
+    """A folder per asset group and symbol; rows are clustered first so each folder gets few files.
+
+    ``only_present`` replaces the folders that ``df`` has rows for and leaves the others as they are.
+    """
     df = df.withColumn("symbol_file", safe_name(F.col("symbol")))
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    mode = "dynamic" if only_present else "static"
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(path)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
