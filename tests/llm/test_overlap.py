@@ -138,3 +138,10 @@ def test_decontaminate_edges(spark):
 
 
 BODY = " ".join(corpus.LONG.split()[500:520])
+
+
+def test_one_per_group_without_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "own words only")], "doc_id long, text string")
+    kept = jaccard.one_per_group(docs)
+    assert kept.columns == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == [1, 3]

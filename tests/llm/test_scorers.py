@@ -110,3 +110,14 @@ def test_scorer_edges(spark):
         assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1
         assert fn(corpus.documents(spark, []), lab).count() == 0
         assert all(r.score == 0.5 for r in fn(corpus.documents(spark), lab.limit(0)).collect())
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from tidemark.llm import labelled
+
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(400)] + [(7, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    got = labelled.labelled_sample(docs, labels, "quality", 1000, 999, 4).collect()
+    assert 0 < len(got) <= 4 and len({r.doc_id for r in got}) == len(got)
+    again = labelled.labelled_sample(docs.repartition(7), labels, "quality", 1000, 999, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))

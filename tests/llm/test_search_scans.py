@@ -236,3 +236,20 @@ def test_unquoted_short_and_bare_secrets(spark):
     recall = {k: sum(i in got for i in kind if kind[i] == k) / 30 for k in forms}
     print(recall)
     assert all(v >= 0.9 for k, v in recall.items() if k != "commit") and recall["commit"] <= 0.1
+
+
+def test_repeated_query_ids_are_asked_once(spark):
+    import numpy as np
+
+    from tidemark.llm import nearest as near
+
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(20, rng.normal(size=6).tolist()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in near.nearest(df, df.where("vec_id % 20 = 0"), k=5, shard_rows=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 300, 20):
+        vector = min(v for i, v in rows if i == q)
+        want = sorted(((-float(np.dot(vector, v)), i) for i, v in rows if i != q))[:5]
+        assert [v for _, v in sorted(got[q])] == [i for _, i in want]

@@ -490,6 +490,5 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     if not again.limit(1).count():
         return kept
     same = (F.col("doc_id").cast("long") == F.col("__again")) & (text_key() == F.col("__same"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", text_key()).orderBy("source"))
-    once = kept.join(again, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, same, "left_anti").unionByName(once)

@@ -15,13 +15,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
     """(doc_id, label, text) of at most ``most`` labelled documents outside the held-out fold, chosen by a hash of the id.
 
-    Rows without id or label are left out; an id labelled twice has its larger label; an id with several texts gives several rows.
-    The broadcast side has at most ``most`` rows.
+    Rows without id or label are left out; an id labelled twice has its larger label; of an id with several texts the one with the smallest
+    hash counts. So the result has at most ``most`` rows, as has the broadcast side.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("doc_id", "label", F.col("one.text").alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:

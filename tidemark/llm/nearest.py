@@ -114,8 +114,12 @@ def _search(k: int, factor: float, largest: float, leaf: int):
         # the tree ranks by rounded distances: k + 4 are kept, ties at the edge are looked up in full
         own = {int(v): i for i, v in enumerate(ids)} if len(set(query_ids.tolist()) & set(ids.tolist())) else {}
         skip = np.array([own.get(int(q), -1) for q in query_ids])
-        found = tree.search(flat, min(k + 4, len(ids)), factor, skip)
+        # rows that share an id beyond the one that is skipped are found as well, and left out here
+        more = max(np.unique(ids[np.isin(ids, query_ids)], return_counts=True)[1], default=1) - 1 if own else 0
+        found = tree.search(flat, min(k + 4 + int(more), len(ids)), factor, skip)
         for q, vector, (rows, _) in zip(query_ids, queries, found, strict=True):
+            rows = np.asarray(rows)
+            rows = rows[ids[rows] != q]
             score = exact_products(vectors[rows], np.broadcast_to(vector, (len(rows), len(vector))))
             if len(rows) > k:
                 edge = np.sort(score)[::-1][k - 1]
@@ -176,7 +180,7 @@ def nearest(
     times the k-th distance so far (1: exact; below 1: faster, with misses). A task holds one shard. The shards' answers are ranked per query,
     ties to the smaller vec_id.
 
-    A query's own row (equal vec_id) is no answer. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
+    Rows with the query's vec_id are no answers; a query id on several rows is asked once, with the least of its vectors. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do null ids; vectors of other dimensions are never compared. Repeated ids are answers once per row. Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -189,17 +193,21 @@ def nearest(
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, wide).alias("embedding")).where("embedding is not null").withColumn("dim", F.size("embedding"))
 
     data, asked = usable(vectors), usable(queries)
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     whole = data.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"), F.max(square).alias("largest")).collect()  # one row per dimension
     largest = max([r["largest"] for r in whole], default=0.0)
     shards = {r["dim"]: max(1, -(-r["rows"] // shard_rows)) for r in whole}
     count = F.coalesce(F.create_map(*[F.lit(x) for p in shards.items() for x in p])[F.col("dim")], F.lit(0)) if shards else F.lit(0)
+    first = dict(zip(sorted(shards), np.cumsum([0, *[shards[d] for d in sorted(shards)]]).tolist(), strict=False))
+    base = F.create_map(*[F.lit(x) for p in first.items() for x in p])[F.col("dim")] if shards else F.lit(0)
+    parts = max(1, min(sum(shards.values()), 20_000))
+    task = F.pmod(base + F.col("part"), F.lit(parts)).cast("int").alias("task")  # a shard has a task of its own
     name = F.concat_ws("/", "dim", "part")
-    stored = data.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("shard")), count)).select(name.alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    stored = data.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("shard")), count)).select(name.alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding", task)
     visits = asked.where(count > 0).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
-    visits = visits.select(name.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
-    parts = max(1, min(sum(shards.values()), 20_000))
-    dealt = stored.unionByName(visits).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    visits = visits.select(name.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding", task)
+    dealt = stored.unionByName(visits).repartitionById(parts, "task").drop("task").sortWithinPartitions("shard", "kind", "vec_id")
 
     found = dealt.mapInArrow(lambda b: _search(k, factor, largest, leaf)(b), "query_id bigint, vec_id bigint, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
