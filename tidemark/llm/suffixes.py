@@ -21,6 +21,8 @@ LENGTH = 400
 ROWS_PER_BUCKET, SAMPLED_PER_BUCKET = 300_000, 100
 #: bytes that are named at a time
 SEGMENT = 1 << 17
+#: hash cells of texts; a table of those in use is broadcast (8 MB of numbers at most), beyond that many texts the joins behind it do the work
+CELLS = 1 << 20
 #: below this many suffixes the quicksort hands over to a sort of the columns
 SMALL = 2_048
 
@@ -283,6 +285,13 @@ def _cut_out(length: int):
     return run
 
 
+def _maybe_in(texts: DataFrame, rids: DataFrame, how: str) -> DataFrame:
+    """Texts whose cell holds one of the ids (``left_semi``), or none (``left_anti``), without a shuffle of texts."""
+    cell = F.pmod(F.xxhash64("rid", F.lit("cell")), F.lit(CELLS))
+    cells = rids.select(cell.alias("cell")).distinct()
+    return texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", how).drop("cell")
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts at another place of any text.
 
@@ -306,9 +315,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pair = F.struct("low", "high")
     left = by_anchor.where("open").groupBy("rid").agg(F.collect_list(pair).alias("open"))  # at most one per byte of the text
     n_open = by_anchor.where("open").agg(F.sum(F.col("high") - F.col("low") + 1)).first()[0] or 0
-    single = lambda share: some(long, share).join(some(left, share), "rid").mapInArrow(_windows(form), _SUFFIX)
+    near = _maybe_in(long, by_anchor.where("open"), "left_semi")
+    single = lambda share: some(near, share).join(some(left, share), "rid").mapInArrow(_windows(form), _SUFFIX)
     by_place = repeated(single, n_open)
     gone = by_anchor.where("whole").select("rid", "low", "high").unionByName(by_place.where("whole").select("rid", "low", "high"))
     spans = gone.groupBy("rid").agg(F.collect_list(pair).alias("spans"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary"
-    return texts.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut_out(length), schema)
+    none = F.lit(None).cast("array<struct<low: int, high: int>>").alias("spans")
+    found = cut(gone.select("rid").distinct(), light=True)
+    hit = _maybe_in(texts, found, "left_semi").join(spans, "rid", "left").select("doc_id", "text", "spans")
+    rest = _maybe_in(texts, found, "left_anti").select("doc_id", "text", none)
+    return hit.unionByName(rest).mapInArrow(_cut_out(length), schema)
