@@ -13,6 +13,7 @@ SQL = entry.oracle_sql()
 SPLIT = [
     "rolling_basic", "expanding_aggregates", "ewm_mean_std", "fills", "asof_backward", "asof_forward", "islands", "signal_mean_reversion",
     "cusum_breakouts", "target_weight_backtest", "flow_and_vpin", "exact_quantiles", "winsorise_quantiles", "tail_labels",
+    "discrete_likelihood", "exponential_likelihood", "intensity_on_bars", "bivariate_likelihood", "bivariate_intensity", "decay_context",
 ]
 
 

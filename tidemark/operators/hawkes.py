@@ -1,8 +1,7 @@
 """Self-exciting point processes: intensities, likelihoods, grid estimates and bivariate EM steps.
 
-All recursions run over ordered events on the ``scan`` primitive; parameter grids are numpy vectors in
-its state, so a grid costs one pass. Log-likelihoods are sums over events and are added up per key
-after the scan.
+Everything that fades comes from ``decayed_past``: one pass per grid of parameters, whose points share the sums of their
+rate. Log-likelihoods are sums over events; every block gives its part and the parts are added up per key.
 """
 
 from __future__ import annotations
@@ -13,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.decay import decayed_past
 from tidemark.operators.recurrences import decayed_sum
-from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, rows_per_task, scan
+from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, rows_per_task
 from tidemark.session import ensure_checkpoint_dir
 
 
@@ -24,37 +25,38 @@ def discrete_intensity(df: DataFrame, event: str, alpha: float = 0.8, beta: floa
     return decayed_sum(df, out, event, float(np.exp(-beta)), alpha, axis)
 
 
-def _last_row_only(n: int, value) -> list:
-    return [None] * (n - 1) + [value]
-
-
 def _summed(parts: DataFrame, keys: Sequence[str], points: pd.DataFrame, out: str) -> DataFrame:
     """Add up per-block arrays and attach the parameters of each position."""
-    flat = parts.where("_part IS NOT NULL").select(*keys, F.posexplode("_part").alias("_i", "_v"))
+    flat = parts.select(*keys, F.posexplode("_part").alias("_i", "_v"))
     total = flat.groupBy(*keys, "_i").agg(F.sum("_v").alias(out))
     table = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in row.items()]) for row in points.to_dict("records")])
     p = F.get(table, F.col("_i"))
     return total.select(*keys, *[p[c].alias(c) for c in points.columns], out)
 
 
+def _parts_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in keys], T.StructField("_part", T.ArrayType(T.DoubleType()))])
+
+
 def discrete_likelihood(df: DataFrame, event: str, points: Sequence[tuple[float, float, float]], axis: Axis = BARS) -> DataFrame:
-    """Discrete log-likelihood per key and (alpha, beta, mu) point."""
-    grid = pd.DataFrame(points, columns=["alpha", "beta", "mu"])
-    a, keep, mu = grid["alpha"].to_numpy(), np.exp(-grid["beta"].to_numpy()), grid["mu"].to_numpy()
+    """Discrete log-likelihood per key and (alpha, beta, mu) point, none of them negative; a null event is none.
+
+    The first bar only starts the recursion.
+    """
+    grid = pd.DataFrame(points, columns=["alpha", "beta", "mu"], dtype=float)
+    betas = sorted(set(grid["beta"]))
 
-    def step(pdf, state):
-        level, before = (np.asarray(state[:-1]), state[-1]) if state is not None else (mu.copy(), np.nan)
-        total = np.zeros(len(mu))
-        for e in pdf[event].to_numpy(dtype=float):
-            if not np.isnan(before):
-                # the first bar only starts the recursion
-                level = np.maximum(mu + keep * (level - mu) + a * before, 1e-10)
-                total += (np.log(level) if e > 0 else 0.0) - level
-            before = e
-        return {"_part": _last_row_only(len(pdf), total.tolist())}, [*level.tolist(), before]
+    def emit(rows, t, past):
+        hit = rows[event].to_numpy(dtype=float, na_value=0.0) > 0
+        parts = []
+        for a, beta, mu in grid.itertuples(index=False):
+            level = np.maximum(mu + a * np.exp(beta) * past[betas.index(beta), :, 0], 1e-10)
+            parts.append(float((np.where(hit, np.log(level), 0.0) - level)[t > 0].sum()))
+        return rows[list(axis.keys)].head(1).assign(_part=[parts])
 
-    slim = df.select(*axis.keys, *axis.order, event)
-    return _summed(scan(slim, step, "_part array<double>", axis), axis.keys, grid, "log_likelihood")
+    slim = df.select(*axis.keys, *axis.order, F.col(event).cast("double").alias(event))
+    parts = decayed_past(slim, None, lambda rows: rows[[event]].to_numpy(dtype=float, na_value=0.0), betas, emit, _parts_schema(slim, axis.keys), axis)
+    return _summed(parts, axis.keys, grid, "log_likelihood")
 
 
 def best_by(df: DataFrame, keys: Sequence[str], params: Sequence[str], score: str, largest: bool = True) -> DataFrame:
@@ -81,20 +83,17 @@ def event_times(df: DataFrame, flag: str, axis: Axis = BARS, ts: str = "ts") ->
 def exponential_likelihood(events: DataFrame, mu_shares: Sequence[float], alphas: Sequence[float], betas: Sequence[float], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Negative log-likelihood per key and grid point (mu as a share of the plain event rate)."""
     grid = pd.DataFrame([(m, a, b) for m in mu_shares for a in alphas for b in betas], columns=["mu_share", "alpha", "beta"], dtype=float)
-    ms, al, be = (grid[c].to_numpy() for c in grid.columns)
-
-    def step(pdf, state):
-        exc, last = (np.asarray(state[:-1]), state[-1]) if state is not None else (np.zeros(len(ms)), 0.0)
-        total = np.zeros(len(ms))
-        horizon = float(pdf["horizon"].iloc[0])
-        mu = ms * max(float(pdf["n_events"].iloc[0]) / horizon, 1e-6)
-        for t in pdf["t"].to_numpy(dtype=float):
-            exc = exc * np.exp(-be * max(t - last, 0.0))
-            total += al * (1 - np.exp(-be * (horizon - t))) - np.log(mu + al * be * exc)
-            exc, last = exc + 1.0, t
-        return {"_part": _last_row_only(len(pdf), total.tolist())}, [*exc.tolist(), last]
-
-    parts = scan(events, step, "_part array<double>", Axis(tuple(keys), ("t",)))
+    rates = sorted(set(grid["beta"]))
+
+    def emit(rows, t, past):
+        horizon = float(rows["horizon"].iloc[0])
+        rate, parts = max(float(rows["n_events"].iloc[0]) / horizon, 1e-6), []
+        for share, alpha, beta in grid.itertuples(index=False):
+            level = share * rate + alpha * beta * past[rates.index(beta), :, 0]
+            parts.append(float((alpha * (1 - np.exp(-beta * (horizon - t))) - np.log(level)).sum()))
+        return rows[list(keys)].head(1).assign(_part=[parts])
+
+    parts = decayed_past(events, "t", lambda rows: np.ones((len(rows), 1)), rates, emit, _parts_schema(events, keys), Axis(tuple(keys), ("t",)), each_row=True)
     totals = _summed(parts, keys, grid, "_nll")
     spans = events.groupBy(*keys).agg(F.first("n_events").alias("n_events"), F.first("horizon").alias("horizon"))
     rate = F.greatest(F.col("n_events") / F.col("horizon"), F.lit(1e-6))
@@ -116,20 +115,8 @@ def intensity_on_bars(df: DataFrame, flag: str, params: DataFrame, axis: Axis =
     slim = df.select(*keys, ts, F.col(flag).cast("int").alias("_e"), (F.unix_timestamp(F.col(ts).cast("timestamp")) / 86400.0).alias("_t"))
     joined = slim.join(params.select(*keys, "mu", "alpha", "beta", "n_events", "horizon"), keys)
 
-    def step(pdf, state):
-        exc, waiting, last = state if state is not None else (0.0, 0.0, np.nan)
-        t, e = pdf["_t"].to_numpy(dtype=float), pdf["_e"].to_numpy()
-        beta = float(pdf["beta"].iloc[0]) if pdf["beta"].notna().iloc[0] else np.nan
-        out = np.empty(len(t))
-        for i in range(len(t)):
-            if not np.isnan(last) and t[i] > last:
-                # events of the previous time count from here on
-                exc, waiting = (exc + waiting) * np.exp(-beta * (t[i] - last)), 0.0
-            out[i] = exc
-            waiting, last = waiting + (1.0 if e[i] else 0.0), t[i]
-        return {"_exc": out}, [exc, waiting, last]
-
-    done = scan(joined, step, "_exc double", axis)
+    schema = T.StructType([*joined.schema.fields, T.StructField("_exc", T.DoubleType())])
+    done = decayed_past(joined, "_t", lambda rows: rows[["_e"]].to_numpy(dtype=float, na_value=0.0), "beta", lambda rows, t, past: rows.assign(_exc=past[0, :, 0]), schema, axis)
     rate = F.col("n_events") / F.greatest("horizon", F.lit(1.0))
     out = done.withColumns({"hawkes_intensity": F.col("mu") + F.col("alpha") * F.col("beta") * F.col("_exc"), "poisson_intensity": rate})
     return out.withColumn("cluster_ratio", F.when(rate > 0, F.col("hawkes_intensity") / rate)).select(*keys, ts, "hawkes_intensity", "poisson_intensity", "cluster_ratio")
@@ -138,21 +125,16 @@ def intensity_on_bars(df: DataFrame, flag: str, params: DataFrame, axis: Axis =
 # --- two kinds of events ---------------------------------------------------------------------
 
 
+def _fading(events: DataFrame, beta: float, axis: Axis, each_row: bool = False) -> DataFrame:
+    """Decayed counts of both kinds (``s0``, ``s1``) before each row; a row without a kind counts as neither."""
+    schema = T.StructType([*events.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("s0", "s1")]])
+    kinds = lambda rows: np.column_stack([rows["kind"].eq(k).to_numpy(dtype=float, na_value=0.0) for k in (0, 1)])
+    return decayed_past(events, "t", kinds, [beta], lambda rows, t, past: rows.assign(s0=past[0, :, 0], s1=past[0, :, 1]), schema, axis, 2, each_row)
+
+
 def _excitations(events: DataFrame, beta: float, keys: Sequence[str]) -> DataFrame:
     """Per event: decayed counts of strictly earlier events of kind 0 and kind 1 (``s0``, ``s1``)."""
-    def step(pdf, state):
-        s0, s1, w0, w1, last = state if state is not None else (0.0, 0.0, 0.0, 0.0, np.nan)
-        t, kind = pdf["t"].to_numpy(dtype=float), pdf["kind"].to_numpy()
-        a, b = np.empty(len(t)), np.empty(len(t))
-        for i in range(len(t)):
-            if not np.isnan(last) and t[i] > last:
-                d = np.exp(-min(beta * (t[i] - last), 700.0))
-                s0, s1, w0, w1 = (s0 + w0) * d, (s1 + w1) * d, 0.0, 0.0
-            a[i], b[i], last = s0, s1, t[i]
-            w0, w1 = w0 + (kind[i] == 0), w1 + (kind[i] == 1)
-        return {"s0": a, "s1": b}, [s0, s1, float(w0), float(w1), last]
-
-    return scan(events, step, "s0 double, s1 double", Axis(tuple(keys), ("t", "kind")))
+    return _fading(events, beta, Axis(tuple(keys), ("t", "kind")))
 
 
 def bivariate_start(events: DataFrame, horizon: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -314,18 +296,6 @@ def bivariate_intensity(events: DataFrame, times: DataFrame, params: DataFrame,
     """Intensities of both kinds at given times, events at the same time included."""
     stacked = events.select(*keys, "t", "kind", F.lit(0).alias("_side")).unionByName(times.select(*keys, "t", F.lit(None).cast("int").alias("kind"), F.lit(1).alias("_side")))
 
-    def step(pdf, state):
-        s0, s1, last = state if state is not None else (0.0, 0.0, np.nan)
-        t, kind = pdf["t"].to_numpy(dtype=float), pdf["kind"].to_numpy(dtype=float)
-        a, b = np.empty(len(t)), np.empty(len(t))
-        for i in range(len(t)):
-            if not np.isnan(last) and t[i] > last:
-                d = np.exp(-min(beta * (t[i] - last), 700.0))
-                s0, s1 = s0 * d, s1 * d
-            s0, s1 = s0 + (kind[i] == 0), s1 + (kind[i] == 1)
-            a[i], b[i], last = s0, s1, t[i]
-        return {"s0": a, "s1": b}, [float(s0), float(s1), last]
-
-    done = scan(stacked, step, "s0 double, s1 double", Axis(tuple(keys), ("t", "_side"))).where("_side = 1").join(params, list(keys))
+    done = _fading(stacked, beta, Axis(tuple(keys), ("t", "_side")), each_row=True).where("_side = 1").join(params, list(keys))
     return done.select(*keys, "t", (F.col("mu0") + F.col("a00") * F.col("s0") + F.col("a01") * F.col("s1")).alias("intensity0"),
                        (F.col("mu1") + F.col("a10") * F.col("s0") + F.col("a11") * F.col("s1")).alias("intensity1"))

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from tidemark.functions import text as tx
 from tidemark.functions.cleaning import correlation
 from tidemark.functions import vectors as vc
+from tidemark.operators.decay import decayed_past
 from tidemark.operators.joins import asof_join
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.operators.series import BARS, Axis, following, prev, roll_mean, roll_std, scan, windowed
+from tidemark.operators.series import BARS, Axis, following, prev, roll_mean, roll_std, windowed
 from tidemark.operators.tables import keep_last
 
 # fixed values: the canonical news columns
@@ -112,31 +113,26 @@ def drift_events(df: DataFrame, column: str, train: Column, q: float = 0.95) ->
 def decay_context(df: DataFrame, vector: str, at: str, rates: Sequence[float], axis: Axis, size: int) -> DataFrame:
     """Σ e^{−λΔt}·v / Σ e^{−λΔt} over strictly earlier rows of the series, per rate λ (per unit of ``at``).
 
-    One pass with a decayed vector sum per rate; rows without a past have a null context.
+    Rows without a past have a null context; a row without a vector adds nothing. Vectors hold ``size`` numbers.
     """
-    lam = np.asarray(rates, dtype=float)
     names = [f"context_{i}" for i in range(len(rates))]
 
-    def step(pdf, state):
-        width = size + 1
-        if state is None:
-            acc, waiting, last = np.zeros((len(lam), width)), np.zeros(width), np.nan
-        else:
-            s = np.asarray(state)
-            acc, waiting, last = s[: len(lam) * width].reshape(len(lam), width), s[len(lam) * width : -1], s[-1]
-        rows = [[] for _ in lam]
-        for t, v in zip(pdf[at].to_numpy(dtype=float), pdf[vector]):
-            if not np.isnan(last) and t > last:
-                # vectors of the previous time join the past now
-                acc = (acc + waiting) * np.exp(-lam * (t - last))[:, None]
-                waiting = np.zeros(width)
-            for i in range(len(lam)):
-                rows[i].append((acc[i, :-1] / acc[i, -1]).tolist() if acc[i, -1] > 0 else None)
-            waiting = waiting + np.append(np.asarray(v, dtype=float), 1.0)
-            last = t
-        return {n: r for n, r in zip(names, rows)}, [*acc.ravel().tolist(), *waiting.tolist(), float(last)]
-
-    return scan(df, step, ", ".join(f"{n} array<double>" for n in names), axis)
+    def weigh(rows):
+        out, there = np.zeros((len(rows), size + 1)), rows[vector].notna().to_numpy()
+        if there.any():
+            out[there, :-1], out[there, -1] = np.vstack(rows.loc[there, vector].to_numpy()), 1.0
+        return out
+
+    def emit(rows, t, past):
+        made = {}
+        for name, sums in zip(names, past, strict=True):
+            some = sums[:, -1] > 0
+            mean = sums[:, :-1] / np.where(some, sums[:, -1], 1.0)[:, None]
+            made[name] = pd.Series([m if s else None for m, s in zip(mean, some, strict=True)], index=rows.index, dtype=object)
+        return rows.assign(**made)
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
+    return decayed_past(df, at, weigh, [float(r) for r in rates], emit, schema, axis, size + 1)
 
 
 def batch_similarity(df: DataFrame, batch: str, key: str, vector: str) -> DataFrame:
