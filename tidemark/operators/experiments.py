@@ -206,6 +206,32 @@ def stress_slices(df: DataFrame, windows: Sequence[tuple[str, str, str]] = STRES
     return out.join(enough, [*keys, "scenario"], "left_semi")
 
 
+def stress_report(df: DataFrame, bench: DataFrame, by: str, windows: Sequence[tuple[str, str, str]] = STRESS_WINDOWS, key: str = "symbol", ts: str = "ts", price: str = "close",
+                  least: int = 5) -> DataFrame:
+    """Return, drawdown and Sharpe of each series per stress window, next to its group's benchmark in the same window.
+
+    ``bench`` holds one series per value of ``by``. A benchmark with fewer than ``least`` rows in a window leaves its columns null.
+    """
+    names = ["total_return_pct", "max_drawdown_pct", "sharpe"]
+    own = curve_metrics(stress_slices(df, windows, ts, (by, key), least), Axis((by, key, "scenario"), (ts,)), price)
+    of = curve_metrics(stress_slices(bench, windows, ts, (by,), least), Axis((by, "scenario"), (ts,)), price)
+    of = of.select(by, "scenario", *[F.col(c).alias(f"bench_{c}") for c in names])
+    return own.select(by, key, "scenario", *names).join(of, [by, "scenario"], "left").withColumn("excess_return_pct", F.col("total_return_pct") - F.col("bench_total_return_pct"))
+
+
+def simulation_summary(paths: DataFrame, held: DataFrame, axis: Axis = BARS, equity: str = "equity") -> DataFrame:
+    """Per series over its simulated paths: returns, worst drawdown, mean Sharpe, and how many lose or beat holding the asset.
+
+    ``held`` gives the return of holding (``hold_return_pct``), one row per series.
+    """
+    m = curve_metrics(paths, axis.within("sim"), equity).join(held, list(axis.keys), "left")
+    r = F.col("total_return_pct")
+    return m.groupBy(*axis.keys).agg(
+        F.count(F.lit(1)).alias("paths"), F.avg(r).alias("mean_return_pct"), F.stddev_samp(r).alias("std_return_pct"), F.min(r).alias("worst_return_pct"), F.max(r).alias("best_return_pct"),
+        F.min("max_drawdown_pct").alias("worst_drawdown_pct"), F.avg("sharpe").alias("mean_sharpe"), F.max("hold_return_pct").alias("hold_return_pct"),
+        F.avg((r < 0).cast("double")).alias("losing_share"), F.avg((r > F.col("hold_return_pct")).cast("double")).alias("beating_share"))
+
+
 # --- overlay and candidate grids -------------------------------------------------------------
 
 
@@ -336,6 +362,27 @@ def worst_case(stats: DataFrame, by: Sequence[str], min_sharpe: float = -0.5) ->
     )
 
 
+def ticker_review(df: DataFrame, bench: DataFrame, by: str, key: str = "symbol", ts: str = "ts", price: str = "close", degrade_excess: float = -5.0, degrade_drawdown: float = -40.0,
+                  min_excess: float = -5.0, min_sharpe: float = -0.5, max_drawdown: float = -50.0) -> DataFrame:
+    """Per name: metrics, return above its group's benchmark, whether it degrades the portfolio and whether it is kept.
+
+    A name degrades if it trails the benchmark by too much or falls too deep; it is kept if excess, Sharpe and drawdown all hold.
+    """
+    own = curve_metrics(df, Axis((by, key), (ts,)), price).select(by, key, F.col("total_return_pct").alias("return_pct"), "max_drawdown_pct", "sharpe")
+    of = curve_metrics(bench, Axis((by,), (ts,)), price).select(by, F.col("total_return_pct").alias("_bench"))
+    j = own.join(of, by, "left").withColumn("excess_return_pct", F.col("return_pct") - F.col("_bench")).drop("_bench")
+    excess, fall = F.col("excess_return_pct"), F.col("max_drawdown_pct")
+    return j.withColumns({"degrading": (excess < degrade_excess) | (fall < degrade_drawdown), "kept": (excess >= min_excess) & (F.col("sharpe") >= min_sharpe) & (fall >= max_drawdown)})
+
+
+def degradation_report(review: DataFrame, by: Sequence[str], key: str = "symbol") -> DataFrame:
+    """Per group: the deepest drawdown, how many names degrade or go, and the mean return of the degrading ones (none: 0)."""
+    return review.groupBy(*by).agg(
+        F.min_by(key, F.struct("max_drawdown_pct", key)).alias("worst_drawdown_symbol"), F.min("max_drawdown_pct").alias("worst_drawdown_pct"), F.count(F.lit(1)).alias("names"),
+        F.count_if("degrading").alias("degrading"), F.count_if(~F.col("kept")).alias("excluded"),
+        F.coalesce(F.avg(F.when(F.col("degrading"), F.col("return_pct"))), F.lit(0.0)).alias("portfolio_impact_pct"))
+
+
 def composite_score(df: DataFrame, ret: str, last: int = 60, axis: Axis = BARS) -> DataFrame:
     """Per name: mean, deviation, and 0.6·mean + 0.25·momentum + 0.15·quality, the latter two min-max scaled."""
     per = df.groupBy(*axis.keys).agg(F.avg(ret).alias("mu"), F.stddev_samp(ret).alias("sd"))

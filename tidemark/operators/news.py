@@ -135,6 +135,23 @@ def decay_context(df: DataFrame, vector: str, at: str, rates: Sequence[float], a
     return decayed_past(df, at, weigh, [float(r) for r in rates], emit, schema, axis, size + 1)
 
 
+def news_day_coverage(bars: DataFrame, news: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Trading days, days with news and their share in percent per series; ``news`` holds (key, ts), repeated as it may be."""
+    days = news.select(key, ts).distinct().withColumn("_hit", F.lit(1))
+    j = bars.select(key, ts).join(days, [key, ts], "left")
+    n, hits = F.count(F.lit(1)), F.count("_hit")
+    return j.groupBy(key).agg(n.alias("trading_days"), hits.alias("news_days"), (100 * hits / n).alias("coverage_pct"))
+
+
+def coverage_summary(per_key: DataFrame, column: str = "coverage_pct") -> DataFrame:
+    """One row over all series: how many, how many without any news, mean, median, lowest, highest and their distance."""
+    level = exact_quantiles(per_key, column, [0.5], out="_q")
+    c = F.col(column)
+    g = per_key.agg(F.count(F.lit(1)).alias("tickers"), F.count_if(c == 0).alias("without_news"), F.avg(c).alias("mean_pct"), F.min(c).alias("lowest_pct"), F.max(c).alias("highest_pct"))
+    both = g.join(F.broadcast(level), how="left")  # one row each
+    return both.withColumns({"median_pct": F.col("_q")[0], "range_pct": F.col("highest_pct") - F.col("lowest_pct")}).drop("_q")
+
+
 def batch_similarity(df: DataFrame, batch: str, key: str, vector: str) -> DataFrame:
     """Cosine similarities of each vector to all members of its batch, as one array per row (members in key order).
 

@@ -162,6 +162,21 @@ def label_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return s.withColumns({"precision": ratio("tp", F.col("said").cast("double")), "recall": F.col("tp") / F.col("support"), "f1": f1})
 
 
+def label_confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Rows per (true, predicted) pair that occurs; rows without one of the two labels do not count."""
+    both = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    return both.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: accuracy, support-weighted precision, recall and F1, plain mean F1 of the true classes (nothing predicted: precision 0)."""
+    both = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    s, n = label_scores(both, truth, predicted), F.sum("support")
+    weighted = lambda c: F.sum(F.coalesce(c, F.lit(0.0)) * F.col("support")) / n
+    return s.agg(n.alias("n"), F.count(F.lit(1)).alias("classes"), (F.sum("tp") / n).alias("accuracy"), weighted("precision").alias("precision_weighted"),
+                 weighted("recall").alias("recall_weighted"), weighted("f1").alias("f1_weighted"), F.avg("f1").alias("f1_mean"))
+
+
 def detection_delay(df: DataFrame, truth: str, predicted: str, axis: Axis = BARS) -> DataFrame:
     """Mean distance, in rows, from a true change to the nearest predicted change."""
     keys = list(axis.keys)

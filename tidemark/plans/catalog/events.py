@@ -105,12 +105,30 @@ def regime_performance(spark, d):
     return g.select("symbol", "st", "n_days", num("avg_return", 8).alias("avg_return"), *nums("sharpe", "sortino", "win_rate", "mean_win", "mean_loss", "max_drawdown"))
 
 
-@query("label_scores", "R13", f"""WITH p AS (SELECT label AS y, CASE WHEN vec_id % 3 = 0 THEN label ELSE CAST(vec_id % 5 AS INTEGER) END AS h FROM embeddings),
- s AS (SELECT y AS cls, count(*) AS support, count(*) FILTER (y = h) AS tp FROM p GROUP BY y), q AS (SELECT h AS cls, count(*) AS said FROM p GROUP BY h)
+LABELS = "WITH p AS (SELECT label AS y, CASE WHEN vec_id % 3 = 0 THEN label ELSE CAST(vec_id % 5 AS INTEGER) END AS h FROM embeddings), " \
+    "s AS (SELECT y AS cls, count(*) AS support, count(*) FILTER (y = h) AS tp FROM p GROUP BY y), q AS (SELECT h AS cls, count(*) AS said FROM p GROUP BY h)"
+
+
+def labelled(spark, d):
+    return b.embeddings(spark, d).select(F.col("label").alias("y"), F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise((F.col("vec_id") % 5).cast("int")).alias("h"))
+
+
+@query("label_scores", "R13", f"""{LABELS}
  SELECT cls, support, CAST(coalesce(said, 0) AS BIGINT) AS said, {qnum("tp / nullif(said, 0)", "precision")}, {qnum("tp / support", "recall")}, {qnum("2 * tp / (support + coalesce(said, 0))", "f1")} FROM s LEFT JOIN q USING (cls)""")
 def label_scores(spark, d):
-    e = b.embeddings(spark, d).select(F.col("label").alias("y"), F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise((F.col("vec_id") % 5).cast("int")).alias("h"))
-    return rg.label_scores(e, "y", "h").select("cls", "support", "said", *nums("precision", "recall", "f1"))
+    return rg.label_scores(labelled(spark, d), "y", "h").select("cls", "support", "said", *nums("precision", "recall", "f1"))
+
+
+@query("label_confusion", "R13", f"{LABELS} SELECT y AS truth, h AS predicted, count(*) AS n FROM p WHERE y IS NOT NULL AND h IS NOT NULL GROUP BY y, h")
+def label_confusion(spark, d):
+    return rg.label_confusion(labelled(spark, d), "y", "h")
+
+
+@query("label_report", "R13", f"""{LABELS}, c AS (SELECT support, tp, tp::DOUBLE / support AS rc, coalesce(tp::DOUBLE / said, 0) AS pr, 2.0::DOUBLE * tp / (support + coalesce(said, 0)) AS f1 FROM s LEFT JOIN q USING (cls))
+ SELECT CAST(sum(support) AS BIGINT) AS n, count(*) AS classes, {qnum("sum(tp)::DOUBLE / sum(support)", "accuracy")}, {qnum("sum(pr * support) / sum(support)", "precision_weighted")},
+  {qnum("sum(rc * support) / sum(support)", "recall_weighted")}, {qnum("sum(f1 * support) / sum(support)", "f1_weighted")}, {qnum("avg(f1)", "f1_mean")} FROM c""")
+def label_report(spark, d):
+    return rg.label_report(labelled(spark, d), "y", "h").select("n", "classes", *nums("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_mean"))
 
 
 @query("detection_delay", "R14 J5", with_ctes("bars nb", ST + f""", p AS (SELECT symbol, rn - 1 AS k, st, CASE WHEN volume > 25 THEN 1 ELSE 0 END AS h, lag(st) OVER ({P}) AS s1, lag(CASE WHEN volume > 25 THEN 1 ELSE 0 END) OVER ({P}) AS h1 FROM s),

@@ -79,16 +79,33 @@ def time_split_test(spark, d):
     return fold_rows(ex.optimise_folds(ex.expanding_folds(bars, 5), POINTS))
 
 
-FOLDS2 = """ps AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+def walk_sql(mode: str) -> str:
+    rolled = "greatest(150 + k * 75 - 200, 0)"
+    lo = {"rolling": rolled, "expanding": "0", "hybrid": f"floor({rolled} * 0.5::DOUBLE)"}[mode]
+    return f"""ps AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
  kk AS (SELECT DISTINCT symbol, n, unnest(range(0, (n - 60 - 150) // 75 + 1)) AS k FROM ps),
- sv AS (SELECT ps.symbol, ts, close, k + 1 AS fold, 'train' AS role FROM ps JOIN kk USING (symbol) WHERE p < 150 + k * 75 AND p >= greatest(150 + k * 75 - 200, 0) UNION ALL
-  SELECT ps.symbol, ts, close, k + 1, 'test' FROM ps JOIN kk USING (symbol) WHERE p >= 150 + k * 75 + 5 AND p < least(150 + k * 75 + 65, ps.n)), """
+ sv AS (SELECT ps.symbol, ts, close, k + 1 AS fold, 'train' AS role FROM ps JOIN kk USING (symbol) WHERE p < 150 + k * 75 AND p >= {lo} UNION ALL
+  SELECT ps.symbol, ts, close, k + 1, 'test' FROM ps JOIN kk USING (symbol) WHERE p >= 150 + k * 75 + 5 AND p < least(150 + k * 75 + 65, ps.n)), """ + grid_sql("sv", "symbol, fold, role") + BEST
 
 
-@query("walk_forward", "X2", with_ctes("bars", FOLDS2 + grid_sql("sv", "symbol, fold, role") + BEST))
-def walk_forward(spark, d):
+def walked(spark, d, mode: str):
     bars = b.bars(spark, d).select("symbol", "ts", "close")
-    return fold_rows(ex.optimise_folds(ex.walk_forward_folds(bars, 200, 60, 150, 5, 10), POINTS))
+    return fold_rows(ex.optimise_folds(ex.walk_forward_folds(bars, 200, 60, 150, 5, 10, mode), POINTS))
+
+
+@query("walk_forward", "X2", with_ctes("bars", walk_sql("rolling")))
+def walk_forward(spark, d):
+    return walked(spark, d, "rolling")
+
+
+@query("walk_forward_expanding", "X2", with_ctes("bars", walk_sql("expanding")))
+def walk_forward_expanding(spark, d):
+    return walked(spark, d, "expanding")
+
+
+@query("walk_forward_hybrid", "X2", with_ctes("bars", walk_sql("hybrid")))
+def walk_forward_hybrid(spark, d):
+    return walked(spark, d, "hybrid")
 
 
 @query("k_fold_metrics", "X4 A16", with_ctes("bars", f"""ps AS (SELECT symbol, ts, close, row_number() OVER ({P}) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
@@ -138,6 +155,65 @@ def stress_windows(spark, d):
     return m.select("symbol", "scenario", *nums("total_return_pct", "max_drawdown_pct", "sharpe"))
 
 
+def curve_sql(name: str, src: str, keys: str, close: str = "close") -> str:
+    """Return, drawdown and Sharpe of the curves in ``src``, as the CTE ``name``."""
+    k = f"PARTITION BY {keys} ORDER BY ts"
+    return f"""{name}_r AS (SELECT *, coalesce({close} / lag({close}) OVER ({k}) - 1, 0) AS r_, {close} / max({close}) OVER ({k} ROWS UNBOUNDED PRECEDING) - 1 AS dd_ FROM {src}),
+ {name} AS (SELECT {keys}, (arg_max({close}, ts) / arg_min({close}, ts) - 1) * 100 AS tr, min(dd_) * 100 AS dd, coalesce(avg(r_) / nullif(stddev_samp(r_), 0) * sqrt(252), 0) AS sh FROM {name}_r GROUP BY {keys})"""
+
+
+STRESSED = """w AS (SELECT * FROM (VALUES ('dotcom_burst', DATE '2000-03-10', DATE '2002-10-09'), ('spring_1997', DATE '1997-03-01', DATE '1997-05-31'), ('year_1998', DATE '1998-01-01', DATE '1998-12-31')) v(name, lo, hi)),
+ gb AS (SELECT asset_group, ts, avg(close) AS close FROM bars GROUP BY asset_group, ts),
+ so AS (SELECT * FROM (SELECT asset_group, symbol, ts, close, name AS scenario, count(*) OVER (PARTITION BY asset_group, symbol, name) AS n FROM bars JOIN w ON ts BETWEEN lo AND hi) WHERE n >= 5),
+ sb AS (SELECT * FROM (SELECT asset_group, ts, close, name AS scenario, count(*) OVER (PARTITION BY asset_group, name) AS n FROM gb JOIN w ON ts BETWEEN lo AND hi) WHERE n >= 5), """
+
+
+def group_index(bars):
+    """Mean close of each asset group per date: the benchmark of its members."""
+    return bars.groupBy("asset_group", "ts").agg(F.avg("close").alias("close"))
+
+
+@query("stress_benchmark", "X6", with_ctes("bars", STRESSED + curve_sql("o", "so", "asset_group, symbol, scenario") + ", " + curve_sql("m", "sb", "asset_group, scenario") + f"""
+ SELECT asset_group, symbol, scenario, {qnum("o.tr", "total_return_pct")}, {qnum("o.dd", "max_drawdown_pct")}, {qnum("o.sh", "sharpe")}, {qnum("m.tr", "bench_total_return_pct")}, {qnum("m.dd", "bench_max_drawdown_pct")},
+  {qnum("m.sh", "bench_sharpe")}, {qnum("o.tr - m.tr", "excess_return_pct")} FROM o LEFT JOIN m USING (asset_group, scenario)"""))
+def stress_benchmark(spark, d):
+    windows = ex.STRESS_WINDOWS + (("spring_1997", "1997-03-01", "1997-05-31"), ("year_1998", "1998-01-01", "1998-12-31"))
+    bars = b.bars(spark, d).select("asset_group", "symbol", "ts", "close")
+    out = ex.stress_report(bars, group_index(bars), "asset_group", windows)
+    return out.select("asset_group", "symbol", "scenario", *nums("total_return_pct", "max_drawdown_pct", "sharpe", "bench_total_return_pct", "bench_max_drawdown_pct", "bench_sharpe", "excess_return_pct"))
+
+
+@query("monte_carlo_summary", "X5", with_ctes("bars", MC + ", " + curve_sql("sm_", "k3", "symbol, sim", "equity") + f""", hd AS (SELECT symbol, (arg_max(close, ts) / arg_min(close, ts) - 1) * 100 AS hr FROM bars GROUP BY symbol)
+ SELECT symbol, count(*) AS paths, {qnum("avg(tr)", "mean_return_pct", 4)}, {qnum("stddev_samp(tr)", "std_return_pct", 4)}, {qnum("min(tr)", "worst_return_pct", 4)}, {qnum("max(tr)", "best_return_pct", 4)}, {qnum("min(dd)", "worst_drawdown_pct", 4)},
+  {qnum("avg(sh)", "mean_sharpe", 4)}, {qnum("max(hr)", "hold_return_pct", 4)}, {qnum("avg(CASE WHEN tr < 0 THEN 1.0 ELSE 0 END)", "losing_share")}, {qnum("avg(CASE WHEN tr > hr THEN 1.0 ELSE 0 END)", "beating_share")} FROM sm_ JOIN hd USING (symbol) GROUP BY symbol"""))
+def monte_carlo_summary(spark, d):
+    held = b.bars(spark, d).groupBy("symbol").agg(((F.max_by("close", "ts") / F.min_by("close", "ts") - 1) * 100).alias("hold_return_pct"))
+    out = ex.simulation_summary(mc_paths(spark, d), held)
+    names = ("mean_return_pct", "std_return_pct", "worst_return_pct", "best_return_pct", "worst_drawdown_pct", "mean_sharpe", "hold_return_pct")
+    return out.select("symbol", "paths", *nums(*names, digits=4), *nums("losing_share", "beating_share"))
+
+
+REVIEWED = "gb AS (SELECT asset_group, ts, avg(close) AS close FROM bars GROUP BY asset_group, ts), " + curve_sql("o", "bars", "asset_group, symbol") + ", " + curve_sql("m", "gb", "asset_group") + """,
+ rv AS (SELECT asset_group, symbol, o.tr, o.dd, o.sh, o.tr - m.tr AS ex, o.tr - m.tr < -5 OR o.dd < -40 AS degrading, o.tr - m.tr >= -5 AND o.sh >= -0.5 AND o.dd >= -50 AS kept FROM o JOIN m USING (asset_group))"""
+
+
+def reviewed(spark, d):
+    bars = b.bars(spark, d).select("asset_group", "symbol", "ts", "close")
+    return ex.ticker_review(bars, group_index(bars), "asset_group")
+
+
+@query("ticker_review", "B29", with_ctes("bars", REVIEWED + f""" SELECT asset_group, symbol, {qnum("tr", "return_pct")}, {qnum("dd", "max_drawdown_pct")}, {qnum("sh", "sharpe")}, {qnum("ex", "excess_return_pct")}, degrading, kept FROM rv"""))
+def ticker_review(spark, d):
+    return reviewed(spark, d).select("asset_group", "symbol", *nums("return_pct", "max_drawdown_pct", "sharpe", "excess_return_pct"), "degrading", "kept")
+
+
+@query("degradation_report", "B29", with_ctes("bars", REVIEWED + f""" SELECT asset_group, first(symbol ORDER BY dd, symbol) AS worst_drawdown_symbol, {qnum("min(dd)", "worst_drawdown_pct")}, count(*) AS names, count(*) FILTER (degrading) AS degrading,
+ count(*) FILTER (NOT kept) AS excluded, {qnum("coalesce(avg(CASE WHEN degrading THEN tr END), 0)", "portfolio_impact_pct")} FROM rv GROUP BY asset_group"""))
+def degradation_report(spark, d):
+    out = ex.degradation_report(reviewed(spark, d), ["asset_group"])
+    return out.select("asset_group", "worst_drawdown_symbol", *nums("worst_drawdown_pct"), "names", "degrading", "excluded", *nums("portfolio_impact_pct"))
+
+
 OVER = FAMILY + f""", sg AS (SELECT ts, symbol, coalesce(ret, 0) AS r, mom5 AS a, rev1 AS b, 1.0::DOUBLE / count(*) OVER (PARTITION BY ts) AS base FROM i3),
  st AS (SELECT ts, symbol, r, base, 'mom5' AS signal_name, a AS alpha FROM sg UNION ALL SELECT ts, symbol, r, base, 'rev1', b FROM sg),
  x AS (SELECT *, alpha - avg(alpha) OVER (PARTITION BY signal_name, ts) AS x FROM st), t AS (SELECT *, coalesce(x / nullif(sum(abs(x)) OVER (PARTITION BY signal_name, ts), 0), 0) AS tl FROM x),

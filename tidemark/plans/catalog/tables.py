@@ -478,12 +478,27 @@ def news_day_ranking(spark, d):
     return top.select("ticker", "days", F.row_number().over(Window.orderBy(F.desc("days"), "ticker")).cast("long").alias("rank"))
 
 
-@query("news_coverage", "A22", with_ctes("bars news", f"""d AS (SELECT DISTINCT ticker AS symbol, date AS ts FROM news)
- SELECT b.symbol, count(*) AS trading_days, count(d.ts) AS news_days, {qnum("100.0::DOUBLE * count(d.ts) / count(*)", "coverage_pct")} FROM bars b LEFT JOIN d USING (symbol, ts) GROUP BY b.symbol"""))
+COVERED = """d AS (SELECT DISTINCT ticker AS symbol, date AS ts FROM news),
+ cv AS (SELECT b.symbol, count(*) AS trading_days, count(d.ts) AS news_days, 100.0::DOUBLE * count(d.ts) / count(*) AS pct FROM bars b LEFT JOIN d USING (symbol, ts) GROUP BY b.symbol)"""
+
+
+def covered(spark, d):
+    from tidemark.operators.news import news_day_coverage
+
+    return news_day_coverage(b.bars(spark, d), b.news(spark, d).select(F.col("ticker").alias("symbol"), F.col("date").alias("ts")))
+
+
+@query("news_coverage", "A22", with_ctes("bars news", f"""{COVERED} SELECT symbol, trading_days, news_days, {qnum("pct", "coverage_pct")} FROM cv"""))
 def news_coverage(spark, d):
-    days = b.news(spark, d).select(F.col("ticker").alias("symbol"), F.col("date").alias("ts")).distinct().withColumn("hit", F.lit(1))
-    j = b.bars(spark, d).select("symbol", "ts").join(days, ["symbol", "ts"], "left")
-    return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("trading_days"), F.count("hit").alias("news_days"), num(100 * F.count("hit") / F.count(F.lit(1))).alias("coverage_pct"))
+    return covered(spark, d).select("symbol", "trading_days", "news_days", *nums("coverage_pct"))
+
+
+@query("news_coverage_summary", "A22", with_ctes("bars news", f"""{COVERED} SELECT count(*) AS tickers, count(*) FILTER (pct = 0) AS without_news, {qnum("avg(pct)", "mean_pct")}, {qnum("quantile_cont(pct, 0.5)", "median_pct")},
+ {qnum("min(pct)", "lowest_pct")}, {qnum("max(pct)", "highest_pct")}, {qnum("max(pct) - min(pct)", "range_pct")} FROM cv"""))
+def news_coverage_summary(spark, d):
+    from tidemark.operators.news import coverage_summary
+
+    return coverage_summary(covered(spark, d)).select("tickers", "without_news", *nums("mean_pct", "median_pct", "lowest_pct", "highest_pct", "range_pct"))
 
 
 # --- cross-sections, ranks, islands ----------------------------------------------------------
