@@ -19,6 +19,8 @@ FOLDS, HELD_OUT = 3, 1
 MOST_LABELLED = 4_000
 #: most documents of either label whose words train the chain
 MOST_CHAINS = 700
+#: words of the training chains whose marginals are computed at once
+WORDS_AT_ONCE = 250_000
 #: bytes of the word beginnings that are features beside the word
 PREFIXES = (6, 4)
 #: a word or beginning is tagged in documents labelled 1 if it has so many different left neighbours there and this share of them
@@ -146,12 +148,14 @@ def tag_words(keys: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> np.nda
         seen = np.unique(own[toxic])
         contexts = []
         for side in (toxic, ~toxic):
-            w = own[side]
-            w, l = (x[np.isin(w, seen)] for x in (w, left[side]))
-            _, first = np.unique(w * _U(0x9E3779B97F4A7C15) ^ l, return_index=True)
-            contexts.append(np.bincount(np.searchsorted(seen, w[first]), minlength=len(seen)))
+            at = _places(own[side], seen)
+            known = np.flatnonzero(side)[at < len(seen)]
+            at = at[at < len(seen)]
+            _, first = np.unique(own[known] * _U(0x9E3779B97F4A7C15) ^ left[known], return_index=True)
+            contexts.append(np.bincount(at[first], minlength=len(seen)))
         ones, total = contexts[0], contexts[0] + contexts[1]
-        tags |= np.isin(own, seen[(ones >= LEAST_CONTEXTS) & (ones >= LEAST_SHARE * total)])
+        marked = seen[(ones >= LEAST_CONTEXTS) & (ones >= LEAST_SHARE * total)]
+        tags |= _places(own, marked) < len(marked)
     return tags & toxic
 
 
@@ -161,21 +165,25 @@ def fit(keys: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rounds: int =
     ``keys``: hashes of words and beginnings of all texts end to end; ``toxic``: 0 or 1 per document.
     """
     n = keys.shape[1]
-    starts, owner = _starts(offsets, n), np.repeat(np.arange(len(toxic)), np.diff(offsets))
+    starts, owner = _starts(offsets, n), np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(offsets))
     tags = tag_words(keys, starts, toxic.astype(bool)[owner])
     tagged = np.bincount(owner, tags, len(toxic)) > 0
     chosen = np.concatenate([np.flatnonzero(tagged)[:MOST_CHAINS], np.flatnonzero((toxic == 0) & ~tagged)[:MOST_CHAINS]])
-    use = np.isin(owner, chosen)
+    use = np.isin(np.arange(len(toxic)), chosen)[owner]
     w, s, y = keys[:, use], starts[use], tags[use].astype(float)
     vocabulary = np.unique(w)
     f = _features(w, s, vocabulary)
+    del owner, use, tags, w
+    cuts = np.flatnonzero(s)
+    cuts = [*cuts[np.unique(np.searchsorted(cuts, np.arange(0, len(s), WORDS_AT_ONCE), side="right") - 1)], len(s)]  # whole chains
     weights, bias, trans = np.zeros((len(f), len(vocabulary) + 1)), -3.0, np.zeros((2, 2))
     inner = np.flatnonzero(~s[1:]) + 1
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     m, v = np.zeros(weights.size + 5), np.zeros(weights.size + 5)
     for k in range(1, rounds + 1 if len(y) else 1):
-        p, expected = marginals(_score(f, weights, bias), s, trans)
+        parts = [marginals(_score(f[:, a:b], weights, bias), s[a:b], trans) for a, b in zip(cuts, cuts[1:], strict=False)]
+        p, expected = np.concatenate([x for x, _ in parts]), sum(x for _, x in parts)
         g = np.stack([np.bincount(x, y - p, len(vocabulary) + 1) for x in f])
         g[:, -1] = 0
         g = np.concatenate([(g - 0.02 * weights).ravel(), [(y - p).sum()], (seen - expected).ravel()])
@@ -219,6 +227,20 @@ def _scorer(chain: Chain):
     return run
 
 
+def _unpacked(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, offsets, labels) for ``fit``, copied column by column; the caller keeps no second copy."""
+    sizes = pa.compute.list_value_length(rows.column(names[0])).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    keys = np.empty((len(names), offsets[-1]), _U)
+    for out, name in zip(keys, names, strict=True):
+        at = 0
+        for chunk in rows.column(name).chunks:
+            values = chunk.flatten().to_numpy(zero_copy_only=False).view(_U)
+            out[at : at + len(values)] = values
+            at += len(values)
+    return keys, offsets, rows.column("label").to_numpy()
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, spans (character offsets and marginals of offending words).
 
@@ -247,11 +269,9 @@ def _toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, thr
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, label int, " + ", ".join(f"{n} array<bigint>" for n in names)
-    rows = sample.mapInArrow(hashes, schema).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # bounded
-    lists = [rows.column(n).combine_chunks() for n in names]
-    keys = np.stack([x.flatten().to_numpy(zero_copy_only=False).view(_U) for x in lists]) if len(rows) else np.zeros((len(names), 0), _U)
-    offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    chain = spark.sparkContext.broadcast(fit(keys, offsets, rows.column("label").to_numpy()))
+    hashed = sample.mapInArrow(hashes, schema).orderBy(F.xxhash64("doc_id"), "doc_id")
+    keys, offsets, marks = _unpacked(hashed.toArrow(), names)  # bounded
+    chain = spark.sparkContext.broadcast(fit(keys, offsets, marks))
 
     def score(batches):
         yield from _scorer(chain.value)(batches)
