@@ -113,6 +113,12 @@ def merge_micro(prices: DataFrame, funding: DataFrame | None, interest: DataFram
 # --- liquidity and structure -----------------------------------------------------------------
 
 
+def _beyond(gap: Column, level: Column) -> Column:
+    """Gap as a share of its level; beyond a level of 0 it is infinite, as in the limit."""
+    far = F.when(gap > 0, F.lit(float("inf"))).when(gap < 0, F.lit(float("-inf")))
+    return F.when(level == 0, far).otherwise(gap / level)
+
+
 def _sweep(a: Axis, side: str, look: int, recover: int, wick: float) -> dict[str, Column]:
     """Columns of one side, given ``_swing`` (rolling extreme) on the frame."""
     long = side == "long"
@@ -122,7 +128,7 @@ def _sweep(a: Axis, side: str, look: int, recover: int, wick: float) -> dict[str
     sign = 1 if long else -1
     broke = (sign * (here - level) < 0) & (sign * (was - before) >= 0)
     depth = sign * (level - here)
-    return {"_broke": broke & (depth > level * wick), "_level": level, "_quality": clip(depth / level * 100, 0.0, 1.0)}
+    return {"_broke": broke & (depth > level * wick), "_level": level, "_quality": clip(_beyond(depth, level) * 100, 0.0, 1.0)}
 
 
 def liquidity_capture(df: DataFrame, axis: Axis, look: int = 20, recover: int = 5, wick: float = 0.0008) -> DataFrame:
@@ -152,7 +158,7 @@ def structure_break(df: DataFrame, axis: Axis, look: int = 20, least: float = 0.
     ):
         df = df.withColumn("_edge", roll(extreme, axis, look, 1))
         edge = prev("_edge", axis)
-        push = sign * (F.col("close") - edge) / edge
+        push = _beyond(sign * (F.col("close") - edge), edge)
         df = df.withColumns({"_push": push, "_had": F.max(F.col(capture).cast("int")).over(axis.trailing(2 * look)) > 0})
         broke = F.coalesce((F.col("_push") > 0) & (F.col("_push") > least), F.lit(False))
         df = df.withColumn(f"msb_{name}", broke).withColumn(f"msb_{name}_valid", F.col(f"msb_{name}") & F.col("_had"))

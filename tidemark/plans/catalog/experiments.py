@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.cleaning import ratio
 from tidemark.operators import crosssection as xs
 from tidemark.operators import experiments as ex
 from tidemark.operators import metrics as mx
@@ -428,9 +429,9 @@ def liquidity_structure(spark, d):
  SELECT symbol, CAST(ts AS VARCHAR) AS ts, tl AS spy_long_ok, rl AS qqq_long_ok, """ + qnum("score", "score_long", 1) + ", CASE WHEN score >= 95 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 80 THEN 'B' ELSE '-' END AS rating_long FROM sc"))
 def confluence_score(spark, d):
     df = windowed(b.intraday(spark, d), lambda x, a: ms.structure_break(ms.liquidity_capture(x, a), a), lookback=70, lookahead=5)
-    df = anchored_vwap(df).withColumn("delta_norm", (F.col("close") - F.col("vwap")) / F.col("vwap"))
+    df = anchored_vwap(df).withColumn("delta_norm", ratio(F.col("close") - F.col("vwap"), "vwap"))
     base = anchored_vwap(b.intraday(spark, d).where("symbol IN ('click', 'view')"))
-    base = base.withColumns({"delta_norm": (F.col("close") - F.col("vwap")) / F.col("vwap"), "gamma_magnitude": F.col("volume") / 10,
+    base = base.withColumns({"delta_norm": ratio(F.col("close") - F.col("vwap"), "vwap"), "gamma_magnitude": F.col("volume") / 10,
                              "vwap_upper_2": F.col("vwap") * 1.5, "vwap_lower_2": F.col("vwap") * 0.5})
     df = ms.confluence(df, base.where("symbol = 'click'"), base.where("symbol = 'view'"))
     df = windowed(df, lambda x, a: x.withColumn("score_long", ms.quality_score(a, "long")), lookback=40)
