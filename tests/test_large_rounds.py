@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import learning as ml
 from tidemark.operators import microstructure as ms
 from tidemark.operators import signals as sg
 from tidemark.operators.series import BARS
@@ -27,3 +29,20 @@ def test_levels_of_zero(spark):
     swept = ms.liquidity_capture(low, BARS).orderBy("ts").collect()
     assert [i for i, r in enumerate(swept) if r["liq_capture_long"]] == [30] and swept[30]["liq_quality_long"] == 1.0
     assert sg.institutional(df).count() == 60
+
+
+def test_components_always_end(spark):
+    """A feature that is not finite ended the singular value routine behind the components without a result."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    rows = [[float(v) for v in r] + [float(r[0] - r[3])] for r in x] + [[float("inf")] + [0.0] * 6]
+    df = spark.createDataFrame(rows, ", ".join([f"x{i} double" for i in range(6)] + ["y double"]))
+    cols = [f"x{i}" for i in range(6)]
+    model = ml.fit_regression(df, cols, "y", ml.penalised("ridge", 1e-6), components=6)
+    q = ml.fit_quality(ml.predict(model, df.where(F.col("x0") < 1e300)), [], "y", "prediction").first()
+    assert q["n"] == 200 and q["r2"] > 0.999
+    vectors = df.select(F.array(*cols).alias("v"))
+    out, shares, axes = ml.pca(vectors, "v", 3)
+    want = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(axes.T @ want[2][:3].T), np.eye(3), atol=1e-6) and np.allclose(shares, (want[1] ** 2 / (want[1] ** 2).sum())[:3])
+    assert out.where(F.size("pc") == 3).count() == 201
