@@ -50,11 +50,11 @@ def ewm_mean(df: DataFrame, outputs: Mapping[str, tuple[str, float, int]], axis:
         for i, (name, (source, alpha, least)) in enumerate(items):
             old = tuple(state[3 * i : 3 * i + 3]) if state is not None else None
             values, new = _mean_with_state(pdf[source].astype(float), alpha, least, old)
-            cols[name] = pd.Series(values, index=pdf.index).astype(object).where(~np.isnan(values), None)
+            cols[name] = values
             carry += list(new)
         return cols, carry
 
-    return scan(df, step, ", ".join(f"{n} double" for n, _ in items), axis)
+    return scan(df, step, ", ".join(f"{n} double" for n, _ in items), axis, needs=list(dict.fromkeys(source for source, _, _ in outputs.values())))
 
 
 def ewm_std(df: DataFrame, name: str, source: str, alpha: float, least: int, axis: Axis = BARS) -> DataFrame:
@@ -84,10 +84,9 @@ def ewm_std(df: DataFrame, name: str, source: str, alpha: float, least: int, axi
             spread = s1 * s1 - s2
             if seen >= least and spread > 0:
                 out[i] = np.sqrt(max(var, 0.0) * s1 * s1 / spread)
-        values = pd.Series(out).astype(object).where(~np.isnan(out), None)
-        return {name: values}, [mean, var, s1, s2, old, seen]
+        return {name: out}, [mean, var, s1, s2, old, seen]
 
-    return scan(df, step, f"{name} double", axis)
+    return scan(df, step, f"{name} double", axis, needs=[source])
 
 
 def decayed_sum(
@@ -102,4 +101,4 @@ def decayed_sum(
         out = pd.Series(np.concatenate([[level], x])).ewm(alpha=1 - decay, adjust=True).sum().to_numpy()[1:]
         return {name: out}, [float(out[-1])]
 
-    return scan(df, step, f"{name} double", axis)
+    return scan(df, step, f"{name} double", axis, needs=[source])

@@ -51,7 +51,7 @@ def cusum_breakouts(df: DataFrame, axis: Axis | None = None, drift: float = 0.5,
                 event[i], up, down = True, 0.0, 0.0
         return {"cusum": stat, "cusum_event": event}, [up, down]
 
-    return scan(df, step, "cusum double, cusum_event boolean", axis).drop("_lr", "_sd")
+    return scan(df, step, "cusum double, cusum_event boolean", axis, needs=["_lr", "_sd"]).drop("_lr", "_sd")
 
 
 def sigma_events(df: DataFrame, sigma: float = 3.0, axis: Axis | None = None, ts: str = "ts") -> DataFrame:
