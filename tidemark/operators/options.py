@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import ratio, to_double
-from tidemark.functions.vectors import let
 from tidemark.operators.tables import every, keep_last
 
 # fixed values: coefficients of the rational error-function approximation (Abramowitz and Stegun 7.1.26)
@@ -16,71 +17,77 @@ ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
-def normal_cdf(x: Column) -> Column:
+def _cdf(x: np.ndarray) -> np.ndarray:
     """Standard normal distribution function, absolute error below 1.5e-7."""
-    z = F.abs(x) / 2.0**0.5
+    z = np.abs(x) / 2.0**0.5
     t = 1 / (1 + ERF_P * z)
-    poly = F.lit(0.0)
+    poly = np.zeros_like(z)
     for a in reversed(ERF_A):
         poly = (poly + a) * t
-    erf = 1 - poly * F.exp(-z * z)
-    return 0.5 * (1 + F.signum(x) * erf)
+    return 0.5 * (1 + np.sign(x) * (1 - poly * np.exp(-z * z)))
 
 
-def black_scholes(kind: Column, spot: Column, strike: Column, tau: Column, vol: Column, rate: float = 0.0, dividend: float = 0.0) -> Column:
-    """European call/put price with a continuous dividend yield; null on non-positive inputs."""
-    sd = vol * F.sqrt(tau)
-    d1 = (F.log(spot / strike) + (rate - dividend + 0.5 * vol * vol) * tau) / sd
-    s, k = spot * F.exp(-dividend * tau), strike * F.exp(-rate * tau)
-    sign = F.when(kind == "call", 1.0).otherwise(-1.0)
-    price = sign * (s * normal_cdf(sign * d1) - k * normal_cdf(sign * (d1 - sd)))
-    return F.when((spot > 0) & (strike > 0) & (tau > 0) & (vol > 0), price)
+def _price(sign, spot, strike, tau, vol, rate: float, dividend: float) -> np.ndarray:
+    """Price per quote; ``sign`` is 1 for a call, -1 for a put. NaN on missing or non-positive inputs."""
+    with np.errstate(all="ignore"):
+        sd = vol * np.sqrt(tau)
+        d1 = sign * ((np.log(spot / strike) + (rate - dividend + 0.5 * vol * vol) * tau) / sd)
+        s, k = spot * np.exp(-dividend * tau), strike * np.exp(-rate * tau)
+        price = sign * (s * _cdf(d1) - k * _cdf(d1 - sign * sd))
+    return np.where((spot > 0) & (strike > 0) & (tau > 0) & (vol > 0), price, np.nan)
+
+
+def _arrays(columns) -> list[np.ndarray]:
+    return [c.to_numpy(dtype=float, na_value=np.nan) for c in columns]
 
 
-def _fold_price(kind, spot, strike, tau, vol, rate, dividend) -> Column:
-    """The same price for use inside a fold, where shared terms must be bound to be evaluated once."""
-    def cdf(x: Column) -> Column:
-        def tail(z: Column) -> Column:
-            def series(t: Column) -> Column:
-                poly = F.lit(0.0)
-                for a in reversed(ERF_A):
-                    poly = (poly + a) * t
-                return poly
+def _sign(kind: Column) -> Column:
+    return F.when(kind == "call", 1.0).otherwise(-1.0)
 
-            return 1 - let(1 / (1 + ERF_P * z), series) * F.exp(-z * z)
 
-        return 0.5 * (1 + F.signum(x) * let(F.abs(x) / 2.0**0.5, tail))
+def black_scholes(kind: Column, spot: Column, strike: Column, tau: Column, vol: Column, rate: float = 0.0, dividend: float = 0.0) -> Column:
+    """European call/put price with a continuous dividend yield; null on non-positive inputs."""
+
+    @F.pandas_udf("double")
+    def priced(sign: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(_price(*_arrays((sign, s, k, t, v)), rate, dividend))
 
-    sign = F.when(kind == "call", 1.0).otherwise(-1.0)
-    s, k = spot * F.exp(-dividend * tau), strike * F.exp(-rate * tau)
+    return priced(_sign(kind), *[c.cast("double") for c in (spot, strike, tau, vol)])
 
-    def priced(sd: Column) -> Column:
-        d1 = sign * ((F.log(spot / strike) + (rate - dividend) * tau) / sd + 0.5 * sd)
-        return let(d1, lambda a: sign * (s * let(a, cdf) - k * let(a - sign * sd, cdf)))
 
-    return let(vol * F.sqrt(tau), priced)
+def _halve(price, quote, rate, dividend, low, high, tol, steps) -> np.ndarray:
+    """Interval halving of all quotes at once; those that met their price leave the next steps."""
+    lo, hi, found = np.full(len(price), low), np.full(len(price), high), np.full(len(price), np.nan)
+    open_ = np.arange(len(price))
+    for _ in range(steps):
+        if not len(open_):
+            break
+        mid = 0.5 * (lo[open_] + hi[open_])
+        gap = _price(*[q[open_] for q in quote], mid, rate, dividend) - price[open_]
+        up = gap > 0
+        hi[open_[up]], lo[open_[~up]] = mid[up], mid[~up]
+        met = np.abs(gap) < tol
+        found[open_[met]] = mid[met]
+        open_ = open_[~met]
+    return np.where(np.isnan(found), 0.5 * (lo + hi), found)
 
 
 def implied_vol(price: Column, kind: Column, spot: Column, strike: Column, tau: Column, rate: float = 0.0, dividend: float = 0.0,
                 low: float = 1e-4, high: float = 5.0, tol: float = 1e-6, steps: int = 100) -> Column:
-    """Volatility that reproduces the price, by interval halving inside one JVM expression."""
-    value = lambda v: black_scholes(kind, spot, strike, tau, v, rate, dividend)
-    null = F.lit(None).cast("double")
-
-    def halve(s: Column, _i: Column) -> Column:
-        def at(mid: Column) -> Column:
-            return let(_fold_price(kind, spot, strike, tau, mid, rate, dividend) - price, lambda gap: F.struct(
-                F.when(gap > 0, s["lo"]).otherwise(mid).alias("lo"), F.when(gap > 0, mid).otherwise(s["hi"]).alias("hi"),
-                F.when(F.abs(gap) < tol, mid).alias("iv")))
-
-        return F.when(s["iv"].isNotNull(), s).otherwise(let(0.5 * (s["lo"] + s["hi"]), at))
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), null.alias("iv"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.coalesce(s["iv"], 0.5 * (s["lo"] + s["hi"])))
-    worth = spot * F.exp(-dividend * tau) - strike * F.exp(-rate * tau)
-    floor = F.greatest(F.when(kind == "call", worth).otherwise(-worth), F.lit(0.0))
-    inside = (price > 0) & (price + tol >= floor) & (price >= value(F.lit(low)) - tol) & (price <= value(F.lit(high)) + tol)
-    return F.when(inside, found)
+    """Volatility that reproduces the price, by interval halving over the quotes of an Arrow batch; null where none does."""
+
+    @F.pandas_udf("double")
+    def inverted(price: pd.Series, sign: pd.Series, spot: pd.Series, strike: pd.Series, tau: pd.Series) -> pd.Series:
+        p, *quote = _arrays((price, sign, spot, strike, tau))
+        sign, s, k, t = quote
+        worth = sign * (s * np.exp(-dividend * t) - k * np.exp(-rate * t))
+        bound = lambda v: _price(*quote, np.full(len(p), v), rate, dividend)
+        inside = (p > 0) & (p + tol >= np.maximum(worth, 0.0)) & (p >= bound(low) - tol) & (p <= bound(high) + tol)
+        out = np.full(len(p), np.nan)
+        out[inside] = _halve(p[inside], [q[inside] for q in quote], rate, dividend, low, high, tol, steps)
+        return pd.Series(out)
+
+    return inverted(price, _sign(kind), *[c.cast("double") for c in (spot, strike, tau)])
 
 
 def option_kind(c: Column) -> Column:

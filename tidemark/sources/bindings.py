@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: option quotes that a task builds
+QUOTES_PER_TASK = 500_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -125,9 +129,11 @@ def sentiment(spark: SparkSession, folder: str) -> DataFrame:
 def option_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes from ``part``: 5 expiries x 5 strikes around the retail price, vol from a formula.
 
-    The fan-out is a fixed literal array per part, so no join is involved.
+    The fan-out is a fixed literal array per part, so no join is involved. The file is small next to the quotes, so
+    its parts are dealt to as many tasks as the quotes need.
     """
     p = table(spark, folder, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
+    p = p.repartition(max(-(-p.count() * 25 // QUOTES_PER_TASK), 2 * spark.sparkContext.defaultParallelism), "p_partkey")
     dte = F.explode(F.array(*[F.lit(d) for d in (7, 30, 60, 90, 180)]))
     money = F.explode(F.array(*[F.lit(m) for m in (0.75, 0.9, 1.0, 1.1, 1.25)]))
     q = p.withColumn("dte", dte).withColumn("m", money)
