@@ -92,13 +92,14 @@ def weight_backtest(df, columns, by, ret: str = "ret", cost_bps: float = 5.0, da
 # --- single-asset target weights -------------------------------------------------------------
 
 
-def target_backtest(df, axis, signal: str = "signal", trade: str = "trades_now", fee_bps: float = 4.0, slippage_bps: float = 1.0,
+def target_backtest(df, axis, signal: str = "signal", trade: str | None = "trades_now", fee_bps: float = 4.0, slippage_bps: float = 1.0,
                     spread_bps: float = 0.0, cash: float = 10_000.0, tax_rate: float = 0.0):
     """Equity of a target weight held between rebalances, in closed form per segment.
 
     Between two rebalances equity is E·(1 − c·τ + w·(P/P₀ − 1)) with the target w, the entry price P₀
     and the traded share τ = |w − drifted weight|; E is the running product over segments. The drifted
     weight ignores the cost of the previous trade, an error of second order in the cost rate.
+    With ``trade=None`` every row rebalances; then a row is its own segment and nothing is joined.
     """
     c = (fee_bps + slippage_bps + spread_bps) * 1e-4
     p = F.col("close")
@@ -111,10 +112,14 @@ def target_backtest(df, axis, signal: str = "signal", trade: str = "trades_now",
         grown = 1 - c * F.lag("_tau").over(a.spec()) + w0 * (move - 1)
         return d.withColumn("_grown", F.coalesce(grown, F.lit(1.0)))
 
-    nodes = windowed(df.where(F.col(trade)), add, axis, lookback=3)
+    on = [*axis.keys, *axis.order]
+    nodes = windowed(df if trade is None else df.where(F.col(trade)), add, axis, lookback=3)
     nodes = running(nodes, {"_log": ("sum", F.log(F.greatest("_grown", F.lit(1e-12))))}, axis)
-    nodes = nodes.select(*axis.keys, *axis.order, F.struct(F.exp("_log").alias("e"), F.col(signal).alias("w"), p.alias("p"), F.col("_tau").alias("tau")).alias("_node"))
-    out = df.join(nodes, [*axis.keys, *axis.order], "left")
+    node = F.struct(F.exp("_log").alias("e"), F.col(signal).alias("w"), p.alias("p"), F.col("_tau").alias("tau"))
+    if trade is None:
+        out = _own_nodes(nodes, node, on).drop("_tau", "_grown", "_log")
+    else:
+        out = df.join(nodes.select(*on, node.alias("_node")), on, "left")
     out = out.withColumn("_traded", F.col("_node.e") * F.col("_node.tau"))
     out = running(out, {"_node": ("last", "_node"), "_volume": ("sum", F.coalesce("_traded", F.lit(0.0)))}, axis)
     n = F.col("_node")
@@ -127,6 +132,18 @@ def target_backtest(df, axis, signal: str = "signal", trade: str = "trades_now",
     return out.drop("_node", "_traded", "_volume")
 
 
+def _own_nodes(nodes, node, on):
+    """What joining the nodes to their own rows by ``on`` gives, behind the exchange they have: rows of one key and time meet each other, a null meets nothing."""
+    known = F.lit(True)
+    for k in on:
+        known = known & F.col(k).isNotNull()
+    alike = Window.partitionBy(*on)
+    tied = nodes.withColumns({"_own": F.when(known, node), "_many": F.count(F.lit(1)).over(alike) > 1})
+    tied = tied.withColumn("_all", F.collect_list(F.when(F.col("_many"), F.col("_own"))).over(alike))
+    pairs = F.when(F.col("_many") & known, F.col("_all")).otherwise(F.array("_own"))
+    return tied.withColumn("_node", F.explode(pairs)).drop("_own", "_many", "_all")
+
+
 def buy_and_hold(df, axis, cash: float = 1.0):
     """Close relative to the first close of the series."""
     df = running(df, {"_p0": ("first", "close")}, axis)
@@ -198,7 +215,7 @@ def one_at_a_time(trades, axis):
             taken.append(bool(ok))
         return {"taken": taken}, [float(busy)]
 
-    return scan(trades, step, "taken boolean", order)
+    return scan(trades, step, "taken boolean", order, needs=["rn", "exit_rn"])
 
 
 def trade_equity(trades, axis, start: float = 100.0):

@@ -18,7 +18,7 @@ from tidemark.operators.backtest import compound, target_backtest
 from tidemark.operators.crosssection import per_group, quantile_bins
 from tidemark.operators.metrics import compact_stats, curve_metrics
 from tidemark.operators.portfolio import capped, exposure, shares, tilt
-from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, running, windowed
+from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, running, spread, windowed
 from tidemark.operators.tables import last_rows, with_group_size
 
 
@@ -50,7 +50,7 @@ def sma_grid_curves(df: DataFrame, points: Sequence[Mapping], axis: Axis, cost_b
     ])
     out = df.select(*axis.keys, *axis.order, "close", F.explode(entries).alias("_e")).select(*axis.keys, *axis.order, "close", "_e.*")
     point_axis = axis.within("fast", "slow")
-    return target_backtest(out.withColumn("trades_now", F.lit(True)), point_axis, fee_bps=cost_bps, slippage_bps=0.0)
+    return target_backtest(out, point_axis, trade=None, fee_bps=cost_bps, slippage_bps=0.0)
 
 
 def score_curves(curves: DataFrame, axis: Axis, metric: str = "sharpe") -> DataFrame:
@@ -70,6 +70,10 @@ def heat_map(scores: DataFrame, by: Sequence[str], row: str, column: str, values
 # --- folds -----------------------------------------------------------------------------------
 
 
+#: copies of a row that folds and the points tried on them make, roughly; it only sets the size of tasks
+FOLD_FAN = 16
+
+
 def _in_folds(df: DataFrame, folds: Column) -> DataFrame:
     """Explode rows into the (fold, role) slices that contain their position ``rn``."""
     member = F.filter(folds, lambda f: (F.col("rn") >= f["lo"]) & (F.col("rn") < f["hi"]))
@@ -83,7 +87,7 @@ def _slice(fold, role: str, lo, hi) -> Column:
 
 def expanding_folds(df: DataFrame, splits: int = 5, axis: Axis = BARS, min_train: int = 100, min_test: int = 20) -> DataFrame:
     """n+1 equal blocks: block i+1 tests what all blocks up to i trained."""
-    df = with_group_size(positions(df, axis), list(axis.keys), "n")
+    df = with_group_size(positions(spread(df, axis, FOLD_FAN), axis), list(axis.keys), "n")
     size = F.floor(F.col("n") / (splits + 1))
     slices = []
     for i in range(splits):
@@ -96,7 +100,7 @@ def expanding_folds(df: DataFrame, splits: int = 5, axis: Axis = BARS, min_train
 def walk_forward_folds(df: DataFrame, train: int, test: int, min_train: int, purge: int = 0, embargo: int = 0, mode: str = "rolling",
                        overlap: float = 0.5, axis: Axis = BARS) -> DataFrame:
     """Rolling, expanding or hybrid training windows with a purge gap and an embargo between folds."""
-    df = with_group_size(positions(df, axis), list(axis.keys), "n")
+    df = with_group_size(positions(spread(df, axis, FOLD_FAN), axis), list(axis.keys), "n")
     stride = test + purge + embargo
     count = F.floor((F.col("n") - test - min_train) / stride) + 1
 
@@ -151,7 +155,7 @@ def monte_carlo(df: DataFrame, signal: str, sims: int, noise_bps: float = 5.0, d
     """Equity paths under signal noise and a per-path delay: (keys, ts, sim, equity)."""
     lo, hi = delays
     axis = checked(df, axis)
-    df = positions(df, axis)
+    df = positions(spread(df, axis, sims), axis)
     df = windowed(df, lambda d, a: d.withColumns({f"_d{k}": F.lag(signal, k, 0.0).over(a.spec()) for k in range(lo, hi + 1)}), axis, lookback=hi)
     keep = [*axis.keys, *axis.order, "rn", "close", *[f"_d{k}" for k in range(lo, hi + 1)]]
     paths = df.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
@@ -162,9 +166,9 @@ def monte_carlo(df: DataFrame, signal: str, sims: int, noise_bps: float = 5.0, d
         base = F.when(F.col("_delay") == k, F.col(f"_d{k}")).otherwise(base)
     source = F.col("rn") - F.col("_delay")
     shaken = clip(base + normal(seed, *axis.keys, "sim", source) * (noise_bps / 10_000), -1.0, 1.0)
-    paths = paths.withColumn("signal", F.when(source >= 0, shaken).otherwise(0.0)).withColumn("trades_now", F.lit(True))
-    paths = paths.select(*axis.keys, *axis.order, "close", "sim", "signal", "trades_now")
-    return target_backtest(paths, axis.within("sim"), fee_bps=cost_bps, slippage_bps=0.0)
+    paths = paths.withColumn("signal", F.when(source >= 0, shaken).otherwise(0.0))
+    paths = paths.select(*axis.keys, *axis.order, "close", "sim", "signal")
+    return target_backtest(paths, axis.within("sim"), trade=None, fee_bps=cost_bps, slippage_bps=0.0)
 
 
 def percentile_bands(paths: DataFrame, by: Sequence[str], value: str = "equity", qs: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
