@@ -140,7 +140,7 @@ def _own_nodes(nodes, node, on):
     alike = Window.partitionBy(*on)
     tied = nodes.withColumns({"_own": F.when(known, node), "_many": F.count(F.lit(1)).over(alike) > 1})
     tied = tied.withColumn("_all", F.collect_list(F.when(F.col("_many"), F.col("_own"))).over(alike))
-    pairs = F.when(F.col("_many") & known, F.col("_all")).otherwise(F.array("_own"))
+    pairs = F.when(F.col("_many") & known, F.reverse("_all")).otherwise(F.array("_own"))
     return tied.withColumn("_node", F.explode(pairs)).drop("_own", "_many", "_all")
 
 
