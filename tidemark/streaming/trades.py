@@ -6,9 +6,11 @@ than the watermark are dropped by the engine and show up in the query's ``numRow
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,49 +124,86 @@ def trailing_signal(bars: DataFrame, rule: Callable[[list[float]], float], size:
     )
 
 
-SIDE_STATE = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType()), T.StructField("is_side", T.BooleanType())])
+#: waiting rows of one hour: times in microseconds, values and sides as the bytes of their arrays
+HOUR_STATE = T.StructType([T.StructField(c, T.BinaryType()) for c in ("us", "value", "is_side")])
+_HOUR = 3_600_000_000
+#: rows that lie in memory before they go to the state
+_ROWS_AT_ONCE = 200_000
 
 
 class LastKnown(StatefulProcessor):
     """Per key: price rows wait until the watermark has passed them, so side rows that arrive later but happened earlier count.
 
-    Waiting rows are kept by event time; on equal times side rows come first.
+    Waiting rows are kept in the state by hour, in pieces as they arrive; on equal times side rows come first. A key is settled hour by
+    hour, so memory holds the rows of one hour or one piece, whatever waits.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("value", T.DoubleType())]))
-        self.waiting = handle.getListState("waiting", SIDE_STATE)
-
-    def _settle(self, key: Any, rows: list[tuple], watermark: int) -> pd.DataFrame:
-        rows = sorted(rows, key=lambda r: (r[0], not r[2]))
-        ready = [r for r in rows if r[0].timestamp() * 1000 <= watermark]
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField(c, T.LongType()) for c in ("pieces", "newest")]))
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField(c, T.LongType()) for c in ("hour", "piece")]), HOUR_STATE)
+
+    def _put(self, hour: int, piece: int, us: np.ndarray, value: np.ndarray, side: np.ndarray) -> None:
+        self.waiting.updateValue((hour, piece), (us.tobytes(), value.tobytes(), side.tobytes()))
+
+    def _keep(self, frames: list[pd.DataFrame]) -> None:
+        rows = pd.concat(frames, ignore_index=True)
+        rows = rows[rows["us"].notna()]
+        if not len(rows):
+            return
+        us, value, side = rows["us"].to_numpy(dtype="int64"), rows["value"].to_numpy(dtype=float), rows["is_side"].to_numpy(dtype=bool)
+        pieces, newest = self.seen.get() if self.seen.exists() else (0, us[0])
+        hours = us // _HOUR
+        order = np.argsort(hours, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(hours[order])) + 1):
+            self._put(int(hours[at[0]]), int(pieces), us[at], value[at], side[at])
+        self.seen.update((int(pieces) + 1, int(max(newest, us.max()))))
+
+    def _settle(self, key: Any, watermark: int) -> Iterator[pd.DataFrame]:
+        passed = watermark * 1000
         value = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for ts, v, side in ready:
-            if side:
-                value = v
-            else:
-                out.append((key[0], ts, v, value))
+        waiting = sorted((int(h), int(p)) for h, p in self.waiting.keys())  # noqa: SIM118
+        for hour, pieces in itertools.groupby(waiting, key=lambda k: k[0]):
+            if hour * _HOUR > passed:
+                break
+            held = [(k, self.waiting.getValue(k)) for k in pieces]
+            us, values, side = (np.concatenate([np.frombuffer(bytes(v[c]), dtype=kind) for _, v in held]) for c, kind in enumerate(("int64", "float64", "bool")))
+            order = np.lexsort((~side, us))
+            us, values, side = us[order], values[order], side[order]
+            ready = int(np.searchsorted(us, passed, side="right"))
+            for k, _ in held:
+                self.waiting.removeKey(k)
+            if ready < len(us):
+                self._put(hour, held[0][0][1], us[ready:], values[ready:], side[ready:])
+            us, values, side = us[:ready], values[:ready], side[:ready]
+            source = np.maximum.accumulate(np.where(side, np.arange(ready), -1))
+            known = np.where(source >= 0, values[source], np.nan if value is None else value) if ready else values
+            prices = ~side
+            symbol = np.full(int(prices.sum()), key[0], dtype=object)  # plain objects: pieces of Arrow strings would not join
+            yield pd.DataFrame({"symbol": pd.Series(symbol, dtype=object), "us": us[prices], "close": values[prices], "side_value": known[prices]})
+            if ready and source[-1] >= 0:
+                value = float(values[source[-1]])
         if value is not None:
             self.last.update((value,))
-        rest = rows[len(ready) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(int(rest[-1][0].timestamp() * 1000) + 1)
-        else:
-            self.waiting.clear()
-        return pd.DataFrame(out, columns=["symbol", "ts", "close", "side_value"])
-
-    def _kept(self) -> list[tuple]:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        newest = self.seen.get()[1] if self.seen.exists() else None
+        if newest is not None and newest > passed:
+            self.handle.registerTimer(int(newest) // 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        new = [(t.to_pydatetime(), float(v), bool(s)) for f in rows for t, v, s in zip(f["ts"], f["value"], f["is_side"], strict=True)]
-        yield self._settle(key, self._kept() + new, timers.getCurrentWatermarkInMs())
+        held, n = [], 0
+        for frame in rows:
+            held.append(frame)
+            n += len(frame)
+            if n >= _ROWS_AT_ONCE:
+                self._keep(held)
+                held, n = [], 0
+        if held:
+            self._keep(held)
+        yield from self._settle(key, timers.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, self._kept(), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -177,5 +216,6 @@ def asof_enrich(prices: DataFrame, side: DataFrame, late: str = "1 hour") -> Dat
     """
     both = prices.select("symbol", "ts", F.col("close").alias("value"), F.lit(False).alias("is_side")).unionByName(
         side.select("symbol", "ts", "value", F.lit(True).alias("is_side")))
-    return both.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(
-        LastKnown(), "symbol string, ts timestamp, close double, side_value double", "append", "EventTime")
+    both = both.withWatermark("ts", late).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = both.groupBy("symbol").transformWithStateInPandas(LastKnown(), "symbol string, us long, close double, side_value double", "append", "EventTime")
+    return out.select("symbol", F.timestamp_micros("us").alias("ts"), "close", "side_value")
