@@ -7,10 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.cleaning import clip, to_double, to_utc
 from tidemark.operators.quantiles import with_quantiles
-from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, positions, running
+from tidemark.operators.series import BARS, Axis, checked, has_hot_key, join_same, positions, rows_per_task, running, windowed
 
 # --- schema ----------------------------------------------------------------------------------
 
@@ -136,11 +137,32 @@ def calendar_complete(df: DataFrame, key: str, ts: str, step: str = "interval 1
 
     Each key expands its own date sequence, so no key-by-date product is formed.
     """
+    if isinstance(df.schema[ts].dataType, T.DateType) and step == "interval 1 day":
+        return _days_complete(df, key, ts)
     spans = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     grid = spans.select(key, F.explode(F.sequence("_lo", "_hi", F.expr(step))).alias(ts))
     return grid.join(df, [key, ts], "left")
 
 
+def _days_complete(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """``calendar_complete`` by days without a join: every row brings the missing days up to the next row of its key.
+
+    Of a null key every date of the span gives one row without values, as from a join on the key.
+    """
+    axis = checked(df, Axis((key,), (ts,)))
+    others = [c for c in df.columns if c not in (key, ts)]
+    rows = df.where(F.col(ts).isNotNull())
+    if not axis.hot:
+        spans = rows.groupBy(key).agg((F.date_diff(F.max(ts), F.min(ts)) + 1).alias("_days"))
+        spark, days = df.sparkSession, spans.agg(F.sum("_days")).first()[0] or 0
+        rows = rows.repartition(max(-(-days // rows_per_task(spark)), spark.sparkContext.defaultParallelism), key)
+    gap = windowed(rows, lambda d, a: d.withColumn("_next", F.lead(ts).over(a.spec())), axis, lookahead=1)
+    gap = gap.withColumn("_days", F.date_diff("_next", ts)).where(~(F.col(key).isNull() & F.coalesce(F.col("_days") == 0, F.lit(False))))
+    days = gap.select(key, ts, *others, F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("_days", F.lit(1)), F.lit(1)) - 1)).alias("_day"))
+    own = (F.col("_day") == 0) & F.col(key).isNotNull()
+    return days.select(key, F.date_add(ts, F.col("_day")).alias(ts), *[F.when(own, F.col(c)).alias(c) for c in others])
+
+
 def panel_complete(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Every key on every date of the panel's span (long form of a reindexed matrix)."""
     shared = df.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
