@@ -325,13 +325,13 @@ def range_vol(term: Column, axis: Axis, n: int, per_year, least: int | None = No
 
 def yang_zhang_variance(axis: Axis, n: int, rs_term: Column, overnight: str, least: int | None = None) -> Column:
     """Overnight variance + k * open-to-close variance + (1-k) * range term."""
-    k = 0.34 / (1.34 + (n + 1) / max(n - 1, 1))
     day = safe_log_ratio("close", "open")
-    return (
-        roll_var(overnight, axis, n, least)
-        + k * roll_var(day, axis, n, least)
-        + (1 - k) * roll_mean(rs_term, axis, n, least)
-    )
+    return yang_zhang_mix(roll_var(overnight, axis, n, least), roll_var(day, axis, n, least), roll_mean(rs_term, axis, n, least), n)
+
+
+def yang_zhang_mix(overnight: Column, day: Column, ranges: Column, n: int) -> Column:
+    k = 0.34 / (1.34 + (n + 1) / max(n - 1, 1))
+    return overnight + k * day + (1 - k) * ranges
 
 
 # --- levels, actions, summaries --------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import correlation, finite, ratio
 from tidemark.operators.aggregates import sample_kurtosis, sample_skew
 from tidemark.operators.backtest import compound
+from tidemark.operators.frames import Frame, Frames
 from tidemark.operators.series import Axis, pct_change, running, windowed
 
 
@@ -174,27 +175,21 @@ def benchmark_stats(df: DataFrame, by: Sequence[str], ret: str, bench: str, per_
     )
 
 
-def rolling_alpha_beta(axis: Axis, ret: str, bench: str, n: int = 63, per_year: float = 252.0) -> dict[str, Column]:
-    w = axis.trailing(n)
-    y, x = F.coalesce(ret, F.lit(0.0)), F.coalesce(bench, F.lit(0.0))
-    var = F.var_pop(x).over(w)
-    beta = F.when(var > 1e-12, F.covar_pop(y, x).over(w) / var).otherwise(0.0)
-    full = F.count(F.lit(1)).over(w) >= n
-    return {
-        "roll_beta": F.when(full, beta),
-        "roll_alpha": F.when(full, (F.avg(y).over(w) - beta * F.avg(x).over(w)) * per_year),
-    }
+def rolling_alpha_beta(ret: str, bench: str, n: int = 63, per_year: float = 252.0) -> Frames:
+    full = {"least": n, "gate": "*"}
+    frames = {"_var": Frame("var_pop", "_x", n, **full), "_cov": Frame("covar_pop", ("_y", "_x"), n, **full), "_my": Frame("mean", "_y", n, **full), "_mx": Frame("mean", "_x", n, **full)}
+    beta = F.when(F.col("_var") > 1e-12, F.col("_cov") / F.col("_var")).otherwise(0.0)
+    known = F.col("_var").isNotNull()
+    outputs = {"roll_beta": F.when(known, beta), "roll_alpha": F.when(known, (F.col("_my") - beta * F.col("_mx")) * per_year)}
+    return Frames(frames, outputs, {"_y": F.coalesce(ret, F.lit(0.0)), "_x": F.coalesce(bench, F.lit(0.0))})
 
 
-def rolling_sharpe(axis: Axis, ret: str, n: int = 63, per_year: float = 252.0) -> Column:
-    w = axis.trailing(n)
-    value = ratio(F.avg(ret).over(w), F.stddev_samp(ret).over(w)) * per_year**0.5
-    return F.when(F.count(ret).over(w) >= n, value)
+def rolling_sharpe(ret: str, n: int = 63, per_year: float = 252.0, out: str = "roll_sharpe") -> Frames:
+    return Frames({"_mean": Frame("mean", ret, n, n), "_std": Frame("std_samp", ret, n, n)}, {out: ratio(F.col("_mean"), F.col("_std")) * per_year**0.5})
 
 
-def rolling_corr(axis: Axis, a: str, b: str, n: int = 90) -> Column:
-    w = axis.trailing(n)
-    return F.when(F.count(F.col(a) + F.col(b)).over(w) >= n, correlation(a, b, w))
+def rolling_corr(a: str, b: str, n: int = 90, out: str = "roll_corr") -> Frames:
+    return Frames({out: Frame("corr", (a, b), n, n)}, {out: F.col(out)})
 
 
 def tail_risk(df: DataFrame, by: Sequence[str], ret: str, q: float = 0.05) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import clip, finite, ratio
 from tidemark.operators.crosssection import per_group
 from tidemark.operators.recurrences import ewm_mean
+from tidemark.operators.frames import Frame, Frames
 from tidemark.operators.series import BARS, Axis
 
 
@@ -92,11 +93,9 @@ def beta_neutral(df: DataFrame, by: Sequence[str], alpha: str, beta: str, out: s
     return shares(df, by, {out: clip(out, -cap, cap)}, gross=True).drop("_a", "_b", "_m", "_x", "_xb", "_bb", "_y", "_my")
 
 
-def rolling_beta(axis: Axis, ret: str, market: str, n: int = 60, least: int = 20) -> Column:
-    w = axis.trailing(n)
-    cov = F.when(F.count(F.col(ret) + F.col(market)).over(w) >= least, F.covar_samp(ret, market).over(w))
-    var = F.when(F.count(market).over(w) >= least, F.var_samp(market).over(w))
-    return F.coalesce(finite(cov / F.nullif(var, F.lit(0.0))), F.lit(0.0))
+def rolling_beta(ret: str, market: str, n: int = 60, least: int = 20, out: str = "beta") -> Frames:
+    frames = {"_cov": Frame("covar_samp", (ret, market), n, least), "_var": Frame("var_samp", market, n, least)}
+    return Frames(frames, {out: F.coalesce(finite(F.col("_cov") / F.nullif("_var", F.lit(0.0))), F.lit(0.0))})
 
 
 def smoothed(df: DataFrame, by: Sequence[str], weight: str, out: str, keep: float = 0.35, axis: Axis = BARS) -> DataFrame:

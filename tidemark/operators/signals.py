@@ -15,23 +15,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, ratio
 from tidemark.operators.crosssection import pct_rank, per_group
+from tidemark.operators.frames import Frame, framed
 from tidemark.operators.microstructure import liquidity_capture, structure_break
 from tidemark.operators.recurrences import ewm_mean, span
 from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, windowed
 from tidemark.operators.tables import with_group_size
 
 
-def rank_of_last(source: str, axis: Axis, n: int, least: int | None = None) -> Column:
+def rank_of_last(source: str, n: int, least: int | None = None) -> Frame:
     """Share of the last ``n`` rows strictly below the current one; null rows stay in the denominator."""
-    w = axis.trailing(n)
-    here = F.struct(F.col(source).alias("v"), F.lit(0).alias("k"))
-    below = F.aggregate(
-        F.collect_list(source).over(w), here,
-        lambda s, x: F.struct(s["v"].alias("v"), (s["k"] + (x < s["v"]).cast("int")).alias("k")), lambda s: s["k"],
-    )
-    rows = F.count(F.lit(1)).over(w)
-    enough = (rows >= n) if least is None else (F.count(source).over(w) >= least)
-    return F.when(enough & F.col(source).isNotNull(), below / rows)
+    return Frame("share_below", source, n, n, gate="*") if least is None else Frame("share_below", source, n, least)
 
 
 def _zero(c: Column) -> Column:
@@ -202,7 +195,7 @@ def hard_gate_ewm(df: DataFrame, percentile: float = 70.0, vol_n: int = 20, look
     axis = axis or checked(df)
     df = regime_router(df, vol_n=vol_n, mom_n=router.pop("mom_n", 3), axis=axis, **router)
     df = ewm_mean(df, {"_i": ("_vol", span(vol_n), 1)}, axis)
-    df = windowed(df, lambda d, a: d.withColumn("_rank", rank_of_last("_i", a, look, least)), axis, lookback=look)
+    df = windowed(df, lambda d, a: framed(d, {"_rank": rank_of_last("_i", look, least)}, a), axis, lookback=look)
     share = _zero((F.col("_rank") >= percentile / 100).cast("double"))
     return df.withColumn("signal", clip(_zero(share * F.col("direction")), -1.0, 1.0)).drop("_i", "_rank")
 

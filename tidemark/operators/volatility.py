@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, finite, ratio, safe_log_ratio
+from tidemark.operators.frames import Frame, Frames, with_frames
 from tidemark.operators.indicators import (
     _annual,
     add_rsi,
     garman_klass_term,
     parkinson_term,
-    range_vol,
     rogers_satchell_term,
     true_range,
+    yang_zhang_mix,
     yang_zhang_variance,
 )
 from tidemark.operators.recurrences import ewm_mean, ewm_std, span, wilder
@@ -57,41 +57,44 @@ def base_returns(axis: Axis) -> dict[str, Column]:
     }
 
 
-def vol_block(axis: Axis, n: int, per_year: Column) -> dict[str, Column]:
+def vol_block(n: int, per_year: Column) -> Frames:
     """Five estimators over ``n`` bars; null until max(5, n/2) bars are known."""
     least = max(5, n // 2)
-    gk = clip(garman_klass_term(), low=0.0)
-    rs = clip(rogers_satchell_term(), low=0.0)
-    yz = clip(yang_zhang_variance(axis, n, rs, "overnight_return", least), low=0.0)
-    return {
-        f"rv_close_{n}": roll_std("log_return", axis, n, least) * F.sqrt(per_year),
-        f"rv_parkinson_{n}": range_vol(parkinson_term(), axis, n, per_year, least),
-        f"rv_garman_klass_{n}": range_vol(gk, axis, n, per_year, least),
-        f"rv_rogers_satchell_{n}": range_vol(rs, axis, n, per_year, least),
-        f"rv_yang_zhang_{n}": _annual(yz, per_year),
-    }
+    inputs = {"_pk": parkinson_term(), "_gk": clip(garman_klass_term(), low=0.0), "_rs": clip(rogers_satchell_term(), low=0.0), "_day": safe_log_ratio("close", "open")}
+    frames = {f"_{kind}_{c}_{n}": Frame(kind, c, n, least) for kind, c in (
+        ("std_samp", "log_return"), ("mean", "_pk"), ("mean", "_gk"), ("mean", "_rs"), ("var_samp", "overnight_return"), ("var_samp", "_day"))}
+    close, pk, gk, rs, night, day = (F.col(c) for c in frames)
+    return Frames(frames, {
+        f"rv_close_{n}": close * F.sqrt(per_year),
+        f"rv_parkinson_{n}": _annual(pk, per_year),
+        f"rv_garman_klass_{n}": _annual(gk, per_year),
+        f"rv_rogers_satchell_{n}": _annual(rs, per_year),
+        f"rv_yang_zhang_{n}": _annual(clip(yang_zhang_mix(night, day, rs, n), low=0.0), per_year),
+    }, inputs)
+
+
+def event_levels(n: int = 60, q: float = 0.9) -> Frames:
+    """What the event flags compare: the standardised return and the quantile of absolute returns."""
+    least = max(20, n // 2)
+    mean, std, level = (f"_{k}_{n}" for k in ("mean", "std", "level"))
+    frames = {mean: Frame("mean", "log_return", n, least), std: Frame("std_samp", "log_return", n, least), level: Frame("quantile", "abs_return", n, least, q)}
+    return Frames(frames, {f"return_z_{n}": ratio(F.col("log_return") - F.col(mean), F.col(std)), f"abs_return_q_{n}": F.col(level)})
 
 
-def add_events(df: DataFrame, axis: Axis, n: int = 60, z: float = 2.25, q: float = 0.9) -> DataFrame:
-    """Jump (standardised return) and high-volatility (rolling quantile) flags."""
-    least = max(20, n // 2)
-    df = df.withColumns({
-        f"return_z_{n}": ratio(
-            F.col("log_return") - roll_mean("log_return", axis, n, least), roll_std("log_return", axis, n, least)
-        ),
-        f"abs_return_q_{n}": roll_quantile("abs_return", q, axis, n, least),
-    })
+def add_events(df: DataFrame, n: int = 60, z: float = 2.25) -> DataFrame:
+    """Jump (standardised return) and high-volatility (rolling quantile) flags from ``event_levels``."""
     jump = F.coalesce(F.abs(f"return_z_{n}") >= z, F.lit(False))
     high = F.coalesce(F.col("abs_return") >= F.col(f"abs_return_q_{n}"), F.lit(False))
     return df.withColumns({"jump_event": jump, "high_vol_event": high, "event_flag": (jump | high).cast("int")})
 
 
-def drawdown_from_peak(axis: Axis, n: int = 60, source: str = "close") -> Column:
-    return F.col(source) / roll_max(source, axis, n, 2) - 1
+def drawdown_from_peak(n: int = 60, source: str = "close", out: str = "drawdown_60") -> Frames:
+    return Frames({"_peak": Frame("max", source, n, 2)}, {out: F.col(source) / F.col("_peak") - 1})
 
 
-def volume_z(axis: Axis, n: int = 20, least: int = 10) -> Column:
-    return finite(ratio(F.col("volume") - roll_mean("volume", axis, n, least), roll_std("volume", axis, n, least)))
+def volume_z(n: int = 20, least: int = 10, out: str = "volume_z_20") -> Frames:
+    frames = {"_volume_mean": Frame("mean", "volume", n, least), "_volume_std": Frame("std_samp", "volume", n, least)}
+    return Frames(frames, {out: finite(ratio(F.col("volume") - F.col("_volume_mean"), F.col("_volume_std")))})
 
 
 def market_indicators(
@@ -104,14 +107,8 @@ def market_indicators(
     per_year = periods_per_year() if per_year is None else per_year
 
     def add(d: DataFrame, a: Axis) -> DataFrame:
-        d = d.withColumns({**base_returns(a), "true_range": true_range(a)})
-        d = d.withColumns({
-            "drawdown_60": drawdown_from_peak(a, 60),
-            "volume_z_20": volume_z(a),
-            "momentum_20": pct_change("close", a, 20),
-            **reduce(lambda x, y: {**x, **y}, [vol_block(a, n, per_year) for n in windows]),
-        })
-        return add_events(d, a)
+        d = d.withColumns({**base_returns(a), "true_range": true_range(a), "momentum_20": pct_change("close", a, 20)})
+        return add_events(with_frames(d, a, drawdown_from_peak(), volume_z(), *[vol_block(n, per_year) for n in windows], event_levels()))
 
     df = windowed(bars, add, axis, lookback=max(windows) + 62)
     df = ewm_mean(df, {"atr_14": ("true_range", wilder(14), 14)}, axis)

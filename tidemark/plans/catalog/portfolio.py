@@ -12,6 +12,7 @@ from tidemark.operators import microstructure as ms
 from tidemark.operators import portfolio as pf
 from tidemark.operators import signals as sg
 from tidemark.operators import tables as tb
+from tidemark.operators.frames import Frame, Frames, with_frames
 from tidemark.operators.series import BARS, Axis, checked, log_return, pct_change, positions, prev, roll_mean, roll_std, running, windowed
 from tidemark.plans.catalog.windows import P, SEL, frame, roll
 from tidemark.plans.registry import ewm_sql, num, nums, qnum, qnums, query, text, with_ctes
@@ -149,8 +150,8 @@ def cross_section_signals(spark, d):
 def sleeve_filters(spark, d):
     df = market(returns(spark, d))
     ax = checked(df)
-    df = windowed(df, lambda x, a: x.withColumns({
-        "vol": F.coalesce(roll_std("ret", a, 20, 10), F.lit(0.0)), "beta": pf.rolling_beta(a, "ret", "mkt", 60, 20), "tr": F.coalesce(roll_mean("ret", a, 20, 10), F.lit(0.0))}), ax, lookback=60)
+    own = Frames({"_vol": Frame("std_samp", "ret", 20, 10), "_tr": Frame("mean", "ret", 20, 10)}, {"vol": F.coalesce("_vol", F.lit(0.0)), "tr": F.coalesce("_tr", F.lit(0.0))})
+    df = windowed(df.select("symbol", "ts", "volume", "ret", "mkt"), lambda x, a: with_frames(x, a, own, pf.rolling_beta("ret", "mkt", 60, 20)), ax, lookback=60)
     for c, o in (("vol", "vr"), ("beta", "br"), ("volume", "ir")):
         df = xs.pct_rank(df, c, ["ts"], o)
     df = df.withColumns(sg.sleeves(F.col("ir"), F.col("vr"), F.col("br"), F.col("tr"), F.col("ir")))
@@ -401,7 +402,8 @@ def compact_and_benchmark_stats(spark, d):
  {qnum(roll("corr(y, {x})", "x", 90), "roll_corr")} FROM w"""))
 def rolling_risk(spark, d):
     df = market(returns(spark, d)).withColumns({"y": F.coalesce("ret", F.lit(0.0)), "x": F.coalesce("mkt", F.lit(0.0))})
-    df = windowed(df, lambda q, a: q.withColumns({**mx.rolling_alpha_beta(a, "y", "x"), "roll_sharpe": mx.rolling_sharpe(a, "y"), "roll_corr": mx.rolling_corr(a, "y", "x")}), lookback=90)
+    df = df.select("symbol", "ts", "y", "x")
+    df = windowed(df, lambda q, a: with_frames(q, a, mx.rolling_alpha_beta("y", "x"), mx.rolling_sharpe("y"), mx.rolling_corr("y", "x")), lookback=90)
     return df.select("symbol", text("ts"), *nums("roll_beta", "roll_alpha", "roll_sharpe", "roll_corr"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import correlation
 from tidemark.operators import indicators as ind
 from tidemark.operators import volatility as vol
+from tidemark.operators.frames import Frame, framed, with_frames
 from tidemark.operators.recurrences import decayed_sum, ewm_mean, ewm_std, span, wilder
 from tidemark.operators.series import (
     BARS,
@@ -76,16 +77,14 @@ def lag_lead_change(spark, d):
 def rolling_basic(spark, d):
     def add(x, a):
         x = x.withColumn("ret", pct_change("close", a))
-        w = a.trailing(30)
-        full = F.count("volume").over(w) >= 30
-        return x.withColumns({
-            "mean_20": roll_mean("close", a, 20), "vsum_10": roll_sum("volume", a, 10, 5), "low_14": roll_min("low", a, 14),
-            "high_14": roll_max("high", a, 14), "std_20": roll_std("ret", a, 20), "var_10": roll_var("close", a, 10),
-            "cov_30": F.when(full, F.covar_samp("close", "volume").over(w)),
-            "corr_30": F.when(full, correlation("close", "volume", w)), "sma_50": ind.sma("close", a, 50),
-        })
-
-    df = windowed(b.bars(spark, d), add, lookback=50)
+        return framed(x, {
+            "mean_20": Frame("mean", "close", 20, 20), "vsum_10": Frame("sum", "volume", 10, 5), "low_14": Frame("min", "low", 14, 14),
+            "high_14": Frame("max", "high", 14, 14), "std_20": Frame("std_samp", "ret", 20, 20), "var_10": Frame("var_samp", "close", 10, 10),
+            "cov_30": Frame("covar_samp", ("close", "volume"), 30, 30, gate="volume"), "corr_30": Frame("corr", ("close", "volume"), 30, 30, gate="volume"),
+            "sma_50": Frame("mean", "close", 50, 50),
+        }, a)
+
+    df = windowed(b.bars(spark, d).select("symbol", "ts", "high", "low", "close", "volume"), add, lookback=50)
     return day_keys(df, *nums("mean_20", "vsum_10", "low_14", "high_14", "std_20", "var_10", "cov_30", "corr_30", "sma_50"))
 
 
@@ -140,7 +139,7 @@ def rolling_mad_cci(spark, d):
 def rolling_rank_last(spark, d):
     from tidemark.operators.signals import rank_of_last
 
-    df = windowed(b.bars(spark, d), lambda x, a: x.withColumn("rank_60", rank_of_last("close", a, 60)), lookback=60)
+    df = windowed(b.bars(spark, d).select("symbol", "ts", "close"), lambda x, a: framed(x, {"rank_60": rank_of_last("close", 60)}, a), lookback=60)
     return day_keys(df.where("rank_60 IS NOT NULL"), num("rank_60").alias("rank_60"))
 
 
@@ -599,9 +598,7 @@ def block_sql(n: int) -> str:
 def volatility_block(spark, d):
     def add(x, a):
         x = x.withColumns(vol.base_returns(a))
-        x = x.withColumns({"drawdown_60": vol.drawdown_from_peak(a), "volume_z_20": vol.volume_z(a),
-                           **vol.vol_block(a, 10, per_year()), **vol.vol_block(a, 20, per_year()), **vol.vol_block(a, 60, per_year())})
-        return vol.add_events(x, a)
+        return vol.add_events(with_frames(x, a, vol.drawdown_from_peak(), vol.volume_z(), *[vol.vol_block(n, per_year()) for n in (10, 20, 60)], vol.event_levels()))
 
     df = windowed(b.bars(spark, d), add, lookback=62)
     cols = [f"rv_{k}_{n}" for n in (10, 20, 60) for k in ("close", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang")]
