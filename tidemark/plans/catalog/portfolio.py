@@ -13,7 +13,7 @@ from tidemark.operators import portfolio as pf
 from tidemark.operators import signals as sg
 from tidemark.operators import tables as tb
 from tidemark.operators.frames import Frame, Frames, with_frames
-from tidemark.operators.series import BARS, Axis, checked, log_return, pct_change, positions, prev, roll_mean, roll_std, running, windowed
+from tidemark.operators.series import BARS, Axis, checked, log_return, pct_change, positions, prev, roll_mean, roll_std, running, spread, windowed
 from tidemark.plans.catalog.windows import P, SEL, frame, roll
 from tidemark.plans.registry import ewm_sql, num, nums, qnum, qnums, query, text, with_ctes
 from tidemark.plans.regime_comparison import compare
@@ -107,6 +107,7 @@ ROUTER = f"""q AS (SELECT *, coalesce(ret, 0) AS r0, row_number() OVER ({P}) - 1
 def signal_routers(spark, d):
     bars = b.bars(spark, d).select("symbol", "ts", "close")
     ax = checked(bars)
+    bars = spread(bars, ax, 16)  # one task sorts its rows some sixteen times
     keep = lambda df, n: df.select("symbol", "ts", "close", *[c for c in df.columns if c in ("router", "hard", "soft")], F.col("signal").alias(n))
     df = keep(sg.regime_router(bars, axis=ax), "router")
     df = keep(sg.intensity_gated(df, "hard", axis=ax), "hard")
