@@ -7,13 +7,15 @@ rate. Log-likelihoods are sums over events; every block gives its part and the p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.crosssection import per_group
 from tidemark.operators.decay import decayed_past
 from tidemark.operators.recurrences import decayed_sum
 from tidemark.operators.series import BARS, Axis, has_hot_key, join_same, rows_per_task
@@ -71,13 +73,20 @@ def estimate_discrete(df: DataFrame, event: str, alphas: Sequence[float], betas:
     return best_by(discrete_likelihood(df, event, points, axis), axis.keys, ["alpha", "beta"], "log_likelihood")
 
 
+def _known(keys: Sequence[str]) -> Column:
+    """A null key takes no part, as in a join on the keys."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
 def event_times(df: DataFrame, flag: str, axis: Axis = BARS, ts: str = "ts") -> DataFrame:
     """(keys, t, n_events, horizon): event times in days since the first bar, horizon at least one day."""
     keys = list(axis.keys)
     days = lambda c: F.unix_timestamp(c.cast("timestamp")) / 86400.0
-    spans = df.groupBy(*keys).agg(days(F.min(ts)).alias("_t0"), F.greatest(days(F.max(ts)) - days(F.min(ts)), F.lit(1.0)).alias("horizon"), F.sum(F.col(flag).cast("int")).alias("n_events"))
-    hits = df.where(F.col(flag).cast("int") == 1).select(*keys, days(F.col(ts)).alias("_t"))
-    return hits.join(spans, keys).select(*keys, (F.col("_t") - F.col("_t0")).alias("t"), "n_events", "horizon")
+    hit = F.col(flag).cast("int")
+    rows = df.where(_known(keys)).select(*keys, ts, hit.alias("_hit"))
+    rows = per_group(rows, keys, {"_lo": F.min(ts), "_hi": F.max(ts), "n_events": F.sum("_hit")}, has_hot_key(df, axis))
+    horizon = F.greatest(days(F.col("_hi")) - days(F.col("_lo")), F.lit(1.0)).alias("horizon")
+    return rows.where("_hit = 1").select(*keys, (days(F.col(ts)) - days(F.col("_lo"))).alias("t"), "n_events", horizon)
 
 
 def exponential_likelihood(events: DataFrame, mu_shares: Sequence[float], alphas: Sequence[float], betas: Sequence[float], keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -91,14 +100,16 @@ def exponential_likelihood(events: DataFrame, mu_shares: Sequence[float], alphas
         for share, alpha, beta in grid.itertuples(index=False):
             level = share * rate + alpha * beta * past[rates.index(beta), :, 0]
             parts.append(float((alpha * (1 - np.exp(-beta * (horizon - t))) - np.log(level)).sum()))
-        return rows[list(keys)].head(1).assign(_part=[parts])
+        return rows[own].head(1).assign(_part=[parts])
 
-    parts = decayed_past(events, "t", lambda rows: np.ones((len(rows), 1)), rates, emit, _parts_schema(events, keys), Axis(tuple(keys), ("t",)), each_row=True)
-    totals = _summed(parts, keys, grid, "_nll")
-    spans = events.groupBy(*keys).agg(F.first("n_events").alias("n_events"), F.first("horizon").alias("horizon"))
+    # the parts carry what is constant in a series, so the events are not read again for it
+    own = [*keys, "n_events", "horizon"]
+    parts = decayed_past(events, "t", lambda rows: np.ones((len(rows), 1)), rates, emit, _parts_schema(events, own), Axis(tuple(keys), ("t",)), each_row=True)
+    totals = _summed(parts.where(_known(keys)), own, grid, "_nll")
     rate = F.greatest(F.col("n_events") / F.col("horizon"), F.lit(1e-6))
-    out = totals.join(spans, list(keys)).withColumn("mu", F.col("mu_share") * rate)
-    return out.withColumn("nll", F.col("_nll") + F.col("mu") * F.col("horizon")).drop("_nll")
+    out = totals.withColumn("mu", F.col("mu_share") * rate)
+    out = out.withColumn("nll", F.col("_nll") + F.col("mu") * F.col("horizon"))
+    return out.select(*keys, *grid.columns, "n_events", "horizon", "mu", "nll")
 
 
 def fit_grid(events: DataFrame, mu_shares, alphas, betas, keys: Sequence[str] = ("symbol",), least: int = 5) -> DataFrame:
@@ -241,14 +252,82 @@ class _Climb:
         return [*self.p.tolist(), self.ll]
 
 
+#: events of keys that climb together
+_CLIMB_ROWS = 100_000
+
+
+def _starts(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Positions at which a key begins in rows sorted by key."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[0] = True
+    for k in keys:
+        here, before = rows[k], rows[k].shift()
+        new |= (here.ne(before) & ~(here.isna() & before.isna())).to_numpy(dtype=bool)
+    return np.flatnonzero(new)
+
+
+def _climb_all(kind, s0, s1, fade, first, start, horizon, beta: float, tol: float, steps: int):
+    """``_Climb`` for all keys at once: (parameters, log-likelihood, settled) per key; ``first`` are the positions of their first events."""
+    n = len(first)
+    owner = np.repeat(np.arange(n), np.diff(np.append(first, len(kind))))
+    p, trail, length = start.copy(), np.zeros((2, n, 6)), np.zeros(n, dtype=int)
+    jumped, point, before = np.zeros(n, dtype=bool), np.zeros((n, 6)), np.full(n, -np.inf)
+    done, ll = np.zeros(n, dtype=bool), np.full(n, -np.inf)
+    low, bound = np.array([1e-8, 1e-8, 0.0, 0.0, 0.0, 0.0]), np.array([np.inf, np.inf, *[0.95 * beta] * 4])
+    rows, held = (kind, s0, s1, fade, owner), n
+    for _ in range(steps):
+        live = np.flatnonzero(~done)
+        if not len(live):
+            break
+        if len(live) < 0.8 * held:  # the events of settled keys are left out
+            keep = ~done[rows[4]]
+            rows, held = tuple(a[keep] for a in rows), len(live)
+        k, x0, x1, fd, own = rows
+        zero, q = k == 0, p[own]
+        mu = np.where(zero, q[:, 0], q[:, 1])
+        p0, p1 = np.where(zero, q[:, 2], q[:, 4]) * x0, np.where(zero, q[:, 3], q[:, 5]) * x1
+        lam = np.maximum(mu + p0 + p1, 1e-12)
+        parts = (mu / lam, p0 / lam, p1 / lam, fd, np.log(lam))
+        sums = np.array([np.bincount(own, np.where(m, v, 0.0), n) for m in (zero, ~zero) for v in parts])[:, live]
+        at, h = p[live], horizon[live]
+        i0, t00, t01, d0, l0, i1, t10, t11, d1, l1 = sums
+        now = l0 + l1 - ((at[:, 2] + at[:, 4]) * d0 + (at[:, 3] + at[:, 5]) * d1) / beta - (at[:, 0] + at[:, 1]) * h
+        worse = jumped[live] & ~(now >= before[live] - 1e-12)
+        jumped[live] = False
+        back = live[worse]
+        p[back], length[back] = point[back], 0
+        a = lambda t, d: np.where(d > 0, np.minimum(beta * t / np.where(d > 0, d, 1.0), 0.95 * beta), 0.0)
+        with np.errstate(all="ignore"):
+            nxt = np.column_stack([np.maximum(i0 / h, 1e-8), np.maximum(i1 / h, 1e-8), a(t00, d0), a(t01, d1), a(t10, d0), a(t11, d1)])
+        ends = ~worse & (np.abs(nxt - at).max(axis=1) < tol)
+        done[live[ends]], ll[live[ends]] = True, now[ends]
+        on = ~worse & ~ends
+        go, to = live[on], nxt[on]
+        trail[length[go], go] = p[go]
+        length[go] += 1
+        p[go] = to
+        two = length[go] == 2
+        far, to, was = go[two], to[two], now[on][two]
+        r, v = trail[1, far] - trail[0, far], to - 2 * trail[1, far] + trail[0, far]
+        size = np.linalg.norm(v, axis=1)
+        alpha = -np.linalg.norm(r, axis=1) / np.where(size > 0, size, 1.0)
+        jump = trail[0, far] - 2 * alpha[:, None] * r + (alpha * alpha)[:, None] * v
+        leap = (size > 0) & (alpha < -1) & (jump >= low).all(axis=1) & (jump <= bound).all(axis=1)
+        jumped[far[leap]], point[far[leap]], before[far[leap]], p[far[leap]] = True, to[leap], was[leap], jump[leap]
+        length[far] = 0
+    return p, ll, done
+
+
 def fit_bivariate(events: DataFrame, horizon: DataFrame, beta: float = 1.0, keys: Sequence[str] = ("symbol",), steps: int = 2000, tol: float = 1e-9) -> DataFrame:
     """Parameters per key at which an expectation-maximisation step moves none by ``tol``; ``settled`` tells whether it got there.
 
-    The decayed counts do not depend on the parameters and are computed once. A key that fits a task climbs inside one grouped
-    pass. The events of larger keys stay spread: each round adds up partial sums per task, one row per key comes to the driver (a
+    The decayed counts do not depend on the parameters and are computed once. Keys that fit a task climb many at a time inside
+    one pass over sorted rows. The events of larger keys stay spread: each round adds up partial sums per task, one row per key comes to the driver (a
     bounded number, as each has more than ``rowsPerTask`` events), and settled keys take no further part.
     """
     keys = list(keys)
+    ensure_checkpoint_dir(events.sparkSession)
+    events = events.checkpoint()  # read for the start parameters, the counts and the size check
     fade = 1 - F.exp(-F.least(beta * (F.col("horizon") - F.col("t")), F.lit(700.0)))
     excited = _excitations(events, beta, keys).join(bivariate_start(events, horizon, keys), keys).withColumn("_fade", fade)
     excited = excited.select(*keys, "horizon", *PARAMS, "kind", "s0", "s1", "_fade")
@@ -256,23 +335,42 @@ def fit_bivariate(events: DataFrame, horizon: DataFrame, beta: float = 1.0, keys
     schema = ", ".join([key_type, "horizon double", *[f"{p} double" for p in PARAMS], "log_likelihood double", "settled boolean"])
     columns = [*keys, "horizon", *PARAMS, "log_likelihood", "settled"]
 
-    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, rows = pdf.iloc[0], [pdf[c].to_numpy() for c in ("kind", "s0", "s1", "_fade")]
-        search = _Climb([one[p] for p in PARAMS], float(one["horizon"]), beta, tol)
-        while not search.done and search.steps < steps:
-            search.take(_em_sums(*rows, search.p))
-        return pd.DataFrame([[*[one[k] for k in keys], search.horizon, *search.result(), search.done]], columns=columns)
+    def climb(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        own = rows.iloc[first].reset_index(drop=True)
+        values = [rows[c].to_numpy(dtype=float) for c in ("kind", "s0", "s1", "_fade")]
+        p, ll, done = _climb_all(*values, first, own[list(PARAMS)].to_numpy(dtype=float), own["horizon"].to_numpy(dtype=float), beta, tol, steps)
+        return own[[*keys, "horizon"]].assign(**{c: p[:, i] for i, c in enumerate(PARAMS)}, log_likelihood=ll, settled=done)[columns]
+
+    def climb_sorted(frames):
+        """Keys follow one another; enough of them climb together to fill arrays, and none is cut."""
+        held, n = [], 0
+        for pdf in frames:
+            held.append(pdf)
+            n += len(pdf)
+            if n < _CLIMB_ROWS:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            first = _starts(rows, keys)
+            cut = first[-1]
+            if cut:
+                yield climb(rows.iloc[:cut], first[:-1])
+            held, n = [rows.iloc[cut:]], len(rows) - cut
+        if n:
+            rows = pd.concat(held, ignore_index=True)
+            yield climb(rows, _starts(rows, keys))
+
+    def climbed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(climb_sorted, schema)
 
     if not has_hot_key(events, Axis(tuple(keys), ("t",))):
-        found = excited.groupBy(*keys).applyInPandas(climb, schema)
+        found = climbed(excited)
     else:
-        ensure_checkpoint_dir(events.sparkSession)
         excited = excited.checkpoint()
         sizes = excited.groupBy(*keys, "horizon", *PARAMS).agg(F.count(F.lit(1)).alias("_n"))
         large = {tuple(r[k] for k in keys): _Climb([r[p] for p in PARAMS], r["horizon"], beta, tol) for r in sizes.where(F.col("_n") > rows_per_task(events.sparkSession)).toLocalIterator()}
         names = events.sparkSession.createDataFrame([(*k, True) for k in large], f"{key_type}, _large boolean")
         marked = join_same(excited, F.broadcast(names), keys, "left")
-        rest = marked.where("_large IS NULL").drop("_large").groupBy(*keys).applyInPandas(climb, schema)
+        rest = climbed(marked.where("_large IS NULL").drop("_large"))
         spread = marked.where("_large").select(*keys, "kind", "s0", "s1", "_fade").checkpoint()
         sums_type = f"{key_type}, {', '.join(f'_{i} double' for i in range(10))}"
         for _ in range(steps):

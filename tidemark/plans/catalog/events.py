@@ -8,6 +8,7 @@ from tidemark.operators import hawkes as hk
 from tidemark.operators import regimes as rg
 from tidemark.operators import spectra as sp
 from tidemark.operators import volatility as vol
+from tidemark.operators.frames import Frame, Frames, framed, with_frames
 from tidemark.operators.series import BARS, Axis, checked, pct_change, positions, windowed
 from tidemark.plans.catalog.portfolio import returns
 from tidemark.plans.catalog.windows import P, SEL, frame, roll
@@ -72,7 +73,8 @@ ST = f"""s AS (SELECT *, CASE WHEN close < 102 THEN 0 WHEN close < 106 THEN 1 EL
 def states(spark, d):
     def add(x, a):
         x = x.withColumns(vol.base_returns(a))
-        return x.withColumns({"rv_close_20": vol.roll_std("log_return", a, 20, 10) * F.sqrt(F.lit(252.0)), "drawdown_60": vol.drawdown_from_peak(a), "ret": F.col("simple_return")})
+        own = Frames({"_std": Frame("std_samp", "log_return", 20, 10)}, {"rv_close_20": F.col("_std") * F.sqrt(F.lit(252.0)), "ret": F.col("simple_return")})
+        return with_frames(x, a, own, vol.drawdown_from_peak())
 
     df = windowed(b.bars(spark, d), add, lookback=61)
     return df.withColumn("st", F.when(F.col("close") < 102, 0).when(F.col("close") < 106, 1).otherwise(2))
@@ -153,11 +155,10 @@ EFLAG = f"""e AS (SELECT *, CASE WHEN abs(lr) >= {roll("quantile_cont({x}, 0.9)"
 
 def flagged(spark, d):
     def add(x, a):
-        x = x.withColumns(vol.base_returns(a))
-        q = vol.roll_quantile("abs_return", 0.9, a, 60, 30)
-        return x.withColumn("ev", F.coalesce((F.col("abs_return") >= q), F.lit(False)).cast("int"))
+        x = framed(x.withColumn("abs_return", vol.base_returns(a)["abs_return"]), {"_q": Frame("quantile", "abs_return", 60, 30, 0.9)}, a)
+        return x.withColumn("ev", F.coalesce((F.col("abs_return") >= F.col("_q")), F.lit(False)).cast("int"))
 
-    return windowed(b.bars(spark, d), add, lookback=61)
+    return windowed(b.bars(spark, d).select("symbol", "ts", "open", "close"), add, lookback=61).select("symbol", "ts", "ev")
 
 
 @query("discrete_intensity", "H1 scan", with_ctes("bars nb", EFLAG + f""", r AS (SELECT symbol, rn, ts, 0.8::DOUBLE * ev AS lam FROM e WHERE rn = 1 UNION ALL SELECT e.symbol, e.rn, e.ts, exp(-0.2::DOUBLE) * r.lam + 0.8::DOUBLE * e.ev FROM r JOIN e ON e.symbol = r.symbol AND e.rn = r.rn + 1)
