@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.tables import conform
+from tidemark.plans import catalog
 from tidemark.sources import bindings as b
 from tidemark.sources import readers, sinks
 
@@ -66,3 +69,29 @@ def test_sinks(spark, folder, tmp_path):
     sinks.append(snaps, str(tmp_path / "s"))
     sinks.append(snaps, str(tmp_path / "s"))
     assert [r.ts for r in sinks.run_snapshots(spark.read.parquet(str(tmp_path / "s")), "a").collect()] == [1, 1, 2, 2]
+
+
+def test_tree_is_listed_by_few_tasks(spark, tmp_path):
+    n, day = readers.LISTING_TASKS + 30, dt.datetime(2024, 1, 2)
+    tables = {
+        "region": ([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "a", 0), (1, "b", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(i, "s", i // n, 1.0) for i in range(n + 2)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "lineitem": ([(i, i, 1, 1.0, 1_000.0 + i, day) for i in range(n + 2)],
+                     "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sc, held = spark.sparkContext, spark.conf.get(readers.LISTING)
+    sc.setJobGroup("tree", "tree")
+    try:
+        got = {r.symbol: (r.asset_group, r.n, r.total) for r in catalog.load().QUERIES["partition_overwrite"](spark, str(tmp_path)).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    price = lambda i: 100 + (1_000 + i) % 1_000 / 100
+    assert got == {str(i): ("AFRICA", 1, pytest.approx(2 * price(i))) if i < n else ("ASIA", 1, pytest.approx(price(i))) for i in range(n + 2)}
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("tree") for s in tracker.getJobInfo(j).stageIds]
+    tasks = max(s.numTasks for s in stages if s)
+    assert tasks == readers.LISTING_TASKS  # one task per folder before
+    assert spark.conf.get(readers.LISTING) == held

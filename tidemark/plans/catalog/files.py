@@ -101,7 +101,7 @@ def partition_overwrite(spark, d):
     sinks.save_partitioned(bars, path)
     redone = bars.join(F.broadcast(bars.agg(F.min("asset_group").alias("asset_group"))), "asset_group", "left_semi")  # one row
     sinks.save_partitioned(redone.withColumn("close", 2 * F.col("close")), path, only_present=True)
-    return spark.read.parquet(path).groupBy("asset_group", "symbol").agg(F.count(F.lit(1)).alias("n"), num(F.sum("close"), 3).alias("total")).withColumn("symbol", F.col("symbol").cast("string"))
+    return readers.read_partitioned(spark, path).groupBy("asset_group", "symbol").agg(F.count(F.lit(1)).alias("n"), num(F.sum("close"), 3).alias("total")).withColumn("symbol", F.col("symbol").cast("string"))
 
 
 @query("run_snapshots", "S14 S15", """WITH s AS (SELECT o_orderpriority AS run_id, CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1, 2),
