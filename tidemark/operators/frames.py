@@ -106,6 +106,28 @@ def quantiles(rows: Rows, n: int, share: float) -> np.ndarray:
     return out
 
 
+def weighted(rows: Rows, n: int) -> np.ndarray:
+    """Sum of each frame's values times their place (1 the oldest); for frames without gaps."""
+    out = np.zeros(len(rows.x))
+    for place, (v, k) in enumerate(rows.steps(n), 1 + max(n - len(rows.x), 0)):
+        out += np.where(k, v * place, 0.0)
+    return out
+
+
+def deviations(rows: Rows, n: int) -> np.ndarray:
+    """Sum of absolute deviations from each frame's mean."""
+    mean, out = sums(rows, n) / np.maximum(rows.counts(n), 1), np.zeros(len(rows.x))
+    for v, k in rows.steps(n):
+        out += np.where(k, np.abs(v - mean), 0.0)
+    return out
+
+
+def before(rows: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value ``k`` rows earlier, and where there is one."""
+    x, known = (np.concatenate([np.zeros(k, a.dtype), a])[: len(a)] for a in (rows.x, rows.known))
+    return x, known & (rows.at >= k)
+
+
 def shares_below(rows: Rows, n: int) -> np.ndarray:
     """Share of each frame's rows that lie strictly below its last value; null rows stay in the denominator."""
     below, odd = np.zeros(len(rows.x)), np.isnan(rows.x)
@@ -152,6 +174,12 @@ def _aggregate(f: Frame, columns: Mapping[str, Rows]) -> tuple[np.ndarray, np.nd
         out = quantiles(rows, n, f.share)
     elif f.kind == "share_below":
         out, enough = shares_below(rows, n), rows.known
+    elif f.kind == "weighted":
+        out, enough = weighted(rows, n) / (n * (n + 1) / 2.0), held >= n
+    elif f.kind == "mean_abs_dev":
+        out = deviations(rows, n) / n
+    elif f.kind == "first":  # the value of the frame's first row, whatever the rows behind it hold
+        return before(rows, n - 1)
     else:
         raise ValueError(f"no aggregate {f.kind}")
     gate = held if f.gate is None else np.minimum(rows.at + 1, n) if f.gate == "*" else columns[f.gate].counts(n)

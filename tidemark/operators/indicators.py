@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, ratio, safe_log_ratio
+from tidemark.operators.frames import Frame
+from tidemark.operators.passes import Made, Means, Part, Trailing, over, where, with_parts
 from tidemark.operators.recurrences import ewm_mean, span, wilder
 from tidemark.operators.series import (
     BARS,
@@ -184,9 +186,15 @@ def atr_simple(axis: Axis, n: int = 14, tr: str = "tr") -> Column:
 
 def add_atr(df: DataFrame, axis: Axis = BARS, n: int = 14) -> DataFrame:
     """Wilder average true range and its share of the close (percent)."""
-    df = windowed(df, lambda d, a: d.withColumn("tr", true_range(a)), axis, lookback=1)
-    df = ewm_mean(df, {"atr": ("tr", wilder(n), n)}, axis)
-    return df.withColumn("natr", 100 * ratio("atr", "close"))
+    return with_parts(df, axis, atr_part(n))
+
+
+def atr_part(n: int = 14) -> Part:
+    return Part(lambda a: {"tr": true_range(a)}, [Means({"atr": ("tr", wilder(n), n)})], {"natr": 100 * ratio("atr", "close")})
+
+
+def atr_simple_part(n: int = 14) -> Part:
+    return Part(lambda a: {"tr": true_range(a)}, [Trailing({"atr_simple": Frame("mean", "tr", n, n)})])
 
 
 def directional_moves(axis: Axis) -> dict[str, Column]:
@@ -244,13 +252,13 @@ def bollinger(source, axis: Axis, n: int = 20, k: float = 2.0, population: bool
 
 
 def add_keltner(df: DataFrame, axis: Axis = BARS, n: int = 20, atr_n: int = 10, k: float = 2.0) -> DataFrame:
-    df = windowed(df, lambda d, a: d.withColumn("_tr", true_range(a)), axis, lookback=1)
-    df = ewm_mean(df, {"kc_center": ("close", span(n), n), "_atr": ("_tr", wilder(atr_n), atr_n)}, axis)
-    df = df.withColumns({
-        "kc_upper": _c("kc_center") + k * _c("_atr"),
-        "kc_lower": _c("kc_center") - k * _c("_atr"),
-    })
-    return df.withColumn("kc_width", ratio(_c("kc_upper") - _c("kc_lower"), "kc_center")).drop("_tr", "_atr")
+    return with_parts(df, axis, keltner_part(n, atr_n, k))
+
+
+def keltner_part(n: int = 20, atr_n: int = 10, k: float = 2.0) -> Part:
+    upper, lower = _c("kc_center") + k * _c("_atr"), _c("kc_center") - k * _c("_atr")
+    means = Means({"kc_center": ("close", span(n), n), "_atr": ("_tr", wilder(atr_n), atr_n)})
+    return Part(lambda a: {"_tr": true_range(a)}, [means], {"kc_upper": upper, "kc_lower": lower, "kc_width": ratio(upper - lower, "kc_center")})
 
 
 def donchian(axis: Axis, n: int = 20) -> dict[str, Column]:
@@ -260,10 +268,12 @@ def donchian(axis: Axis, n: int = 20) -> dict[str, Column]:
 
 
 def add_chaikin(df: DataFrame, axis: Axis = BARS, n: int = 10, back: int = 10, name: str = "chaikin_vol") -> DataFrame:
-    df = ewm_mean(df.withColumn("_hl", _c("high") - _c("low")), {"_ehl": ("_hl", span(n), n)}, axis)
-    return windowed(
-        df, lambda d, a: d.withColumn(name, 100 * (ratio("_ehl", prev("_ehl", a, back)) - 1)), axis, lookback=back
-    ).drop("_hl", "_ehl")
+    return with_parts(df, axis, chaikin_part(n, back, name))
+
+
+def chaikin_part(n: int = 10, back: int = 10, name: str = "chaikin_vol") -> Part:
+    steps = [Means({"_ehl": ("_hl", span(n), n)}), Trailing({"_ehl_back": Frame("first", "_ehl", back + 1)})]
+    return Part(lambda a: {"_hl": _c("high") - _c("low")}, steps, {name: 100 * (ratio("_ehl", "_ehl_back") - 1)})
 
 
 def add_ulcer(df: DataFrame, axis: Axis, n: int = 14, name: str = "ulcer") -> DataFrame:
@@ -273,9 +283,12 @@ def add_ulcer(df: DataFrame, axis: Axis, n: int = 14, name: str = "ulcer") -> Da
 
 
 def add_bull_bear(df: DataFrame, axis: Axis = BARS, n: int = 13) -> DataFrame:
-    df = ewm_mean(df, {"_base": ("close", span(n), n)}, axis)
-    df = df.withColumns({"bull_power": _c("high") - _c("_base"), "bear_power": _c("low") - _c("_base")})
-    return df.withColumn("bull_bear_power", _c("bull_power") + _c("bear_power")).drop("_base")
+    return with_parts(df, axis, bull_bear_part(n))
+
+
+def bull_bear_part(n: int = 13) -> Part:
+    bull, bear = _c("high") - _c("_base"), _c("low") - _c("_base")
+    return Part(lambda a: {}, [Means({"_base": ("close", span(n), n)})], {"bull_power": bull, "bear_power": bear, "bull_bear_power": bull + bear})
 
 
 def add_stochastic_rsi(df: DataFrame, axis: Axis = BARS, n: int = 14, look: int = 14, k: int = 3, d: int = 3) -> DataFrame:
@@ -373,80 +386,107 @@ def above(value, level) -> Column:
 AVERAGES = (10, 20, 30, 50, 100, 200)
 
 
-def core_windows(df: DataFrame, axis: Axis) -> DataFrame:
-    """The window-only half of the indicator summary, plus the inputs of the recurrences."""
+def _strength(x, gain: str, loss: str):
+    """``strength`` on arrays."""
+    return 100 - 100 / (1 + over(x[gain], x[loss]))
+
+
+def core_inputs(axis: Axis) -> dict[str, Column]:
+    """What the summary's steps read: columns of a bar and the one before it."""
     before = prev("close", axis)
-    df = df.withColumns({
+    return {
         "_gain": gains("close", axis),
         "_loss": losses("close", axis),
         "_lr": log_return("close", axis),
         "_on": F.when((_c("open") > 0) & (before > 0), F.log(_c("open") / before)),
         "_tp": (_c("high") + _c("low") + _c("close")) / 3,
         "_hl": _c("high") - _c("low"),
+        "_mid": (_c("high") + _c("low")) / 2,
+        "_bp": _c("close") - F.least("low", before),
+        "_tr": F.greatest("high", before) - F.least("low", before),
+        "_cv": _c("close") * _c("volume"),
+        "_pk": parkinson_term(),
+        "_gk": garman_klass_term(),
+        "_rs": rogers_satchell_term(),
+        "_day": safe_log_ratio("close", "open"),
         **directional_moves(axis),
-    })
-    df = add_stochastic(df, axis, 14, 3, 3)
-    df = add_ultimate(df, axis, name="ultimate_osc_7_14_28")
-    df = add_hma(df, axis, 9, "hma_9")
-    df = add_ulcer(df, axis, 14, "ulcer_index_14")
-    return df.withColumns({
-        "cci_20": cci(axis, 20),
-        "awesome_oscillator": awesome(axis),
-        "momentum_10": momentum("close", axis, 10),
-        "williams_r_14": williams_r(axis, 14),
-        **{f"sma_{n}": sma("close", axis, n) for n in AVERAGES},
-        "ichimoku_base_26": ichimoku_base(axis, 26),
-        "vwma_20": vwma("close", "volume", axis, 20),
-        "rolling_vol_20": close_vol("_lr", axis, 20, 252),
-        "parkinson_vol_20": range_vol(parkinson_term(), axis, 20, 252),
-        "garman_klass_vol_20": range_vol(garman_klass_term(), axis, 20, 252),
-        "rogers_satchell_vol_20": range_vol(rogers_satchell_term(), axis, 20, 252),
-        "yang_zhang_vol_20": _annual(yang_zhang_variance(axis, 20, rogers_satchell_term(), "_on"), 252),
-    })
+    }
 
 
-CORE_COLUMNS = (
-    "rsi_14", "stoch_k", "cci_20", "adx_14", "awesome_oscillator", "momentum_10", "macd_12_26", "stoch_rsi_fast_k",
-    "williams_r_14", "bull_bear_power", "ultimate_osc_7_14_28",
-    *[f"{k}_{n}" for n in AVERAGES for k in ("ema", "sma")],
-    "ichimoku_base_26", "vwma_20", "hma_9", "atr_14", "natr_14", "rolling_vol_20", "parkinson_vol_20",
-    "garman_klass_vol_20", "rogers_satchell_vol_20", "yang_zhang_vol_20", "chaikin_vol_10_10", "ulcer_index_14",
-)
+def core_steps() -> list:
+    """The summary's frames and recurrences, in the order in which they read each other."""
 
+    def frame(kind: str, source: str, n: int) -> Frame:
+        return Frame(kind, source, n, n)
 
-def core_summary(df: DataFrame, axis: Axis = BARS, compat: bool = False) -> DataFrame:
-    """35 indicators and 25 action labels per bar: shared windows, two ordered passes, one exchange."""
-    df = windowed(df, core_windows, axis, lookback=220)
     w14 = wilder(14)
-    df = ewm_mean(
-        df,
-        {
+    return [
+        Trailing({
+            "_low14": frame("min", "low", 14), "_high14": frame("max", "high", 14), "_low26": frame("min", "low", 26), "_high26": frame("max", "high", 26), "_peak14": frame("max", "close", 14),
+            **{f"sma_{n}": frame("mean", "close", n) for n in AVERAGES},
+            "_mid5": frame("mean", "_mid", 5), "_mid34": frame("mean", "_mid", 34), "_tp20": frame("mean", "_tp", 20), "_mad20": frame("mean_abs_dev", "_tp", 20),
+            **{f"{c}{n}": frame("sum", c, n) for c in ("_bp", "_tr") for n in (7, 14, 28)},
+            "_wma4": frame("weighted", "close", 4), "_wma9": frame("weighted", "close", 9), "_back10": Frame("first", "close", 11), "_cv20": frame("sum", "_cv", 20), "_v20": frame("sum", "volume", 20),
+            "_lr20": frame("std_samp", "_lr", 20), "_pk20": frame("mean", "_pk", 20), "_gk20": frame("mean", "_gk", 20), "_rs20": frame("mean", "_rs", 20),
+            "_on20": frame("var_samp", "_on", 20), "_day20": frame("var_samp", "_day", 20),
+        }),
+        Made({
+            "_k": lambda x: 100 * over(x["close"] - x["_low14"], x["_high14"] - x["_low14"]),
+            "_raw_hma": lambda x: 2 * x["_wma4"] - x["_wma9"],
+            "_dd2": lambda x: (100 * over(x["close"] - x["_peak14"], x["_peak14"])) ** 2,
+        }, ("close", "_low14", "_high14", "_wma4", "_wma9", "_peak14")),
+        Trailing({"stoch_k": frame("mean", "_k", 3), "hma_9": frame("weighted", "_raw_hma", 3), "_dd14": frame("mean", "_dd2", 14)}),
+        Means({
             **{f"ema_{n}": ("close", span(n), n) for n in AVERAGES},
             "_ag": ("_gain", w14, 14), "_al": ("_loss", w14, 14), "atr_14": ("_range", w14, 14),
             "_sp": ("_plus", w14, 14), "_sm": ("_minus", w14, 14),
             "_e12": ("close", span(12), 12), "_e26": ("close", span(26), 26), "_e13": ("close", span(13), 13),
             "_ehl": ("_hl", span(10), 10),
-        },
-        axis,
-    )
-    df = df.withColumns({
-        "rsi_14": strength("_ag", "_al"),
+        }),
+        Made({"rsi_14": lambda x: _strength(x, "_ag", "_al"), "_dx": lambda x: 100 * over(abs(x["_sp"] - x["_sm"]), where(abs(x["atr_14"]) > 0, x["_sp"] + x["_sm"]))},
+             ("_ag", "_al", "atr_14", "_sp", "_sm")),
+        Means({"adx_14": ("_dx", w14, 14)}),
+        Trailing({"_rsi_low": frame("min", "rsi_14", 14), "_rsi_high": frame("max", "rsi_14", 14), "_ehl10": Frame("first", "_ehl", 11)}),
+        Made({"_raw": lambda x: 100 * over(x["rsi_14"] - x["_rsi_low"], x["_rsi_high"] - x["_rsi_low"])}, ("rsi_14", "_rsi_low", "_rsi_high")),
+        Trailing({"stoch_rsi_fast_k": frame("mean", "_raw", 3)}),
+    ]
+
+
+def core_outputs() -> dict[str, Column]:
+    ultimate = {n: ratio(f"_bp{n}", f"_tr{n}") for n in (7, 14, 28)}
+    return {
+        "ultimate_osc_7_14_28": 100 * (4 * ultimate[7] + 2 * ultimate[14] + ultimate[28]) / 7,
+        "ulcer_index_14": F.sqrt("_dd14"),
+        "cci_20": ratio((_c("high") + _c("low") + _c("close")) / 3 - _c("_tp20"), 0.015 * _c("_mad20")),
+        "awesome_oscillator": _c("_mid5") - _c("_mid34"),
+        "momentum_10": _c("close") - _c("_back10"),
+        "williams_r_14": -100 * ratio(_c("_high14") - _c("close"), _c("_high14") - _c("_low14")),
+        "ichimoku_base_26": (_c("_high26") + _c("_low26")) / 2,
+        "vwma_20": _c("_cv20") / _c("_v20"),
+        "rolling_vol_20": _c("_lr20") * F.sqrt(F.lit(252.0)),
+        "parkinson_vol_20": _annual(_c("_pk20"), 252),
+        "garman_klass_vol_20": _annual(_c("_gk20"), 252),
+        "rogers_satchell_vol_20": _annual(_c("_rs20"), 252),
+        "yang_zhang_vol_20": _annual(yang_zhang_mix(_c("_on20"), _c("_day20"), _c("_rs20"), 20), 252),
         "macd_12_26": _c("_e12") - _c("_e26"),
         "bull_bear_power": _c("high") + _c("low") - 2 * _c("_e13"),
         "natr_14": 100 * ratio("atr_14", "close"),
-        "_dx": 100 * ratio(F.abs(_c("_sp") - _c("_sm")), F.when(_c("atr_14") != 0, _c("_sp") + _c("_sm"))),
-    })
-    df = ewm_mean(df, {"adx_14": ("_dx", w14, 14)}, axis)
+        "chaikin_vol_10_10": 100 * (ratio("_ehl", "_ehl10") - 1),
+    }
 
-    def tail(x: DataFrame, a: Axis) -> DataFrame:
-        low, high = roll_min("rsi_14", a, 14), roll_max("rsi_14", a, 14)
-        x = x.withColumn("_raw", 100 * ratio(_c("rsi_14") - low, high - low))
-        return x.withColumns({
-            "stoch_rsi_fast_k": roll_mean("_raw", a, 3),
-            "chaikin_vol_10_10": 100 * (ratio("_ehl", prev("_ehl", a, 10)) - 1),
-        })
 
-    df = windowed(df, tail, axis, lookback=20)
+CORE_COLUMNS = (
+    "rsi_14", "stoch_k", "cci_20", "adx_14", "awesome_oscillator", "momentum_10", "macd_12_26", "stoch_rsi_fast_k",
+    "williams_r_14", "bull_bear_power", "ultimate_osc_7_14_28",
+    *[f"{k}_{n}" for n in AVERAGES for k in ("ema", "sma")],
+    "ichimoku_base_26", "vwma_20", "hma_9", "atr_14", "natr_14", "rolling_vol_20", "parkinson_vol_20",
+    "garman_klass_vol_20", "rogers_satchell_vol_20", "yang_zhang_vol_20", "chaikin_vol_10_10", "ulcer_index_14",
+)
+
+
+def core_summary(df: DataFrame, axis: Axis = BARS, compat: bool = False) -> DataFrame:
+    """35 indicators and 25 action labels per bar: one pass of ordered steps behind one exchange."""
+    df = with_parts(df, axis, Part(core_inputs, core_steps(), core_outputs()), keep=[*axis.keys, *axis.order, "high", "low", "close"])
     labels = {
         "action_rsi_14": action("rsi_14", 70, 30, True, compat),
         "action_stoch_k": action("stoch_k", 80, 20, True, compat),
@@ -467,43 +507,35 @@ def core_summary(df: DataFrame, axis: Axis = BARS, compat: bool = False) -> Data
 
 
 def default_features(df: DataFrame, axis: Axis = BARS) -> DataFrame:
-    """The 18-column default feature block."""
-
-    def add(d: DataFrame, a: Axis) -> DataFrame:
-        d = d.withColumns({
-            "_gain": gains("close", a), "_loss": losses("close", a), "_ret": pct_change("close", a), **directional_moves(a),
-        })
-        return d.withColumns({
-            **{f"sma_{n}": sma("close", a, n) for n in (20, 50, 200)},
-            "mom_10": momentum("close", a, 10),
-            "roc_10": roc("close", a, 10),
-            "bb_bandwidth": 100 * bollinger("close", a)["bb_bandwidth"],
-            "vol_20": close_vol("_ret", a, 20, 252),
-            "parkinson_vol": range_vol(parkinson_term(), a, 20, 252),
-            "gk_vol": range_vol(garman_klass_term(), a, 20, 252),
-        })
-
-    df = windowed(df, add, axis, lookback=220)
-    w14 = wilder(14)
-    df = ewm_mean(
-        df,
-        {
+    """The 18-column default feature block: one pass of ordered steps behind one exchange."""
+
+    def inputs(a: Axis) -> dict[str, Column]:
+        return {"_gain": gains("close", a), "_loss": losses("close", a), "_ret": pct_change("close", a), "_pk": parkinson_term(), "_gk": garman_klass_term(), **directional_moves(a)}
+
+    w14, atr = wilder(14), "atr_14"
+    steps = [
+        Trailing({
+            **{f"sma_{n}": Frame("mean", "close", n, n) for n in (20, 50, 200)}, "_back": Frame("first", "close", 11), "_sd": Frame("std_samp", "close", 20, 20),
+            "_vol": Frame("std_samp", "_ret", 20, 20), "_pk20": Frame("mean", "_pk", 20, 20), "_gk20": Frame("mean", "_gk", 20, 20),
+        }),
+        Means({
             "ema_20": ("close", span(20), 20), "_ag": ("_gain", w14, 14), "_al": ("_loss", w14, 14),
-            "atr_14": ("_range", w14, 14), "_sp": ("_plus", w14, 14), "_sm": ("_minus", w14, 14),
+            atr: ("_range", w14, 14), "_sp": ("_plus", w14, 14), "_sm": ("_minus", w14, 14),
             "_e12": ("close", span(12), 12), "_e26": ("close", span(26), 26),
-        },
-        axis,
-    )
-    base = F.when(_c("atr_14") > 0, _c("atr_14"))
-    df = df.withColumns({
-        "rsi_14": strength("_ag", "_al"),
-        "plus_di": 100 * _c("_sp") / base,
-        "minus_di": 100 * _c("_sm") / base,
-        "macd": _c("_e12") - _c("_e26"),
-    })
-    df = df.withColumn("_dx", 100 * ratio(F.abs(_c("plus_di") - _c("minus_di")), _c("plus_di") + _c("minus_di")))
-    df = ewm_mean(df, {"adx_14": ("_dx", w14, 14), "macd_signal": ("macd", span(9), 9)}, axis)
-    df = df.withColumn("macd_hist", _c("macd") - _c("macd_signal"))
+        }),
+        Made({
+            "plus_di": lambda x: 100 * x["_sp"] / where(x[atr] > 0, x[atr]), "minus_di": lambda x: 100 * x["_sm"] / where(x[atr] > 0, x[atr]), "macd": lambda x: x["_e12"] - x["_e26"],
+        }, (atr, "_sp", "_sm", "_e12", "_e26")),
+        Made({"_dx": lambda x: 100 * over(abs(x["plus_di"] - x["minus_di"]), x["plus_di"] + x["minus_di"])}, ("plus_di", "minus_di")),
+        Means({"adx_14": ("_dx", w14, 14), "macd_signal": ("macd", span(9), 9)}),
+    ]
+    mid, sd = _c("sma_20"), _c("_sd")
+    upper, lower = mid + 2.0 * sd, mid - 2.0 * sd
+    outputs = {
+        "rsi_14": strength("_ag", "_al"), "mom_10": _c("close") - _c("_back"), "roc_10": 100 * (_c("close") / F.nullif(_c("_back"), F.lit(0.0)) - 1), "bb_bandwidth": 100 * ratio(upper - lower, mid),
+        "vol_20": _c("_vol") * F.sqrt(F.lit(252.0)), "parkinson_vol": _annual(_c("_pk20"), 252), "gk_vol": _annual(_c("_gk20"), 252), "macd_hist": _c("macd") - _c("macd_signal"),
+    }
+    df = with_parts(df, axis, Part(inputs, steps, outputs), keep=[*axis.keys, *axis.order, "close"])
     return df.select(*axis.keys, *axis.order, *DEFAULT_FEATURES)
 
 

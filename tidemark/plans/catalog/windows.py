@@ -8,6 +8,7 @@ from tidemark.functions.cleaning import correlation
 from tidemark.operators import indicators as ind
 from tidemark.operators import volatility as vol
 from tidemark.operators.frames import Frame, framed, with_frames
+from tidemark.operators.passes import with_parts
 from tidemark.operators.recurrences import decayed_sum, ewm_mean, ewm_std, span, wilder
 from tidemark.operators.series import (
     BARS,
@@ -323,11 +324,7 @@ def bands_channels(spark, d):
 def atr_keltner_power(spark, d):
     bars = b.bars(spark, d)
     ax = checked(bars)
-    df = ind.add_atr(bars, ax)
-    df = windowed(df, lambda x, a: x.withColumn("atr_simple", ind.atr_simple(a)), ax, lookback=15)
-    df = ind.add_keltner(df, ax)
-    df = ind.add_bull_bear(df, ax)
-    df = ind.add_chaikin(df, ax)
+    df = with_parts(bars, ax, ind.atr_part(), ind.atr_simple_part(), ind.keltner_part(), ind.bull_bear_part(), ind.chaikin_part(), keep=["symbol", "ts", "high", "low", "close"])
     return day_keys(df, *nums("tr", "atr", "natr", "atr_simple", "kc_center", "kc_upper", "kc_lower", "kc_width",
                               "bull_power", "bear_power", "bull_bear_power", "chaikin_vol"))
 

@@ -33,8 +33,11 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
         F.max_by("price", "arrival").alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
-    return daily.join(groups(spark, folder), "l_suppkey").select(
-        "asset_group", F.col("l_suppkey").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "volume"
+    # joined by the key that series are dealt by: a join that deals both sides leaves nothing to deal behind it
+    symbol = F.col("l_suppkey").cast("string").alias("symbol")
+    daily = daily.select(symbol, "ts", "open", "high", "low", "close", "volume")
+    return daily.join(groups(spark, folder).select(symbol, "asset_group"), "symbol").select(
+        "asset_group", "symbol", "ts", "open", "high", "low", "close", "volume"
     )
 
 
