@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.operators.series import Axis, running, scan, windowed
+from tidemark.operators.series import Axis, has_hot_key, running, scan, windowed
 
 
 def compound(r: Column | str) -> Column:
@@ -172,10 +178,20 @@ def ahead(bars, max_bars: int, axis):
 def first_touch(entries, bars, max_bars: int, axis):
     """Exit of each entry: first bar that touches stop or target within ``max_bars``, else the last bar's close.
 
-    ``entries``: keys, rn, direction, entry_price, stop_price, target_price. ``bars``: keys, order, rn, high, low,
-    close. A look-ahead window gives every bar its next bars; an entry joins the one row of its bar and folds over them. The stop wins
+    ``entries``: keys, rn, direction, entry_price, stop_price, target_price. ``bars``: keys, order, rn (position in the series), high, low,
+    close. The entries of a series meet its bars in one task, and all of them look one bar further at a time; no bar carries its next bars
+    along. Series larger than a task take a look-ahead window instead: an entry joins the one row of its bar and folds over its next bars. The stop wins
     when one bar touches both; an entry on the very last bar exits there.
     """
+    exits = _exits_by_window if has_hot_key(bars, axis) else _exits_by_series
+    g = exits(entries, bars, max_bars, axis)
+    move = F.col("exit_price") / F.col("entry_price") - 1
+    return g.withColumns({
+        "pnl": 100 * F.when(F.col("direction") == "long", move).otherwise(-move), "bars_held": F.col("exit_rn") - F.col("rn"),
+    })
+
+
+def _exits_by_window(entries, bars, max_bars: int, axis):
     keys = list(axis.keys)
     j = entries.join(ahead(bars, max_bars, axis).select(*keys, "rn", "path"), [*keys, "rn"])
     long = F.col("direction") == "long"
@@ -191,15 +207,58 @@ def first_touch(entries, bars, max_bars: int, axis):
     j = j.withColumns({"_hit": hit, "_last": last})
     at_stop = stopped(F.col("_hit"))
     touched = F.col("_hit").isNotNull()
-    g = j.withColumns({
+    return j.withColumns({
         "exit_rn": F.coalesce("_hit.rn", "_last.rn"),
         "exit_price": F.when(touched, F.when(at_stop, F.col("stop_price")).otherwise(F.col("target_price"))).otherwise(F.col("_last.c")),
         "exit_reason": F.when(touched, F.when(at_stop, "stop").otherwise("target")).otherwise("time"),
     }).drop("_hit", "_last", "path")
-    move = F.col("exit_price") / F.col("entry_price") - 1
-    return g.withColumns({
-        "pnl": 100 * F.when(long, move).otherwise(-move), "bars_held": F.col("exit_rn") - F.col("rn"),
-    })
+
+
+def _exits_by_series(entries, bars, max_bars: int, axis):
+    keys = list(axis.keys)
+    rest = [c for c in entries.columns if c not in (*keys, "rn")]
+    entries = entries.select(*keys, "rn", *rest)
+    schema = T.StructType([*entries.schema.fields, T.StructField("exit_rn", T.LongType()), T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType(), False)])
+
+    def numbers(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a column, NaN being above all numbers, and where there are any."""
+        c = pc.cast(rows[name].combine_chunks(), pa.float64())
+        return np.nan_to_num(pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False), nan=np.inf, posinf=np.inf, neginf=-np.inf), pc.is_valid(c).to_numpy(zero_copy_only=False)
+
+    def exits(mine: pa.Table, series: pa.Table) -> pa.Table:
+        empty = pa.table({f.name: pa.array([], type=k) for f, k in zip(schema.fields, kinds, strict=True)})
+        mine = mine.filter(pc.is_valid(mine["rn"]))
+        series = series.filter(pc.is_valid(series["rn"])).sort_by("rn")
+        if not len(mine) or not len(series) or any(mine[k][0].as_py() is None for k in keys):
+            return empty  # as in a join, a null meets nothing
+        found = pd.DataFrame({"rn": mine["rn"].to_numpy(), "_i": np.arange(len(mine))}).merge(pd.DataFrame({"rn": series["rn"].to_numpy(), "_at": np.arange(len(series))}), on="rn")
+        i, at = found["_i"].to_numpy(), found["_at"].to_numpy()
+        if not len(i):
+            return empty
+        mine = mine.take(pa.array(i))
+        rn, end = series["rn"].to_numpy(), np.minimum(at + max_bars, len(series) - 1)
+        (high, h), (low, lo) = numbers(series, "high"), numbers(series, "low")
+        (stop, s), (target, t) = numbers(mine, "stop_price"), numbers(mine, "target_price")
+        long = pc.fill_null(pc.equal(mine["direction"], "long"), False).to_numpy(zero_copy_only=False)
+        hit, stopped = np.full(len(at), -1), np.zeros(len(at), dtype=bool)
+        for k in range(1, max_bars + 1):
+            x = np.minimum(at + k, len(rn) - 1)
+            open_ = (hit < 0) & (at + k <= end) & (rn[x] > rn[at])
+            down, up = low[x], high[x]
+            at_stop = s & np.where(long, lo[x] & (down <= stop), h[x] & (up >= stop))
+            at_target = t & np.where(long, h[x] & (up >= target), lo[x] & (down <= target))
+            stopped |= open_ & at_stop
+            hit = np.where(open_ & (at_stop | at_target), x, hit)
+        touched = hit >= 0
+        price = pc.if_else(pa.array(stopped), pc.cast(mine["stop_price"], pa.float64()), pc.cast(mine["target_price"], pa.float64()))
+        price = pc.if_else(pa.array(touched), price, pc.cast(series["close"], pa.float64()).take(pa.array(end)))
+        reason = np.where(touched, np.where(stopped, "stop", "target"), "time")
+        made = [pa.array(rn[np.where(touched, hit, end)].astype(np.int64)), price, pa.array(reason, type=pa.string())]
+        return pa.table([*mine.columns, *made], names=[f.name for f in schema.fields])
+
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    bars = bars.select(*keys, "rn", "high", "low", "close")
+    return entries.groupBy(*keys).cogroup(bars.groupBy(*keys)).applyInArrow(exits, schema)
 
 
 def one_at_a_time(trades, axis):

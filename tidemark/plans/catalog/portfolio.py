@@ -447,13 +447,14 @@ ATRQ = "n2 AS (SELECT *, CASE WHEN rn = 1 THEN high - low ELSE greatest(high - l
 
 
 def bracket_trades(spark, d):
-    bars = b.bars(spark, d)
+    bars = b.bars(spark, d).select("symbol", "ts", "high", "low", "close")
     ax = checked(bars)
-    df = positions(ind.add_atr(bars, ax), ax)
+    bars = positions(bars, ax)
+    df = ind.add_atr(bars, ax)
     side = F.when(F.col("close") < 102, "long").when(F.col("close") > 108, "short")
     en = df.withColumn("direction", side).where("direction IS NOT NULL AND atr IS NOT NULL").withColumn("entry_price", F.col("close"))
     en = en.withColumns(bt.bracket_levels(F.col("direction"), F.col("entry_price"), F.col("atr"), 1.5, 2.0))
-    return bt.first_touch(en.select("symbol", "rn", "direction", "entry_price", "stop_price", "target_price"), positions(bars, ax), 20, ax), ax
+    return bt.first_touch(en.select("symbol", "rn", "direction", "entry_price", "stop_price", "target_price"), bars, 20, ax), ax
 
 
 @query("first_touch_exits", "B9 B11 J13", with_ctes("bars nb", ATRQ + f""" SELECT symbol, rn - 1 AS entry_rn, direction, xr - 1 AS exit_rn, why AS exit_reason, {qnum("sp", "stop_price")}, {qnum("tp", "target_price")}, {qnum("xp", "exit_price")}, {qnum("pnl", "pnl")} FROM tp"""))
@@ -475,6 +476,7 @@ def trade_summary(spark, d):
  SELECT symbol, xr - 1 AS exit_rn, {qnum("100 * exp(sum(ln(1 + pnl / 100)) OVER (PARTITION BY symbol ORDER BY xr ROWS UNBOUNDED PRECEDING))", "equity")} FROM r WHERE taken"""))
 def one_open_trade(spark, d):
     t, ax = bracket_trades(spark, d)
+    t = t.select("symbol", "rn", "direction", "exit_rn", "pnl")
     return bt.trade_equity(bt.one_at_a_time(t, ax), ax).select("symbol", "exit_rn", num("equity").alias("equity"))
 
 
