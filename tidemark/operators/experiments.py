@@ -16,9 +16,10 @@ from tidemark.functions.cleaning import clip, finite, ratio
 from tidemark.functions.noise import normal, uniform
 from tidemark.operators.backtest import compound, target_backtest
 from tidemark.operators.crosssection import per_group, quantile_bins
-from tidemark.operators.metrics import compact_stats, curve_metrics
+from tidemark.operators.metrics import compact_stats, curve_metrics, curve_ratios
 from tidemark.operators.portfolio import capped, exposure, shares, tilt
 from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, running, spread, windowed
+from tidemark.operators.simulations import Simulation
 from tidemark.operators.tables import last_rows, with_group_size
 
 
@@ -152,7 +153,7 @@ def fold_summary(results: DataFrame, by: Sequence[str], metrics: Sequence[str])
 
 def monte_carlo(df: DataFrame, signal: str, sims: int, noise_bps: float = 5.0, delays: tuple[int, int] = (0, 3), seed: int = 42,
                 cost_bps: float = 5.0, axis: Axis = BARS) -> DataFrame:
-    """Equity paths under signal noise and a per-path delay: (keys, ts, sim, equity)."""
+    """Equity paths under signal noise and a per-path delay: (keys, ts, sim, equity), a row per path and row. ``simulation`` is what bands and metrics are taken from."""
     lo, hi = delays
     axis = checked(df, axis)
     df = positions(spread(df, axis, sims), axis)
@@ -171,7 +172,18 @@ def monte_carlo(df: DataFrame, signal: str, sims: int, noise_bps: float = 5.0, d
     return target_backtest(paths, axis.within("sim"), trade=None, fee_bps=cost_bps, slippage_bps=0.0)
 
 
-def percentile_bands(paths: DataFrame, by: Sequence[str], value: str = "equity", qs: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
+def simulation(df: DataFrame, signal: str, sims: int, noise_bps: float = 5.0, delays: tuple[int, int] = (0, 3), seed: int = 42, cost_bps: float = 5.0, axis: Axis = BARS) -> Simulation | DataFrame:
+    """The paths of ``monte_carlo``, on arrays inside the tasks; as rows, if a series is larger than a task."""
+    axis = checked(df, axis)
+    if axis.hot:
+        return monte_carlo(df, signal, sims, noise_bps, delays, seed, cost_bps, axis)
+    return Simulation(df, signal, sims, noise_bps, delays, seed, cost_bps, axis)
+
+
+def percentile_bands(paths: Simulation | DataFrame, by: Sequence[str], value: str = "equity", qs: Sequence[int] = (5, 25, 50, 75, 95)) -> DataFrame:
+    """Percentiles of all paths per group; of a simulation, the groups are its keys and times."""
+    if isinstance(paths, Simulation):
+        return paths.bands(qs).select(*by, *[f"p{x}" for x in qs])
     q = paths.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(x / 100) for x in qs])).alias("_q"))
     return q.select(*by, *[F.col("_q")[i].alias(f"p{x}") for i, x in enumerate(qs)])
 
@@ -223,12 +235,13 @@ def stress_report(df: DataFrame, bench: DataFrame, by: str, windows: Sequence[tu
     return own.select(by, key, "scenario", *names).join(of, [by, "scenario"], "left").withColumn("excess_return_pct", F.col("total_return_pct") - F.col("bench_total_return_pct"))
 
 
-def simulation_summary(paths: DataFrame, held: DataFrame, axis: Axis = BARS, equity: str = "equity") -> DataFrame:
+def simulation_summary(paths: Simulation | DataFrame, held: DataFrame, axis: Axis = BARS, equity: str = "equity") -> DataFrame:
     """Per series over its simulated paths: returns, worst drawdown, mean Sharpe, and how many lose or beat holding the asset.
 
     ``held`` gives the return of holding (``hold_return_pct``), one row per series.
     """
-    m = curve_metrics(paths, axis.within("sim"), equity).join(held, list(axis.keys), "left")
+    m = curve_ratios(paths.curves()) if isinstance(paths, Simulation) else curve_metrics(paths, axis.within("sim"), equity)
+    m = m.join(held, list(axis.keys), "left")
     r = F.col("total_return_pct")
     return m.groupBy(*axis.keys).agg(
         F.count(F.lit(1)).alias("paths"), F.avg(r).alias("mean_return_pct"), F.stddev_samp(r).alias("std_return_pct"), F.min(r).alias("worst_return_pct"), F.max(r).alias("best_return_pct"),

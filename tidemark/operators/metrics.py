@@ -41,16 +41,20 @@ def curve_metrics(df: DataFrame, axis: Axis, equity: str = "equity", per_year: f
 
     df = with_drawdown(windowed(df, add, axis, lookback=1), equity, axis)
     ts = axis.order[0]
-    n, root = F.count(F.lit(1)), per_year**0.5
     aggs = {
-        "_n": n, "_first": F.min_by(equity, ts), "final_equity": F.max_by(equity, ts), "_dd": F.min("drawdown"),
+        "_n": F.count(F.lit(1)), "_first": F.min_by(equity, ts), "final_equity": F.max_by(equity, ts), "_dd": F.min("drawdown"),
         "_m": F.avg("_r"), "_s": F.stddev_samp("_r"),
         "_dn": F.count_if(F.col("_r") < 0), "_ds": F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r"))),
     }
     if bench is not None:
         aggs |= {"_cov": F.covar_samp("_r", "_b"), "_bv": F.var_pop("_b") if ddof_bench == 0 else F.var_samp("_b"),
                  "_bm": F.avg("_b"), "_te": F.stddev_samp(F.col("_r") - F.col("_b"))}
-    g = df.groupBy(*axis.keys).agg(*[c.alias(k) for k, c in aggs.items()])
+    return curve_ratios(df.groupBy(*axis.keys).agg(*[c.alias(k) for k, c in aggs.items()]), per_year, bench is not None)
+
+
+def curve_ratios(g: DataFrame, per_year: float = 252.0, bench: bool = False) -> DataFrame:
+    """Metrics from a curve's rows, first and last equity, deepest drawdown and moments of its returns (``_n``, ``_first``, ...)."""
+    root = per_year**0.5
     short = F.col("_n") < 2
     years = F.greatest(F.col("_n") / per_year, F.lit(0.01))
     growth = F.col("final_equity") / F.col("_first")
@@ -64,7 +68,7 @@ def curve_metrics(df: DataFrame, axis: Axis, equity: str = "equity", per_year: f
     }
     g = g.withColumns({k: F.when(short, 0.0).otherwise(_or_zero(c)) for k, c in out.items()})
     g = g.withColumn("calmar", _or_zero(ratio(F.col("cagr_pct"), F.abs("max_drawdown_pct"))))
-    if bench is not None:
+    if bench:
         enough = F.col("_n") > 10
         beta = F.when(enough & (F.col("_bv") > 1e-12), F.col("_cov") / F.col("_bv")).otherwise(0.0)
         g = g.withColumn("capm_beta", beta)

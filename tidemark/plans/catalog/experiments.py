@@ -137,7 +137,7 @@ MC = f"""s AS (SELECT symbol, ts, close, row_number() OVER ({P}) - 1 AS rn, grea
 def mc_paths(spark, d):
     bars = b.bars(spark, d).select("symbol", "ts", "close")
     bars = bars.withColumn("signal", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (105 - F.col("close")) / 5)))
-    return ex.monte_carlo(bars, "signal", 200)
+    return ex.simulation(bars, "signal", 200)
 
 
 @query("monte_carlo_bands", "X5 A11", with_ctes("bars", MC + f""" SELECT symbol, CAST(ts AS VARCHAR) AS ts, {", ".join(qnum(f"quantile_cont(equity, {q / 100})", f"p{q}", 3) for q in (5, 25, 50, 75, 95))} FROM k3 GROUP BY symbol, ts"""))
