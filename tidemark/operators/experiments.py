@@ -18,8 +18,8 @@ from tidemark.operators.backtest import compound, target_backtest
 from tidemark.operators.crosssection import per_group, quantile_bins
 from tidemark.operators.metrics import compact_stats, curve_metrics, curve_ratios
 from tidemark.operators.portfolio import capped, exposure, shares, tilt
-from tidemark.operators.series import BARS, Axis, checked, machines, pct_change, positions, prev, roll_mean, roll_std, running, spread, windowed
-from tidemark.operators.simulations import Simulation
+from tidemark.operators.series import BARS, Axis, checked, has_hot_key, machines, pct_change, positions, prev, roll_mean, roll_std, running, spread, windowed
+from tidemark.operators.simulations import Grid, Simulation
 from tidemark.operators.tables import last_rows, with_group_size
 
 
@@ -58,10 +58,22 @@ def score_curves(curves: DataFrame, axis: Axis, metric: str = "sharpe") -> DataF
     return curve_metrics(curves, axis.within("fast", "slow")).withColumn("score", F.col(metric))
 
 
+def grid_scores(df: DataFrame, points: Sequence[Mapping], axis: Axis, cost_bps: float = 5.0, metric: str = "sharpe") -> DataFrame:
+    """``score_curves`` of ``sma_grid_curves``: the curves of all points of a series are one matrix, unless a series is larger than a task."""
+    if has_hot_key(df, axis):
+        return score_curves(sma_grid_curves(df, points, axis, cost_bps), axis, metric)
+    return curve_ratios(Grid(df, points, axis, cost_bps).curves()).withColumn("score", F.col(metric))
+
+
+def _best(params: Sequence[str], among: Column | None = None) -> Column:
+    """Parameters and score of the best row (``among`` the rows where it holds); the smallest parameters win a tie."""
+    rank = F.struct("score", *[-F.col(p) for p in params])
+    return F.max_by(F.struct(*params, "score"), rank if among is None else F.when(among, rank))
+
+
 def best_point(scores: DataFrame, by: Sequence[str], params: Sequence[str] = ("fast", "slow")) -> DataFrame:
     """Parameters of the best score; the smallest parameters win a tie."""
-    pick = F.max_by(F.struct(*params, "score"), F.struct("score", *[-F.col(p) for p in params]))
-    return scores.groupBy(*by).agg(pick.alias("_b")).select(*by, *[F.col(f"_b.{p}").alias(p) for p in params], F.col("_b.score").alias("score"))
+    return scores.groupBy(*by).agg(_best(params).alias("_b")).select(*by, *[F.col(f"_b.{p}").alias(p) for p in params], F.col("_b.score").alias("score"))
 
 
 def heat_map(scores: DataFrame, by: Sequence[str], row: str, column: str, values: Sequence) -> DataFrame:
@@ -129,15 +141,16 @@ def k_folds(df: DataFrame, k: int = 5, purge: int = 5, axis: Axis = BARS, min_tr
 def optimise_folds(folded: DataFrame, points: Sequence[Mapping], axis: Axis = BARS, cost_bps: float = 5.0) -> DataFrame:
     """Per series and fold: the best training point and its test metrics.
 
-    Signals are computed inside each slice, as a strategy that only sees the slice would do. One pass
-    scores every (fold, role, point); the test rows of the chosen point are looked up by an equi-join.
+    Signals are computed inside each slice, as a strategy that only sees the slice would do. One pass over the rows of a slice
+    scores every point on it; one grouping of the scores picks the best training point of a fold and looks up its test metrics.
     """
-    sliced = axis.within("fold", "role")
-    scores = score_curves(sma_grid_curves(folded, points, sliced, cost_bps), sliced)
-    best = best_point(scores.where("role = 'train'"), [*axis.keys, "fold"]).withColumnRenamed("score", "train_sharpe")
-    test = scores.where("role = 'test'").select(*axis.keys, "fold", "fast", "slow", F.col("sharpe").alias("test_sharpe"),
-                                              F.col("total_return_pct").alias("test_return_pct"), F.col("max_drawdown_pct").alias("test_max_dd_pct"))
-    return best.join(test, [*axis.keys, "fold", "fast", "slow"])
+    sliced, by, params = axis.within("fold", "role"), [*axis.keys, "fold"], ["fast", "slow"]
+    scores = grid_scores(folded, points, sliced, cost_bps).dropna(subset=by)
+    test = F.struct(*params, F.col("sharpe").alias("test_sharpe"), F.col("total_return_pct").alias("test_return_pct"), F.col("max_drawdown_pct").alias("test_max_dd_pct"))
+    role = F.col("role")
+    picked = scores.groupBy(*by).agg(_best(params, role == "train").alias("_b"), F.collect_list(F.when(role == "test", test)).alias("_t"))  # one row per point
+    picked = picked.withColumn("_t", F.explode(F.filter("_t", lambda t: (t["fast"] == F.col("_b.fast")) & (t["slow"] == F.col("_b.slow")))))
+    return picked.select(*by, *[F.col(f"_b.{p}").alias(p) for p in params], F.col("_b.score").alias("train_sharpe"), "_t.test_sharpe", "_t.test_return_pct", "_t.test_max_dd_pct")
 
 
 def fold_summary(results: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:

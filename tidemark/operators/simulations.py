@@ -1,27 +1,31 @@
-"""Monte Carlo paths of a series on arrays: all paths of a stretch of rows at once.
+"""Equity curves of a series on arrays: all curves of a stretch of rows at once.
 
-A path is a column of a matrix, a row of the series its row. What is asked of the paths (bands per row, metrics per path) is taken from the matrix
-where it is made, so neither a row per path nor the matrix leaves the task. Series run over the end of a stretch with the state of their paths.
+A curve (a simulated path, a point of a grid) is a column of a matrix, a row of the series its row. What is asked of the curves (bands per row,
+metrics per curve) is taken from the matrix where it is made, so neither a row per curve nor the matrix leaves the task. Series run over the end of a
+stretch with the state of their curves. Weights are held between rows as by ``backtest.target_backtest`` with every row trading.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.noise import normals, plain_uniform
+from tidemark.operators.frames import Frame
+from tidemark.operators.passes import Trailing, Values
 from tidemark.operators.series import Axis, positions, spread, windowed
 
 @dataclass(frozen=True)
 class Simulation:
-    """Equity paths under signal noise and a delay of each path, held between rows as by ``backtest.target_backtest`` with every row trading."""
+    """Equity paths under signal noise and a delay of each path."""
 
     df: DataFrame
     signal: str
@@ -31,7 +35,6 @@ class Simulation:
     seed: int
     cost_bps: float
     axis: Axis
-    cash: float = 10_000.0
     at_once: int = 200_000  # values of paths that lie in memory at a time, about
 
     def bands(self, qs: Sequence[int]) -> DataFrame:
@@ -41,78 +44,74 @@ class Simulation:
 
     def curves(self) -> DataFrame:
         """Rows, first and last equity, deepest drawdown and moments of the returns of each path."""
-        kinds = {"sim": T.IntegerType(), "_n": T.LongType()}
-        return self._run(list(self.axis.keys), kinds | {c: T.DoubleType() for c in _Curves.columns[2:]}, _Curves())
+        return self._run(list(self.axis.keys), {"sim": T.IntegerType(), **_Curves.kinds}, _Curves([np.arange(self.sims, dtype=np.int32)]))
 
     def _run(self, keep: list[str], added: dict[str, T.DataType], outcome) -> DataFrame:
         lo, hi = self.delays
-        axis, keys, order = self.axis, list(self.axis.keys), list(self.axis.order)
+        keys, late = list(self.axis.keys), {f"_d{k}": k for k in range(lo, hi + 1)}
 
         def add(d: DataFrame, a: Axis) -> DataFrame:
-            before = [F.lag(c).over(a.spec()) for c in order]
-            same = F.lit(True)
-            for c, b in zip(order, before, strict=True):
-                same = same & F.col(c).eqNullSafe(b)
-            return d.withColumns({**{f"_d{k}": F.lag(self.signal, k, 0.0).over(a.spec()) for k in range(lo, hi + 1)}, "_new": (F.col("rn") == 0) | ~same})
+            return d.withColumns({c: F.lag(self.signal, k, 0.0).over(a.spec()) for c, k in late.items()})
 
-        df = windowed(positions(spread(self.df, axis, self.sims), axis), add, axis, lookback=hi)
-        known: Column = F.lit(True)
-        for c in (*keys, *order):
-            known = known & F.col(c).isNotNull()
-        df = df.withColumns({"_head": F.concat_ws(":", F.lit(""), *[F.col(k).cast("string") for k in keys]), "_known": known, "_dated": F.col(order[0]).isNotNull()})
-        df = df.select(*dict.fromkeys([*keys, *keep, "rn", "close", "_head", "_known", "_dated", "_new", *[f"_d{k}" for k in range(lo, hi + 1)]]))
-        schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in added.items()]])
-        walk = _Walk(self, outcome, keep, list(added))
+        df = windowed(positions(spread(self.df, self.axis, self.sims), self.axis), add, self.axis, lookback=hi)
+        df = df.withColumn("_head", F.concat_ws(":", F.lit(""), *[F.col(k).cast("string") for k in keys]))
+        walk = _Walk(_Shaken(self), self.sims, self.cost_bps, max(self.at_once // self.sims, 1), outcome, keep, list(added))
+        return _walked(df, self.axis, walk, ["_head", *late], added)
 
-        def run(batches):
-            for made in walk.through(batches):
-                yield from made.cast(target).to_batches()
 
-        target = _arrow_schema(schema)
-        return df.mapInArrow(run, schema)
+@dataclass(frozen=True)
+class Grid:
+    """Curves of the SMA-cross rule, one per point (fast, slow)."""
 
+    df: DataFrame
+    points: Sequence[Mapping]
+    axis: Axis
+    cost_bps: float
+    at_once: int = 131_072  # values of curves that lie in memory at a time, about
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def curves(self) -> DataFrame:
+        """Rows, first and last equity, deepest drawdown and moments of the returns of each curve."""
+        names = ("fast", "slow")
+        walk = _Walk(_Crossed(self.points), len(self.points), self.cost_bps, max(self.at_once // len(self.points), 1),
+                     _Curves([np.array([p[n] for p in self.points], dtype=np.int32) for n in names]), list(self.axis.keys), [*names, *_Curves.kinds])
+        return _walked(positions(self.df, self.axis, "rn"), self.axis, walk, [], {**{n: T.IntegerType() for n in names}, **_Curves.kinds})
 
-    return to_arrow_schema(schema)
 
+def _walked(df: DataFrame, axis: Axis, walk: _Walk, reads: Sequence[str], added: Mapping[str, T.DataType]) -> DataFrame:
+    """What the walk over the rows of ``df`` finds; ``rn`` is the position of a row in its series, which fits a task."""
+    keys, order = list(axis.keys), list(axis.order)
+    same, known = F.lit(True), F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(axis.spec()))
+    for c in (*keys, *order):
+        known = known & F.col(c).isNotNull()
+    df = df.withColumns({"_new": (F.col("rn") == 0) | ~same, "_known": known, "_dated": F.col(order[0]).isNotNull()})
+    df = df.select(*dict.fromkeys([*keys, *walk.keep, "rn", "close", "_known", "_dated", "_new", *reads]))
+    schema = T.StructType([*[df.schema[c] for c in walk.keep], *[T.StructField(c, t) for c, t in added.items()]])
+    target = to_arrow_schema(schema)
 
-class _Walk:
-    """The paths of the series of a task, stretch by stretch."""
+    def run(batches):
+        for made in walk.through(batches):
+            yield from made.cast(target).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+class _Shaken:
+    """Late signals under noise: the weights of simulated paths."""
 
-    def __init__(self, sim: Simulation, outcome, keep: list[str], added: list[str]):
+    def __init__(self, sim: Simulation):
         lo, hi = sim.delays
         of = [lo + int(plain_uniform(sim.seed, i, salt="delay") * (hi - lo + 1) // 1) for i in range(sim.sims)]
         self.groups = [(k, np.array([i for i in range(sim.sims) if of[i] == k])) for k in range(lo, hi + 1) if k in of]
-        self.most = max(sim.at_once // sim.sims, 1)
-        self.sims, self.seed, self.noise, self.cost, self.cash = sim.sims, sim.seed, sim.noise_bps / 10_000, sim.cost_bps * 1e-4, sim.cash
-        self.outcome, self.keep, self.added = outcome, keep, added
+        self.sims, self.seed, self.noise = sim.sims, sim.seed, sim.noise_bps / 10_000
 
-    def through(self, batches: Iterable[pa.RecordBatch]):
-        state = None
-        for rows in _whole_times(batches, self.most):
-            at = rows["rn"].combine_chunks().to_numpy()
-            cuts = [0, *[int(i) for i in np.flatnonzero(at == 0) if i], len(at)]
-            for a, z in zip(cuts, cuts[1:]):
-                if at[a] == 0:
-                    if state is not None:
-                        yield from self._end(state)
-                    state = None
-                state, made = self._stretch(rows.slice(a, z - a), state)
-                if made is not None:
-                    yield made
-        if state is not None:
-            yield from self._end(state)
-
-    def _end(self, state):
-        made = self.outcome.end(state["out"], self.sims)
-        if made is not None:
-            keys = [pa.array([state["keys"][c]] * self.sims, type=state["kinds"][c]) for c in self.keep]
-            yield pa.table([*keys, *made], names=[*self.keep, *self.added])
+    def of(self, rows: pa.Table, at: np.ndarray, stretches: Sequence[tuple[int, int]]):
+        for a, z in stretches:
+            yield self._weights(rows.slice(a, z - a), at[a:z])
 
     def _weights(self, rows: pa.Table, at: np.ndarray) -> np.ndarray:
-        """Shaken, late signals; null is NaN."""
+        """Weights of a series' rows; null is NaN."""
         w, head = np.zeros((len(at), self.sims)), rows["_head"][0].as_py()
         for k, paths in self.groups:
             here = at >= k
@@ -126,91 +125,147 @@ class _Walk:
             w[np.ix_(here, paths)] = shaken
         return w
 
-    def _stretch(self, rows: pa.Table, state):
-        """All paths over the rows, and the state behind them."""
-        n, c = len(rows), self.cost
-        at = rows["rn"].combine_chunks().to_numpy()
-        close = rows["close"].combine_chunks()
-        priced = pc.is_valid(close).to_numpy(zero_copy_only=False)
-        p = pc.fill_null(pc.cast(close, pa.float64()), np.nan).to_numpy(zero_copy_only=False)
-        w = self._weights(rows, at)
-        if state is None:
-            nil = np.full(self.sims, np.nan)
-            state = {"w": nil, "tau": nil, "log": np.zeros(self.sims), "p": np.nan, "priced": False, "node": None, "out": None,
-                     "keys": {k: rows[k][0].as_py() for k in self.keep}, "kinds": {k: rows.schema.field(k).type for k in self.keep}}
-        w0, p0 = np.vstack([state["w"], w[:-1]]), np.concatenate([[state["p"]], p[:-1]])
+
+class _Crossed:
+    """Whole weight while the fast mean lies above the slow one."""
+
+    def __init__(self, points: Sequence[Mapping]):
+        self.points = [(p["fast"], p["slow"]) for p in points]
+        self.means = Trailing({f"m{n}": Frame("mean", "close", n, n) for n in sorted({n for p in self.points for n in p})})
+        self.state = None
+
+    def of(self, rows: pa.Table, at: np.ndarray, stretches: Sequence[tuple[int, int]]):
+        found, self.state = self.means.run({"close": Values(*_numbers(rows["close"]))}, at, None if at[0] == 0 else self.state)
+        held = [found[f"m{f}"].known & found[f"m{s}"].known & (found[f"m{f}"].x > found[f"m{s}"].x) for f, s in self.points]
+        w = np.stack(held, axis=1).astype(float)
+        for a, z in stretches:
+            yield w[a:z]
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    return pc.fill_null(pc.cast(column, pa.float64()), np.nan).to_numpy(zero_copy_only=False), pc.is_valid(column).to_numpy(zero_copy_only=False)
+
+
+class _Walk:
+    """The curves of the series of a task, stretch by stretch."""
+
+    def __init__(self, source, paths: int, cost_bps: float, most: int, outcome, keep: list[str], added: list[str], cash: float = 10_000.0):
+        self.source, self.paths, self.cost, self.most, self.cash = source, paths, cost_bps * 1e-4, most, cash
+        self.outcome, self.keep, self.added = outcome, keep, added
+
+    def through(self, batches: Iterable[pa.RecordBatch]):
+        state, kinds = None, None
+        for rows in _whole_times(batches, self.most):
+            kinds = kinds or [rows.schema.field(k).type for k in self.keep]
+            flag = lambda c: rows[c].combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            at, new, known, dated = (flag(c) for c in ("rn", "_new", "_known", "_dated"))
+            p, priced = _numbers(rows["close"])
+            cuts = [0, *[int(i) for i in np.flatnonzero(at == 0) if i], len(at)]
+            stretches, ended, made = list(zip(cuts, cuts[1:])), [], []
+            for (a, z), w in zip(stretches, self.source.of(rows, at, stretches), strict=True):
+                if at[a] == 0:
+                    if state is not None:
+                        ended.append(state)
+                    state = {"keys": [rows[k][a].as_py() for k in self.keep]}
+                equity, of, state = self._stretch(state, w, p[a:z], priced[a:z], known[a:z], new[a:z])
+                found, state["out"] = self.outcome.take(equity, of, new[a:z], dated[a:z], state.get("out"))
+                if found is not None:
+                    made.append(found)
+            if made:
+                first = rows.filter(pa.array(new))
+                yield pa.table([*[first[k] for k in self.keep], *[np.concatenate(c) for c in zip(*made)]], names=[*self.keep, *self.added])
+            yield from self._end(ended, kinds)
+        if state is not None:
+            yield from self._end([state], kinds)
+
+    def _end(self, ended: list[dict], kinds):
+        found = [f for s in ended if (f := self.outcome.end(s["out"])) is not None]
+        if found:
+            keys = [pa.array([s["keys"][i] for s in ended for _ in range(self.paths)], type=kind) for i, kind in enumerate(kinds)]
+            yield pa.table([*keys, *[pa.concat_arrays(c) for c in zip(*found)]], names=[*self.keep, *self.added])
+
+    def _stretch(self, state: dict, w: np.ndarray, p: np.ndarray, priced: np.ndarray, known: np.ndarray, new: np.ndarray):
+        """Equity of all curves over rows of one series, the rows it belongs to, and the state behind them."""
+        c = self.cost
+        if "w" not in state:
+            nil = np.full(self.paths, np.nan)
+            state |= {"w": nil, "tau": nil, "log": np.zeros(self.paths), "p": np.nan, "priced": False, "node": None}
+        w0, p0 = np.concatenate([state["w"][None], w[:-1]]), np.concatenate([[state["p"]], p[:-1]])
         both = priced & np.concatenate([[state["priced"]], priced[:-1]])
         with np.errstate(all="ignore"):
             move = (p / p0)[:, None]
             gain = w0 * (move - 1)
             moved = both[:, None] & ~np.isnan(w0)
             tau = np.abs(w - np.where(moved, w0 * move / (1 + gain), 0.0))
-            tau0 = np.vstack([state["tau"], tau[:-1]])
+            tau0 = np.concatenate([state["tau"][None], tau[:-1]])
             grown = np.where(moved & ~np.isnan(tau0), 1 - c * tau0 + gain, 1.0)
             steps = np.log(np.maximum(grown, 1e-12))
             steps[0] += state["log"]
             logs = np.cumsum(steps, axis=0)
-            e = np.exp(logs)
-            equity, rows_of, node = self._equity(rows, e, tau, w, p, state["node"])
-        dated = rows["_dated"].combine_chunks().to_numpy(zero_copy_only=False)
-        new = rows["_new"].combine_chunks().to_numpy(zero_copy_only=False)
-        found = self.outcome.take(equity, rows_of, new, dated, state["out"])
-        after = state | {"w": w[-1], "tau": tau[-1], "log": logs[-1], "p": p[-1], "priced": bool(priced[-1]), "node": node, "out": found[1]}
-        if found[0] is None:
-            return after, None
-        first = rows.filter(pa.array(new))
-        return after, pa.table([*[first[k] for k in self.keep], *found[0]], names=[*self.keep, *self.added])
-
-    def _equity(self, rows: pa.Table, e, tau, w, p, node):
+            equity, of, node = self._equity(known, new, np.exp(logs), tau, w, p, state["node"])
+        return equity, of, state | {"w": w[-1], "tau": tau[-1], "log": logs[-1], "p": p[-1], "priced": bool(priced[-1]), "node": node}
+
+    def _equity(self, known: np.ndarray, new: np.ndarray, e, tau, w, p, node):
         """Equity of each row at the last node (its own, if key and time are known), the rows it belongs to, and the last node.
 
         Rows of one key and time each meet all nodes of that time, the last one first, as a join of the nodes to their rows gives them.
         """
-        known = rows["_known"].combine_chunks().to_numpy(zero_copy_only=False)
-        new = rows["_new"].combine_chunks().to_numpy(zero_copy_only=False)
         n = len(known)
-        own, of = np.arange(n), np.arange(n)
-        nodes = np.maximum.accumulate(np.where(known, own, -1))
+        of = np.arange(n)
+        if known.all() and new.all():
+            equity = self.cash * e * (1 - self.cost * tau + w * (p / p - 1)[:, None])
+            return np.where(np.isnan(equity), self.cash, equity), of, (e[-1], tau[-1], w[-1], p[-1])
+        nodes = np.maximum.accumulate(np.where(known, of, -1))
+        last = int(nodes[-1])
         if not new.all():
-            first = np.flatnonzero(new)
-            pairs = []
+            first, pairs = np.flatnonzero(new), []
             for a, z in zip(first, [*first[1:], n]):
                 pairs += [(i, j) for i in range(a, z) for j in range(z - 1, a - 1, -1)] if z - a > 1 and known[a] else [(i, nodes[i]) for i in range(a, z)]
             of, nodes = np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+        after = node if last < 0 else (e[last], tau[last], w[last], p[last])
         e, tau, w, q = e[nodes], tau[nodes], w[nodes], p[nodes]
+        earlier = nodes < 0
         if node is not None:
-            earlier = nodes < 0
             e[earlier], tau[earlier], w[earlier], q[earlier] = node
-        elif (nodes < 0).any():
-            e[nodes < 0] = np.nan
+        else:
+            e[earlier] = np.nan
         equity = self.cash * e * (1 - self.cost * tau + w * (p[of] / q - 1)[:, None])
-        last = np.flatnonzero(known)
-        return np.where(np.isnan(equity), self.cash, equity), of, (e[-1], tau[-1], w[-1], q[-1]) if len(last) else node
+        return np.where(np.isnan(equity), self.cash, equity), of, after
 
 
 def _whole_times(batches: Iterable[pa.RecordBatch], most: int):
     """Tables of about ``most`` rows; rows of one key and time stay together."""
-    held = None
+    held, rows = [], 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-        # the last time may go on in the next batch
-        for a, z in (cuts := _cuts(held, most))[:-1]:
-            yield held.slice(a, z - a)
-        held = held.slice(cuts[-1][0]) if cuts else held
-    if held is not None:
-        for a, z in _cuts(held, most):
-            yield held.slice(a, z - a)
+        held.append(batch)
+        rows += len(batch)
+        if rows > most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = _cuts(table, most)
+            # the last time may go on in the next batch
+            for a, z in cuts[:-1]:
+                yield table.slice(a, z - a)
+            rest = table.slice(cuts[-1][0])
+            held, rows = rest.to_batches(), len(rest)
+    if rows:
+        table = pa.Table.from_batches(held).combine_chunks()
+        for a, z in _cuts(table, most):
+            yield table.slice(a, z - a)
 
 
 def _cuts(rows: pa.Table, most: int) -> list[tuple[int, int]]:
     """Stretches of at most ``most`` rows, or of one time where that has more."""
-    starts, cuts, a = [*np.flatnonzero(rows["_new"].combine_chunks().to_numpy(zero_copy_only=False)).tolist(), len(rows)], [], 0
-    for last, start in zip(starts, starts[1:]):
-        if start - a > most and last > a:
-            cuts.append((a, last))
-            a = last
-    return [*cuts, (a, len(rows))] if len(rows) else []
+    starts, cuts, a = np.flatnonzero(rows["_new"].combine_chunks().to_numpy(zero_copy_only=False)), [], 0
+    while len(rows) - a > most:
+        last = int(np.searchsorted(starts, a + most, side="right")) - 1
+        if starts[last] <= a:
+            last += 1
+        if last >= len(starts):
+            break
+        cuts.append((a, int(starts[last])))
+        a = int(starts[last])
+    return [*cuts, (a, len(rows))]
 
 
 class _Bands:
@@ -222,10 +277,10 @@ class _Bands:
     def take(self, equity, of, new, dated, state):
         if new.all():
             ranked = np.sort(equity, axis=1)
-            return [pa.array(self._at(ranked, s)) for s in self.shares], None
+            return [self._at(ranked, s) for s in self.shares], None
         group = (np.cumsum(new) - 1)[of]
         ranked = [np.sort(equity[group == g], axis=None)[None] for g in range(int(group[-1]) + 1)]
-        return [pa.array(np.concatenate([self._at(r, s) for r in ranked])) for s in self.shares], None
+        return [np.concatenate([self._at(r, s) for r in ranked]) for s in self.shares], None
 
     def _at(self, ranked: np.ndarray, share: float) -> np.ndarray:
         place = share * (ranked.shape[1] - 1)
@@ -233,14 +288,17 @@ class _Bands:
         a, b = ranked[:, low], ranked[:, high]
         return np.where((a == b) | (low == high), a, (high - place) * a + (place - low) * b)
 
-    def end(self, state, sims):
+    def end(self, state):
         return None
 
 
 class _Curves:
     """What the metrics of a curve are made of, for each path."""
 
-    columns = ("sim", "_n", "_first", "final_equity", "_dd", "_m", "_s", "_dn", "_ds")
+    kinds = {"_n": T.LongType(), **{c: T.DoubleType() for c in ("_first", "final_equity", "_dd", "_m", "_s", "_dn", "_ds")}}
+
+    def __init__(self, labels: Sequence[np.ndarray]):
+        self.labels = labels
 
     def take(self, equity, of, new, dated, state):
         with np.errstate(all="ignore"):
@@ -271,10 +329,10 @@ class _Curves:
         gap = b[1] - a[1]
         return a[0] + b[0], a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
 
-    def end(self, state, sims):
+    def end(self, state):
         n, mean, squares = state["all"]
         dn, _, down = state["down"]
         spread_of = lambda k, s: pa.array(np.sqrt(s / np.maximum(k - 1, 1)), mask=k < 2)
-        some = lambda v: pa.nulls(sims, pa.float64()) if v is None else pa.array(v)
-        return [pa.array(np.arange(sims)), pa.array(n.astype(np.int64)), some(state["first"]), some(state["final"]), pa.array(state["dd"]), pa.array(mean), spread_of(n, squares),
+        some = lambda v: pa.nulls(len(mean), pa.float64()) if v is None else pa.array(v)
+        return [*[pa.array(v) for v in self.labels], pa.array(n.astype(np.int64)), some(state["first"]), some(state["final"]), pa.array(state["dd"]), pa.array(mean), spread_of(n, squares),
                 pa.array(dn), spread_of(dn, down)]
