@@ -9,6 +9,7 @@ carries the state of its steps into the next one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from math import ceil, log
 from typing import NamedTuple
 
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.frames import Frame, Rows, _aggregate
+from tidemark.operators.frames import Frame, Frames, Rows, _aggregate
+from tidemark.operators.recurrences import std_with_state
 from tidemark.operators.series import Axis, has_hot_key, scan, windowed
 
 #: rows that the steps take at a time, at least
@@ -139,7 +141,35 @@ class Made(NamedTuple):
         return {k: Values(v, ~np.isnan(v)) for k, v in made.items()}, np.empty(0)
 
 
-Step = Means | Trailing | Made
+class Deviations(NamedTuple):
+    """Exponentially weighted deviations ``{name: (column, alpha, least values)}``; the rules of ``recurrences.ewm_std``."""
+
+    outputs: Mapping[str, tuple[str, float, int]]
+
+    def reads(self) -> list[str]:
+        return [c for c, _, _ in self.outputs.values()]
+
+    def names(self) -> list[str]:
+        return list(self.outputs)
+
+    def width(self) -> int:
+        return 6 * len(self.outputs)
+
+    def run(self, columns: Mapping[str, Values], at: np.ndarray, state: np.ndarray | None):
+        cuts = sorted({0, *np.flatnonzero(at == 0).tolist(), len(at)})
+        made, after = {}, []
+        for i, (name, (source, alpha, least)) in enumerate(self.outputs.items()):
+            found, carry = [], None if state is None else tuple(state[6 * i : 6 * i + 6])
+            for a, z in zip(cuts, cuts[1:]):
+                values, carry = std_with_state(columns[source].x[a:z], alpha, least, None if at[a] == 0 else carry)
+                found.append(values)
+            values = np.concatenate(found)
+            made[name] = Values(values, ~np.isnan(values))
+            after += carry
+        return made, np.array(after, dtype=float)
+
+
+Step = Means | Trailing | Made | Deviations
 
 
 def over(num: np.ndarray, den: np.ndarray) -> np.ndarray:
@@ -221,6 +251,13 @@ class Part(NamedTuple):
     inputs: Callable[[Axis], Mapping[str, Column]]
     steps: Sequence[Step]
     outputs: Mapping[str, Column] = {}
+    lookback: int = 1  # rows that an input looks back
+
+
+def of_frames(*parts: Frames) -> Part:
+    """The frames of all parts in one step; see ``frames.with_frames``."""
+    inputs, frames, outputs = (reduce(lambda x, y: {**x, **y}, [getattr(p, kind) for p in parts], {}) for kind in ("inputs", "frames", "outputs"))
+    return Part(lambda a: inputs, [Trailing(frames)], outputs)
 
 
 def with_parts(df: DataFrame, axis: Axis, *parts: Part, keep: Sequence[str] | None = None) -> DataFrame:
@@ -230,7 +267,7 @@ def with_parts(df: DataFrame, axis: Axis, *parts: Part, keep: Sequence[str] | No
         return d.withColumns({k: c for p in parts for k, c in p.inputs(a).items()})
 
     keep = df.columns if keep is None else list(keep)
-    df = windowed(df, add, axis, lookback=1)
+    df = windowed(df, add, axis, lookback=max(p.lookback for p in parts))
     steps = [s for p in parts for s in p.steps]
     added = list(dict.fromkeys(n for s in steps for n in s.names()))
     inputs = [c for c in df.columns if c not in keep and c not in added and any(c in p.inputs(axis) for p in parts)]

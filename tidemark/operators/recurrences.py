@@ -57,34 +57,37 @@ def ewm_mean(df: DataFrame, outputs: Mapping[str, tuple[str, float, int]], axis:
     return scan(df, step, ", ".join(f"{n} double" for n, _ in items), axis, needs=list(dict.fromkeys(source for source, _, _ in outputs.values())))
 
 
-def ewm_std(df: DataFrame, name: str, source: str, alpha: float, least: int, axis: Axis = BARS) -> DataFrame:
-    """Exponentially weighted standard deviation with the finite-sample bias correction.
-
-    The state keeps the weighted mean and variance and the sums of weights and squared weights.
-    """
+def std_with_state(x: np.ndarray, alpha: float, least: int, state) -> tuple[np.ndarray, list[float]]:
+    """One exponentially weighted deviation; the state keeps the weighted mean and variance and the sums of weights and squared weights."""
     keep = 1.0 - alpha
+    mean, var, s1, s2, old, seen = state if state is not None else (np.nan, 0.0, 1.0, 1.0, 1.0, 0.0)
+    out = np.full(len(x), np.nan)
+    for i, v in enumerate(x.tolist()):
+        if np.isnan(mean):
+            if not np.isnan(v):
+                mean, seen = v, 1.0
+        else:
+            s1, s2, old = s1 * keep, s2 * keep * keep, old * keep
+            if not np.isnan(v):
+                share = alpha / (old + alpha)
+                shift = v - mean
+                moved = mean + share * shift
+                var = (1 - share) * (var + (mean - moved) ** 2) + share * (v - moved) ** 2
+                mean = moved
+                s1, s2 = (s1 + alpha) / (old + alpha), (s2 + alpha * alpha) / (old + alpha) ** 2
+                old, seen = 1.0, seen + 1
+        spread = s1 * s1 - s2
+        if seen >= least and spread > 0:
+            out[i] = np.sqrt(max(var, 0.0) * s1 * s1 / spread)
+    return out, [mean, var, s1, s2, old, seen]
+
+
+def ewm_std(df: DataFrame, name: str, source: str, alpha: float, least: int, axis: Axis = BARS) -> DataFrame:
+    """Exponentially weighted standard deviation with the finite-sample bias correction."""
 
     def step(pdf, state):
-        mean, var, s1, s2, old, seen = state if state is not None else (np.nan, 0.0, 1.0, 1.0, 1.0, 0.0)
-        out = np.full(len(pdf), np.nan)
-        for i, x in enumerate(pdf[source].to_numpy(dtype=float)):
-            if np.isnan(mean):
-                if not np.isnan(x):
-                    mean, seen = x, 1.0
-            else:
-                s1, s2, old = s1 * keep, s2 * keep * keep, old * keep
-                if not np.isnan(x):
-                    share = alpha / (old + alpha)
-                    shift = x - mean
-                    moved = mean + share * shift
-                    var = (1 - share) * (var + (mean - moved) ** 2) + share * (x - moved) ** 2
-                    mean = moved
-                    s1, s2 = (s1 + alpha) / (old + alpha), (s2 + alpha * alpha) / (old + alpha) ** 2
-                    old, seen = 1.0, seen + 1
-            spread = s1 * s1 - s2
-            if seen >= least and spread > 0:
-                out[i] = np.sqrt(max(var, 0.0) * s1 * s1 / spread)
-        return {name: out}, [mean, var, s1, s2, old, seen]
+        values, after = std_with_state(pdf[source].to_numpy(dtype=float), alpha, least, state)
+        return {name: values}, after
 
     return scan(df, step, f"{name} double", axis, needs=[source])
 

@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import clip, finite, ratio, safe_log_ratio
-from tidemark.operators.frames import Frame, Frames, with_frames
+from tidemark.operators.frames import Frame, Frames
 from tidemark.operators.indicators import (
     _annual,
-    add_rsi,
+    gains,
     garman_klass_term,
+    losses,
     parkinson_term,
     rogers_satchell_term,
+    strength,
     true_range,
     yang_zhang_mix,
     yang_zhang_variance,
 )
-from tidemark.operators.recurrences import ewm_mean, ewm_std, span, wilder
+from tidemark.operators.passes import Deviations, Means, Part, of_frames, with_parts
+from tidemark.operators.recurrences import span, wilder
 from tidemark.operators.series import (
     BARS,
     Axis,
@@ -106,15 +109,14 @@ def market_indicators(
     """All bar-level volatility indicators and event flags of every symbol in one plan."""
     per_year = periods_per_year() if per_year is None else per_year
 
-    def add(d: DataFrame, a: Axis) -> DataFrame:
-        d = d.withColumns({**base_returns(a), "true_range": true_range(a), "momentum_20": pct_change("close", a, 20)})
-        return add_events(with_frames(d, a, drawdown_from_peak(), volume_z(), *[vol_block(n, per_year) for n in windows], event_levels()))
-
-    df = windowed(bars, add, axis, lookback=max(windows) + 62)
-    df = ewm_mean(df, {"atr_14": ("true_range", wilder(14), 14)}, axis)
-    df = ewm_std(df, "_ew", "log_return", span(20), 10, axis)
-    df = df.withColumns({"ewma_vol_20": F.col("_ew") * F.sqrt(per_year), "atr_pct_14": ratio("atr_14", "close")}).drop("_ew")
-    return add_rsi(df, axis, 14, "rsi_14", gated=False)
+    def inputs(a: Axis) -> dict[str, Column]:
+        return {**base_returns(a), "true_range": true_range(a), "momentum_20": pct_change("close", a, 20), "_gain": gains("close", a), "_loss": losses("close", a)}
+
+    rsi = wilder(14)
+    steps = [Means({"atr_14": ("true_range", wilder(14), 14), "_ag": ("_gain", rsi, 1), "_al": ("_loss", rsi, 1)}), Deviations({"_ew": ("log_return", span(20), 10)})]
+    outputs = {"ewma_vol_20": F.col("_ew") * F.sqrt(per_year), "atr_pct_14": ratio("atr_14", "close"), "rsi_14": strength("_ag", "_al")}
+    frames = of_frames(drawdown_from_peak(), volume_z(), *[vol_block(n, per_year) for n in windows], event_levels())
+    return add_events(with_parts(bars, axis, Part(inputs, steps, outputs, lookback=20), frames))
 
 
 def realised_surface(df: DataFrame, axis: Axis, windows: Sequence[int], last: int, per_year: float = 252.0) -> DataFrame:
